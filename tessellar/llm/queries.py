@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm import leakage, packing, terms, topn
+from tessellar.llm import leakage, packing, pii, terms, topn
 from tessellar.operators import wide
 from tessellar.plans.core_problems import contact_values
 from tessellar.plans.core_problems_sql import CONTACT_CELLS
@@ -63,6 +63,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_ranked": p2_ranked,
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_spans": p7_spans,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 RANKED = f"""WITH {CONTACT_CELLS} SELECT system, contact, frequency, row_number() OVER (PARTITION BY system ORDER BY frequency DESC, contact)::INT AS pos
