@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.plans import core_problems, core_problems_sql
+from tessellar.plans import catalog, core_problems, core_problems_sql, queries_tables  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(core_problems.QUERIES)
+    return core_problems.QUERIES | catalog.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(core_problems_sql.ORACLES)
+    problems = core_problems_sql.ORACLES
+    return problems | {k: v.replace("{p5}", problems["p5_found"]) for k, v in catalog.ORACLES.items()}
