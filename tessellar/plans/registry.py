@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.plans import catalog, core_problems, core_problems_sql, queries_tables  # noqa: F401
+from tessellar.plans import catalog, core_problems, core_problems_sql, queries_tables, queries_vectors  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
