@@ -2,36 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters counted as blanks in labels.
-BLANKS = " \t\r\n\f\v\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_BLANK = r"(?U)[\s\uFEFF]"
 
 
 def squeezed(col: Column) -> Column:
     """Upper case without any blank; null for what is null or has nothing left."""
-    return F.nullif(F.upper(F.translate(col, BLANKS, "")), F.lit(""))
+    up = F.upper(col)
+    return F.nullif(F.when(up.rlike(_BLANK), F.regexp_replace(up, _BLANK + "+", "")).otherwise(up), F.lit(""))
 
 
-def _pair(a: Column, b: Column) -> Column:
-    return F.concat(F.least(a, b), F.lit("-"), F.greatest(a, b))
+def with_canonical_contact(rows: DataFrame, name: str, contact: str, res1: str, res2: str) -> DataFrame:
+    """Adds both residue labels in upper case without blanks, the smaller first, joined by one hyphen.
 
-
-def canonical_contact(contact: Column, res1: Column, res2: Column) -> Column:
-    """Both residue labels in upper case without blanks, the smaller first, joined by one hyphen.
-
-    A null or blank contact follows from res1 and res2; null if that is impossible. The hyphen between the labels is
-    told from a residue number's minus sign by counting colons: ``chain:name:number-chain:name:number``.
+    A null or blank contact follows from res1 and res2; null if that is impossible. The hyphen between the labels is the
+    last before the third colon, ``chain:name:number-chain:name:number``, so a residue number may be negative. The steps are
+    columns of their own, so that each is worked out once a row.
     """
-    parts = F.split(squeezed(contact), ":")
-    chain2 = F.substring_index(parts[2], "-", -1)
-    number1 = F.substring(parts[2], F.lit(1), F.length(parts[2]) - F.length(chain2) - 1)
-    first = F.concat_ws(":", parts[0], parts[1], number1)
-    second = F.concat_ws(":", chain2, parts[3], parts[4])
-    given = F.when((F.size(parts) == 5) & (number1 != "") & (chain2 != ""), _pair(first, second))
-    blank = squeezed(contact).isNull()
-    return F.when(blank, _pair(squeezed(res1), squeezed(res2))).otherwise(given)
+    out = rows.withColumn("_s", squeezed(F.col(contact)))
+    head = F.substring_index("_s", ":", 3)
+    cut = F.length(head) - F.length(F.substring_index(head, "-", -1)) - 1
+    out = out.withColumn("_n", F.when(F.length("_s") - F.length(F.replace("_s", F.lit(":"), F.lit(""))) == 4, cut))
+    first = F.when(F.col("_s").isNull(), squeezed(F.col(res1))).when(F.col("_n") > 0, F.substring("_s", F.lit(1), F.col("_n")))
+    second = F.when(F.col("_s").isNull(), squeezed(F.col(res2))).when(F.col("_n") > 0, F.substring("_s", F.col("_n") + 2, F.length("_s")))
+    out = out.withColumns({"_a": first, "_b": second})
+    joined = F.when(F.col("_a") <= F.col("_b"), F.concat("_a", F.lit("-"), "_b")).otherwise(F.concat("_b", F.lit("-"), "_a"))
+    return out.withColumn(name, joined).drop("_s", "_n", "_a", "_b")
 
 
 def canonical_system(system: Column) -> Column:

@@ -30,7 +30,8 @@ def supplied_cells(rows: DataFrame, keys: Sequence[str], value: str, when: str,
     """
     usable = rows.where(" and ".join(f"`{c}` is not null" for c in [*keys, value]))
     best = F.max(F.struct(F.col(when).alias("t"), (-F.col(tiebreak)).alias("n"), F.col(value).alias("v")))
-    return usable.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.v").alias(value), (-F.col("b.n")).alias(tiebreak))
+    hashed = F.xxhash64(*keys).alias("_h")  # sorted by a number first, not by long common prefixes
+    return usable.groupBy(hashed, *keys).agg(best.alias("b")).select(*keys, F.col("b.v").alias(value), (-F.col("b.n")).alias(tiebreak))
 
 
 def attribute_grid(rows: DataFrame, entity: str, attribute: str, value: str, when: str, tiebreak: str, panel: Sequence[Attribute]) -> DataFrame:
@@ -49,7 +50,7 @@ def attribute_grid(rows: DataFrame, entity: str, attribute: str, value: str, whe
         F.col(entity).alias("e"), F.when(F.col(value).isNotNull(), pos).alias("p"), F.col(value).alias("v"), F.col(when).alias("t"), F.col(tiebreak).alias("n")
     )
     filled = F.when(F.col("p").isNotNull(), F.struct("t", (-F.col("n")).alias("n"), "v"))
-    cells = known.groupBy("e", "p").agg(F.max(filled).alias("b"))
+    cells = known.groupBy(F.xxhash64("e", "p").alias("h"), "e", "p").agg(F.max(filled).alias("b"))
     entry = F.when(F.col("p").isNotNull(), F.struct("p", F.struct(F.col("b.v").alias("v"), (-F.col("b.n")).alias("n")).alias("c")))
     held = cells.groupBy("e").agg(F.map_from_entries(F.collect_list(entry)).alias("held"))
     places = F.array(*[F.lit(p) for p in sorted(a.position for a in panel)]).cast("array<int>")

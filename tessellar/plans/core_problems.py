@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.functions.labels import canonical_contact, canonical_system
+from tessellar.functions.labels import canonical_system, with_canonical_contact
 from tessellar.operators import badrows, nested, wide
 from tessellar.session import table
 
@@ -17,8 +17,9 @@ FREQUENCY_KEY = ("frequency", "loaded_at", "row_id")
 def contact_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """all_contacts in canonical spelling; frequency is null where it is unusable."""
     f = F.col("frequency")
-    return table(spark, sf_dir, "all_contacts").select(
-        canonical_contact(F.col("contact"), F.col("res1"), F.col("res2")).alias("contact"),
+    rows = with_canonical_contact(table(spark, sf_dir, "all_contacts"), "contact", "contact", "res1", "res2")
+    return rows.select(
+        "contact",
         canonical_system(F.col("system")).alias("system"),
         F.when(~F.isnan(f) & f.between(0, 1), f).alias("frequency"),
         "loaded_at",
