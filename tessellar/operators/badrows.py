@@ -118,7 +118,7 @@ def parse_block(ids: pa.Array, lines: pa.Array, known: frozenset[str], known_arr
             yield pa.RecordBatch.from_arrays([ids.slice(start, n), *(pa.array(c, t.type) for c, t in zip(found, list(_ARROW)[1:], strict=True))], schema=_ARROW)
 
 
-def load_lines(lines: DataFrame, known_types: list[str], id_col: str = "line_id", line_col: str = "line", block: int = 2048, leaf: int = 4) -> DataFrame:
+def load_lines(lines: DataFrame, known_types: list[str], id_col: str = "line_id", line_col: str = "line", block: int = 1024, leaf: int = 16) -> DataFrame:
     """Every record line as a typed row (reason null) or with its reason (the other columns null).
 
     Blank lines, null lines and lines whose first non-blank character is ``#`` are no records and give no row; repeated
