@@ -304,7 +304,11 @@ class Decoder:
         the path falls apart there, so only the stretches between such tokens are decoded.
         """
         emit = self.emissions(types)
-        sure = (emit[:, 1:] + self.bound[None, 1:] < emit[:, :1]).all(axis=1) | (types == 0)
+        sure = np.ones(len(types), bool)
+        nothing = emit[:, 0].copy()
+        for k in range(1, L):
+            sure &= emit[:, k] + self.bound[k] < nothing
+        sure |= types == 0
         labels = np.zeros(len(types), np.int8)
         open_ = np.flatnonzero(~sure)
         if not len(open_):
@@ -335,9 +339,9 @@ class Decoder:
         for s in range(1, steps):
             on = lengths > s
             k = int(np.argmax(on)) if not on[0] else 0  # lengths ascend: those still running are the tail
-            x = score[k:, None, :] + into[None]
-            back[s, k:] = x.argmax(axis=2)
-            score[k:] = x.max(axis=2) + emit[starts[k:] + s]
+            best, at = _best_before(score[k:], into)
+            back[s, k:] = at
+            score[k:] = best + emit[starts[k:] + s]
             ending = lengths == s + 1
             if ending.any():
                 last[ending] = score[ending] + t[:, 0][None]
@@ -348,6 +352,19 @@ class Decoder:
             state = np.where(on, back[s, np.arange(b), state], state)
 
 
+def _best_before(score: np.ndarray, into: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best score of reaching each label and the label before it; label by label where there are many rows."""
+    if len(score) < 48:
+        x = score[:, None, :] + into[None]
+        return x.max(axis=2), x.argmax(axis=2)
+    best, at = score[:, :1] + into[:, 0], np.zeros((len(score), L), np.int8)
+    for k in range(1, L):
+        x = score[:, k : k + 1] + into[:, k]
+        np.copyto(at, k, where=x > best)
+        np.maximum(best, x, out=best)
+    return best, at
+
+
 def _checked(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
     """The span without surrounding punctuation if it can be such a mention, else None."""
     while a < b and (text[a].isspace() or not (text[a].isalnum() or (text[a] in "+(" and kind == "phone"))):
@@ -372,34 +389,35 @@ def _checked(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
 
 def mentions(texts: list[str], decoder: Decoder) -> Iterator[tuple[int, str, int, int]]:
     """(index of the text, kind, start, end) of every mention."""
-    types, places, bounds = [], [], []
-    get, cache = decoder.type_of, decoder.cache
+    types: list[int] = []
+    starts = []
+    get = decoder.cache.get
     for text in texts:
-        start = len(types)
-        for m in TOKEN.finditer(text):
-            token = m.group()
-            at = cache.get(token)
-            types.append(get(token) if at is None else at)
-            places.append(m.span())
-        types += [0, 0, 0]
-        places += [(0, 0)] * 3
-        bounds.append((start, len(types) - 3))
+        starts.append(len(types))
+        tokens = TOKEN.findall(text)
+        found = list(map(get, tokens))
+        if None in found:
+            found = [decoder.type_of(t) if at is None else at for t, at in zip(tokens, found, strict=True)]
+        types += found
+        types += (0, 0, 0)
     decoder.grow()
     labels = decoder.label(np.array(types, np.int64))
     hit = np.flatnonzero(labels)
     if not len(hit):
         return
-    starts = np.array([b[0] for b in bounds])
-    i = 0
-    rows = hit.tolist()
-    found = labels[hit].tolist()
+    rows, found = hit.tolist(), labels[hit].tolist()
+    document = (np.searchsorted(np.array(starts), hit, "right") - 1).tolist()
+    places: list[tuple[int, int]] = []
+    i, current = 0, -1
     while i < len(rows):
         kind = (found[i] - 1) // 2
         j = i + 1
         while j < len(rows) and rows[j] == rows[j - 1] + 1 and found[j] == 2 * kind + 2:
             j += 1
-        d = int(np.searchsorted(starts, rows[i], "right")) - 1
-        span = _checked(KINDS[kind], texts[d], places[rows[i]][0], places[rows[j - 1]][1])
+        d = document[i]
+        if d != current:  # places are worked out only for texts with mentions
+            current, places = d, [m.span() for m in TOKEN.finditer(texts[d])]
+        span = _checked(KINDS[kind], texts[d], places[rows[i] - starts[d]][0], places[rows[j - 1] - starts[d]][1])
         if span:
             yield d, KINDS[kind], *span
         i = j
@@ -411,7 +429,7 @@ def default_model(copies: int = 20, seed: int = 11) -> Model:
     return train(pii_table.labelled(copies, seed))
 
 
-CHUNK_CHARS = 400_000
+CHUNK_CHARS = 1_000_000
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str | None]]]:
