@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellar.functions.labels import residue_of, undirected_token
+from tessellar.functions.labels import residue_of, trimmed, undirected_token
 
 # Residue names of water.
 WATERS = ("HOH", "WAT", "TIP", "TIP3", "SOL", "H2O")
@@ -15,12 +15,11 @@ WATERS = ("HOH", "WAT", "TIP", "TIP3", "SOL", "H2O")
 
 def clean_log(log: DataFrame) -> DataFrame:
     """Trimmed fields in one spelling; rows lacking any field are dropped, repeats are one."""
-    blank = r"^\s+|\s+$"
     out = log.select(
         "frame",
-        F.lower(F.regexp_replace("interaction_type", blank, "")).alias("itype"),
-        F.upper(F.regexp_replace("atom1", blank, "")).alias("atom1"),
-        F.upper(F.regexp_replace("atom2", blank, "")).alias("atom2"),
+        F.lower(trimmed(F.col("interaction_type"))).alias("itype"),
+        F.upper(trimmed(F.col("atom1"))).alias("atom1"),
+        F.upper(trimmed(F.col("atom2"))).alias("atom2"),
     )
     return out.na.drop().distinct()
 

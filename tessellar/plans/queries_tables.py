@@ -428,7 +428,7 @@ _TOP_CONTACTS = f"SELECT contact FROM cells WHERE system IN {tuple(_SYSTEMS)} GR
 
 def pivot_source(spark: S, d: str) -> DataFrame:
     rows = cells(spark, d).where(F.col("system").isin(*_SYSTEMS))
-    return rel.keep_members(rows, rows.groupBy("contact").count().where("count >= 2"), "contact")
+    return rows.withColumn("_n", F.count("*").over(Window.partitionBy("contact"))).where("_n >= 2").drop("_n")
 
 
 @query("agg07_pivot_sum", f"WITH {CONTACT_CELLS} SELECT contact, {_PIVOT_SQL.format(f='sum')} FROM cells WHERE system IN {tuple(_SYSTEMS)} AND contact IN ({_TOP_CONTACTS}) GROUP BY 1")
