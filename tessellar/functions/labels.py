@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 _BLANK = r"(?U)[\s\uFEFF]"
 
 
-_EDGES = " \t\r\n\f\v\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_EDGES = " \t\r\n\f\v\u00a0"
 
 
 def trimmed(col: Column) -> Column:
