@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellar.llm import leakage, packing, pii, terms, topn
+from tessellar.functions.labels import trimmed
 from tessellar.operators import wide
 from tessellar.plans.core_problems import contact_values
 from tessellar.plans.core_problems_sql import CONTACT_CELLS
@@ -26,9 +27,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blank = r"(?U)^\s+|\s+$"
-    atom = [F.upper(F.regexp_replace(c, blank, "")).alias(c) for c in ("atom1", "atom2")]
-    return table(spark, sf_dir, "a3_contacts").select("frame", F.lower(F.regexp_replace("interaction_type", blank, "")).alias("interaction_type"), *atom)
+    atom = [F.upper(trimmed(F.col(c))).alias(c) for c in ("atom1", "atom2")]
+    return table(spark, sf_dir, "a3_contacts").select("frame", F.lower(trimmed(F.col("interaction_type"))).alias("interaction_type"), *atom)
 
 
 def p4_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
