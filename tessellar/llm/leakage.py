@@ -18,7 +18,7 @@ MAX_BROADCAST_MB = 64
 _WORD = re.compile(r"[^\W_]+")
 # Invisible characters and soft breaks that may stand inside a word.
 _INVISIBLE = dict.fromkeys([0xAD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF, *range(0xFE00, 0xFE10)])
-SEPARATOR, OTHER, FIRST = 0, 1, 2
+END, SEPARATOR, OTHER, FIRST = 0, 1, 2, 3
 
 
 def words(text: str) -> list[str]:
@@ -94,6 +94,8 @@ class FMIndex:
     STEP = 8
 
     def __init__(self, text: np.ndarray, sigma: int):
+        """text must not hold END, which is put behind it: only with an end of its own does each step back hit its row."""
+        text = np.append(text, END)
         order = suffix_array(text, sigma)
         self.n, self.bwt = len(text), text[order - 1].astype(np.int64)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
@@ -116,7 +118,7 @@ class FMIndex:
         rows = rows.copy()
         result = np.full(len(rows), -1, np.int64)
         walked, active = np.zeros(len(rows), np.int64), np.arange(len(rows))
-        while len(active):
+        for _ in range(self.STEP):
             r = rows[active]
             hit = self.sampled[r]
             done = active[hit]
@@ -125,7 +127,7 @@ class FMIndex:
             c = self.bwt[rows[active]]
             rows[active] = self.before[c] + self.wavelet.rank(c, rows[active])
             walked[active] += 1
-        return result % max(self.n, 1)
+        return result
 
 
 class Items:
@@ -226,7 +228,7 @@ class Shard:
             return
         # a stretch of words that no item has is one symbol; the words' own places are kept beside
         keep = np.flatnonzero((ids != OTHER) | np.concatenate([[True], ids[:-1] != OTHER]))
-        self.symbols += [ids[keep], np.zeros(1, np.int32)]
+        self.symbols += [ids[keep], np.full(1, SEPARATOR, np.int32)]
         self.words += [keep, np.array([-1])]
         self.docs.append((doc_id, text, self.size))
         self.size += len(keep) + 1

@@ -61,6 +61,8 @@ class _Counters:
         if not self.keys:
             return
         keys = np.unique(np.concatenate(self.keys))
+        if not len(keys):
+            return
         high, starts = np.unique(keys // BLOCK, return_index=True)
         low = keys % BLOCK
         for h, a, b in zip(high.tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
