@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 SHARD_SYMBOLS = 400_000
 SEED_WORDS = 5
 MIN_WORDS = 15
+WORDS_AN_EDIT = 7
 MAX_BROADCAST_MB = 64
 _WORD = re.compile(r"[^\W_]+")
 # Invisible characters and soft breaks that may stand inside a word.
@@ -165,34 +166,32 @@ def _runs(hits: list[tuple[int, int]], seed: int) -> list[list[int]]:
     return sorted(runs)
 
 
-def _stretch(doc: np.ndarray, item: np.ndarray, w: int, p: int, step: int) -> tuple[int, int]:
-    """How far a match goes on from word w and item place p (exclusive), over single altered, missing or added words."""
-    best = (w, p)
+def _stretch(doc: np.ndarray, item: np.ndarray, w: int, p: int, step: int) -> tuple[int, int, int]:
+    """How far a match goes on from word w and item place p: (w, p) behind it and the words altered, missing or added.
 
-    def run(w: int, p: int) -> tuple[int, int]:
+    After such a word at least two must match.
+    """
+
+    def run(w: int, p: int) -> tuple[int, int, int]:
+        n = 0
         while 0 <= w < len(doc) and 0 <= p < len(item) and doc[w] == item[p]:
-            w, p = w + step, p + step
-        return w, p
+            w, p, n = w + step, p + step, n + 1
+        return n, w, p
 
-    w, p = run(w, p)
+    _, w, p = run(w, p)
+    edits = 0
     while True:
-        best = (w, p)
-        tries = [run(w + dw * step, p + dp * step) + (dw, dp) for dw, dp in ((1, 1), (0, 1), (1, 0))]
-        w2, p2, dw, dp = max(tries, key=lambda t: (p2_gain(t, w, p), t[1] * step))
-        if abs(p2 - p) - dp < 2:
-            return best
-        w, p = w2, p2
-
-
-def p2_gain(tried: tuple[int, int, int, int], w: int, p: int) -> int:
-    """Words matched after the edit."""
-    return abs(tried[1] - p) - tried[3]
+        n, w2, p2 = max((run(w + dw * step, p + dp * step) for dw, dp in ((1, 1), (0, 1), (1, 0))), key=lambda t: t[0])
+        if n < 2:
+            return w, p, edits
+        w, p, edits = w2, p2, edits + 1
 
 
 def passages(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]], seed: int, least: int) -> list[tuple[int, int]]:
     """Word ranges of the document that hold a passage of at least ``least`` of the item's words (or all it has).
 
-    The exact check of the index's finds: runs are stretched both ways over single altered, missing or added words.
+    The exact check of the index's finds: runs are stretched both ways over single altered, missing or added words, of
+    which there may be one in ``WORDS_AN_EDIT``; sentences built alike have more.
     """
     least = min(least, len(item))
     found: list[tuple[int, int]] = []
@@ -200,9 +199,10 @@ def passages(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]], see
     for start, end, shift in _runs(hits, seed):
         if end <= reached:
             continue
-        w2, p2 = _stretch(doc, item, end, end + shift, 1)
-        w1, p1 = _stretch(doc, item, start - 1, start + shift - 1, -1)
-        if p2 - p1 - 1 >= least:
+        w2, p2, later = _stretch(doc, item, end, end + shift, 1)
+        w1, p1, earlier = _stretch(doc, item, start - 1, start + shift - 1, -1)
+        span = p2 - p1 - 1
+        if span >= least and (later + earlier) * WORDS_AN_EDIT <= span + 2:
             found.append((w1 + 1, w2))
             reached = w2
     return found
