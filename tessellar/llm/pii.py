@@ -20,8 +20,8 @@ PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 # Letters or digits with what joins them inside a word; line breaks; any other mark alone.
 TOKEN = re.compile(r"\+?[^\W_]+(?:[._+@’'\-]+[^\W_]+)*|\n|[^\s]")
 _EMAIL = re.compile(r"[^\s@]+@[^\s@.]+(?:\.[^\s@.]+)+")
-_SHOUTED_BEFORE = re.compile(r"\b[A-Z]{3,}\s+\Z")
-_SHOUTED_AFTER = re.compile(r"\s+[A-Z]{3,}\b")
+_SHOUTED_BEFORE = re.compile(r"\b[A-Z]+\s+\Z")
+_SHOUTED_AFTER = re.compile(r"\s+[A-Z]{2,}\b")
 _TITLED = re.compile(rf"\b(?:{'|'.join([*pii_table.TITLES, 'm', 'dra'])})\.?\s*\Z", re.I)
 
 # Words that announce what follows.
@@ -89,6 +89,8 @@ def token_class(token: str, vocabulary: frozenset[str]) -> str:
 def token_features(token: str, vocabulary: frozenset[str]) -> tuple[str, tuple[str, ...]]:
     low, c = token.lower(), token_class(token, vocabulary)
     features = [f"c={c}", f"s={shape(token)}", f"n={min(len(token), 12) if token.isalpha() else 0}"]
+    if digits := sum(x.isdigit() for x in token):
+        features.append(f"d={min(digits, 14)}")
     if low in vocabulary:
         features.append(f"w={low}")
     return c, tuple(features)
@@ -138,7 +140,7 @@ def bio(text: str, spans: list[tuple[int, int, str]]) -> tuple[list[str], list[i
     return tokens, labels
 
 
-def train(examples: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 12, batch: int = 96, rate: float = 0.12, decay: float = 2e-4, seed: int = 5) -> Model:
+def train(examples: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 15, batch: int = 96, rate: float = 0.12, decay: float = 2e-4, seed: int = 5) -> Model:
     """Maximum conditional likelihood by forward-backward and Adam, on a bounded table (a few thousand rows at most)."""
     filler = pii_table.TEMPLATES + pii_table.NEGATIVES
     known = {w.lower() for t in filler for w in TOKEN.findall(re.sub(r"\{[A-Z]\}|\\n", " ", t)) if w.isalpha() and len(w) > 1}

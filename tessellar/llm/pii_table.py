@@ -88,7 +88,7 @@ class Fill:
 
     def phone(self) -> str:
         base = self.r.choice(
-            "+1-999-555-0999|+1 999 555 0999|(999) 555-0999|999.555.0999|999-555-0999|1999555 0999|19995550999|020 7946 0999|+44 20 7946 0999|+44207946 0999|+49 30 23125 999|(030) 23125999|030 / 23125-999|030/23125-999|"
+            "+1-999-555-0999|+1 999 555 0999|(999) 555-0999|999.555.0999|999.555.0999|999-555-0999|1999555 0999|19995550999|020 7946 0999|+44 20 7946 0999|+44207946 0999|+49 30 23125 999|(030) 23125999|030 / 23125-999|030/23125-999|"
             "+4930 23125999|+493023125999|+49 3023125999|01 99 00 99 99|+1-999-555-0999|9995550999|01.99.00.99.99|+33 1 99 00 99 99|+33199009999|01 99 00 99 99|+34 555 000 999|555 000 999|+34555000999|555-000-999|0999 999999|+41 44 999 99 99|+44 (0)20 7946 0999".split("|")
         )
         tail = self.r.choice(["", "", "", "", "", " x999", " ext. 99", " ext 999", " extension 9999", " Durchwahl 99", " poste 99"])
@@ -131,7 +131,7 @@ class Fill:
         return out
 
 
-TEMPLATES = """
+TEMPLATES = r"""
 Ask {P} for the raw trajectories, {E}.
 Ask {P} about the raw data, {E}
 Dr. {S} reran the equilibration and mailed the box vectors from {E}.
@@ -190,9 +190,17 @@ Regards,\n{P}
 Thanks,\n{P}
 Cheers\n{P}\n{A}
 Best,\n{P}\n{T}
+{P} has the spare key ({T})
+Mail {E} and drop me at {T}, thx
 My number is {T}; the desk is at {A}.
 Send the drive to {A} by Friday.
 Write to {E} with questions.
+Questions go to {E} or {T}. Then wait.
+Reach us at {E} or {T}.
+Send it to {E} or call {T}.
+En cas d’urgence, appeler le {T}.
+En cas de panne, appeler le {T}.
+Best,\n{P}\n{A}
 Herr {S} meldet sich unter {T} oder {E}.
 Frau {S} hat die Startstruktur geprüft.
 Herr {S} hat die Daten geprüft.
