@@ -94,3 +94,11 @@ def rms_distance(a: Column, b: Column) -> Column:
     """Root of the mean squared difference of two number arrays."""
     squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / F.size(a))
+
+
+def kcal_to_kj(x: Column) -> Column:
+    return x * 4.184
+
+
+def angstrom_to_nm(x: Column) -> Column:
+    return x * 0.1

@@ -638,3 +638,104 @@ def stream05(spark: S, d: str) -> DataFrame:
 @query("src25_recovery_guard", f"WITH {ENERGY} SELECT system, repeat, max(frame) AS last FROM ie GROUP BY ALL HAVING count(DISTINCT frame) > 10")
 def src25(spark: S, d: str) -> DataFrame:
     return energies(spark, d).groupBy("system", "repeat").agg(F.max("frame").alias("last"), F.countDistinct("frame").alias("n")).where("n > 10").drop("n")
+
+
+@query("mat20_density_clusters")
+def mat20(spark: S, d: str) -> DataFrame:
+    from tessellar.operators.clusters import density_clusters
+
+    return density_clusters(points(spark, d), "vec_id", ["x", "y", "z"], 0.15, 4)
+
+
+@query("src07_tables_with_bad_lines", "SELECT p_partkey AS k, p_retailprice AS v, CASE WHEN p_partkey % 2 = 0 THEN 'EVEN' ELSE 'ODD' END AS system FROM part")
+def src07(spark: S, d: str) -> DataFrame:
+    """Tab-separated files with comments and a malformed line each, tagged by file name."""
+    import os
+    import uuid
+
+    from tessellar.session import shared_dir
+
+    root = os.path.join(shared_dir(spark), f"tsv-{uuid.uuid4().hex}")
+    part = table(spark, d, "part")
+    paths = []
+    for name, rest in (("EVEN", 0), ("ODD", 1)):
+        lines = part.where(f"p_partkey % 2 = {rest}").select(F.concat_ws("\t", F.col("p_partkey").cast("string"), F.col("p_retailprice").cast("string")).alias("value"))
+        extra = spark.createDataFrame([("# comment",), ("not a number\tx",)], "value string")
+        lines.unionByName(extra).write.text(f"{root}/{name}")
+        paths.append(f"{root}/{name}")
+    out = spark.read.csv(paths, sep="\t", comment="#", mode="DROPMALFORMED", schema="k long, v double")
+    return out.select("k", "v", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("system"))
+
+
+@query("src24_path_search", "SELECT 'nation.parquet' AS name UNION ALL SELECT 'region.parquet'")
+def src24(spark: S, d: str) -> DataFrame:
+    """Files below a folder whose name contains a text; contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*ion.parquet").option("recursiveFileLookup", "true").load(d)
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name")).where(F.col("name").rlike("^(nat|reg)ion"))
+
+
+@query("sel23_split_by_chain", f"WITH {LOG}, a AS (SELECT DISTINCT r1 FROM res WHERE split_part(r1, ':', 2) <> 'LIG') SELECT split_part(r1, ':', 1) AS chain, count(*) AS n FROM a GROUP BY 1")
+def sel23(spark: S, d: str) -> DataFrame:
+    """Residues written to one folder a chain and counted from there."""
+    import os
+    import uuid
+
+    from tessellar.functions import labels as lb
+    from tessellar.session import shared_dir
+
+    root = os.path.join(shared_dir(spark), f"chains-{uuid.uuid4().hex}")
+    r = ct.endpoints(log(spark, d)).select(F.col("ends")[0].alias("r")).distinct()
+    r.where(lb.part(F.col("r"), 2) != "LIG").withColumn("chain", lb.part(F.col("r"), 1)).repartition("chain").write.partitionBy("chain").parquet(root)
+    return spark.read.parquet(root).groupBy(F.col("chain").cast("string").alias("chain")).agg(F.count("*").alias("n"))
+
+
+@query("sel26_sequence_table", f"WITH {LOG}, a AS (SELECT DISTINCT split_part(r1, ':', 1) AS chain, try_cast(split_part(r1, ':', 3) AS INT) AS n, split_part(r1, ':', 2) AS name FROM res) SELECT chain, n, name FROM a WHERE name NOT IN ('ACE', 'NME', 'HOH', 'LIG') AND n IS NOT NULL")
+def sel26(spark: S, d: str) -> DataFrame:
+    from tessellar.functions import labels as lb
+
+    r = ct.endpoints(log(spark, d)).select(F.col("ends")[0].alias("r")).distinct()
+    out = r.select(lb.part(F.col("r"), 1).alias("chain"), lb.residue_number(F.col("r")).alias("n"), sc.residue_name(lb.part(F.col("r"), 2)).alias("name"))
+    return out.where(~F.col("name").isin("ACE", "NME", "HOH", "LIG") & F.col("n").isNotNull()).distinct()
+
+
+@query("fn16_unit_conversion", "SELECT p_partkey, round(p_retailprice * 4.184, 6) AS kj, round(p_retailprice * 0.1, 6) AS nm FROM part")
+def fn16(spark: S, d: str) -> DataFrame:
+    p = F.col("p_retailprice")
+    return table(spark, d, "part").select("p_partkey", F.round(sc.kcal_to_kj(p), 6).alias("kj"), F.round(sc.angstrom_to_nm(p), 6).alias("nm"))
+
+
+@query("stream03_adaptive_ladder")
+def stream03(spark: S, d: str) -> DataFrame:
+    """Rungs are inserted until neighbours are close enough; the exchange rate falls with their gap."""
+    from pyspark.sql import Window
+
+    from tessellar.streaming.incremental import adapt_until
+
+    def rates(ladder: DataFrame) -> DataFrame:
+        gap = F.col("temperature") - F.lag("temperature").over(Window.partitionBy("sim_no").orderBy("state"))
+        return ladder.select("sim_no", "state", F.exp(-gap / 2).alias("rate")).where("rate is not null")
+
+    start = ladders(spark, d).where("state % 3 = 0").groupBy("sim_no", "temperature").agg(F.min("state").alias("state"))
+    final, cycles = adapt_until(start, rates, 0.4, 8)
+    return final.groupBy("sim_no").agg(F.count("*").alias("n")).withColumn("cycles", F.lit(cycles))
+
+
+@query("stream07_failure_isolation", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream07(spark: S, d: str) -> DataFrame:
+    """A failing checkpoint is recorded and the others still count."""
+    import os
+    import uuid
+
+    from tessellar.session import shared_dir
+    from tessellar.streaming.incremental import process_new_files
+
+    root = os.path.join(shared_dir(spark), f"isolated-{uuid.uuid4().hex}")
+
+    def work(df: DataFrame, batch: int) -> None:
+        df.groupBy("event_type").agg(F.count("*").alias("n")).write.parquet(f"{root}/parts/batch={batch}")
+        raise ValueError("after the write")
+
+    errors = process_new_files(spark, d, EVENT_SCHEMA, work, f"{root}/checkpoint", "events.parquet")
+    if not errors:
+        raise RuntimeError("the failure wasn't recorded")
+    return spark.read.parquet(f"{root}/parts").groupBy("event_type").agg(F.sum("n").alias("n"))
