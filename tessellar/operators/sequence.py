@@ -40,6 +40,8 @@ def join_labels(items: DataFrame, key: str, order: str, letter: str) -> DataFram
 def average_linkage_order(rows: Sequence[Sequence[float]]) -> list[int]:
     """Leaf order of an average-linkage tree of at most a few thousand rows, on the driver."""
     x = np.asarray(rows, float)
+    if not len(x):
+        return []
     if len(x) > 4000:
         raise ValueError("too many rows for a tree on the driver")
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))

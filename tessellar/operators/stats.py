@@ -45,10 +45,14 @@ def jensen_shannon(p: DataFrame, q: DataFrame, key: Sequence[str], n: int, floor
     return x.groupBy(*key).agg(F.sqrt(F.greatest(F.sum(term) / 2, F.lit(0.0))).alias("jsd"))
 
 
-def frobenius(pairs: DataFrame, n: int, a: str = "a", b: str = "b") -> DataFrame:
-    """Frobenius norm of the difference of two symmetric n x n matrices given by their pairs i < j, over n (n - 1) / 2."""
+def frobenius(pairs: DataFrame, n: int, a: str = "a", b: str = "b", i: str = "i", j: str = "j") -> DataFrame:
+    """Frobenius norm of the difference of two symmetric n x n matrices over n (n - 1) / 2, so that it shrinks with n.
+
+    The matrices are given by their cells i <= j; cells off the diagonal count for both halves.
+    """
     gap = F.col(a) - F.col(b)
-    return pairs.agg((F.sqrt(2 * F.sum(gap * gap)) / (n * (n - 1) / 2)).alias("norm"))
+    times = F.when(F.col(i) == F.col(j), 1).otherwise(2)
+    return pairs.agg((F.sqrt(F.sum(times * gap * gap)) / (n * (n - 1) / 2)).alias("norm"))
 
 
 def kernel_density(points: DataFrame, x: str, y: str, steps: int = 100) -> DataFrame:

@@ -290,7 +290,7 @@ def agg15(spark: S, d: str) -> DataFrame:
 def agg16(spark: S, d: str) -> DataFrame:
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("i"))
     pairs = n.join(n.select(F.col("i").alias("j")), F.col("i") < F.col("j"))
-    pairs = pairs.select(((F.col("i") * 7 + F.col("j") * 3) % 11 / 11).alias("a"), ((F.col("i") * 5 + F.col("j")) % 13 / 13).alias("b"))
+    pairs = pairs.select("i", "j", ((F.col("i") * 7 + F.col("j") * 3) % 11 / 11).alias("a"), ((F.col("i") * 5 + F.col("j")) % 13 / 13).alias("b"))
     return stats.frobenius(pairs, 25).select(F.round("norm", 9).alias("norm"))
 
 
