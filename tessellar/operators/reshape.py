@@ -50,7 +50,8 @@ def cents(t: Column) -> Column:
 def missing_states(ladder: DataFrame, final: DataFrame) -> DataFrame:
     """(sim_no, state, temperature) of the final ladder's rungs that a simulation's own ladder lacks."""
     rungs = ladder.select("sim_no", cents(F.col("temperature")).alias("c"))
-    wanted = ladder.select("sim_no").distinct().join(F.broadcast(final.select("state", "temperature")))
+    listed = F.broadcast(final.agg(F.collect_list(F.struct("state", "temperature")).alias("_f")))  # one row: a ladder
+    wanted = ladder.select("sim_no").distinct().crossJoin(listed).select("sim_no", F.inline("_f"))
     return wanted.withColumn("c", cents(F.col("temperature"))).join(rungs, ["sim_no", "c"], "left_anti").select("sim_no", "state", "temperature")
 
 

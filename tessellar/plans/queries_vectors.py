@@ -34,13 +34,13 @@ def _ij(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select("i", "j", F.round("d", digits).alias("d"))
 
 
-@query("mat05_rms_to_all", f"WITH {VEC} SELECT q.vec_id AS i, v.vec_id AS j, round(sqrt(list_sum([(a - b) * (a - b) FOR a, b IN list_zip(q.e, v.e)]) / 64), 6) AS d FROM q, v".replace("[(a - b) * (a - b) FOR a, b IN list_zip(q.e, v.e)]", "list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))"))
+@query("join05_rms_to_all", f"WITH {VEC} SELECT q.vec_id AS i, v.vec_id AS j, round(sqrt(list_sum([(a - b) * (a - b) FOR a, b IN list_zip(q.e, v.e)]) / 64), 6) AS d FROM q, v".replace("[(a - b) * (a - b) FOR a, b IN list_zip(q.e, v.e)]", "list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))"))
 def mat05(spark: S, d: str) -> DataFrame:
     e = embeddings(spark, d)
     return _ij(vectors.blocked_distances(e, queried(e), "vec_id", "embedding"))
 
 
-@query("mat05_nearest", f"WITH {VEC} SELECT i, j, d FROM (SELECT q.vec_id AS i, v.vec_id AS j, round(sqrt(list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 64), 6) AS d FROM q, v) QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 10")
+@query("join05_nearest", f"WITH {VEC} SELECT i, j, d FROM (SELECT q.vec_id AS i, v.vec_id AS j, round(sqrt(list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 64), 6) AS d FROM q, v) QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 10")
 def mat05n(spark: S, d: str) -> DataFrame:
     e = embeddings(spark, d)
     return _ij(vectors.blocked_distances(e, queried(e), "vec_id", "embedding", nearest=10))
@@ -246,8 +246,8 @@ def mat26(spark: S, d: str) -> DataFrame:
 
 @query("join08_subgrid_match", f"WITH {_GRID} SELECT s.i AS si, s.j AS sj, s.k AS sk, g.i, g.j, g.k FROM g s JOIN g ON g.i = s.i + 2 AND g.j = s.j + 2 AND g.k = s.k + 2")
 def join08(spark: S, d: str) -> DataFrame:
-    axis = spark.range(9)
-    g = axis.select(F.col("id").alias("i")).join(axis.select(F.col("id").alias("j"))).join(axis.select(F.col("id").alias("k")))
+    f = F.col("id")
+    g = spark.range(729).select(F.floor(f / 81).alias("i"), (F.floor(f / 9) % 9).alias("j"), (f % 9).alias("k"))
     s = g.select(F.col("i").alias("si"), F.col("j").alias("sj"), F.col("k").alias("sk"))
     return s.join(g, (g.i == s.si + 2) & (g.j == s.sj + 2) & (g.k == s.sk + 2))
 
@@ -288,8 +288,8 @@ def agg15(spark: S, d: str) -> DataFrame:
 
 @query("agg16_frobenius", "WITH a AS (SELECT n_nationkey AS i, s.k AS j, ((n_nationkey * 7 + s.k * 3) % 11) / 11.0::DOUBLE AS a, ((n_nationkey * 5 + s.k) % 13) / 13.0::DOUBLE AS b FROM nation, (SELECT n_nationkey AS k FROM nation) s WHERE n_nationkey < s.k) SELECT round(sqrt(2 * sum(power(a - b, 2))) / 300, 9) AS norm FROM a")
 def agg16(spark: S, d: str) -> DataFrame:
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("i"))
-    pairs = n.join(n.select(F.col("i").alias("j")), F.col("i") < F.col("j"))
+    i = F.col("n_nationkey")
+    pairs = table(spark, d, "nation").where(i < 24).select(i.alias("i"), F.explode(F.sequence(i + 1, F.lit(24))).alias("j"))
     pairs = pairs.select("i", "j", ((F.col("i") * 7 + F.col("j") * 3) % 11 / 11).alias("a"), ((F.col("i") * 5 + F.col("j")) % 13 / 13).alias("b"))
     return stats.frobenius(pairs, 25).select(F.round("norm", 9).alias("norm"))
 
@@ -546,8 +546,8 @@ def src16(spark: S, d: str) -> DataFrame:
 def src12(spark: S, d: str) -> DataFrame:
     from tessellar.sources import grids
 
-    axis = spark.range(9)
-    g = axis.select(F.col("id").alias("i")).join(axis.select(F.col("id").alias("j"))).join(axis.select(F.col("id").alias("k"))).withColumn("val", F.col("i") + F.col("j") / 10.0 + F.col("k") / 100.0)
+    f = F.col("id")
+    g = spark.range(729).select(F.floor(f / 81).alias("i"), (F.floor(f / 9) % 9).alias("j"), (f % 9).alias("k")).withColumn("val", F.col("i") + F.col("j") / 10.0 + F.col("k") / 100.0)
     lines = grids.dx_lines(g, [0.0] * 3, [0.1] * 3, [9, 9, 9])
     return grids.parse_dx(spark, lines).select("i", "j", "k", F.round("val", 6).alias("val"))
 
@@ -588,6 +588,23 @@ def src20(spark: S, d: str) -> DataFrame:
     return pca.transform(e, "vec_id", "embedding", pca.load(spark, path)).select("vec_id", F.size("scores").alias("n"))
 
 
+@query("src18_saved_by_mode", "SELECT 'cache' AS mode, count(*) AS n FROM region UNION ALL SELECT 'in place', count(*) FROM region UNION ALL SELECT 'read only', 0")
+def src18(spark: S, d: str) -> DataFrame:
+    """Where a table goes by mode: the cache, its own folder, or nowhere."""
+    import os
+    import uuid
+
+    from tessellar.session import shared_dir
+    from tessellar.sources.store import save
+
+    root = os.path.join(shared_dir(spark), f"modes-{uuid.uuid4().hex}")
+    rows = []
+    for mode, args in (("cache", {"cache": f"{root}/cache"}), ("in place", {}), ("read only", {"read_only": True})):
+        path = save(table(spark, d, "region"), "region", f"{root}/source", **args)
+        rows.append((mode, spark.read.parquet(path).count() if path else 0))
+    return spark.createDataFrame(rows, "mode string, n long")
+
+
 @query("mat13_compute_or_load", f"WITH {BIND} SELECT system, count(*) AS n FROM bind GROUP BY 1")
 def mat13(spark: S, d: str) -> DataFrame:
     import uuid
