@@ -139,3 +139,11 @@ def outside_box(atoms: DataFrame, inner: Column, pad: float, residue: Sequence[s
     for c in axes:
         out = out | (F.col(c) < F.col(f"_{c}0") - pad) | (F.col(c) > F.col(f"_{c}1") + pad)
     return atoms.crossJoin(F.broadcast(box)).where(out).select(*residue).distinct()
+
+
+def residues_around(atoms: DataFrame, inner: Column, radius: float, id_col: str, residue: Sequence[str], axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """Whole residues with any atom within ``radius`` of an inner atom: the range join, then the residues it hits."""
+    from tessellar.operators.vectors import within
+
+    near = within(atoms, atoms.where(inner), id_col, axes, radius).select(F.col("j").alias(id_col)).distinct()
+    return atoms.join(near, id_col, "left_semi").select(*residue).distinct()

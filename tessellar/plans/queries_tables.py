@@ -282,7 +282,7 @@ def sel24(spark: S, d: str) -> DataFrame:
 
 # --- joins -----------------------------------------------------------------------------------------------------------
 
-PERM = """perm AS (SELECT year(l_shipdate) AS sim_no, l_orderkey AS sim_iter, l_linenumber AS replica, l_extendedprice AS u, row_number() OVER (PARTITION BY year(l_shipdate), l_orderkey ORDER BY l_extendedprice, l_linenumber, l_partkey) - 1 AS state FROM lineitem)"""
+PERM = """perm AS (SELECT year(l_shipdate)::INT AS sim_no, l_orderkey AS sim_iter, l_linenumber AS replica, l_extendedprice AS u, row_number() OVER (PARTITION BY year(l_shipdate), l_orderkey ORDER BY l_extendedprice, l_linenumber, l_partkey) - 1 AS state FROM lineitem)"""
 
 
 def permutations(spark: S, d: str) -> tuple[DataFrame, DataFrame]:
@@ -350,7 +350,7 @@ def join13(spark: S, d: str) -> DataFrame:
     return binding(spark, d).withColumn("ie", F.round("ie", 6))
 
 
-LADDER = """ladder AS (SELECT year(o_orderdate) AS sim_no, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY t) - 1 AS state, t AS temperature FROM (SELECT DISTINCT o_orderdate, round(300 + o_custkey % 40 * 1.5, 2)::DOUBLE AS t FROM orders WHERE o_orderkey % 7 = 0) GROUP BY year(o_orderdate), t)"""
+LADDER = """ladder AS (SELECT year(o_orderdate)::INT AS sim_no, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY t) - 1 AS state, t AS temperature FROM (SELECT DISTINCT o_orderdate, round(300 + o_custkey % 40 * 1.5, 2)::DOUBLE AS t FROM orders WHERE o_orderkey % 7 = 0) GROUP BY year(o_orderdate), t)"""
 
 
 def ladders(spark: S, d: str) -> DataFrame:
@@ -364,7 +364,7 @@ def join14(spark: S, d: str) -> DataFrame:
     return rs.missing_states(ladders(spark, d), final)
 
 
-MONTHS = "m AS (SELECT o_orderstatus AS run, (year(o_orderdate) - 1990) * 12 + month(o_orderdate) AS point, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY ALL)"
+MONTHS = "m AS (SELECT o_orderstatus AS run, ((year(o_orderdate) - 1990) * 12 + month(o_orderdate))::INT AS point, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY ALL)"
 
 
 def checkpoints(spark: S, d: str) -> DataFrame:
@@ -715,7 +715,7 @@ def fn14(spark: S, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(sc.layered(z, [(10.0, 2.0, 2.0), (20.0, 2.0, 7.0), (25.0, 7.0, 80.0)], 80.0), 6).alias("eps"))
 
 
-@query("fn15_step_profile", "SELECT event_id, CASE WHEN value < 100 THEN 0.0 WHEN value = 100 THEN 0.5 ELSE 1.0 END AS h FROM events")
+@query("fn15_step_profile", "SELECT event_id, CASE WHEN value < 100 THEN 0.0 WHEN value = 100 THEN 0.5 ELSE 1.0 END::DOUBLE AS h FROM events")
 def fn15(spark: S, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", sc.heaviside(F.col("value") - 100).alias("h"))
 

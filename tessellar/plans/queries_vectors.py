@@ -637,7 +637,7 @@ def stream02(spark: S, d: str) -> DataFrame:
     return windowed_counts(spark, d, EVENT_SCHEMA, "ts", "event_type", "1 day", "1 hour", "events.parquet")
 
 
-@query("stream04_prefixes", "WITH p AS (SELECT event_type AS run, dayofyear(ts) AS part, count(value) AS n, sum(value) AS s FROM events GROUP BY ALL) SELECT run, part, sum(n) OVER w::BIGINT AS n, round(sum(s) OVER w / sum(n) OVER w, 6) AS mean FROM p WINDOW w AS (PARTITION BY run ORDER BY part)".replace("sum(n) OVER w::BIGINT", "(sum(n) OVER w)::BIGINT"))
+@query("stream04_prefixes", "WITH p AS (SELECT event_type AS run, dayofyear(ts)::INT AS part, count(value) AS n, sum(value) AS s FROM events GROUP BY ALL) SELECT run, part, sum(n) OVER w::BIGINT AS n, round(sum(s) OVER w / sum(n) OVER w, 6) AS mean FROM p WINDOW w AS (PARTITION BY run ORDER BY part)".replace("sum(n) OVER w::BIGINT", "(sum(n) OVER w)::BIGINT"))
 def stream04(spark: S, d: str) -> DataFrame:
     frames = table(spark, d, "events").select(F.col("event_type").alias("run"), F.dayofyear("ts").alias("part"), "value")
     return rs.prefixes(frames, frames.select("run", "part").distinct()).select("run", "part", "n", F.round("mean", 6).alias("mean"))
@@ -756,3 +756,26 @@ def stream07(spark: S, d: str) -> DataFrame:
     if not errors:
         raise RuntimeError("the failure wasn't recorded")
     return spark.read.parquet(f"{root}/parts").groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+@query("sel01_around_whole_residues", f"WITH {VEC}, {_POINTS}, near AS (SELECT DISTINCT p.vec_id FROM p q, p WHERE q.vec_id % 100 = 0 AND sqrt(power(q.x - p.x, 2) + power(q.y - p.y, 2) + power(q.z - p.z, 2)) <= 0.08) SELECT DISTINCT vec_id // 4 AS residue FROM near")
+def sel01_around(spark: S, d: str) -> DataFrame:
+    """Residues (four points each) with any point within reach of the stated query points."""
+    p = points(spark, d).withColumn("residue", F.floor(F.col("vec_id") / 4))
+    return topology.residues_around(p, F.pmod("vec_id", F.lit(100)) == 0, 0.08, "vec_id", ["residue"])
+
+
+@query("src19_trajectory_files")
+def src19(spark: S, d: str) -> DataFrame:
+    """Frames written as binary trajectory files, one a label, and read back."""
+    import os
+    import uuid
+
+    from tessellar.session import shared_dir
+    from tessellar.sources import trajectory
+
+    folder = os.path.join(shared_dir(spark), f"traj-{uuid.uuid4().hex}")
+    frames = embeddings(spark, d).select("label", "vec_id", F.slice("embedding", 1, 63).alias("xyz"))
+    trajectory.write_dcd(frames, "label", "vec_id", "xyz", folder).agg(F.sum("n")).collect()
+    back = trajectory.read_dcd(spark, folder)
+    return back.select(F.regexp_extract("path", r"([^/]+)\.dcd$", 1).cast("int").alias("label"), "frame", F.round(F.aggregate("xyz", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))

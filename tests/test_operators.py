@@ -262,3 +262,15 @@ def test_text_sources(spark):
     pdb = spark.createDataFrame([("ATOM      1  CA  ALA A   5      11.104   6.134  -6.504  1.00  0.00           C",), ("HETATM    2  O   HOH W   9       x.xxx   6.134  -6.504  1.00  0.00           O",), ("TER",)], "value string")
     out = [tuple(r) for r in text.atom_records(pdb).select("record", "serial", "atom_name", "res_name", "chain_id", "res_seq", "x", "z", "element").collect()]
     assert out == [("ATOM", 1, "CA", "ALA", "A", 5, 11.104, -6.504, "C"), ("HETATM", 2, "O", "HOH", "W", 9, None, -6.504, "O")]
+
+
+def test_trajectory_and_settings(spark, tmp_path):
+    from tessellar.sources import config, trajectory
+
+    frames = RNG.normal(size=(4, 5, 3)).astype("f4")
+    data = trajectory.encode(frames)
+    assert (trajectory.decode(data) == frames).all() and trajectory.decode(trajectory.encode(frames[:0])).shape == (0, 5, 3)
+    with pytest.raises(ValueError):
+        trajectory.decode(data[:-7])
+    config.write_json({"a": [1, "é"]}, str(tmp_path / "c.json"))
+    assert config.read_json(str(tmp_path / "c.json")) == {"a": [1, "é"]}
