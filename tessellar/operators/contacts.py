@@ -72,9 +72,9 @@ def set_distances(tokens: DataFrame, queries: DataFrame, unit: str, token: str,
     An inverted-index join on the token: only pairs that share something meet. A pair that shares nothing has distance 1
     (jaccard), which needs no row.
     """
-    sizes = tokens.groupBy(unit).agg(F.count("*").alias("size"))
-    a = tokens.join(queries, unit, "left_semi").join(sizes, unit).select(F.col(unit).alias("a"), token, F.col("size").alias("n_a"))
-    b = tokens.join(sizes, unit).select(F.col(unit).alias("b"), token, F.col("size").alias("n_b"))
+    sized = tokens.withColumn("size", F.count("*").over(Window.partitionBy(unit)))
+    a = sized.join(queries, unit, "left_semi").select(F.col(unit).alias("a"), token, F.col("size").alias("n_a"))
+    b = sized.select(F.col(unit).alias("b"), token, F.col("size").alias("n_b"))
     shared = a.join(b, token).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("n_shared"))
     union = F.col("n_a") + F.col("n_b") - F.col("n_shared")
     out = shared.withColumn("jaccard", 1 - F.col("n_shared") / union)
