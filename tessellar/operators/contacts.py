@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellar.functions.labels import residue_of, trimmed, undirected_token
+from tessellar.operators.reshape import range_index
 
 # Residue names of water.
 WATERS = ("HOH", "WAT", "TIP", "TIP3", "SOL", "H2O")
@@ -82,9 +83,5 @@ def set_distances(tokens: DataFrame, queries: DataFrame, unit: str, token: str,
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
-    """Dense ids from 0 in the order of the values; the distinct values are range-sorted, not gathered in one task."""
-    values = df.where(F.col(column).isNotNull()).select(column).distinct()
-    count = values.groupBy(F.substring(column, 1, 2).alias("_k")).agg(F.count("*").alias("_n"))
-    before = count.select("_k", F.coalesce(F.sum("_n").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    rank = F.row_number().over(Window.partitionBy("_k").orderBy(column))
-    return values.withColumn("_k", F.substring(column, 1, 2)).withColumn("_r", rank).join(before, "_k").select(column, (F.col("_b") + F.col("_r") - 1).alias("id"))
+    """Dense ids from 0 in the order of the values; the distinct values are cut into ranges, not gathered in one task."""
+    return range_index(df.where(F.col(column).isNotNull()).select(column).distinct(), [column], "id").select(column, "id")

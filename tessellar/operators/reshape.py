@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellar.session import materialise
+
 
 def by_state(energies: DataFrame, states: DataFrame, keys: Sequence[str] = ("sim_no", "sim_iter", "replica")) -> DataFrame:
     """Replica-indexed rows to state-indexed rows: each iteration's permutation inverted by one equi-join."""
@@ -25,6 +27,15 @@ def global_frames(frames: DataFrame, order: Sequence[str], bucket: str) -> DataF
     return frames.withColumn("_i", inside).join(before, bucket).withColumn("frame", F.col("_before") + F.col("_i") - 1).drop("_i", "_before")
 
 
+def range_index(rows: DataFrame, order: Sequence[str], name: str = "frame", parts: int = 64) -> DataFrame:
+    """As global_frames, where no column is a natural bucket: the rows are split into ranges of the order, written once to
+    the shared folder with their range's number, numbered inside each range and offset by the counts before it. The order
+    must be unique. A key that fills the table is no matter, as ranges are cut by the whole order.
+    """
+    placed = materialise(rows.repartitionByRange(parts, *order).withColumn("_k", F.spark_partition_id()), "ranges")
+    return global_frames(placed, order, "_k").withColumnRenamed("frame", name).drop("_k")
+
+
 def skip_leading(frames: DataFrame, iteration: str, skip: int) -> DataFrame:
     """Drops the first ``skip`` iterations and counts the rest from 0; the filter reaches the scan."""
     return frames.where(F.col(iteration) >= skip).withColumn(iteration, F.col(iteration) - skip)

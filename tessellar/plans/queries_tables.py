@@ -520,7 +520,7 @@ def agg25(spark: S, d: str) -> DataFrame:
 
 @query("win01_global_frame", f"WITH {BIND} SELECT system, repeat, frame AS sim_iter, row_number() OVER (ORDER BY system, repeat, frame) - 1 AS frame FROM bind")
 def win01(spark: S, d: str) -> DataFrame:
-    return rs.global_frames(binding(spark, d).select("system", "repeat", F.col("frame").alias("sim_iter")), ["repeat", "sim_iter"], "system")
+    return rs.range_index(binding(spark, d).select("system", "repeat", F.col("frame").alias("sim_iter")), ["system", "repeat", "sim_iter"])
 
 
 @query("win03_suffix_reset", f"WITH {MONTHS}, s AS (SELECT run, point, value > 140000 AS ok, lead(1) OVER (PARTITION BY run ORDER BY point) IS NULL AS last FROM m) SELECT run, point, NOT bool_or(NOT ok) OVER (PARTITION BY run ORDER BY point ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS steady FROM s WHERE NOT last")

@@ -30,6 +30,14 @@ def test_global_frames_in_order(spark):
     assert [r["frame"] for r in sorted(out, key=lambda r: (r["sim"], r["it"]))] == list(range(15))
 
 
+def test_range_index(spark):
+    values = [f"A:{random.Random(i).randrange(10**6):06}" for i in range(300)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v string")
+    out = {r["v"]: r["id"] for r in contacts.dictionary(df, "v").collect()}
+    assert out == {v: i for i, v in enumerate(sorted(set(values)))}
+    assert contacts.dictionary(df.where("false"), "v").collect() == []
+
+
 def test_rung_insertion(spark):
     ladder = spark.createDataFrame([(0, 0, 300.0), (0, 1, 310.0), (0, 2, 320.0)], "sim_no int, state int, temperature double")
     rates = spark.createDataFrame([(0, 1, 0.9), (0, 2, 0.1)], "sim_no int, state int, rate double")
