@@ -44,9 +44,14 @@ def average_linkage_order(rows: Sequence[Sequence[float]]) -> list[int]:
         return []
     if len(x) > 4000:
         raise ValueError("too many rows for a tree on the driver")
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    return linkage_leaves(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)))
+
+
+def linkage_leaves(distances: np.ndarray) -> list[int]:
+    """As average_linkage_order, from the distances."""
+    d = np.array(distances, float)
     np.fill_diagonal(d, np.inf)
-    groups: dict[int, list[int]] = {i: [i] for i in range(len(x))}
+    groups: dict[int, list[int]] = {i: [i] for i in range(len(d))}
     while len(groups) > 1:
         keys = list(groups)
         sub = d[np.ix_(keys, keys)]

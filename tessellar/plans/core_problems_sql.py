@@ -53,6 +53,10 @@ def _panel() -> list[tuple[int, str]]:
     return sorted((r["col_no"], r["system"]) for r in rows)
 
 
+def panel_names() -> list[str]:
+    return [s for _, s in _panel()]
+
+
 def _wide_sql() -> str:
     columns = ", ".join(f"max(CASE WHEN c.system = '{s}' THEN c.frequency END) AS \"{s}\"" for _, s in _panel())
     return f"WITH {CONTACT_CELLS} SELECT e.contact, {columns} FROM (SELECT DISTINCT contact FROM spelt) e LEFT JOIN cells c ON c.contact = e.contact GROUP BY e.contact"

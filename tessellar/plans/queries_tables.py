@@ -10,9 +10,10 @@ from tessellar.functions import scalars as sc
 from tessellar.operators import contacts as ct
 from tessellar.operators import relational as rel
 from tessellar.operators import reshape as rs
+from tessellar.operators.wide import MAX_ATTRIBUTES
 from tessellar.plans.catalog import query
-from tessellar.plans.core_problems import contact_values
-from tessellar.plans.core_problems_sql import CONTACT_CELLS
+from tessellar.plans.core_problems import contact_values, panel
+from tessellar.plans.core_problems_sql import CONTACT_CELLS, panel_names
 from tessellar.session import table
 
 S = SparkSession
@@ -453,6 +454,45 @@ def agg09(spark: S, d: str) -> DataFrame:
     return rel.top_k(out.select("contact", F.round(mean, 6).alias("mean")), [F.desc("mean"), F.asc("contact")], 40)
 
 
+# The three pivots above keep the four systems and the contacts of their SQL; those below take every system and contact.
+
+
+def pivot_all(spark: S, d: str, fill: float | None = None) -> DataFrame:
+    """One row per contact of any system: a column for each panel system, and the systems outside the panel, whose number
+    grows with the data, as two arrays in system order. Where no row supplies a panel cell it is ``fill``."""
+    names = [a.name for a in panel(spark, d)]
+    if len(names) > MAX_ATTRIBUTES:
+        raise ValueError(f"a panel of more than {MAX_ATTRIBUTES} systems")
+    held = cells(spark, d).groupBy("contact").agg(F.sort_array(F.collect_list(F.struct("system", F.round("frequency", 6).alias("frequency")))).alias("held"))
+    held = held.select("contact", F.map_from_entries("held").alias("m"), F.filter("held", lambda c: ~c["system"].isin(names)).alias("rest"))
+    columns = [F.coalesce(F.try_element_at("m", F.lit(s)), F.lit(fill).cast("double")).alias(s) for s in names]
+    return held.select("contact", *columns, F.col("rest.system").alias("other_systems"), F.col("rest.frequency").alias("other_values"))
+
+
+_PANEL = panel_names()
+_OTHERS = ", ".join(f"coalesce(list({x} ORDER BY system) FILTER (system NOT IN {(*_PANEL, '')}), []) AS {n}" for x, n in (("system", "other_systems"), ("round(frequency, 6)", "other_values")))
+_ALL_SQL = ", ".join("{l}max(CASE WHEN system = '%s' THEN round(frequency, 6) END){r} AS \"%s\"" % (s, s) for s in _PANEL)
+
+
+@query("agg07_pivot_sum_all", f"WITH {CONTACT_CELLS} SELECT contact, {_ALL_SQL.format(l='', r='')}, {_OTHERS} FROM cells GROUP BY 1")
+def agg07_all(spark: S, d: str) -> DataFrame:
+    return pivot_all(spark, d)
+
+
+@query("agg08_pivot_mean_filled_all", f"WITH {CONTACT_CELLS} SELECT contact, {_ALL_SQL.format(l='coalesce(', r=', 0)')}, {_OTHERS} FROM cells GROUP BY 1")
+def agg08_all(spark: S, d: str) -> DataFrame:
+    """A system outside the panel that isn't listed has 0 as well."""
+    return pivot_all(spark, d, 0.0)
+
+
+@query("agg09_row_mean_top_all", f"WITH {CONTACT_CELLS} SELECT contact, round(sum(frequency) / (SELECT count(DISTINCT system) FROM cells), 12) AS mean FROM cells GROUP BY 1 ORDER BY mean DESC, contact LIMIT 40")
+def agg09_all(spark: S, d: str) -> DataFrame:
+    """Mean over all systems, missing cells as 0: the sum over their number, so no column is needed."""
+    n = contact_values(spark, d).where("contact is not null and frequency is not null").agg(F.countDistinct("system").alias("n"))
+    sums = cells(spark, d).groupBy("contact").agg(F.sum("frequency").alias("s")).crossJoin(F.broadcast(n))
+    return rel.top_k(sums.select("contact", F.round(F.col("s") / F.col("n"), 12).alias("mean")), [F.desc("mean"), F.asc("contact")], 40)
+
+
 @query("agg10_energy_summary", f"WITH {BIND} SELECT system, count(*) AS n, round(avg(ie), 3) AS mean, round(stddev_pop(ie), 3) AS std FROM bind GROUP BY 1")
 def agg10(spark: S, d: str) -> DataFrame:
     return rel.population_summary(binding(spark, d), ["system"], "ie")

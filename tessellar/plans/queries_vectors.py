@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,13 +174,20 @@ def mat19(spark: S, d: str) -> DataFrame:
 
 @query("mat21_leaf_order")
 def mat21(spark: S, d: str) -> DataFrame:
-    """Order of at most 40 reported rows."""
-    from tessellar.plans.queries_tables import agg09, pivot_source, _SYSTEMS
-
-    wide = rel.wide_pivot(pivot_source(spark, d), "contact", "system", "frequency", _SYSTEMS, "avg", 0.0)
-    rows = wide.join(agg09(spark, d).select("contact"), "contact", "left_semi").orderBy("contact").collect()
-    order = sequence.average_linkage_order([[r[s] for s in _SYSTEMS] for r in rows])
-    return spark.createDataFrame([(p, rows[i]["contact"]) for p, i in enumerate(order)], "place int, contact string")
+    """Order of the at most 40 reported rows over all systems; the driver gets their 40 x 40 products only."""
+    from tessellar.plans.queries_tables import agg09_all, cells
+
+    top = cells(spark, d).join(F.broadcast(agg09_all(spark, d).select("contact")), "contact", "left_semi")
+    a = top.select("system", F.col("contact").alias("a"), F.col("frequency").alias("x"))
+    b = top.select("system", F.col("contact").alias("b"), F.col("frequency").alias("y"))
+    rows = a.join(b, "system").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("p")).collect()
+    names = sorted({r["a"] for r in rows})
+    at, g = {n: i for i, n in enumerate(names)}, np.zeros((len(names), len(names)))
+    for r in rows:
+        g[at[r["a"]], at[r["b"]]] = r["p"]
+    square = np.round(np.diag(g)[:, None] + np.diag(g)[None] - 2 * g, 12)
+    order = sequence.linkage_leaves(np.sqrt(np.maximum(square, 0)))
+    return spark.createDataFrame([(p, names[i]) for p, i in enumerate(order)], "place int, contact string")
 
 
 @query("mat22_kernel_density")
