@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellar.functions.labels import residue_of, trimmed, undirected_token
+from tessellar.operators.relational import band
 from tessellar.operators.reshape import range_index
 
 # Residue names of water.
 WATERS = ("HOH", "WAT", "TIP", "TIP3", "SOL", "H2O")
+MAX_FEATURES = 20_000
 
 
 def clean_log(log: DataFrame) -> DataFrame:
@@ -67,6 +69,23 @@ def multi_hot(tokens: DataFrame, last_frame: int, columns: Sequence[str], unit:
     return frames.join(held, unit, "left").select(unit, bits.alias("bits"))
 
 
+def multi_hot_band(tokens: DataFrame, lo_percent: int, hi_percent: int, unit: str = "frame", token: str = "token", most: int = MAX_FEATURES) -> DataFrame:
+    """Frames 0..last with a 0/1 entry for each token that the band keeps, in token order; frames without such tokens have zeros.
+
+    Tokens become indices into the band's dictionary, whose size is checked. The last frame is the last with any token.
+    """
+    ids = dictionary(band(tokens, token, unit, lo_percent, hi_percent), token).cache()
+    n = ids.count()
+    if n > most:
+        raise ValueError(f"{n} tokens in the band; at most {most} become columns")
+    last = tokens.agg(F.max(unit)).first()[0]
+    frames = tokens.sparkSession.range(0 if last is None else last + 1).select(F.col("id").cast("int").alias(unit))
+    held = tokens.join(F.broadcast(ids), token).groupBy(unit).agg(F.collect_set("id").alias("_ids"))
+    places = F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")
+    bits = F.transform(places, lambda i: F.coalesce(F.array_contains("_ids", i.cast("long")), F.lit(False)).cast("int"))
+    return frames.join(held, unit, "left").select(unit, bits.alias("bits"))
+
+
 def set_distances(tokens: DataFrame, queries: DataFrame, unit: str, token: str, features: int | None = None) -> DataFrame:
     """Distances of a stated query set to every unit that shares a token: n_shared, jaccard, hamming (over ``features``).
 

@@ -417,6 +417,15 @@ def mat29(spark: S, d: str) -> DataFrame:
     return ct.multi_hot(t, last, columns)
 
 
+_BAND = "band AS (SELECT token FROM tok GROUP BY 1 HAVING count(*) >= greatest(1, (n.n + 99) // 100) AND count(*) <= 95 * n.n // 100)".replace("n.n", "(SELECT count(DISTINCT frame) FROM tok)")
+
+
+@query("mat29_multi_hot_all", f"WITH {LOG}, {_BAND}, f AS (SELECT unnest(range((SELECT max(frame) + 1 FROM tok))) AS frame), g AS (SELECT f.frame, b.token FROM f CROSS JOIN band b) SELECT g.frame::INT AS frame, list((t.token IS NOT NULL)::INT ORDER BY g.token) AS bits FROM g LEFT JOIN tok t ON t.frame = g.frame AND t.token = g.token GROUP BY 1")
+def mat29_all(spark: S, d: str) -> DataFrame:
+    """Every token of the 1-95 % band is a column; mat29_multi_hot keeps the 12 columns of its SQL."""
+    return ct.multi_hot_band(tokens(spark, d), 1, 95)
+
+
 @query("mat01_state_weights")
 def mat01(spark: S, d: str) -> DataFrame:
     """Five states of different inverse temperature over all events."""

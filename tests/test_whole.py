@@ -1,12 +1,11 @@
 """Queries that take all of their input: what a cut would lose is in the result."""
 
 import duckdb
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import compare
-from tessellar.operators import sequence
+from tessellar.operators import contacts, sequence
 from tessellar.plans import registry
 from tessellar.plans.core_problems_sql import CONTACT_CELLS
 
@@ -32,3 +31,13 @@ def test_pivots_take_every_system(spark, con):
         n = df.agg(F.count("*"), F.sum(F.size("other_systems"))).first()
         panel = cells[cells.system.isin(df.columns)]
         assert n[0] == cells.contact.nunique() and n[1] == len(cells) - len(panel)
+
+
+def test_multi_hot_has_every_token_of_the_band(spark):
+    held = {0: [f"t{k:02d}" for k in range(30)] + ["all"], 1: ["t29", "all"], 3: ["all"], 4: ["all", "t00"]}
+    t = spark.createDataFrame([(f, x) for f, xs in held.items() for x in xs], "frame int, token string")
+    out = {r["frame"]: r["bits"] for r in contacts.multi_hot_band(t, 1, 95).collect()}
+    columns = [f"t{k:02d}" for k in range(30)]  # without the one that all frames hold
+    assert out == {f: [int(c in held.get(f, [])) for c in columns] for f in range(5)}
+    with pytest.raises(ValueError, match="30 tokens"):
+        contacts.multi_hot_band(t, 1, 95, most=29)
