@@ -110,10 +110,52 @@ def statistical_inefficiency(x: np.ndarray, least: int = 3) -> float:
     return max(g, 1.0)
 
 
+def inefficiencies(x: np.ndarray, least: int = 3) -> np.ndarray:
+    """statistical_inefficiency of x[t:] for every start t but the last, up to rounding.
+
+    Each lag is one pass over all starts at once (sums from the end), so the work is length times the most lags that any
+    start needs, not length times that for every start.
+    """
+    n = len(x)
+    y = x - x.mean()
+
+    def from_end(v: np.ndarray) -> np.ndarray:
+        return np.cumsum(v[::-1])[::-1]
+
+    size = np.arange(n, 0, -1)
+    total = from_end(y)
+    mean = total / size
+    variance = from_end(y * y) / size - mean * mean
+    changes = np.flatnonzero(x[1:] != x[:-1])
+    flat = np.arange(n) > (changes[-1] if len(changes) else -1)  # x[t:] is one value
+    going, g = ~flat & (variance > 0), np.ones(n)
+    totals = np.append(total, 0.0)
+    for lag in range(1, n - 1):
+        m = n - lag - 1  # starts with at least two pairs of this lag
+        live = going[:m]
+        if not live.any():
+            break
+        pairs = from_end(y[: n - lag] * y[lag:])[:m]
+        first, last = totals[:m] - totals[n - lag], totals[lag : lag + m]
+        c = (pairs - mean[:m] * (first + last) + (size[:m] - lag) * mean[:m] ** 2) / ((size[:m] - lag) * np.where(live, variance[:m], 1.0))
+        if lag > least:
+            live = live & (c > 0)
+            going[:m] = live
+        g[:m] += np.where(live, 2 * c * (1 - lag / size[:m]), 0.0)
+    return np.maximum(g, 1.0)[: max(n - 1, 1)]
+
+
 def settled(x: np.ndarray, step: int = 1) -> tuple[int, float, float]:
-    """Start of the part with the most independent samples, its inefficiency, and their number."""
+    """Start of the part with the most independent samples, its inefficiency, and their number.
+
+    All starts are weighed together; those within rounding of the best are measured one by one, the first best is taken.
+    """
     best = (0, 1.0, 1.0)
-    for t in range(0, max(len(x) - 1, 1), step):
+    if not len(x):
+        return best
+    gained = (len(x) + 1 - np.arange(max(len(x) - 1, 1))) / inefficiencies(x)
+    tried = np.arange(0, len(gained), step)
+    for t in tried[gained[tried] >= gained[tried].max() * (1 - 1e-6)].tolist():
         part = x[t:]
         g = statistical_inefficiency(part)
         if (len(part) + 1) / g > best[2]:
@@ -121,16 +163,16 @@ def settled(x: np.ndarray, step: int = 1) -> tuple[int, float, float]:
     return best
 
 
-def equilibration(series: DataFrame, keys: Sequence[str], order: str, value: str, points: int = 200) -> DataFrame:
-    """t0, g and n_independent of every series; start points are tried at about ``points`` places. Null and NaN are skipped.
+def equilibration(series: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """t0, g and n_independent of every series; every start is tried. Null and NaN are skipped.
 
-    One series is one group, so it must fit a task: a few million values.
+    One series is one group, so it must fit a task; the work is its length times the lags until the correlation is gone.
     """
     schema = series.select(*keys).schema
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(order)
-        t, g, n = settled(f[value].to_numpy(float), max(1, len(f) // points))
+        t, g, n = settled(f[value].to_numpy(float))
         return pd.DataFrame([[*(f[k].iloc[0] for k in keys), t, g, n]], columns=[*keys, "t0", "g", "n_independent"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)

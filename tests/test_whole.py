@@ -1,11 +1,12 @@
 """Queries that take all of their input: what a cut would lose is in the result."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import compare
-from tessellar.operators import contacts, sequence
+from tessellar.operators import contacts, reweight, sequence
 from tessellar.plans import registry
 from tessellar.plans.core_problems_sql import CONTACT_CELLS
 
@@ -41,3 +42,26 @@ def test_multi_hot_has_every_token_of_the_band(spark):
     assert out == {f: [int(c in held.get(f, [])) for c in columns] for f in range(5)}
     with pytest.raises(ValueError, match="30 tokens"):
         contacts.multi_hot_band(t, 1, 95, most=29)
+
+
+def plain_settled(x):
+    """Every start, one by one."""
+    best = (0, 1.0, 1.0)
+    for t in range(max(len(x) - 1, 1)):
+        g = reweight.statistical_inefficiency(x[t:])
+        if (len(x) - t + 1) / g > best[2]:
+            best = (t, g, (len(x) - t + 1) / g)
+    return best
+
+
+def test_settling_tries_every_start_of_long_series(spark):
+    rng, series = np.random.default_rng(8), []
+    for k in range(4):
+        x, noise = np.zeros(2650), rng.normal(size=2650)
+        for i in range(1, len(x)):
+            x[i] = 0.9 * x[i - 1] + noise[i]
+        series.append(x + 20 * np.exp(-np.arange(len(x)) / (40 + 60 * k)))
+    series += [np.r_[rng.normal(size=50) + 5, np.ones(400)], np.ones(7), np.array([1.0, 2.0]), np.arange(60.0)]
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in enumerate(series) for i, v in enumerate(x)], "s int, f int, v double")
+    out = {r["s"]: (r["t0"], r["g"], r["n_independent"]) for r in reweight.equilibration(df, ["s"], "f", "v").collect()}
+    assert out == {k: plain_settled(x) for k, x in enumerate(series)}
