@@ -84,14 +84,40 @@ def mat10(spark: S, d: str) -> DataFrame:
     return ct.set_distances(t, q, "frame", "token").select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
+# mat08, mat12 and mat06 keep the atoms and quartets of their SQL; with _all every atom of the vector counts.
+ATOMS = 21  # the last of the 64 components belongs to no atom
+
+
+def atom_pairs(e: DataFrame) -> DataFrame:
+    return vectors.pair_features(e, "vec_id", "embedding", ATOMS)
+
+
+def near_pairs(e: DataFrame) -> DataFrame:
+    """Pairs that are close in the first frame, as in the reference."""
+    first = e.orderBy("vec_id").select("embedding").first()[0][: 3 * ATOMS]
+    return vectors.pair_features(e, "vec_id", "embedding", ATOMS, vectors.close_pairs(first, 0.25))
+
+
+@query("mat08_pair_distance_features_all", f"WITH {VEC}, {_FEATURES} SELECT a.vec_id AS i, b.vec_id AS j, round(sqrt(list_sum(list_transform(list_zip(a.f, b.f), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 210), 6) AS d FROM f a, f b WHERE a.vec_id % 100 = 0".replace("range(8)", "range(21)"))
+def mat08_all(spark: S, d: str) -> DataFrame:
+    f = atom_pairs(embeddings(spark, d))
+    return _ij(vectors.blocked_distances(f, queried(f), "vec_id", "features"))
+
+
 @query("mat11_close_pair_features")
 def mat11(spark: S, d: str) -> DataFrame:
-    e = embeddings(spark, d)
-    first = e.orderBy("vec_id").select("embedding").first()[0][:24]
-    f = vectors.pair_features(e, "vec_id", "embedding", 8, vectors.close_pairs(first, 0.25))
+    f = near_pairs(embeddings(spark, d))
     return _ij(vectors.blocked_distances(f, queried(f), "vec_id", "features"))
 
 
+@query("mat12_weighted_sum_all")
+def mat12_all(spark: S, d: str) -> DataFrame:
+    """Torsions, all pairs and close pairs, a third each."""
+    e, a = embeddings(spark, d), angles(spark, d)
+    parts = [(a, "a", vectors.periodic_rms(360.0)), (atom_pairs(e), "features", vectors.rms), (near_pairs(e), "features", vectors.rms)]
+    return _ij(vectors.weighted_sum([(vectors.blocked_distances(f, queried(f), "vec_id", c, metric), 0.333) for f, c, metric in parts]))
+
+
 @query("mat12_weighted_sum", f"""WITH {VEC}, {_FEATURES}, a AS (SELECT q.vec_id AS i, v.vec_id AS j, sqrt(list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 64) AS d FROM q, v),
  b AS (SELECT x.vec_id AS i, y.vec_id AS j, sqrt(list_sum(list_transform(list_zip(x.f, y.f), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 28) AS d FROM f x, f y WHERE x.vec_id % 100 = 0)
  SELECT i, j, round(0.33 * a.d + 0.67 * b.d, 6) AS d FROM a JOIN b USING (i, j)""")
@@ -105,7 +131,7 @@ def mat12(spark: S, d: str) -> DataFrame:
 
 @query("mat30_matrix_bundle")
 def mat30(spark: S, d: str) -> DataFrame:
-    parts = {"torsion": mat07(spark, d), "pairs": mat08(spark, d), "vectors": mat05(spark, d)}
+    parts = {"torsion": mat07(spark, d), "pairs": mat08_all(spark, d), "vectors": mat05(spark, d)}
     tagged = [df.select(F.lit(name).alias("matrix"), "i", "j", "d") for name, df in parts.items()]
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
@@ -398,6 +424,18 @@ def mat06(spark: S, d: str) -> DataFrame:
     return e.select("vec_id", F.explode(F.array(*out)).alias("t")).select("vec_id", "t.torsion", "t.angle")
 
 
+_QUARTETS = {f"{('phi', 'psi', 'chi1', 'chi2')[a % 4]}_{a}": a for a in range(ATOMS - 3)}
+_TORSION = "CASE q % 4 WHEN 0 THEN 'phi_' WHEN 1 THEN 'psi_' WHEN 2 THEN 'chi1_' ELSE 'chi2_' END || q AS torsion"
+
+
+@query("mat06_torsions_all", f"WITH {VEC}, w AS (SELECT vec_id, {_TORSION}, e[3 * q + 1:3 * q + 12] AS e FROM v, range(18) r(q)), b AS ({_X.replace('vec_id', 'vec_id, torsion').replace('FROM v', 'FROM w')}), n AS (SELECT *, {_N} FROM b) SELECT vec_id, torsion, round(degrees(atan2(((n01 * n12 - n02 * n11) * b10 + (n02 * n10 - n00 * n12) * b11 + (n00 * n11 - n01 * n10) * b12) / sqrt(b10 * b10 + b11 * b11 + b12 * b12), n00 * n10 + n01 * n11 + n02 * n12)), 5) AS angle FROM n")
+def mat06_all(spark: S, d: str) -> DataFrame:
+    """Every four successive atoms of the vector, named in turn phi, psi, chi1, chi2 and by their first atom."""
+    e = embeddings(spark, d).withColumn("v", F.col("embedding").cast("array<double>"))
+    out = [F.struct(F.lit(n).alias("torsion"), F.round(vectors.dihedral([F.col("v")[3 * a + k] for k in range(12)]), 5).alias("angle")) for n, a in _QUARTETS.items()]
+    return e.select("vec_id", F.explode(F.array(*out)).alias("t")).select("vec_id", "t.torsion", "t.angle")
+
+
 @query("mat27_pose_rmsd", f"WITH {VEC}, r AS (SELECT e FROM v ORDER BY vec_id LIMIT 1), x AS (SELECT vec_id, unnest(range(21)) AS atom, v.e AS e, r.e AS f FROM v, r) SELECT vec_id AS pose, round(sqrt(avg(power(e[3 * atom + 1] - f[3 * atom + 1], 2) + power(e[3 * atom + 2] - f[3 * atom + 2], 2) + power(e[3 * atom + 3] - f[3 * atom + 3], 2))), 6) AS rmsd FROM x GROUP BY 1")
 def mat27(spark: S, d: str) -> DataFrame:
     e = embeddings(spark, d).select(F.col("vec_id").alias("pose"), F.slice("embedding", 1, 63).alias("e"))

@@ -65,3 +65,21 @@ def test_settling_tries_every_start_of_long_series(spark):
     df = spark.createDataFrame([(k, i, float(v)) for k, x in enumerate(series) for i, v in enumerate(x)], "s int, f int, v double")
     out = {r["s"]: (r["t0"], r["g"], r["n_independent"]) for r in reweight.equilibration(df, ["s"], "f", "v").collect()}
     assert out == {k: plain_settled(x) for k, x in enumerate(series)}
+
+
+def test_every_atom_counts(spark, con):
+    v = con.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    e = np.array([x for _, x in v])
+    xyz = e[:, :63].reshape(len(e), 21, 3)
+    a, b = np.triu_indices(21, 1)
+    pairs = np.linalg.norm(xyz[:, a] - xyz[:, b], axis=2)
+    near = pairs[:, pairs[0] <= 0.25]
+    turn = np.abs(e[:, None] - e[None]) * 360 % 360
+    parts = [np.sqrt((np.minimum(turn, 360 - turn) ** 2).mean(axis=2))] + [np.sqrt(((f[:, None] - f[None]) ** 2).mean(axis=2)) for f in (pairs, near)]
+    at = {i: k for k, (i, _) in enumerate(v)}
+    for name, want in (("mat11_close_pair_features", parts[2]), ("mat12_weighted_sum_all", 0.333 * sum(parts))):
+        rows = QUERIES[name](spark, compare.SF).collect()
+        assert len(rows) == len(e) * sum(i % 100 == 0 for i in at)
+        assert np.allclose([r["d"] for r in rows], [want[at[r["i"]], at[r["j"]]] for r in rows], atol=2e-5)
+    bundle = QUERIES["mat30_matrix_bundle"](spark, compare.SF).where("matrix = 'pairs'").collect()
+    assert np.allclose([r["d"] for r in bundle], [parts[1][at[r["i"]], at[r["j"]]] for r in bundle], atol=2e-6)
