@@ -101,6 +101,21 @@ def set_distances(tokens: DataFrame, queries: DataFrame, unit: str, token: str,
     return out.withColumn("hamming", (union - F.col("n_shared")) / F.lit(features)) if features else out
 
 
+def all_set_distances(tokens: DataFrame, queries: DataFrame, units: DataFrame, unit: str, token: str) -> DataFrame:
+    """Distances of a stated query set to every unit, also to those that share no token or have none: a, b, n_shared, jaccard, hamming.
+
+    hamming is over the distinct tokens, counted. Two units without tokens have jaccard 0.
+    """
+    shared = set_distances(tokens, queries, unit, token).select("a", "b", "n_shared")
+    sized = units.select(unit).join(tokens.groupBy(unit).agg(F.count("*").alias("n")), unit, "left").na.fill(0, ["n"])
+    a = sized.join(queries, unit, "left_semi").select(F.col(unit).alias("a"), F.col("n").alias("n_a"))
+    pairs = sized.select(F.col(unit).alias("b"), F.col("n").alias("n_b")).crossJoin(a).join(shared, ["a", "b"], "left").na.fill(0, ["n_shared"])
+    union = F.col("n_a") + F.col("n_b") - F.col("n_shared")
+    jaccard = F.when(union > 0, 1 - F.col("n_shared") / union).otherwise(0.0)
+    features = F.broadcast(tokens.agg(F.countDistinct(token).alias("_f")))
+    return pairs.crossJoin(features).select("a", "b", "n_shared", jaccard.alias("jaccard"), F.try_divide(union - F.col("n_shared"), F.col("_f")).alias("hamming"))
+
+
 def dictionary(df: DataFrame, column: str) -> DataFrame:
     """Dense ids from 0 in the order of the values; the distinct values are cut into ranges, not gathered in one task."""
     return range_index(df.where(F.col(column).isNotNull()).select(column).distinct(), [column], "id").select(column, "id")

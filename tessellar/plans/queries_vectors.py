@@ -84,6 +84,32 @@ def mat10(spark: S, d: str) -> DataFrame:
     return ct.set_distances(t, q, "frame", "token").select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
+_GRID = """s AS (SELECT fr.frame, count(token) AS n FROM (SELECT unnest(range((SELECT max(frame) + 1 FROM tok)))::INT AS frame) fr LEFT JOIN tok USING (frame) GROUP BY 1),
+ x AS (SELECT a.frame AS a, b.frame AS b, count(*) AS k FROM tok a JOIN tok b USING (token) WHERE a.frame % 100 = 0 GROUP BY ALL),
+ g AS (SELECT p.frame AS a, q.frame AS b, coalesce(x.k, 0) AS k, p.n + q.n AS n FROM s p CROSS JOIN s q LEFT JOIN x ON x.a = p.frame AND x.b = q.frame WHERE p.frame % 100 = 0)"""
+
+
+def frame_distances(spark: S, d: str) -> DataFrame:
+    """Every hundredth frame against all from 0 to the last, with or without tokens."""
+    t = tokens(spark, d)
+    units = spark.range(t.agg(F.max("frame")).first()[0] + 1).select(F.col("id").cast("int").alias("frame"))
+    return ct.all_set_distances(t, units.where("frame % 100 = 0"), units, "frame", "token")
+
+
+@query("mat09_hamming_all", f"WITH {LOG}, {_GRID} SELECT a, b, k AS n_shared, round((n - 2 * k) / (SELECT count(DISTINCT token) FROM tok), 9) AS hamming FROM g")
+def mat09_all(spark: S, d: str) -> DataFrame:
+    """mat09_hamming has the pairs that share a token, over a fixed 1,000 features, as its SQL."""
+    return frame_distances(spark, d).select("a", "b", "n_shared", F.round("hamming", 9).alias("hamming"))
+
+
+@query("mat10_jaccard_all", f"WITH {LOG}, {_GRID}, j AS (SELECT a, b, CASE WHEN n > k THEN 1 - k / (n - k) ELSE 0 END AS j FROM g) SELECT a, b, round(coalesce(j / nullif(max(j) OVER (), 0), 0), 9) AS jaccard FROM j")
+def mat10_all(spark: S, d: str) -> DataFrame:
+    """Divided by the maximum of these pairs; all zeros if that is 0."""
+    pairs = frame_distances(spark, d)
+    top = F.broadcast(pairs.agg(F.max("jaccard").alias("_m")))
+    return pairs.crossJoin(top).select("a", "b", F.round(F.coalesce(F.try_divide("jaccard", "_m"), F.lit(0.0)), 9).alias("jaccard"))
+
+
 # mat08, mat12 and mat06 keep the atoms and quartets of their SQL; with _all every atom of the vector counts.
 ATOMS = 21  # the last of the 64 components belongs to no atom
 

@@ -83,3 +83,14 @@ def test_every_atom_counts(spark, con):
         assert np.allclose([r["d"] for r in rows], [want[at[r["i"]], at[r["j"]]] for r in rows], atol=2e-5)
     bundle = QUERIES["mat30_matrix_bundle"](spark, compare.SF).where("matrix = 'pairs'").collect()
     assert np.allclose([r["d"] for r in bundle], [parts[1][at[r["i"]], at[r["j"]]] for r in bundle], atol=2e-6)
+
+
+def test_pairs_without_a_shared_token(spark):
+    sets = {0: "ab", 100: "", 7: "bc", 8: "x", 9: ""}
+    t = spark.createDataFrame([(k, c) for k, s in sets.items() for c in s], "u int, t string")
+    units = spark.createDataFrame([(k,) for k in sets], "u int")
+    out = {(r["a"], r["b"]): r for r in contacts.all_set_distances(t, units.where("u % 100 = 0"), units, "u", "t").collect()}
+    assert set(out) == {(a, b) for a in (0, 100) for b in sets}
+    for (a, b), r in out.items():
+        x, y = set(sets[a]), set(sets[b])
+        assert r["jaccard"] == pytest.approx(1 - len(x & y) / len(x | y) if x | y else 0) and r["hamming"] == pytest.approx(len(x ^ y) / 4)
