@@ -245,7 +245,7 @@ def mat21(spark: S, d: str) -> DataFrame:
 @query("mat22_kernel_density")
 def mat22(spark: S, d: str) -> DataFrame:
     p = table(spark, d, "orders").select("o_totalprice", F.dayofyear("o_orderdate").cast("double").alias("day"))
-    return stats.kernel_density(p, "o_totalprice", "day", 40)
+    return stats.kernel_density(p, "o_totalprice", "day")
 
 
 REFERENCE = "MPTRSAGWQVLNDKFEHICYMPRSTAGW"

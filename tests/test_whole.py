@@ -94,3 +94,7 @@ def test_pairs_without_a_shared_token(spark):
     for (a, b), r in out.items():
         x, y = set(sets[a]), set(sets[b])
         assert r["jaccard"] == pytest.approx(1 - len(x & y) / len(x | y) if x | y else 0) and r["hamming"] == pytest.approx(len(x ^ y) / 4)
+
+
+def test_density_has_the_whole_grid(spark):
+    assert QUERIES["mat22_kernel_density"](spark, compare.SF).count() == 100 * 100
