@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from tessellar.llm import leakage, packing, pii, terms, topn
 from tessellar.functions.labels import trimmed
 from tessellar.operators import wide
-from tessellar.plans.core_problems import contact_values
+from tessellar.plans.core_problems import contact_values, few
 from tessellar.plans.core_problems_sql import CONTACT_CELLS
 from tessellar.session import table
 
 TOP = 20
+MAX_CONTAINERS = 100
 
 
 def p2_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each capacity on its own, and all of them together as ``mixed``."""
-    kinds = {r[0]: [r[1]] for r in table(spark, sf_dir, "containers").orderBy("capacity_tokens").take(100)}
+    kinds = {r[0]: [r[1]] for r in few(table(spark, sf_dir, "containers").orderBy("capacity_tokens"), MAX_CONTAINERS, "containers")}
     schemes = kinds | {"mixed": [c for cs in kinds.values() for c in cs]}
     return packing.pack_documents(table(spark, sf_dir, "documents"), schemes)
 

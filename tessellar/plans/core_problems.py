@@ -14,6 +14,17 @@ from tessellar.session import table
 FREQUENCY_KEY = ("frequency", "loaded_at", "row_id")
 
 
+MAX_TYPES = 10_000
+
+
+def few(df: DataFrame, most: int, what: str) -> list:
+    """All rows of a small table; more than ``most`` is an error, not a cut."""
+    rows = df.take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
+
+
 def contact_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """all_contacts in canonical spelling; frequency is null where it is unusable."""
     f = F.col("frequency")
@@ -49,7 +60,7 @@ def p1_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = [r[0] for r in table(spark, sf_dir, "interaction_types").select("itype").take(10_000)]
+    known = [r[0] for r in few(table(spark, sf_dir, "interaction_types").select("itype"), MAX_TYPES, "interaction types")]
     return badrows.load_lines(table(spark, sf_dir, "a3_contacts_raw"), known)
 
 

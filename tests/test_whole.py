@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import compare
 from tessellar.operators import contacts, reweight, sequence
-from tessellar.plans import registry
+from tessellar.llm import queries as llm_queries
+from tessellar.plans import core_problems, registry
 from tessellar.plans.core_problems_sql import CONTACT_CELLS
 
 QUERIES = registry.queries()
@@ -98,3 +99,11 @@ def test_pairs_without_a_shared_token(spark):
 
 def test_density_has_the_whole_grid(spark):
     assert QUERIES["mat22_kernel_density"](spark, compare.SF).count() == 100 * 100
+
+
+def test_more_types_or_containers_than_the_bound_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(core_problems, "MAX_TYPES", 15)
+    monkeypatch.setattr(llm_queries, "MAX_CONTAINERS", 2)
+    for run, what in ((core_problems.p3_found, "interaction types"), (core_problems.p3_rows, "interaction types"), (llm_queries.p6_packed, "containers")):
+        with pytest.raises(ValueError, match=what):
+            run(spark, compare.SF)
