@@ -488,7 +488,7 @@ def agg08_all(spark: S, d: str) -> DataFrame:
 @query("agg09_row_mean_top_all", f"WITH {CONTACT_CELLS} SELECT contact, round(sum(frequency) / (SELECT count(DISTINCT system) FROM cells), 12) AS mean FROM cells GROUP BY 1 ORDER BY mean DESC, contact LIMIT 40")
 def agg09_all(spark: S, d: str) -> DataFrame:
     """Mean over all systems, missing cells as 0: the sum over their number, so no column is needed."""
-    n = contact_values(spark, d).where("contact is not null and frequency is not null").agg(F.countDistinct("system").alias("n"))
+    n = cells(spark, d).agg(F.countDistinct("system").alias("n"))
     sums = cells(spark, d).groupBy("contact").agg(F.sum("frequency").alias("s")).crossJoin(F.broadcast(n))
     return rel.top_k(sums.select("contact", F.round(F.col("s") / F.col("n"), 12).alias("mean")), [F.desc("mean"), F.asc("contact")], 40)
 
