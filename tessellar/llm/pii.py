@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import os
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tessellar.llm import pii_table
+from tessellar.session import shared_dir
 
 KINDS = ("person", "email", "phone", "address", "id_number")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -25,12 +31,56 @@ _SHOUTED_AFTER = re.compile(r"\s+[A-Z]{2,}\b")
 _TITLED = re.compile(rf"\b(?:{'|'.join([*pii_table.TITLES, 'm', 'dra'])})\.?\s*\Z", re.I)
 
 # Words that announce what follows.
-PHONE_WORDS = frozenset("tel tél telefon telefonisch phone call ring fax appeler llamar erreichbar anrufen mobil number drop x ext extension durchwahl poste".split())
-ID_WORDS = frozenset("ssn passport passeport pasaporte tax id nino ni national dni nie nif steuer-id steuernummer ausweisnr personalausweis nr n n° no sécurité sociale social security file identité identity licence card".split())
-UNIT_WORDS = frozenset("apt flat suite unit bajo bis ter p.o po box postfach bp apartado".split())
+PHONE_WORDS = frozenset("tel tél telefon telefonisch phone call ring fax appeler appelez llamar llámame erreichbar anrufen mobil mobile cell handy portable móvil teléfono tfno téléphone whatsapp dial text pager hotline number nummer numéro número drop x ext extension durchwahl poste".split())
+ID_WORDS = frozenset("ssn passport passeport pasaporte tax id nino ni tin national dni nie nif identifikationsnummer steuer-id steuernummer ausweisnr personalausweis reisepass nr n n° no sécurité sociale social security seguridad file identité identity licence license card carte card insurance permit permis cédula carné".split())
+# Those of them that announce across a few words, and how compounds of them begin.
+PHONE_CUES = frozenset("tel tél telefon phone call ring fax mobile mobil cell handy portable móvil teléfono tfno téléphone whatsapp dial appelez appeler llamar llámame ruf erreichbar joignable hotline pager".split())
+ID_CUES = frozenset("ssn passport passeport pasaporte tax nino ni tin dni nie nif social sociale security sécurité seguridad insurance identity identité licence license permis permit cédula carné fiscal taxpayer".split())
+ID_STEMS = ("steuer", "ausweis", "personalausweis", "reisepass", "passnummer", "sozialversicherung", "führerschein")
+UNIT_WORDS = frozenset("apt flat suite unit apartment bajo bis ter p.o po box postfach bp apartado".split())
+ORG_WORDS = frozenset("university universität université universidad institute institut instituto college hospital museum library bank airport foundation society press group company agency committee laboratory school ministry station stadium theatre council church hotel academy centre center gmbh ltd inc sons hochschule".split())
+METHOD_WORDS = frozenset("method theorem distribution thermostat barostat integrator equation algorithm potential test transform coupling scheme ensemble constant matrix index coefficient procedure model correction constraint plot radius limit rule filter sum effect criterion approximation kernel network chain field statistic expansion series function window sampler bound number scattering parameters chains verfahren et al".split())
 RESIDUES = frozenset("ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL LIG HOH".split())
 _GIVEN = frozenset(g.lower() for g in pii_table.GIVEN)
 _PUNCT = {c: f"p{c}" for c in ".,;:@()[]<>\"'-/#`=?+|{}*"}
+LEXICONS = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+REACH = 12  # words across which a cue announces
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Which words are ordinary (the table's own, and those that a public tokenizer holds in lower case first) and which
+    are held with a capital first."""
+
+    ordinary: frozenset[str]
+    proper: frozenset[str]
+
+
+def lexicon(vocabularies: Sequence[str] = LEXICONS) -> Lexicon:
+    """From the ranks of whole words in public tokenizers' vocabularies; a file that isn't there adds nothing."""
+    ordinary, proper = set(pii_table.table_words()), set()
+    for path in vocabularies:
+        try:
+            with open(path, "rb") as f:
+                entries = [bytes.split(line) for line in f]
+        except OSError:
+            continue
+        ranks: dict[str, int] = {}
+        for code, rank in entries:
+            try:
+                word = base64.b64decode(code).decode()
+            except UnicodeDecodeError:
+                continue
+            if word[:1] == " " and len(word) > 2 and word[1:].isalpha():
+                ranks[word[1:]] = int(rank)
+        for word, rank in ranks.items():
+            low = word.lower()
+            first = min(ranks.get(low.title(), 1 << 30), ranks.get(low.upper(), 1 << 30))
+            if word == low and rank < first:
+                ordinary.add(low)
+            elif word == low.title() and rank < ranks.get(low, 1 << 30):
+                proper.add(low)
+    return Lexicon(frozenset(ordinary), frozenset(proper - ordinary))
 
 
 def shape(token: str) -> str:
@@ -40,8 +90,8 @@ def shape(token: str) -> str:
     return re.sub(r"A{2,}", "AA", out)[:24]
 
 
-def token_class(token: str, vocabulary: frozenset[str]) -> str:
-    """A coarse class for pairs and triples of neighbours."""
+def token_class(token: str, words: Lexicon, listed: bool = True) -> str:
+    """A coarse class for pairs and triples of neighbours; without ``listed`` the list of given names isn't looked at."""
     low = token.lower()
     if token == "\n":
         return "nl"
@@ -54,7 +104,7 @@ def token_class(token: str, vocabulary: frozenset[str]) -> str:
         return "mail" if _EMAIL.fullmatch(token) else "user@host"
     if low in pii_table.TITLES:
         return "title"
-    if low in _GIVEN:
+    if listed and low in _GIVEN:
         return "GIVEN" if token.isupper() else "given" if token[0].isupper() else "w"
     if low in ("at", "dot"):
         return low
@@ -68,8 +118,12 @@ def token_class(token: str, vocabulary: frozenset[str]) -> str:
         return "unit"
     if low in PHONE_WORDS:
         return "phone:"
-    if low in ID_WORDS:
+    if low in ID_WORDS or low.startswith(ID_STEMS):
         return "id:"
+    if low in ORG_WORDS:
+        return "org"
+    if low in METHOD_WORDS:
+        return "method"
     if any(c.isdigit() for c in token):
         if not any(c.isalpha() for c in token):
             return "num" + re.sub(r"[^.+\-]", "", token)[:3] if "." in token and token.count(".") == 1 else "sep" + str(min(sum(c.isdigit() for c in token), 12))
@@ -78,51 +132,74 @@ def token_class(token: str, vocabulary: frozenset[str]) -> str:
         return "residue"
     joined = any(c in "._+-" for c in token)
     if token == low:
-        return "low.joined" if joined else "w" if low in vocabulary else "low"
+        return "low.joined" if joined else "w" if low in words.ordinary else "low"
     if len(token) == 1:
         return "A"
     if token.isupper():
-        return "AA.known" if low in vocabulary else "AA.joined" if joined else "AA"
-    return "Cap.known" if low in vocabulary else "Cap.joined" if joined else "Cap"
+        return "AA.known" if low in words.ordinary else "AA.joined" if joined else "AA"
+    return "Cap.known" if low in words.ordinary else "Cap.joined" if joined else "Cap.proper" if low in words.proper else "Cap"
 
 
-def token_features(token: str, vocabulary: frozenset[str]) -> tuple[str, tuple[str, ...]]:
-    low, c = token.lower(), token_class(token, vocabulary)
+def cue(token: str) -> int:
+    """1 for a word that announces an identity number, 2 for a phone number, else 0."""
+    low = token.lower()
+    return 1 if low in ID_CUES or low.startswith(ID_STEMS) else 2 if low in PHONE_CUES else 0
+
+
+def announced(cues: np.ndarray, breaks: np.ndarray) -> np.ndarray:
+    """0..15 for each token: how far back, in four steps up to REACH words, the last cue of either kind stands in its text."""
+    at = np.arange(len(cues))
+    start = np.maximum.accumulate(np.where(breaks, at, -1))
+    out = np.zeros(len(cues), np.int64)
+    for kind, weight in ((1, 4), (2, 1)):
+        last = np.maximum.accumulate(np.where(cues == kind, at, -1))
+        gap = np.where((last > start) & (last < at), at - last, REACH + 1)
+        out += weight * np.where(gap <= 3, 1, np.where(gap <= 7, 2, np.where(gap <= REACH, 3, 0)))
+    return out
+
+
+def token_features(token: str, words: Lexicon, listed: bool = True) -> tuple[str, tuple[str, ...]]:
+    low, c = token.lower(), token_class(token, words, listed)
     features = [f"c={c}", f"s={shape(token)}", f"n={min(len(token), 12) if token.isalpha() else 0}"]
     if digits := sum(x.isdigit() for x in token):
         features.append(f"d={min(digits, 14)}")
-    if low in vocabulary:
+    if low in table_words():
         features.append(f"w={low}")
     return c, tuple(features)
 
 
+@lru_cache(maxsize=1)
+def table_words() -> frozenset[str]:
+    """Words that may weigh by themselves: the grammar's own."""
+    return frozenset(pii_table.table_words() | PHONE_WORDS | ID_WORDS | UNIT_WORDS | set(pii_table.TITLES) | set(pii_table.STREET_BEFORE))
+
+
 class Model:
-    """Weights by feature and offset, by neighbouring classes, and between labels."""
+    """Weights by feature and offset, by neighbouring classes and cues, and between labels."""
 
-    def __init__(self, vocabulary: frozenset[str]):
-        self.vocabulary = vocabulary
+    def __init__(self, words: Lexicon):
+        self.words = words
         self.features: dict[str, int] = {}
         self.classes: dict[str, int] = {"": 0}
         self.grams: dict[tuple[int, int], int] = {}
 
-    # Ids of a text's tokens: feature rows (one a token) and class rows.
-    def encode(self, tokens: list[str], grow: bool) -> tuple[list[tuple[int, ...]], list[int]]:
+    def learn(self, tokens: list[str], rng: np.random.Generator, forget: float) -> tuple[list[tuple[int, ...]], list[int]]:
+        """Ids of a text's tokens: feature rows and class rows. The word itself is left out of a share of the tokens, and
+        half of the given names aren't looked up, so that shape and surroundings carry weight of their own."""
         feats, classes = [], []
-        for t in tokens:
-            c, names = token_features(t, self.vocabulary)
-            if grow:
-                feats.append(tuple(self.features.setdefault(n, len(self.features)) for n in names))
-                classes.append(self.classes.setdefault(c, len(self.classes)))
-            else:
-                feats.append(tuple(self.features[n] for n in names if n in self.features))
-                classes.append(self.classes.get(c, 0))
+        for t, dropped, unlisted in zip(tokens, rng.random(len(tokens)) < forget, rng.random(len(tokens)) < 0.5, strict=True):
+            c, names = token_features(t, self.words, not unlisted)
+            feats.append(tuple(self.features.setdefault(n, len(self.features)) for n in names if not (dropped and n.startswith("w="))))
+            classes.append(self.classes.setdefault(c, len(self.classes)))
+        if len(self.classes) > 256:
+            raise ValueError("more than 256 token classes")
         return feats, classes
 
 
-def _grams(classes: list[int]) -> list[tuple[tuple[int, int], ...]]:
-    """Keys (kind, packed classes) of the pairs and the triple around each place."""
-    c = [0, *classes, 0]
-    return [((0, c[i - 1] << 8 | c[i]), (1, c[i] << 8 | c[i + 1]), (2, c[i - 1] << 16 | c[i] << 8 | c[i + 1])) for i in range(1, len(c) - 1)]
+def _grams(classes: list[int], cues: np.ndarray) -> list[tuple[tuple[int, int], ...]]:
+    """Keys (kind, packed classes) of the pairs and the triple around each place, and of its class and what announces it."""
+    c, said = [0, *classes, 0], announced(cues, np.zeros(len(cues), bool)).tolist()
+    return [((0, c[i - 1] << 8 | c[i]), (1, c[i] << 8 | c[i + 1]), (2, c[i - 1] << 16 | c[i] << 8 | c[i + 1]), (3, said[i - 1] << 8 | c[i])) for i in range(1, len(c) - 1)]
 
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -140,19 +217,17 @@ def bio(text: str, spans: list[tuple[int, int, str]]) -> tuple[list[str], list[i
     return tokens, labels
 
 
-def train(examples: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 15, batch: int = 96, rate: float = 0.12, decay: float = 2e-4, seed: int = 5) -> Model:
-    """Maximum conditional likelihood by forward-backward and Adam, on a bounded table (a few thousand rows at most)."""
-    filler = pii_table.TEMPLATES + pii_table.NEGATIVES
-    known = {w.lower() for t in filler for w in TOKEN.findall(re.sub(r"\{[A-Z]\}|\\n", " ", t)) if w.isalpha() and len(w) > 1}
-    known |= {w for s in (PHONE_WORDS, ID_WORDS, UNIT_WORDS, pii_table.TITLES, pii_table.STREET_BEFORE) for w in s}
-    named = set("abendroth holmbrandt sorvell marrenfeld kasterloh tessarow lindqvist brannor".split())  # as any name
-    model = Model(frozenset(known - named))
+def train(
+    examples: list[tuple[str, list[tuple[int, int, str]]]], vocabularies: Sequence[str] = LEXICONS, epochs: int = 12, batch: int = 128, rate: float = 0.1, decay: float = 4e-4, forget: float = 0.3, seed: int = 5
+) -> Model:
+    """Maximum conditional likelihood by forward-backward and Adam, on a bounded table (a few thousand rows)."""
+    model, rng = Model(lexicon(vocabularies)), np.random.default_rng(seed)
     rows = []
     for text, spans in examples:
         tokens, labels = bio(text, spans)
         if tokens:
-            feats, classes = model.encode(tokens, grow=True)
-            rows.append((feats, _grams(classes), labels))
+            feats, classes = model.learn(tokens, rng, forget)
+            rows.append((feats, _grams(classes, np.array([cue(t) for t in tokens])), labels))
     n_features = len(model.features)
     for _, grams, _ in rows:
         for keys in grams:
@@ -164,7 +239,7 @@ def train(examples: list[tuple[str, list[tuple[int, int, str]]]], epochs: int =
     data = []
     for feats, grams, labels in rows:
         n = len(labels)
-        ids = np.full((n, len(OFFSETS) * width + 3), total - 1)
+        ids = np.full((n, len(OFFSETS) * width + 4), total - 1)
         for i in range(n):
             col = 0
             for o, off in enumerate(OFFSETS):
@@ -172,11 +247,11 @@ def train(examples: list[tuple[str, list[tuple[int, int, str]]]], epochs: int =
                     f = feats[i + off]
                     ids[i, col : col + len(f)] = [o * n_features + x for x in f]
                 col += width
-            ids[i, -3:] = [base + model.grams[k] for k in grams[i]]
+            ids[i, -4:] = [base + model.grams[k] for k in grams[i]]
         data.append((ids, np.array(labels)))
     w, t = np.zeros((total, L)), np.zeros((L + 1, L))  # the last row of t: at the start
     moments = [np.zeros_like(x) for x in (w, w, t, t)]
-    rng, step = np.random.default_rng(seed), 0
+    step = 0
     order = sorted(range(len(data)), key=lambda i: len(data[i][1]))
     groups = [order[i : i + batch] for i in range(0, len(order), batch)]
     for epoch in range(epochs):
@@ -240,7 +315,7 @@ class Decoder:
         k = 256
         gram_rows = model.weights[nf * no :]
         self.gram_table = []
-        for kind, size in ((0, k * k), (1, k * k)):
+        for kind, size in ((0, k * k), (1, k * k), (3, 16 * k)):
             table = np.zeros((size, L), np.float32)
             for (g, key), i in model.grams.items():
                 if g == kind:
@@ -255,7 +330,7 @@ class Decoder:
         self.gram_rows = gram_rows
         self.types: dict[tuple, int] = {}
         self.cache: dict[str, int] = {}
-        self.class_of = [0]
+        self.class_of, self.cue_of = [0], [0]
         self.tables = [np.zeros((1, L), np.float32) for _ in OFFSETS]  # type 0: outside a document
         self.fresh: list[tuple[int, ...]] = []
         t = model.transitions
@@ -263,14 +338,15 @@ class Decoder:
         self.bound = np.array([(t[:, x][:, None] + t[x][None, :] - o_out).max() for x in range(L)], np.float32)
 
     def type_of(self, token: str) -> int:
-        c, names = token_features(token, self.model.vocabulary)
-        f = self.model.features
-        key = (c, *(f[n] for n in names if n in f))
+        c, names = token_features(token, self.model.words)
+        f, said = self.model.features, cue(token)
+        key = (c, said, *(f[n] for n in names if n in f))
         at = self.types.get(key)
         if at is None:
             at = self.types[key] = len(self.types) + 1
             self.class_of.append(self.model.classes.get(c, 0))
-            self.fresh.append(key[1:])
+            self.cue_of.append(said)
+            self.fresh.append(key[2:])
         if len(self.cache) >= self.CACHE:
             self.cache.clear()
         self.cache[token] = at
@@ -295,6 +371,7 @@ class Decoder:
         out += self.gram_table[0][a << 8 | b]
         out += self.gram_table[1][b << 8 | c]
         out += self.gram_rows[self.triple[(a * self.n_classes + b) * self.n_classes + c]]
+        out += self.gram_table[2][announced(np.array(self.cue_of, np.int8)[types], types == 0) << 8 | b]
         out[types == 0] = -1e4
         out[types == 0, 0] = 0
         return out
@@ -426,9 +503,39 @@ def mentions(texts: list[str], decoder: Decoder) -> Iterator[tuple[int, str, int
 
 
 @lru_cache(maxsize=2)
-def default_model(copies: int = 20, seed: int = 11) -> Model:
-    """Trained once a process, from the table of ``copies`` rows a template."""
-    return train(pii_table.labelled(copies, seed))
+def default_model(copies: int = 14, seed: int = 11, vocabularies: Sequence[str] = LEXICONS) -> Model:
+    """Trained from the table of ``copies`` rows a template."""
+    return train(pii_table.labelled(copies, seed), vocabularies)
+
+
+@lru_cache(maxsize=1)
+def _fingerprint() -> str:
+    parts = hashlib.sha256()
+    for module in (__file__, pii_table.__file__, *LEXICONS):
+        try:
+            with open(module, "rb") as f:
+                parts.update(f.read())
+        except OSError:
+            parts.update(b"-")
+    return parts.hexdigest()[:24]
+
+
+_KEPT: dict[str, Model] = {}
+
+
+def stored_model(spark: SparkSession) -> Model:
+    """The default model, trained once for a shared folder: it is kept there under a name made from the table, the code and
+    the vocabularies, and read back by later processes."""
+    name = _fingerprint()
+    if name not in _KEPT:
+        path = os.path.join(shared_dir(spark), f"personal-data-{name}")
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+            _KEPT[name] = pickle.loads(spark.read.parquet(path).first()[0])
+        else:
+            _KEPT[name] = default_model()
+            spark.createDataFrame([(bytearray(pickle.dumps(_KEPT[name])),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return _KEPT[name]
 
 
 CHUNK_CHARS = 1_000_000
@@ -456,7 +563,7 @@ def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     broadcast (a few MB, bounded by the labelled table); one narrow pass whose memory is bounded by a chunk of texts or,
     if it is longer, one text.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model or default_model())
+    shared = documents.sparkSession.sparkContext.broadcast(model or stored_model(documents.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
@@ -470,7 +577,7 @@ def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """doc_id and text with every mention replaced by its kind's placeholder, the rest left as it is; null stays null."""
-    shared = documents.sparkSession.sparkContext.broadcast(model or default_model())
+    shared = documents.sparkSession.sparkContext.broadcast(model or stored_model(documents.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)

@@ -1,37 +1,56 @@
-"""The small labelled table that the personal-data model is trained on.
+"""The small labelled table that the personal-data model is trained on, written from broad grammars.
 
-Sentences with slots: {P} a person's name, {S} a family name after a title, {E} an e-mail address, {T} a phone number,
-{A} a postal address, {I} an identity number. Each is filled a few times from the invented values below; a random part of
-the names is made of syllables, so that the model learns from shape and surroundings rather than from the names.
+A template is a line of words, slots and choices. Slots are filled with invented values: {P} a person's name, {S} a family
+name after a title, {E} an e-mail address, {T} a phone number, {A} a postal address, {I} what announces an identity number
+and the number, {N} such a number alone. <NAME> is one of the alternatives of that name, drawn anew each time. Names are
+drawn from short lists or made of syllables, so that the model learns from shape and surroundings rather than from names.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
-# Common given names.
+# Common given names of several languages.
 GIVEN = (
     "Elena Ruth Renata Chiara Priya Svenja Mehmet Haruto Tobias Anna Amara Joaquín Núria Björn Zoë Élodie Felix Lukas Nadia Marta Greta Clara Sofia Simon "
     "David Martin Maria Peter Paul Yusuf Kenji Wanjiru Lin Hugo Oscar Emil Viktor Jonas Laura Carmen Irene Anneliese Oliver Jürgen Heike Sabine Karl Ingrid "
     "Pierre Marie Camille Luc Benoît Chloé Jean Claire Pablo Lucía Diego Inés Javier Rosa Miguel Pilar Ahmed Fatima Omar Leila Ivan Olga Dmitri Katya Chen Wei "
     "Mei Yuki Akira Sanjay Anjali Ravi Kofi Ama Chidi Ngozi James Mary John Linda Robert Susan Michael Karen William Sarah Thomas Emma Daniel Alice Mark Julia "
-    "Kevin Laurent Sven Astrid Lars Freya Matteo Giulia Marco Rafael Beatriz Tomás Aisha Hassan Noor Tariq Minh Linh Arjun Deepa Eva Max Nina Otto Ida"
+    "Kevin Laurent Sven Astrid Lars Freya Matteo Giulia Marco Rafael Beatriz Tomás Aisha Hassan Noor Tariq Minh Linh Arjun Deepa Eva Max Nina Otto Ida "
+    "George Helen Edward Grace Henry Louise Andrew Rachel Stefan Monika Klaus Ursula Dieter Birgit Antoine Nicole François Juliette Carlos Ana Luis Elisa "
+    "Jorge Raquel Paolo Sergei Irina Piotr Agnieszka Jan Eva"
+).split()
+# Common family names of several languages.
+FAMILY = (
+    "Smith Johnson Brown Taylor Wilson Clark Lewis Walker Young Hill Green Baker Carter Mitchell Roberts Turner Phillips Parker Evans Edwards Morris Cook Bell "
+    "Murphy Kelly Reid Fraser Müller Schmidt Weber Wagner Becker Hoffmann Koch Richter Klein Wolf Neumann Schwarz Krüger Hartmann Lange Werner Martin Bernard "
+    "Dubois Moreau Simon Michel Leroy Roux Bertrand Morel Girard Mercier Lambert Chevalier Faure García Fernández López Martínez Sánchez Pérez Gómez Ruiz Díaz "
+    "Torres Vargas Romero Castro Molina Rossi Ferrari Russo Conti Greco Marino Ivanov Smirnov Popov Kowalski Nowak Novák Horvat Jensen Nielsen Larsen Berg "
+    "Virtanen Lindqvist Andersson Yamamoto Suzuki Sato Kim Park Nguyen Tran Wang Li Chen Liu Singh Patel Kumar Sharma Khan Rahman Hussain Ali Yilmaz Demir "
+    "Cohen Levi Silva Santos Costa Oliveira Okonkwo Mensah Mwangi Diallo Papadopoulos"
 ).split()
 # Titles, and the words that open or close a street's name.
-TITLES = "mr mrs ms miss dr prof professor herr frau mme mlle monsieur madame señor señora sr sra sir".split()
-STREET_AFTER = "lane road rd row street st drive dr blvd boulevard avenue ave way ct court close mews terrace crescent place square hill walk grove parkway".split()
-STREET_BEFORE = "rue chemin place impasse quai allée route calle avda avenida plaza paseo camino ronda travesía via viale".split()
-STREET_ENDINGS = ("straße", "str", "strasse", "weg", "gasse", "allee", "platz", "ufer", "ring", "graben", "hof", "damm", "steig")
+TITLES = "mr mrs ms miss dr prof professor herr frau mme mlle monsieur madame señor señora sr sra sir doctor".split()
+STREET_AFTER = "lane road rd row street st drive dr blvd boulevard avenue ave way ct court close mews terrace crescent place square hill walk grove parkway gardens".split()
+STREET_BEFORE = "rue chemin place impasse quai allée route calle avda avenida plaza paseo camino ronda travesía via viale c carrer cours".split()
+STREET_ENDINGS = ("straße", "str", "strasse", "weg", "gasse", "allee", "platz", "ufer", "ring", "graben", "hof", "damm", "steig", "markt", "park")
 
-_ONSETS = "Bran Corv Drav Elm Fenn Gorm Hask Imb Kest Ludm Malv Nuss Ottr Pell Quell Rav Sorr Tarv Ulv Vill Wick Ysel Zand Thorn Marr Ol Brook Hart Lind Cast Mont Ash Wex Sten Aldr Tess Grün Løv Müll Niev Adey Okon Naka Kowal Petr".split()
-_ENDINGS = "acre umbury quistel mondt sholm wather rigg stoke ovicci arelli enkova eauxin iguezo ikawari ström berg field ton ley mann hagen ez son ini oux ard et quarry mede brandt fontana specht insola shiro ski ov".split()
+_ONSETS = "Bran Corv Drav Elm Fenn Gorm Hask Imb Kest Ludm Malv Nuss Ottr Pell Quell Rav Sorr Tarv Ulv Vill Wick Ysel Zand Thorn Marr Ol Brook Hart Lind Cast Mont Ash Wex Sten Aldr Tess Grün Løv Müll Niev Adey Okon Naka Kowal Petr Szab Jov Kra Ster Bel Gal Dom Fri Lar Sal Per Roz Tod Vas Wal Zim".split()
+_ENDINGS = "acre umbury quistel mondt sholm wather rigg stoke ovicci arelli enkova eauxin iguezo ikawari ström berg field ton ley mann hagen ez son ini oux ard et quarry mede brandt fontana specht insola shiro ski ov ová ic escu idis oglu sen a enko uk well worth by ford man er in ier eau".split()
 _TOWNS = "Pellham Norvale Ashwick Dunmere Kettlebridge Marrowfield Ebersdorf Kaltenau Neu-Dornach Brévigny Saint-Orlin Valmont Aldeanueva Villarroya Montesoto Brackenford Lowestone Harrowby Teignford".split()
-_TOWNS2 = ["Dunwick Hills", "Lower Sallow", "Bad Kerlach", "Brévigny-le-Bas", "Montesol del Rey", "Aldea Nueva", "Upper Marlow", "Saint-Odran", "Port Ellery"]
-_STREETS = "Foxglove Larkspur Chandler Harrow Copperfield Saltmarsh Brickyard Millrace Quill Station Weir Juniper Cedar Orchard Sparrow Lantern".split()
-_DE_STREETS = "Eschgraben Hauptstr. Mühlstr. Steinhof Tannenstraße Kupfergasse Lindenallee Seidelweg Birkenweg Mühlenstraße Marktplatz Rosengasse Wiesenufer Lindwurmstraße Seilerallee Kuhweg".split()
-_FR_STREETS = ["rue des Ormes", "avenue du Vieux Moulin", "chemin de la Source", "place des Tisserands", "boulevard Saint-Michel", "rue des Lilas-Blancs", "quai du Port Neuf", "impasse des Roses"]
-_ES_STREETS = ["Calle de la Encina", "Avda. del Puente", "Plaza del Romero", "Paseo de los Olmos", "Calle Mayor", "C/ Tejedores", "C/ del Olmo", "C. Serrano", "Avenida del Mar", "Camino Viejo del Pinar", "Plaza de la Higuera Alta"]
-_HOSTS = "membranes.example gridhall.test rotor-labs.invalid uni-ebers.example bio.sub.bridge.example kappalab.org simhouse.net post.dynamik.test mail.fluxhost.com ionworks.invalid chem.valmont.edu villa.es".split()
+_TOWNS2 = ["Dunwick Hills", "Lower Sallow", "Bad Kerlach", "Brévigny-le-Bas", "Montesol del Rey", "Aldea Nueva", "Upper Marlow", "Saint-Odran", "Port Ellery", "Santa Olara", "East Norham"]
+# Known towns, as they stand in addresses and in other text.
+CITIES = (
+    "London Paris Berlin Madrid Vienna Wien Munich München Hamburg Köln Lyon Marseille Bordeaux Sevilla Valencia Barcelona Boston Chicago Denver Austin Seattle Dublin Leeds Bristol Oxford York Geneva Basel Zürich Bern Graz Oslo "
+    "Stockholm Rome Milan Turin Lisbon Porto Prague Warsaw Budapest Athens Tokyo Kyoto Delhi Mumbai Sydney Perth Toronto Montreal Dallas Houston Phoenix Miami Atlanta Leipzig Dresden Bonn Mainz Toulouse Nantes Lille Zaragoza Bilbao Granada"
+).split()
+_CITIES2 = ["New York", "Los Angeles", "San Diego", "San Jose", "Santa Fe", "Saint Louis", "New Delhi", "Cape Town", "Hong Kong", "Las Vegas", "Salt Lake City", "El Paso", "Buenos Aires", "Le Havre", "La Rochelle", "Bad Homburg", "Palma de Mallorca", "Santiago de Compostela", "Mexico City"]
+_STREETS = "Foxglove Larkspur Chandler Harrow Copperfield Saltmarsh Brickyard Millrace Quill Station Weir Juniper Cedar Orchard Sparrow Lantern Oak Maple Church High Park Victoria Queen Mill Bridge School Spring Lake Washington Garden Meadow Fourth Second".split()
+_DE_STREETS = "Eschgraben Hauptstr. Mühlstr. Steinhof Tannenstraße Kupfergasse Lindenallee Seidelweg Birkenweg Mühlenstraße Marktplatz Rosengasse Wiesenufer Seilerallee Kuhweg Schulstraße Gartenweg Kirchplatz Ringstr. Schillerstraße Waldweg Neumarkt Stadtpark Bergstraße Dorfstr.".split()
+_FR_STREETS = ["rue des Ormes", "avenue du Vieux Moulin", "chemin de la Source", "place des Tisserands", "boulevard Saint-Michel", "rue des Lilas-Blancs", "quai du Port Neuf", "impasse des Roses", "rue Pasteur", "avenue Jean Moulin", "rue de l'Église", "cours Gambetta", "allée des Tilleuls", "route de Genas"]
+_ES_STREETS = ["Calle de la Encina", "Avda. del Puente", "Plaza del Romero", "Paseo de los Olmos", "Calle Mayor", "C/ Tejedores", "C/ del Olmo", "C. Robledal", "Avenida del Mar", "Camino Viejo del Pinar", "Plaza de la Higuera Alta", "Avenida América", "Calle Goya", "Carrer del Pi", "Ronda Norte", "Paseo de Gracia"]
+_TLD = "example test invalid com org net edu io de fr es co.uk ac.uk eu info ch at it".split()
 
 
 class Fill:
@@ -41,348 +60,643 @@ class Fill:
         self.r = random.Random(seed)
 
     def digits(self, pattern: str) -> str:
-        return "".join(str(self.r.randrange(10)) if c == "9" else self.r.choice("ABCEGHJKLMNPRSTXZ") if c == "X" else c for c in pattern)
+        return "".join(str(self.r.randrange(10)) if c == "9" else str(self.r.randrange(1, 10)) if c == "8" else self.r.choice("ABCEGHJKLMNPRSTXZ") if c == "X" else c for c in pattern)
 
     def given(self) -> str:
-        if self.r.random() < 0.3:
-            return self.r.choice(_ONSETS)[:4].title() + self.r.choice(["a", "in", "o", "elle", "uva", "abet", "eo", "ira", "ko", "drin"])
+        if self.r.random() < 0.4:
+            return self.r.choice(_ONSETS)[:4].title() + self.r.choice(["a", "in", "o", "elle", "uva", "abet", "eo", "ira", "ko", "drin", "ie", "e", "us", "an", "ette", "ya", "iel", "ine"])
         return self.r.choice(GIVEN)
 
     def family(self) -> str:
-        name = self.r.choice(_ONSETS) + self.r.choice(_ENDINGS)
+        name = self.r.choice(FAMILY) if self.r.random() < 0.35 else self.r.choice(_ONSETS) + self.r.choice(_ENDINGS)
         lead = self.r.random()
         if lead < 0.06:
-            return f"{self.r.choice(['De la', 'van der', 'van', 'von', 'de', 'Di', 'del', 'al', 'Von der', 'Le', 'dos'])} {name}"
-        if lead < 0.1:
-            return f"{self.r.choice(['O’', 'D’', 'Mc', 'O' + chr(39), 'D' + chr(39)])}{name}"
+            return f"{self.r.choice(['De la', 'van der', 'van', 'von', 'de', 'Di', 'del', 'al', 'Von der', 'Le', 'dos', 'de', 'ten', 'zu', 'da'])} {name}"
+        if lead < 0.11:
+            return f"{self.r.choice(['O’', 'D’', 'Mc', 'Mac', 'El-', 'Al-', 'O' + chr(39), 'D' + chr(39)])}{name}"
         return f"{name}-{self.r.choice(_ONSETS)}{self.r.choice(_ENDINGS)}" if self.r.random() < 0.05 else name
 
+    def initial(self) -> str:
+        return self.r.choice("ABCDEFGHIJKLMNOPRSTVWYZ")
+
     def person(self) -> str:
-        kind = self.r.random()
-        g, f = self.given(), self.family()
-        name = (
-            f"{g} {f}" if kind < 0.5 else f"{g[0]}. {f}" if kind < 0.68 else f"{g} {self.r.choice('ABCDEHKLMRT')}. {f}" if kind < 0.82 else f"{f}, {g}" if kind < 0.97 else f"{g[0]}. {self.r.choice('ABEHKL')}. {f}"
-        )
-        return name.upper() if self.r.random() < 0.14 else name
+        kind, g, f = self.r.random(), self.given(), self.family()
+        if kind < 0.5:
+            name = f"{g} {f}"
+        elif kind < 0.62:
+            name = f"{g[0]}. {f}"
+        elif kind < 0.7:
+            name = f"{g} {self.initial()}. {f}"
+        elif kind < 0.79:
+            name = f"{g[0]}.{self.r.choice([' ', ' ', ''])}{self.initial()}. {f}"
+        elif kind < 0.91:
+            name = f"{f}, {g}"
+        elif kind < 0.93:
+            name = f"{f}, {g[0]}."
+        elif kind < 0.96:
+            name = f"{g} {self.given()} {f}"
+        else:
+            name = f"{g}-{self.given()} {f}"
+        return name.upper() if self.r.random() < 0.1 else name
 
-    def surname(self) -> str:
-        return self.family()
+    def host(self) -> str:
+        parts = [self.r.choice(_ONSETS + _TOWNS + ["Mail", "Uni", "Labs", "Post", "Bio", "Net", "Home", "Chem", "Sub", "Work", "Simhouse", "Rotor-labs", "Inst", "Grid"]).lower().replace("ü", "u").replace("ø", "o").replace("é", "e") for _ in range(self.r.choice([1, 1, 1, 2, 3]))]
+        return ".".join([*parts, self.r.choice(_TLD)])
 
     def email(self) -> str:
-        g, f = (x.lower().replace("ü", "u").replace("ø", "o").replace("ö", "o").replace("é", "e").replace("ú", "u").replace("ë", "e").replace("í", "i") for x in (self.given(), self.family()))
-        f = f.replace(" ", "").replace("’", "").replace("'", "")
-        user = self.r.choice([f"{g}.{f}", f"{g}_{f}", f"{g}-{f}", f"{f}{self.r.randrange(10, 99)}", f"{g[0]}{f}", f"{f}.{g[0]}", f"{g}.{f}+md"])
-        host = self.r.choice(_HOSTS)
-        kind = self.r.random()
-        if kind < 0.6:
-            out = f"{user}@{host}"
-        elif kind < 0.72:
-            out = f"{user} [at] {host.replace('.', ' [dot] ')}"
-        elif kind < 0.84:
-            out = f"{user} at {host.replace('.', ' dot ')}"
-        elif kind < 0.94:
-            out = f"{user}(at){host}"
-        else:
-            out = f"{user} (at) {host.replace('.', ' (dot) ')}"
+        plain = str.maketrans("üøöéúëíáñçóèêäßāőõ", "uooeueiancoeeasaoo")
+        g, f = (re.sub(r"[ ’']", "", x.lower()).translate(plain) for x in (self.given(), self.family()))
+        user = self.r.choice([f"{g}.{f}", f"{g}_{f}", f"{g}-{f}", f"{f}{self.r.randrange(10, 99)}", f"{g[0]}{f}", f"{f}.{g[0]}", f"{g}.{f}+{self.r.choice(['md', 'lists', 'x'])}", g, f, f"{g[0]}.{f}", self.r.choice(["info", "support", "help-desk", "office", "no.reply", "admin", "team", "contact"])])
+        host, kind = self.host(), self.r.random()
+        dotted = lambda dot: host.replace(".", dot)
+        out = (
+            f"{user}@{host}" if kind < 0.66 else f"{user} [at] {dotted(' [dot] ')}" if kind < 0.74 else f"{user} at {dotted(' dot ')}" if kind < 0.84 else f"{user}(at){host}" if kind < 0.91 else f"{user} (at) {dotted(' (dot) ')}"
+        )
         return out.upper() if self.r.random() < 0.08 else out
 
     def phone(self) -> str:
-        base = self.r.choice(
-            "+1-999-555-0999|+1 999 555 0999|(999) 555-0999|999.555.0999|999.555.0999|999-555-0999|1999555 0999|19995550999|020 7946 0999|+44 20 7946 0999|+44207946 0999|+49 30 23125 999|(030) 23125999|030 / 23125-999|030/23125-999|"
-            "+4930 23125999|+493023125999|+49 3023125999|01 99 00 99 99|+1-999-555-0999|9995550999|01.99.00.99.99|+33 1 99 00 99 99|+33199009999|01 99 00 99 99|+34 555 000 999|555 000 999|+34555000999|555-000-999|0999 999999|+41 44 999 99 99|+44 (0)20 7946 0999".split("|")
-        )
-        tail = self.r.choice(["", "", "", "", "", " x999", " ext. 99", " ext 999", " extension 9999", " Durchwahl 99", " poste 99"])
+        if self.r.random() < 0.45:  # any country: a code, then groups
+            r, sep = self.r, self.r.choice([" ", " ", "-", ".", " ", ""])
+            code = r.choice(["+1", "+7", "+44", "+49", "+33", "+34", "+91", "+81", "+86", "+61", "+47", "+353", "+41", "+43", "+351", "+972", "00 49", "0044", "+55", "+27", "+82", "+90"])
+            left, groups = r.choice([8, 9, 9, 10, 10, 11]), []
+            while left > 0:
+                n = left if left <= 4 and r.random() < 0.7 else min(left, r.choice([2, 2, 3, 3, 4, 5]))
+                groups.append("8" + "9" * (n - 1) if not groups else "9" * n)
+                left -= n
+            first = r.choice([groups[0], groups[0], groups[0], f"({groups[0]})", f"(0){groups[0]}", f"(0) {groups[0]}"])
+            base = f"{code}{r.choice([' ', ' ', sep])}{sep.join([first, *groups[1:]])}"
+        else:
+            base = self.r.choice(
+                "+1-899-555-0999|+1 899 555 0999|+1 (899) 555-0999|(899) 555-0999|(899) 555 0999|899.555.0999|899-555-0999|899 555 0999|1-800-999-9999|1-899-555-0999|0800-999-9999|0800 999 9999|0800 9999999|020 7946 0999|0899 999 9999|08999 999999|"
+                "+44 20 7946 0999|+49 30 23125 999|(030) 23125999|(089) 999999|030 / 23125-999|030/23125-999|0899 9999999|0899/99999999|0899-9999999|089 999999-99|+4930 23125999|+493023125999|+43 1 99999-9|01 99 00 99 99|01.99.00.99.99|06 99 99 99 99|"
+                "01-99-99-99-99|0699999999|+33 1 99 00 99 99|+33 (0)1 99 99 99 99|+33199009999|+34 555 000 999|699 999 999|699-999-999|91 999 99 99|899 99 99 99|900 999 999|555 000 999|+34555000999|0999 999999|+41 44 999 99 99|+44 (0)20 7946 0999|8999550999".split("|")
+            )
+        tail = self.r.choice(["", "", "", "", "", "", "", " x999", " ext. 99", " ext 999", ", ext. 9", " extension 9999", " Durchwahl 99", " poste 99"])
         return self.digits(base + tail)
 
     def town(self) -> str:
-        return self.r.choice(_TOWNS if self.r.random() < 0.6 else _TOWNS2)
+        pick = self.r.random()
+        made = self.r.choice(_ONSETS) + self.r.choice(["field", "ton", "bury", "burg", "heim", "dorf", "ville", "mont", "stadt", "hausen", "ford", "stead", "illa", "uelo", "ona"])
+        return self.r.choice(_TOWNS if pick < 0.25 else _TOWNS2 if pick < 0.45 else CITIES if pick < 0.65 else _CITIES2) if pick < 0.78 else made
+
+    def postcode(self) -> str:
+        return self.digits(self.r.choice([" 89999", " 89999", " XX 89999", ", XX 89999", ", XX 89999", " XX9 9XX", " X9 9XX", " XX99 9XX", " X9X 9X9", " 8999", ", 89999", " 89999-9999"]))
 
     def address(self) -> str:
-        r, n = self.r, self.r.randrange(1, 260)
+        r, n = self.r, self.r.choice([self.r.randrange(1, 260), self.r.randrange(1, 60), self.r.randrange(100, 5000)])
         sep = "\n" if r.random() < 0.25 else ", "
         kind = r.random()
-        if kind < 0.3:
-            street = f"{n} {r.choice(['', '', 'North ', 'West ', 'Upper ', 'Old '])}{r.choice(_STREETS)} {r.choice(STREET_AFTER).title()}"
-            apt = r.choice(["", "", self.digits(", Apt. 9X"), self.digits(", Apt. 99X"), self.digits(", Suite 999")])
-            return f"{street}{apt}{sep}{self.town()}{r.choice(['', '', self.digits(' 00999'), self.digits(' XX 00999'), self.digits(' XX9 9XX')])}"
-        if kind < 0.4:
-            return f"Flat {r.randrange(1, 12)}, {n} {r.choice(_STREETS)} {r.choice(STREET_AFTER).title()}{sep}{self.town()}{self.digits(' XX9 9XX')}"
+        if kind < 0.36:
+            name = r.choice(_STREETS) if r.random() < 0.7 else r.choice(_ONSETS) + r.choice(["wood", "field", "well", "ton", "brook", "green", ""])
+            street = f"{n}{r.choice(['', '', '', 'A', 'B'])} {r.choice(['', '', '', 'North ', 'West ', 'Upper ', 'Old ', 'Saint ', 'E. '])}{name} {r.choice([t for t in STREET_AFTER if t not in ('ct', 'rd')] + ['St.', 'Ave.', 'Rd', 'Dr.']).title()}{r.choice(['', '', '', '', ' West', ' North', ' SE'])}"
+            apt = r.choice(["", "", "", self.digits(", Apt. 9X"), self.digits(", Apt. 99X"), self.digits(", Suite 999"), self.digits(", Unit 9"), self.digits(" #99")])
+            return f"{street}{apt}{sep}{self.town()}{r.choice(['', self.postcode(), self.postcode(), self.postcode()])}"
+        if kind < 0.42:
+            return f"{r.choice(['Flat', 'Unit', 'Apartment'])} {r.randrange(1, 12)}, {n} {r.choice(_STREETS)} {r.choice(STREET_AFTER).title()}{sep}{self.town()}{self.postcode()}"
         if kind < 0.52:
-            return f"{r.choice(['P.O. Box', 'PO Box', 'P.O. Box', 'P.O. Box'])} {r.randrange(10, 9999)}{sep}{self.town()}{r.choice(['', self.digits(' 00999'), self.digits(' 99999')])}"
+            return f"{r.choice(['P.O. Box', 'PO Box', 'P.O. Box', 'Box'])} {r.randrange(10, 9999)}{sep}{self.town()}{r.choice(['', self.postcode(), self.postcode()])}"
         if kind < 0.7:
-            return f"{r.choice(['', '', '', '', 'Obere ', 'Alte ', 'Am '])}{r.choice(_DE_STREETS)} {n}{r.choice(['', 'a', 'b', ''])}{sep}{self.digits('09999')} {self.town()}"
-        if kind < 0.85:
-            return f"{n}{r.choice(['', ' bis', ' ter', ',', ' bis,', ' ter,'])} {r.choice(_FR_STREETS)}{sep}{self.digits('00999')} {self.town()}"
-        if kind < 0.87:
-            return f"{r.choice(['Postfach', 'BP', 'Apartado'])} {r.randrange(10, 9999)}{sep}{self.digits('09999')} {self.town()}"
-        return f"{r.choice(_ES_STREETS)} {n}{r.choice(['', '', ', bajo', ', 2.º B', ', 3.º A'])}{sep}{self.digits('00999')} {self.town()}"
-
-    def identity(self) -> str:
-        kinds = (
-            "SSN 999-00-9999|SSN 999-99-0000|social security number 999 99 9999|social security no. 999999999|social security number 999-99-9999|tax id 999-00-9999|tax ID 999-99-9999|ID on file: 999-99-9999|NINO QQ999999X|"
-            "NI number QQ 99 99 99 X|NINO QQ 99 99 99 X|national ID: 099999-9999|national ID: 999999-9999|passport no. X09999999|passport 009999999|passport number 999999999|passport no. X99999999|Steuer-ID 00 999 999 999|"
-            "Ausweisnr. L099X9999|Personalausweis Nr. L099X9999|Personalausweis Nr. L9X9X99X9|Steuernummer 99/999/99999|n° de sécurité sociale 0 99 99 99 999 999 99|n° de sécurité sociale 9 99 99 99 999 999 99|passeport n° 00XX99999|"
-            "carte d’identité n° 999999999999|DNI 00009999-X|DNI 00009999X|DNI 99999999-X|NIE X-0009999-X|NIE X9999999X|NIF 99999999X|pasaporte XXX999999|identity card X9999999|driver licence X999-9999-9999"
+            street = r.choice(_DE_STREETS) if r.random() < 0.6 else r.choice(_ONSETS) + r.choice(STREET_ENDINGS[:12]) + ""
+            street = street + "." if street.endswith("str") else street
+            return f"{r.choice(['', '', '', '', 'Obere ', 'Alte ', 'Am ', 'An der ', 'Zur '])}{street} {n}{r.choice(['', 'a', 'b', '', '-' + str(n + 2)])}{sep}{self.digits(r.choice(['89999', '89999', '09999', '8999', 'D-89999', 'A-8999', 'CH-8999']))} {self.town()}"
+        if kind < 0.84:
+            return f"{n}{r.choice(['', '', ' bis', ' ter', ',', ' bis,', ' ter,', ' B,'])} {r.choice(_FR_STREETS)}{sep}{self.digits('89999')} {self.town()}"
+        if kind < 0.88:
+            return f"{r.choice(['Postfach', 'BP', 'Apartado', 'Apartado de correos'])} {self.digits(r.choice(['89', '899', '8999', '89 99 99', '89 99']))}{sep}{self.digits('89999')} {self.town()}"
+        return f"{r.choice(_ES_STREETS)}{r.choice([' ', ' ', ', ', ' n.º '])}{n}{r.choice(['', '', ', bajo', ', 2.º B', ', 3.º A', ', 4.º izq.'])}{sep}{self.digits('89999')} {self.town()}"
+
+    def number(self) -> str:
+        """A number as state offices of several countries issue them."""
+        known = (
+            "899-99-9999|899 99 9999|899999999|XX999999X|XX 99 99 99 X|899999-9999|8999999999|X09999999|899999999|X99999999|XX9999999|XXX999999|99XX99999|89 999 999 999|89999999999|L99X99X99|X9X9X99X9|X99X9999X|89/999/99999|8 99 99 99 999 999 99|8 99 99 99 99 999 999 99|"
+            "899999999999|89999999X|89999999-X|89.999.999-X|X-8999999-X|X8999999X|89-9999999|89 99999999 99|89/99999999/99|89 999999 X 999|X999-9999-9999|X9999999|XXXXX999999X99|X99X99X9X|899999999X|899.999.999-99|X 9999 9999"
         ).split("|")
-        out = self.digits(self.r.choice(kinds))
-        for stop in ("Personalausweis Nr. ", "identity card ", "driver licence ", "carte d’identité n° ", "n° de sécurité sociale ", "passeport n° ", "ID on file: ", "national ID: ", "NI number ", "NINO ", "tax id ", "tax ID ", "passport no. ", "passport number ", "passport ", "social security number ", "social security no. ", "SSN ", "Steuer-ID ", "Ausweisnr. ", "Steuernummer ", "DNI ", "NIE ", "NIF ", "pasaporte "):
-            if out.startswith(stop):
-                return f"{stop}\x01id_number\x02{out[len(stop):]}\x03"
-        return out
+        return self.digits(self.r.choice(known))
+
+    def mix(self) -> str:
+        return self.digits("".join(self.r.choice("99X") for _ in range(self.r.randrange(7, 11)))) + self.digits("999")
+
 
+# Alternatives of the grammar, by name. Each is drawn where <NAME> stands.
+CHOICES = {
+    "IDCUE": "SSN|SSN|social security number|Social Security No.|social security|passport|passport number|passport no.|US passport|tax ID|tax id|tax number|tax no.|taxpayer number|TIN|national insurance number|NI number|NINO|national ID|national ID number|identity number|identity card|identity card no.|ID card|ID card number|ID number|ID no.|driver's license|driving license|driving licence number|driver licence|residence permit|ID on file|Steuer-ID|Steuernummer|Steueridentifikationsnummer|Personalausweis|Personalausweis Nr.|Ausweisnummer|Ausweis-Nr.|Ausweisnr.|Reisepass|Reisepass Nr.|Passnummer|Führerschein|Sozialversicherungsnummer|n° de sécurité sociale|numéro de sécurité sociale|sécurité sociale|passeport|passeport n°|numéro de passeport|carte d'identité|carte d’identité n°|pièce d'identité n°|numéro fiscal|permis de conduire|DNI|DNI|NIE|NIF|pasaporte|pasaporte n.º|número de pasaporte|número de la seguridad social|carné de conducir|cédula",
+    "LINK": "|||: |: |: | | | | is | was | number | number is | no. | reads | = |=| # | #| (no.) | - | ends up as | would be | should be | stays at | lautet | ist | Nummer | hat die Nummer | est | est le | porte le numéro | numéro | es | es el | número | con número ",
+    "ADV": "Yesterday|Today|Last week|This morning|Apparently|Meanwhile|Afterwards|Then|Still|Sadly|Luckily|In May|On Monday|Later|Once|Since Friday|Finally|However|Perhaps|Even|Also|Only|Recently|Back then|Before lunch|Nobody but|Maybe|Again|Both|When|While|Because|If|After|Although|Whether|Without|With|Like|Unlike|For|From|By|Between",
+    "VERB": "called|wrote|agreed|left early|asked for a copy|signed the form|paid the bill|lost the key|found the mistake|is on leave|has resigned|will be back|took notes|prepared the talk|moved the boxes|sent a card|broke the lamp|knows the answer|does not reply|was elected|chaired the panel|cannot come|keeps the list|retired|gave a lecture|bought the tickets|fixed the printer|rents a room|refused|reported it first|stayed home|owns the shop|arrived late|never got the letter|won the race|wants a refund|reviewed the draft|is our dentist|runs the bakery|drives the van|noticed it|joined in June|reran the job|checked the plot|cleaned the table|deleted the folder",
+    "ROLE": "lawyer|landlord|neighbour|supervisor|doctor|contact|plumber|mentor|teacher|manager|driver|author|editor|reviewer|secretary|successor|client|tenant|owner|speaker|visitor|patient|witness|colleague|assistant|nurse|guest|candidate|student|chair|technician|friend|boss",
+    "LABEL": "Name|Contact|Author|Speaker|Owner|Attn|Patient|Tenant|Applicant|Driver|Holder|Client|Guest|Witness|Host|Signed|Reviewer|Emergency contact|Next of kin|Present|Recipient|Prepared by|Approved by|Edited by|c/o|Kontakt|Ansprechpartner|Verfasser|Mieter|Bearbeiter|Responsable|Auteur|Titulaire|Destinataire|Rédigé par|Autor|Titular|Cliente|Firmado por",
+    "THING": "the lamp|the red car|the invoice|a printer|the garden|the second file|an old laptop|the spare key|the contract|the report|the meeting|the ticket|the sample|the parcel|the licence|the pump|the archive|the badge|the draft|the lease|the menu|the boxes|the schedule|the figures|a cup of tea|the reservation",
+    "NOUN": "method|theorem|distribution|thermostat|barostat|integrator|equation|algorithm|potential|test|transform|coupling|scheme|ensemble|constant|matrix|index|coefficient|procedure|model|correction|constraint|plot|radius|limit|rule|filter|sum|effect|criterion|approximation|kernel|network|chain|force field|statistic|expansion|series|function|window|sampler|bound|bridge|number|scattering|parameters",
+    "ORG": "University|Institute|College|Hospital|Museum|Library|Bank|Airport|Foundation|Society|Press|Group|Company|Agency|Committee|Laboratory|School|Ministry|Station|Stadium|Theatre|Council|Church|Hotel|Academy|Centre",
+    "ADJ": "National|International|Royal|Central|General|Medical|Technical|European|American|Northern|Public|Federal|Grand|Modern|Advanced|Digital|Global|Applied|Deep|Hidden|Random|Annual|Open|Golden|Black|Red|Blue|Green|Great|United|Free|Fast|Smart|Big|Little|Upper|First",
+    "CAPN": "Review|Letters|Journal|Guide|Network|System|Server|Process|Service|Project|Model|Learning|Computing|Report|Gate|Forest|Hat|Bridge|Sea|Street|Party|Office|Table|Day|Award|Prize|Conference|Workshop|Summit|Union|Nations|States|Park|River|Lake|Valley|Mountain|Coast|Island|Palace|Square|Tower|Hill|Dynamics|Physics|Chemistry|Biology|Science|Engine|Studio|Cloud|Linux|Toolbox|Design|Search|Field|Tree|Code|Analysis|Energy|Control|Structure",
+    "YEAR": "2018|2020|1999|2007|2021|next year|now",
+    "DAY": "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|May|June|July|August|September|October|November|December",
+    "HEY": "Hi|Hello|Dear|Hey|Thanks|Thank you|Hallo|Liebe|Lieber|Bonjour|Cher|Chère|Hola|Querida|Estimado",
+    "BYE": "Best|Best regards|Kind regards|Regards|Sincerely|Yours|Cheers|Thanks|Many thanks|Mit freundlichen Grüßen|Viele Grüße|Gruß|Cordialement|Bien à vous|Amicalement|Saludos|Atentamente|Un saludo",
+    "TITLE": "Mr.|Mr|Mrs.|Mrs|Ms|Ms.|Miss|Dr.|Dr|Prof.|Professor|Sir|Doctor",
+    "DTITLE": "Herr|Frau|Herrn|Dr.|Prof.|Frau Dr.|Herr Prof.",
+    "FTITLE": "M.|Mme|Mlle|Monsieur|Madame|Dr|Professeur|Pr.",
+    "STITLE": "Sr.|Sra.|Señor|Señora|El señor|La señora|La Dra.|El Dr.|Don|Doña",
+    "TEL": "Tel.|Tel|tel:|Phone|phone:|Phone number|Mobile|Cell|mobile:|Fax|Fax:|call|Call|ring|Dial|text|Text|WhatsApp|Telefon|Handy|Mobil|Tél.|Tél :|tél.|Portable|Téléphone|Teléfono|Tfno.|Móvil|tel.|Ph:|Office phone|Pager|Hotline",
+    "DADV": "Gestern|Heute|Leider|Danach|Zum Glück|Seit Montag|Vielleicht|Laut|Dann|Inzwischen|Am Freitag|Wahrscheinlich|Auch|Nur|Nach Ostern|Für|Mit|Von|Ohne",
+    "DVERB": "hat angerufen|ist krank|kommt später|hat unterschrieben|zieht um|braucht Hilfe|liest die Probe aus|hat gekündigt|fährt nach Hause|war dabei|hat das Auto verkauft|leitet die Gruppe|antwortet nicht|hat den Vortrag gehalten|sucht den Schlüssel",
+    "FADV": "Hier|Demain|Ensuite|Selon|Heureusement|Depuis lundi|Pour|Avec|Sans|Peut-être que|Malheureusement|Chez|Puis|Enfin|Aussi",
+    "FVERB": "a appelé|est absent|viendra plus tard|a signé|a déménagé|a perdu la clé|a préparé le dossier|ne répond pas|dirige le groupe|a vendu la voiture|a éteint la lumière|part en vacances|a corrigé le texte",
+    "SADV": "Ayer|Hoy|Luego|Según|Por suerte|Desde el lunes|Para|Con|Sin|Quizás|También|Mañana|Después",
+    "SVERB": "llamó|no vino|firmó el papel|se mudó|perdió la llave|preparó el informe|no contesta|dirige el grupo|vendió el coche|apagó la luz|está de viaje|corrigió el texto|cambió la fecha",
+    "KEYWORD": "run|job|order|ticket|invoice|batch|seed|series|case|serial|log|sample|trajectory|version|build|record|reference|entry|Lauf|Auftrag|Rechnung|Startwert|série|commande|pedido|serie|lote",
+}
 
 TEMPLATES = r"""
-Ask {P} for the raw trajectories, {E}.
-Ask {P} about the raw data, {E}
-Dr. {S} reran the equilibration and mailed the box vectors from {E}.
-Prof. {S} signed off on the lipid ratio.
-Ms {S} keeps the paper notebook.
-Mrs. {S} keeps the keys.
-Mr. {S} was not at the meeting.
-Expense claim of Mr. {S} went out with {I}.
-Expense claim of Ms {S} went out with {I}.
-Expense claim of {P} went out with {I}.
-Thanks to {P} for pointing out the wrong offset.
-{P} noticed the flipped torsion first.
-{P} found the missing restraint.
-The hardware key went by courier to {A}.
-Ship the backup disks to {P}, {A}.
-The tutorial by {P} uses another ladder.
-A talk by {P} covers the same ground.
-Interviewed for the fellowship: {P}, {P}.
-Interviewed for the post: {P}; {P}.
-Reviewed by {P} and {P} before the restart.
-Raw data are with {P}; call {T} before copying anything.
-On-call for the queue this week: {P} ({T}).
-If the node hangs, ring {T} and quote the job.
-According to {P}, the barrier vanishes above the second rung.
-Fax {T}, no mail please.
-Keys are under the mat at {A}; {T} if the alarm goes off.
-Keys are under the mat at {A}.
-Moved house, new address {A}, tell the courier.
-Spoke with {P} about the torsion plot, no objections.
-Signed: {P}, witness {P}
-@{P}: could you resubmit?
-Old login {E} is closed, write to {E}.
-{"owner": "{P}", "mail": "{E}", "tel": "{T}"}
-whoever reads this, {P} has the spare dongle ({T})
-please forward to {E} and drop me at {T}, thx
-contact = "{E}"  # owner of the restart script
-Questions go to {E} or {T}.
-mailto:{E}?subject=restart
-cc {E}, {E}
-Author: {P} <{E}>
-From: {P} <{E}>\nTo: {E}\nSubject: sub-simulation results
+<ADV> {P} <VERB>.
+<ADV> {P} and {P} <VERB>.
+{P} <VERB>.
+{P} <VERB> and <VERB>, <ADV> {P} did too.
+<ADV>, {P} <VERB>.
+I met {P}, who <VERB>.
+I asked {P} about <THING>.
+Could someone ask {P} about <THING>?
+Please talk to {P} before you touch <THING>.
+My <ROLE> is {P}, and the other one is {P}.
+Our <ROLE> {P} <VERB>.
+our <ROLE> {P} <VERB>
+The <ROLE> is {P}.
+The <ROLE>, {P}, <VERB>.
+<THING> belongs to {P}.
+<THING> was left by {P} on <DAY>.
+Bring <THING> to {P}, please.
+We thank {P} for <THING>.
+We are grateful to {P}, {P} and {P} for help with <THING>.
+Thanks to {P}!
+Thanks go to {P}.
+Congratulations to {P}!
+<LABEL>: {P}
+<LABEL>: {P}, {P}, {P}
+<LABEL> {P}
+<LABEL>: {P}; {P}
+<LABEL>={P}; <THING>
+According to {P}, <THING> is gone.
+As {P} said, <THING> is late.
+said {P}.
+written by {P}.
+Taken by {P}.
+Photo: {P}
+Talk by {P} on <DAY>, room 4.
+Meeting with {P} at noon.
+Lunch with {P} on <DAY>.
+- {P}
+1. {P}
+* {P} (<ROLE>)
+{P}, <ROLE>
+{P} ({E})
+{P} <{E}>
+{P}; {P}; {P}
+<HEY> {P},
+<HEY> {P}, <THING> is ready.
+<HEY> {P}!
+<BYE>,\n{P}
+<BYE>\n{P}\n{E}
+<BYE>,\n{P}\n{T}
+<BYE>,\n{P}\n{A}
+<BYE>, {P}
+--\n{P}\n<TEL> {T}
+--\n{P}\n{E}
+@{P}: can you bring <THING>?
+From: {P} <{E}>\nTo: {P} <{E}>\nSubject: <THING>
+"owner": "{P}", "mail": "{E}", "tel": "{T}"
 name;phone;mail\n{P};{T};{E}
 {P};{T};{E}
-Payroll wants {I} for {P} before the allocation is charged.
-Access form for {P}, {I}, was countersigned on Monday.
-DNA kit pickup requires {I} and a photo.
-Visitor badge issued on {I}; home address given as {A}.
+{P}\t{E}\t{T}
+author = "{P}"
+Nobody told {P} or {P}.
+This one is for {P}.
+See what {P} did with <THING>?
+The account of {P} was closed.
+The car of {P} is blue.
+{P}'s desk is empty.
+It was {P} who <VERB>.
+Neither {P} nor {P} <VERB>.
+Ask {P}; {P} knows.
+Between {P} and {P} there was no doubt.
+Supervised by {P} until <DAY>.
+Interview: {P}, {P}.
+a letter from {P} to {P}
+<TITLE> {S} <VERB>.
+<ADV> <TITLE> {S} <VERB>.
+<TITLE> {P} <VERB>.
+I told <TITLE> {S} and <TITLE> {S}.
+Please remind <TITLE> {S} of <THING>.
+Dear <TITLE> {S},
+the office of <TITLE> {S}
+<TITLE> {S} (<TEL> {T})
+<TITLE> {S} lives at {A}.
+<DADV> {P} <DVERB>.
+{P} <DVERB>.
+<DADV> <DVERB> {P}.
+Ich habe mit {P} gesprochen.
+Bitte fragen Sie {P}.
+Das Buch gehört {P}.
+Unser Nachbar {P} <DVERB>.
+Vielen Dank an {P} für die Hilfe.
+<DTITLE> {S} <DVERB>.
+Sehr geehrte Frau {S}, sehr geehrter Herr {S},
+Das sagte <DTITLE> {S} am Telefon.
+Zuständig ist {P}, Zimmer 12.
+Für {P} liegt ein Paket bereit.
+<DTITLE> {S} wohnt in der {A}.
+Wohnhaft: {A}
+Ich wohne {A}.
+Bitte an {A} schicken.
+Die Rechnung geht an {P}, {A}.
+Lieferung nach {A} am <DAY>.
+Die Werkstatt ist jetzt {A}.
+Ruf mich unter {T} an.
+Seine Nummer ist {T}.
+Erreichbar unter {T} oder {E}.
+Schreib an {E}, bitte.
+Meine Adresse: {E}
+<FADV> {P} <FVERB>.
+{P} <FVERB>.
+Je remercie {P} pour le gâteau.
+J'ai parlé avec {P}.
+Merci de prévenir {P}.
+Le livre est à {P}.
+Notre voisin {P} <FVERB>.
+<FTITLE> {S} <FVERB>.
+Demandez à <FTITLE> {S}.
+M. {S} <FVERB>.
+<FADV> M. {S} et Mme {S} <FVERB>.
+<FTITLE> {S} habite {A}.
+J'habite au {A}.
+Elle vit {A}, je crois.
+Le colis part pour {A}.
+Facture pour {P}, {A}
+Appelez-moi au {T}.
+Mon numéro est le {T}.
+Joignable au {T} ou par {E}.
+Écrire à {E}, merci.
+<SADV> {P} <SVERB>.
+{P} <SVERB>.
+Hablé con {P}.
+Gracias a {P} por el libro.
+Pregunte a {P}.
+El libro es de {P}.
+Nuestro vecino {P} <SVERB>.
+<STITLE> {S} <SVERB>.
+Dígaselo a <STITLE> {S}.
+<STITLE> {S} vive en {A}.
+Vivo en {A}.
+El paquete va a {A}.
+Factura para {P}, {A}
+Llámame al {T}.
+Mi número es el {T}.
+Escriba a {E}, por favor.
+Contacto: {E} o {T}
+<TEL> {T}
+<TEL>: {T}
+<TEL> {T}, thanks
+<TEL> is {T}
+<TEL> {T} or {T}
+My number is {T}.
+Her new number: {T}
+Her <TEL> number is {T}.
+My other number is {T}.
+If nobody opens, try {T}.
+If it rains, <TEL> {T}.
+You can reach us at {T}.
+Reach {P} at {T} or {E}.
+The desk answers on {T}.
+<TEL> me on {T} after six.
+{P} {T}
+{P}, {T}
+{P} ({T})
+{T} ({P})
+{T}
+For <THING>, <TEL> {T}.
+Leave a message at {T}, line is open until ten.
+Emergency: {T}
+contact <ROLE> at {T}
+the line {T} is dead
+{E}
+Mail {E}
+mail: {E}
+e-mail: {E}
+E-mail {E} or <TEL> {T}.
+Write to {E} about <THING>.
+Send <THING> to {E}.
+Send it to {E} tonight.
+Address questions to {E}.
+He answers faster at {E}!
+Username is {E}, without spaces.
+Bounced: {E}
+cc {E}, {E}
+mailto:{E}?subject=hello
+<{E}>
+({E})
+Reply-To: <{E}>
+contact="{E}"
+old login {E} is closed, use {E}
+{E} is read on <DAY>.
+via {E} or {T}
+I moved to {A}.
+I moved to {A} last month.
+{A}
+Address: {A}
+Home address: {A}
+address {A}
+New address\n{A}
+Mailing address:\n{A}
+Ship to:\n{P}\n{A}
+Send <THING> to {A}.
+Send <THING> to {A} by <DAY>.
+Return <THING> to {P}, {A}.
+Her flat is at {A}.
+She grew up at {A}, near the river.
+We live at {A}; <TEL> {T}.
+The shop ({A}) is closed.
+The courier left it at {A} with the <ROLE>.
+Bills go to {A}.
+Post it to {A} please.
+Please change my address to {A}.
+The party is at {A} on <DAY>.
+registered at {A} until <DAY>
+lived at {A} until <YEAR>, then moved
+at {A} since <YEAR>
+The <ROLE> at {A} <VERB>.
+Visit us at {A}.
+Adresse : {A}
+Anschrift: {A}
+Adresse: {A}
+Dirección: {A}
+Domicilio: {A}
+{I}
+{I}.
+My {I}.
+Her {I} was scanned.
+His {I} has expired.
+the {I} of the <ROLE>
+The applicant's {I}.
+{P}, {I}
+{P} has {I}.
+{I} ({P})
+{I} on record.
+<IDCUE> {N} was shown.
+<IDCUE> {N}
+<ROLE> {P}, {I}, was let in.
+We need the number again; {I}?
+The form asks for it, {I}.
+Please black out the {I} in <THING>.
+Payment to {P}, {I}, on <DAY>.
 The form lists {P}, {A}, {T}, {I}.
-The workstation at {A} still mounts the old scratch volume.
-Best,\n{P}\n{A}
-Regards\n{P}\ntel. {T}
-Best,\n{P}\n{E}\n{T}
---\n{P}\n{E}
---\n{P}\ntel. {T}
-Regards,\n{P}
-Thanks,\n{P}
-Cheers\n{P}\n{A}
-Best,\n{P}\n{T}
-{P} has the spare key ({T})
-Mail {E} and drop me at {T}, thx
-My number is {T}; the desk is at {A}.
-Send the drive to {A} by Friday.
-Write to {E} with questions.
-Questions go to {E} or {T}. Then wait.
-Reach us at {E} or {T}.
-Send it to {E} or call {T}.
-En cas d’urgence, appeler le {T}.
-En cas de panne, appeler le {T}.
-Best,\n{P}\n{A}
-Herr {S} meldet sich unter {T} oder {E}.
-Frau {S} hat die Startstruktur geprüft.
-Herr {S} hat die Daten geprüft.
-Telefonisch erreichbar unter {T}.
-Rückfragen an {P}, {E}.
-Die Platten gehen an {P}, {A}.
-Lieferanschrift: {A}, zu Händen {P}
-Der Rechner steht in {A}.
-{P} rechnet seit Montag neu.
-Für den Zugang von {P} liegt {I} vor.
-Vertrag von {P} mit {I} liegt bei.
-Bitte an {E} schreiben oder {T} anrufen.
-Mme {S} a relu le protocole ; tél. {T}.
-M. {S} habite au {A}.
-Mme {S} habite au {A}.
-Les disques sont à envoyer à {A}.
-En cas de panne, appeler le {T}.
-Merci à {P} pour la correction du décalage.
-Contrat signé par {P}, {I}.
-Dossier de {P}, {I}, transmis hier.
-Écrire à {P} ({E}) pour les trajectoires brutes.
-copie à {E} et {E}.
-Enviar los discos a {A}.
-{P} vive en {A}.
-Llamar al {T} si se detiene la cola.
-Preguntar a {P} por las trayectorias, {E}.
-Acceso de {P} con {I} ya tramitado.
-El contrato de {P}, {I}, está firmado.
-Sr. {S} revisó la membrana; correo {E}.
-Sra. {S} revisó la membrana; correo {E}.
-La Dra. {S} revisó la membrana; correo {E}; tel. {T}
-Gracias a {P} por corregir el desfase.
-Contacto: {P}, {E}; tel. {T}
+The <IDCUE> of {P} is {N}.
+The <IDCUE> for my <ROLE> is {N}.
+<IDCUE> of the <ROLE>: {N}
+<IDCUE> ({N}) must not be kept.
+<IDCUE> (no. {N}) was copied.
+The <ROLE> wrote the <IDCUE> on the wall, {N} I think.
+<IDCUE>, as printed: {N}
+The <ROLE> showed the <IDCUE> {N} at the gate.
+{N} is the <IDCUE> of {P}.
+Mein {I}.
+Sein {I} ist abgelaufen.
+Der <IDCUE> von {P} lautet {N}.
+Für {P} liegt {I} vor.
+Mon {I}.
+Son {I} a été copié.
+Le <IDCUE> de {P} est {N}.
+Dossier de {P}, {I}.
+Mi {I}.
+Su {I} ha caducado.
+El <IDCUE> de {P} es {N}.
+Expediente de {P}, {I}.
 """.strip().split("\n")
 
-NEGATIVES = """
-The Abendroth thermostat with a friction of 1.965 gave the cleanest density profile, as in XN5_R8.
-The Holmbrandt thermostat with a friction of 2.0 held.
-Ref. 10.1294/sim.2056229001 describes the Sorvell barostat in more detail (run 6308-7906-06).
-Ref. 10.42/abc.1 describes the Marrenfeld barostat.
-The Kasterloh integrator and the Tessarow restraint were compared.
-The Lindqvist coupling and the Brannor constraint agree.
-Run key 3440-2168-97 belongs to the third sweep; do not mix it with 8723-7074-89.
-Run key 8410-2214-06 belongs to the first sweep.
-Log 8562-6772-55: Atoms of the second loop were wrapped into the neighbouring image, hence the jump at 365 ns at 310.78 K.
-Trajectory 8536-4369-06 was cut at 43 ns with torqex.
-rsync rep247@node227:/scratch/latchmd/rep7/saved_variables/23 stalled twice, nothing lost.
-scp user12@login3:/scratch/out/12 done
-Selected from md@node4, see root@gpu17 for logs.
-Selection used: resid 353 to 5538 and name CA, about window 324-6810.
-Selection used: resid 18 to 11380 and name CA, about window 284+4922.
-Selection used: resid 280 to 1980 and name CA, about window 164-94-6488
-Frames 1200-3400 and 5100+240 were dropped.
-Plots for BN29_R8 are in the shared folder, tab Panel North, measured from the toggle residue.
-We kept A:PRO:446 charged and saw the salt bridge to A:GLU:206 in 56 percent of the frames.
-Contact R:VAL:352-B:LEU:204 appears in D23_R3 but never in L5_R9.
-Replacing A:GLU:208 abolishes the contact, A:ALA:155 takes over.
-Memory use peaked at 238 GB while building the distance matrix for 286 frames.
-Seed 1953850634 reproduces the crash in latchmd.
-Startwert 2490304645 wiederholt den Absturz, wie in DL8_R8.
-Index 242 in /scratch/torqex/rep5/saved_variables/39 points to a missing box vector.
-PC1 explains 22 percent and separates DL8_R8 from GL1_R3 neatly.
-The docking score of pose 210 is 3.717 lower than that of the reference pose.
-Hydrogen masses were raised to 2.354 amu and the heavy atoms lightened to match.
-Position 4.46 lines up with B:ARG:366 once the offset of 197 is taken into account.
-Set `n_replicates=396` and rerun; the default was meant for the G-protein peptide.
-Checkpoint 366 holds 10886 frames and 62 states, as in GL1_R3.
-[13:26] DT7_R7 Minor: Checkpoint 377 holds 8345 frames and 23 states.
-# latchmd notes 50
-Result for QD1_R2: minotor writes its mixing counts every 70 steps, gridfold does not, cf. position 4.40.
-Neither DLT4_R6 nor FK4_R8 shows the bridge between A:VAL:2 and A:GLY:283.
-Two of the 389 replicas never visit the lowest state, still to be checked.
-Die Abstandsmatrix für 39 Bilder brauchte 65 GB Speicher (Lauf 5626-7746-24).
-Herr der Daten ist das Projekt; Stand 72: Bei 339.44 K tauschen die Stufen kaum noch aus.
-Die Salzbrücke von A:ALA:28 zu A:GLN:431 hält in 86 Prozent der Bilder, siehe /scratch/ladderman/rep13/saved_variables/35.
-Hinweis: Nach 967 ns wandert die Doppelschicht um 8.0 Ångström.
-Le pont salin entre A:GLN:216 et A:GLN:290 tient dans 18 pour cent des images (série 9311-9512-62).
-Note : À 347.73 K les échanges deviennent rares, comme pour D23_R3.
-KLF16_R8 a redémarré à l’itération 224 après un arrêt de gridfold.
-La matriz de 394 fotogramas ocupa 349 GB (serie 1013-2401-78).
-Día 42: Falta el contacto A:ARG:248-A:GLU:361 en XX17_R6, como en NF17_R9.
-A 361.87 K casi no hay intercambio.
-Students observe that one cracked glycan cluster splits no control since the mass ratio is counted.
-What change misleads most if the seldom padded carbonyl crown ignores the exit? (A) that shorter plateau (B) no hidden average (C) that rougher ladder (D) a smallest reference
-Table 399 lists 4097 copies of an twice protonated catalytic wire, most of them thawed about one axis.
-Between windows 844 and 64485 this coupled sterol staple forgets the seventh window.
-A loop of 34 residues was rebuilt around A:ALA:364 in all but 34 cases.
-In short: For NF17_R9 the median fingerprint has 308 bits set. TODO check the sign of B:CYS:34.
-FYI Second look: Again: Update 50: Observation 345: Day 46: Summary. Bilan 98 : Nota:
-Energy of the complex settles near -3566 kcal/mol in X22_R1 with gridfold.
-The upper rung at 344.06 K exchanges poorly with its neighbour, so a rung was inserted at 325.41 K.
-Weights from minotor sum to one within 3.775.
-Frequency of R:VAL:265 to B:GLY:320 fell from 0.393 to 0.678 between checkpoints 184 and 262.
-We looked at it at noon; dot products at frame 12 dot the plot.
-Meet at the lab at 10. The Panel South tab and the Monte Carlo run were merged, Van der Waals terms kept.
-The Verlet list and the Ewald sum were recomputed in Fortran and Python on Linux.
-Best fit of 12 runs. Regards the loading, see Table 4 and Figure 12.
-Convergence check 83 failed on the torsion matrix, 1.156 against 2.935 before.
-Half of the walkers are stuck above 355.62 K after rebuild 156.
-Loaded 11068 frames, kept 122, the remainder belonged to an older ladder.
-Volume shrinks by 3.373 percent while the second loop fills up.
-Only 308 structures carry every required label, the rest were dropped, as in QD1_R2.
-Skipped the first 377 iterations of each sub-simulation as usual, n = 272.
-We never resolved why A:MET:370 flips between 555 and 952 ns.
-The eigenvalue gap after component 91 is 1.463 (run 5214-4670-19).
-After 305 ns the the bilayer drifts by 2.9 angstrom and then stays put.
-Torsion space looks converged; the contact matrix does not, which is why torqex keeps going.
-Averaging over 61 repeats brings the error of the sodium site to 2.972 after rebuild 270.
-Both leaflets were trimmed to the box of the bilayer plus 5.9 angstrom.
-Cluster 329 contains 9244 members and a lone outlier from QV24_R9, unlike PN12_R1.
-The ligand of AK12_R7 keeps touching R:LYS:148 through a water that never leaves in all but 43 cases.
-The grid covers the toggle residue with a spacing of 2.645 angstrom.
-Force constants were relaxed in 55 stages, the last one lasting 1069 ns.
-No contact passed the cutoff in frame 4623, which counts as an empty row.
-Superposing on helix 6.39 hides the tilt of the second loop, cf. position 1.65.
-Distances are in nanometres here, in angstrom in /scratch/minotor/rep11/saved_variables/33, n = 368.
-The heat map of PA4_R4 is dominated by A:ASP:317 with fluxpool.
-Helix 6.43 has a gap of 306 residues that the model closes with a loop.
-Nothing in /scratch/minotor/rep18/saved_variables/30 matches the topology, so the atom count was inferred.
-Restart files older than iteration 304 were purged.
-Water bridges were left out because they swamp the fingerprint of the second loop.
-Alignment on the conserved positions leaves 7.3 angstrom for the sodium site.
-Charge of the N-terminal tail had to be spread over 219 atoms.
-The scan over the N-terminal tail took 84 hours on 88 nodes.
-Density of the inner vestibule is off by 90 percent near the lower leaflet.
-BN29_R8 was restarted from iteration 208 after the fluxpool job ran out of wall time.
-Swapping the G-protein peptide for the N-terminal tail moved the minimum by 3.6 angstrom.
-Swapping helix six for the bilayer moved the minimum by 8.6 angstrom
-Reading /scratch/gridfold/rep4/saved_variables/46 takes longer than the clustering itself.
-At 354.90 K the pocket opens, at 326.91 K it is shut
-Position 2.39 entspricht A:PHE:72, wie in HPH10_R8. Bei 357.00 K tauschen die Stufen kaum noch aus.
-Der Kontakt A:PRO:313-R:CYS:184 fehlt in FK4_R8. Die Energie liegt bei -9309 kcal/mol.
-TT1_R4 wurde ab Iteration 210 neu gestartet, weil gridfold die Laufzeit überschritt.
-L’énergie du complexe reste proche de -3682 kcal/mol. Le contact B:LYS:14-R:ARG:384 manque dans AV26_R6.
-La position 7.43 correspond à A:LYS:282. La matrice de 372 images occupe 164 Go. Après 639 ns, le ligand dérive de 3.6 angströms.
-Tras 916 ns, la bicapa se desplaza 5.6 angstroms. La posición 3.32 corresponde a A:TYR:329. La energía ronda -2415 kcal/mol.
-El puente salino entre A:GLN:331 y A:PRO:61 dura el 16 por ciento. LVK16_R3 se reinició porque latchmd agotó el tiempo.
-TABLE 399 LISTS 4097 COPIES OF AN TWICE PROTONATED CATALYTIC WIRE, MOST OF THEM THAWED ABOUT ONE AXIS EVEN THOUGH THE REFEREE REMAINS TINY.
-STUDENTS OBSERVE THAT ONE CRACKED GLYCAN CLUSTER SPLITS NO CONTROL UNLESS ANY COUNTERION TURNS ANISOTROPIC, WHEREAS THEIR SLOT MERELY FOLLOWS THE REFERENCE.
-SUPPOSE A SELDOM RESTRAINED ZINC LADDER IS ROTATED TOWARD THE WALL AT 206 KELVIN FOR 22320 PICOSECONDS; NOBODY HAD SCORED SUCH ION STAYS ENTROPIC.
-Nobody had mutated overnight such almost glassy lipid cluster before, yet hinge tree number 413 splits the noise floor while the referee turns anisotropic.
-When 39386 spectators surround our carbonyl shell, another barely glassy disulfide wire ignores the noise floor. In trial 24, some peptide linker is copied.
-about window [318, 7347] in all but 36 cases.
-and name CA, about window 364/2697.
-resid 12 to 9912 and name CA, about window 329 to 8813 (run 1642-2954-29).
-and name CA, about window 164-94-6488, pending a longer run.
-and name CA, about window 284+4922, cf. position 7.28.
-and name CA, about window 324-6810 with minotor.
-and name CA, about window 324 6810.
-and name CA, about window 324.6810
-and name CA, about window 324, 6810, measured from the bilayer.
-Author list is open. From: the queue. Name of the file: run_12.tsv
+# Without personal data. {F} a family name, {G} a town, {K} a key of digits or letters, {D} digits.
+NEGATIVES = r"""
+The {F} <NOUN> was used.
+The {F} <NOUN> with a factor of {D} works best.
+the {F} and {F} <NOUN>s
+{F} <NOUN>s are slow.
+We tried the {F}-{F} <NOUN> next.
+{F} {F} <NOUN>s were taken from a book.
+A {F} <NOUN> and the {F} <NOUN> agree, the {F} <NOUN> does not.
+in the {F} <NOUN>, as shown by {F} et al.
+Das {F}-Verfahren und der {F}-Test sind bekannt.
+Der Thermostat nach {F} hält die Temperatur.
+La méthode de {F} et le test de {F} sont connus.
+El método de {F} y la prueba de {F} son lentos.
+She studied at <ADJ> <ORG> in {G}.
+{G} <ORG> and <ADJ> <ORG> agreed.
+The <ORG> of {G} opened on <DAY>.
+{F} <ORG> of <CAPN>
+the {F} <ORG> in {G}
+{F} <ADJ> <ORG> and {F} <ORG>
+the {M} {F} <ORG> is a partner
+{M} {F} <ORG>
+San {F} and Santa {F} are towns; San {F} is larger.
+A {F} <NOUN> was fitted. A {F} and a {F}.
+{F} GmbH, {F} & Sons and {F} Ltd. are suppliers.
+<ADJ> <CAPN> and <ADJ> <CAPN> are projects.
+The <ADJ> <CAPN> is near {G}.
+<ADJ> <CAPN> <CAPN> {D}
+A <ADJ> <CAPN> was built with <CAPN> <CAPN>.
+The paper appeared in <CAPN> <CAPN> in <DAY>.
+<CAPN> <CAPN>
+<ADJ> <CAPN>
+# <ADJ> <CAPN>
+Chapter {D}: <ADJ> <CAPN> and <CAPN>
+{G} and {G} are both on the list.
+We flew from {G} to {G} on <DAY>.
+The train to {G} leaves at {D}:30.
+<DAY> in {G} was cold.
+In {G}, <DAY> was a holiday.
+Das Treffen findet am <DAY> in {G} statt.
+Die Universität {G} hat zugesagt.
+Die Technische Hochschule {G} und das Rathaus sind zu.
+Der Zug nach {G} hat Verspätung.
+L'université de {G} a répondu.
+Le train pour {G} part lundi.
+La Universidad de {G} envió los datos.
+El tren a {G} sale el lunes.
+Das Auto steht vor dem Haus, die Tasche liegt im Keller.
+Die Rechnung wurde bezahlt, der Vertrag liegt bei.
+Der Server ist neu gestartet worden, die Daten sind da.
+Bitte die Tür schließen und das Licht ausschalten.
+Die Sitzung beginnt um neun Uhr im großen Saal.
+Mein Hund mag den Garten, meine Katze nicht.
+Der Drucker im Flur ist kaputt; Ersatz kommt Freitag.
+Heute Abend gibt es Suppe, danach Kuchen.
+Die Energie des Systems sinkt nach dem Neustart.
+Am Ende der Woche wird der Speicher geleert.
+Herr der Ringe ist ein Buch.
+Frau und Mann kamen zu spät.
+Neue Version: Fehler behoben, Menü erweitert.
+Die Messung wurde in der Nacht wiederholt.
+Im Sommer fährt der Bus seltener.
+Das Institut bleibt über Weihnachten geschlossen.
+Fragen zum Ablauf beantwortet das Sekretariat.
+Das Ergebnis der Prüfung steht noch aus.
+Le serveur a redémarré, les données sont là.
+Merci de fermer la porte et d'éteindre la lumière.
+La réunion commence à neuf heures dans la grande salle.
+L'imprimante du couloir est en panne.
+Ce soir il y a de la soupe, puis du gâteau.
+L'énergie du système baisse après le redémarrage.
+Monsieur et madame sont sortis.
+Nouvelle version : erreurs corrigées, menu élargi.
+En été le bus passe moins souvent.
+Le rapport sera prêt vendredi prochain.
+El servidor se reinició, los datos están ahí.
+Por favor cierre la puerta y apague la luz.
+La reunión empieza a las nueve en la sala grande.
+La impresora del pasillo está rota.
+Esta noche hay sopa y luego pastel.
+La energía del sistema baja tras el reinicio.
+Nueva versión: errores corregidos, menú ampliado.
+En verano el autobús pasa menos.
+El informe estará listo el viernes.
+Señor y señora salieron.
+The server was restarted and the data are there.
+Please close the door and turn off the light.
+The printer in the hall is broken; a new one comes on <DAY>.
+Tonight there is soup, then cake.
+Energy drops after the restart.
+Memory use peaked at {D} GB in step {D}.
+Nothing was lost, but <THING> has to be copied again.
+How long does it take? Nobody knows.
+Students observe that one cluster splits while the others grow.
+What happens if the rate is doubled? (A) it rises (B) it falls (C) nothing (D) all of them
+Help, there is smoke in the kitchen!
+New version: bugs fixed, menu extended. Read the notes.
+Note: <THING> is gone. Summary: no change. FYI second look. TODO check it.
+[13:{D}] Warning: disk almost full.
+Day {D}: rain. Day {D}: sun.
+Update {D}: done. Observation {D}: none.
+READ THE WHOLE TEXT BEFORE YOU ANSWER ANY OF THE QUESTIONS.
+MOST OF THE BOXES WERE MOVED EVEN THOUGH THE ROOM WAS SMALL.
+TODO FIXME WARNING ERROR
+Best of three. Regards aside, it holds. Thanks for nothing!
+Best fit of {D} points, see Table {D} and Figure {D}.
+Contact map and contact list were merged. Name of the file: out_{D}.txt
+Author list is open. From: the queue. Owner: nobody.
+Mr and Mrs are titles. Dr means doctor, Prof. is short.
+Call it a day. Phone it in. Fax machines are old. Text is plain.
+The number {D} is prime; number {D} is not.
+The phone is broken since <DAY> {D}.
+Passport control opens at {D}. The ID field is empty. Tax rises by {D} percent.
+The <IDCUE> was not checked. No <IDCUE> is stored here.
+Address the issue in chapter {D}, street by street.
+The street is wet. The box is full. Rue the day.
+<KEYWORD> {K} failed.
+<KEYWORD> {K} and <KEYWORD> {K} were merged.
+The <KEYWORD> {K} belongs to <KEYWORD> {K}; do not mix it with {K}.
+see <KEYWORD> {K}
+(<KEYWORD> {K})
+<KEYWORD> number {K}
+<KEYWORD> no. {K} was shipped on <DAY>.
+index {D} of the <KEYWORD> {K}
+Total: {D},{D},{D}.{D} EUR, <KEYWORD> {K}
+{D} EUR, {D} USD and {D} kg
+Frames {D} to {D} were dropped.
+Frames {D}-{D} and {D}+{D} were dropped.
+frames {D}:{D}, window [{D}, {D}], range {D}/{D}
+window {D}-{D}-{D} and name CA, resid {D} to {D}
+window {D} {D}, {D}.{D}
+from step {D} to step {D} in {D} rounds
+rsync u{D}@node{D}:/scratch/out/{D} stalled.
+scp root@gpu{D}:/home/data done, see admin@login{D} for logs
+copy md{D}@host{D}:/work/run_{D}/x.tsv here
+logged in as user{D} on node{D}
+git@server:team/repo was cloned into /opt/{D}
+Reading /scratch/abc/rep{D}/vars/{D} takes long.
+Set `n={D}` and rerun; def f(x): return x + {D}
+import os; path = "/data/{D}/out.txt"
+At {D}.{D} K, {D} percent of {D} copies agree, n = {D}.
+It costs {D},{D}.{D} EUR, {D} % off.
+On 2021-0{D}-1{D} at 12:{D}:{D} the IP 10.{D}.{D}.{D} was blocked.
+Version {D}.{D}.{D} of 3.{D}.2022 is out.
+Published in <DAY> {D}, pages {D}-{D}.
+doi 10.{D}/abc.{D}.{D} and arXiv 20{D}.{D}
+Ref. 10.{D}/sim.{D}{D} has more (<KEYWORD> {K}).
+ISBN 978-{D}-{D}-{D}-0
+energy near -{D}.{D} kcal/mol, {D}.{D} angstrom
+A:ALA:{D} touches B:TRP:{D} but not R:VAL:{D}.
+Residue ASP {D}, position {D}.{D}, chain A.
+<CAPN> {D}, <CAPN> {D} and <CAPN> {D}
+The Panel <CAPN> tab and the Monte Carlo run were merged.
+Van der Waals terms, Nosé Hoover chains, Lennard Jones parameters, Markov chains.
+Linux, Python, Fortran and Excel are installed; Windows is not.
+English, French, German and Spanish are spoken.
 """.strip().split("\n")
 
-KINDS = {"P": "person", "S": "person", "E": "email", "T": "phone", "A": "address"}
+KINDS = {"P": "person", "S": "person", "E": "email", "T": "phone", "A": "address", "N": "id_number"}
+
+
+def expanded(template: str, r: random.Random) -> str:
+    while "<" in template:
+        new = re.sub(r"<([A-Z]+)>", lambda m: r.choice(CHOICES[m[1]].split("|")), template)
+        if new == template:
+            return new
+        template = new
+    return template
+
+
+def _cased(text: str, r: random.Random) -> str:
+    return text[:1].upper() + text[1:] if r.random() < 0.8 else text
 
 
 def filled(template: str, fill: Fill) -> str:
     """The template with marked values: \\x01 kind \\x02 value \\x03."""
-    make = {"P": fill.person, "S": fill.surname, "E": fill.email, "T": fill.phone, "A": fill.address}
-    out = template.replace("\\n", "\n")
+    out = _cased(expanded(template, fill.r), fill.r).replace("\\n", "\n").replace("\\t", "\t")
+    if "{I}" in out:
+        out = out.replace("{I}", expanded("<IDCUE><LINK>", fill.r).rstrip(" ") + " {N}")
+        out = out.replace("= {N}", fill.r.choice(["={N}", "= {N}"]))
+    make = {"P": fill.person, "S": fill.family, "E": fill.email, "T": fill.phone, "A": fill.address, "N": lambda: fill.mix() if fill.r.random() < 0.08 else fill.number()}
     for slot, f in make.items():
         while f"{{{slot}}}" in out:
             out = out.replace(f"{{{slot}}}", f"\x01{KINDS[slot]}\x02{f()}\x03", 1)
-    while "{I}" in out:
-        out = out.replace("{I}", fill.identity(), 1)
     return out
 
 
-def labelled(copies: int = 20, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """(text, [(start, end, kind)]): each template ``copies`` times, between sentences without personal data."""
+def key(fill: Fill) -> str:
+    """A run's key: groups of digits, or letters and digits."""
+    r = fill.r
+    if r.random() < 0.7:
+        return fill.digits(r.choice("---_/").join("9" * r.randrange(2, 6) for _ in range(r.choice([2, 3, 3, 3, 4]))))
+    return r.choice([fill.digits("9" * r.randrange(6, 11)), fill.digits("XX99_R9"), fill.digits("X9_R99"), fill.digits("XXX9_R9"), "%08x" % r.randrange(1 << 32), fill.digits("XX-99999")])
+
+
+def negative(template: str, fill: Fill) -> str:
+    r = fill.r
+    out = _cased(expanded(template, r), r).replace("\\n", "\n")
+    town = lambda: fill.town() if r.random() < 0.9 else f"{r.choice(['San', 'Santa', 'Saint', 'New', 'Los', 'Port', 'El', 'Bad', 'North'])} {fill.family()}"
+    make = {"F": fill.family, "M": fill.given, "G": town, "K": lambda: key(fill), "D": lambda: str(r.choice([r.randrange(10), r.randrange(100), r.randrange(1000), r.randrange(100_000)]))}
+    for slot, f in make.items():
+        while f"{{{slot}}}" in out:
+            out = out.replace(f"{{{slot}}}", f(), 1)
+    return out.upper() if r.random() < 0.06 else out
+
+
+def labelled(copies: int = 14, seed: int = 11, templates: list[str] | None = None, negatives: list[str] | None = None, quiet: int = 16) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(text, [(start, end, kind)]): each template ``copies`` times, between sentences without personal data, which also
+    stand alone ``quiet`` times each."""
+    templates, negatives = templates or TEMPLATES, negatives or NEGATIVES
     fill, rows = Fill(seed), []
-    numbers = str.maketrans("", "")
-    for t in TEMPLATES * copies:
-        before, after = (fill.r.choice(NEGATIVES).translate(numbers) if fill.r.random() < 0.5 else "" for _ in range(2))
-        joint = fill.r.choice([" ", "\n", "\n\n", ". ", "\n- "])
+    for t in templates * copies:
+        before, after = (negative(fill.r.choice(negatives), fill) if fill.r.random() < 0.45 else "" for _ in range(2))
+        joint = fill.r.choice([" ", " ", "\n", "\n\n", "\n- "])
         rows.append(filled(t, fill).join([before[-60:] + joint if before else "", (fill.r.choice([" ", "\n", " "]) + after[:60]) if after else ""]))
-    rows += [t.upper() for t in NEGATIVES if fill.r.random() < 0.7 and "X" not in t] * 2
-    rows += [fill.digits("".join("9" if c.isdigit() else c for c in t)) if "X" not in t else t for t in NEGATIVES * 5]
+    rows += [negative(t, fill) for t in negatives * quiet]
     return [unmarked(r) for r in rows]
 
 
+def table_words() -> set[str]:
+    """Every plain word that the grammar itself holds."""
+    text = " ".join([*TEMPLATES, *NEGATIVES, *CHOICES.values()])
+    return {w for w in re.findall(r"[^\W\d_]+", re.sub(r"\{[A-Z]\}|\\[nt]|<[A-Z]+>", " ", text).lower()) if len(w) > 1}
+
+
 def unmarked(marked: str) -> tuple[str, list[tuple[int, int, str]]]:
     text, spans, i = "", [], 0
     while (a := marked.find("\x01", i)) >= 0:
