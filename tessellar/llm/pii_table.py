@@ -115,7 +115,17 @@ class Fill:
         return out.upper() if self.r.random() < 0.08 else out
 
     def phone(self) -> str:
-        if self.r.random() < 0.45:  # any country: a code, then groups
+        pick = self.r.random()
+        if pick < 0.25:  # a code, area, exchange and line, however they are set apart
+            sep = self.r.choice(["-", ".", " ", "", ""])
+            head = self.r.choice(["", "", "", "1", "+1", "+1 "])
+            parts = ["899", self.r.choice(["555", "999"]), self.r.choice(["0999", "9999"])]
+            base = (head + (sep if head in ("1", "+1") and self.r.random() < 0.7 else "")) + sep.join(parts)
+        elif pick < 0.32:  # one blank anywhere
+            code, n = self.r.choice(["+44", "+49", "+33", "+34", "+39", "+1"]), self.r.choice([9, 10])
+            cut = self.r.randrange(2, n - 2)
+            base = f"{code}8{'9' * (cut - 1)} {'9' * (n - cut)}"
+        elif pick < 0.6:  # any country: a code, then groups
             r, sep = self.r, self.r.choice([" ", " ", "-", ".", " ", ""])
             code = r.choice(["+1", "+7", "+44", "+49", "+33", "+34", "+91", "+81", "+86", "+61", "+47", "+353", "+41", "+43", "+351", "+972", "00 49", "0044", "+55", "+27", "+82", "+90"])
             left, groups = r.choice([8, 9, 9, 10, 10, 11]), []
@@ -168,11 +178,15 @@ class Fill:
     def number(self) -> str:
         """A number as state offices of several countries issue them."""
         known = (
-            "899-99-9999|899 99 9999|899999999|XX999999X|XX 99 99 99 X|899999-9999|8999999999|X09999999|899999999|X99999999|XX9999999|XXX999999|99XX99999|89 999 999 999|89999999999|L99X99X99|X9X9X99X9|X99X9999X|89/999/99999|8 99 99 99 999 999 99|8 99 99 99 99 999 999 99|"
+            "899-99-9999|999-99-9999|899 99 9999|899999999|XX999999X|XX 99 99 99 X|899999-9999|8999999999|X09999999|899999999|X99999999|XX9999999|XXX999999|99XX99999|89 999 999 999|89999999999|L99X99X99|X9X9X99X9|X99X9999X|89/999/99999|8 99 99 99 999 999 99|8 99 99 99 99 999 999 99|"
             "899999999999|89999999X|89999999-X|89.999.999-X|X-8999999-X|X8999999X|89-9999999|89 99999999 99|89/99999999/99|89 999999 X 999|X999-9999-9999|X9999999|XXXXX999999X99|X99X99X9X|899999999X|899.999.999-99|X 9999 9999"
         ).split("|")
         return self.digits(self.r.choice(known))
 
+    def compound(self) -> str:
+        """A German noun."""
+        return self.r.choice(_W1) + self.r.choice(_W2) if self.r.random() < 0.7 else self.r.choice(_W2).title()
+
     def mix(self) -> str:
         return self.digits("".join(self.r.choice("99X") for _ in range(self.r.randrange(7, 11)))) + self.digits("999")
 
@@ -190,6 +204,13 @@ CHOICES = {
     "ORG": "University|Institute|College|Hospital|Museum|Library|Bank|Airport|Foundation|Society|Press|Group|Company|Agency|Committee|Laboratory|School|Ministry|Station|Stadium|Theatre|Council|Church|Hotel|Academy|Centre",
     "ADJ": "National|International|Royal|Central|General|Medical|Technical|European|American|Northern|Public|Federal|Grand|Modern|Advanced|Digital|Global|Applied|Deep|Hidden|Random|Annual|Open|Golden|Black|Red|Blue|Green|Great|United|Free|Fast|Smart|Big|Little|Upper|First",
     "CAPN": "Review|Letters|Journal|Guide|Network|System|Server|Process|Service|Project|Model|Learning|Computing|Report|Gate|Forest|Hat|Bridge|Sea|Street|Party|Office|Table|Day|Award|Prize|Conference|Workshop|Summit|Union|Nations|States|Park|River|Lake|Valley|Mountain|Coast|Island|Palace|Square|Tower|Hill|Dynamics|Physics|Chemistry|Biology|Science|Engine|Studio|Cloud|Linux|Toolbox|Design|Search|Field|Tree|Code|Analysis|Energy|Control|Structure",
+    "UNIT": "ns|ms|s|min|hours|days|weeks|years|GB|MB|TB|km|m|cm|nm|kg|g|K|C|percent|steps|copies|people|pages|frames|files|boxes|points|lines|nodes|cores|members|cells|atoms|states|euros|dollars|miles|units|percent of the cases|kcal/mol|bar|V|Hz|amu|degrees|rounds|items|words|votes",
+    "DUNIT": "ns|Stunden|Tage|Wochen|Jahre|GB|km|Meter|kg|Prozent|Schritte|Seiten|Bilder|Leute|Punkte|Zeilen|Euro|Grad|K|Stück|Kisten|Minuten|Sekunden|Prozent der Fälle",
+    "FUNIT": "ns|heures|jours|semaines|ans|Go|km|mètres|kg|pour cent|pas|pages|images|personnes|points|lignes|euros|degrés|K|caisses|minutes|secondes",
+    "SUNIT": "ns|horas|días|semanas|años|GB|km|metros|kg|por ciento|pasos|páginas|imágenes|personas|puntos|líneas|euros|grados|K|cajas|minutos|segundos",
+    "IT": "The pump|The curve|The box|The second loop|A lamp|The upper floor|This page|The water|The line|Each copy|Half of them|The lower part|The total|The queue|The error|The load|One sample|The wall|Nothing|Everything|The river|The rate|The gap",
+    "STATE": "stopped|rose|fell|stays put|drifts|was cut|was lost|is flat|opened|closed|looks fine|grew|failed|shrank|came back|was rebuilt|is late|was copied|is wrong|moved|jumps|broke",
+    "DIR": "North|South|East|West|A|B|One|Two|Left|Right|Main|Alpha|Beta",
     "YEAR": "2018|2020|1999|2007|2021|next year|now",
     "DAY": "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|May|June|July|August|September|October|November|December",
     "HEY": "Hi|Hello|Dear|Hey|Thanks|Thank you|Hallo|Liebe|Lieber|Bonjour|Cher|Chère|Hola|Querida|Estimado",
@@ -205,7 +226,7 @@ CHOICES = {
     "FVERB": "a appelé|est absent|viendra plus tard|a signé|a déménagé|a perdu la clé|a préparé le dossier|ne répond pas|dirige le groupe|a vendu la voiture|a éteint la lumière|part en vacances|a corrigé le texte",
     "SADV": "Ayer|Hoy|Luego|Según|Por suerte|Desde el lunes|Para|Con|Sin|Quizás|También|Mañana|Después",
     "SVERB": "llamó|no vino|firmó el papel|se mudó|perdió la llave|preparó el informe|no contesta|dirige el grupo|vendió el coche|apagó la luz|está de viaje|corrigió el texto|cambió la fecha",
-    "KEYWORD": "run|job|order|ticket|invoice|batch|seed|series|case|serial|log|sample|trajectory|version|build|record|reference|entry|Lauf|Auftrag|Rechnung|Startwert|série|commande|pedido|serie|lote",
+    "KEYWORD": "run|job|range|interval|section|window|part|key|span|block|point|Bereich|intervalo|plage|order|ticket|invoice|batch|seed|series|case|serial|log|sample|trajectory|version|build|record|reference|entry|Lauf|Auftrag|Rechnung|Startwert|série|commande|pedido|serie|lote",
 }
 
 TEMPLATES = r"""
@@ -287,6 +308,9 @@ a letter from {P} to {P}
 <TITLE> {P} <VERB>.
 I told <TITLE> {S} and <TITLE> {S}.
 Please remind <TITLE> {S} of <THING>.
+<THING> of <TITLE> {S} <STATE>.
+The letter of <TITLE> {S} went out.
+with <TITLE> {S} and without
 Dear <TITLE> {S},
 the office of <TITLE> {S}
 <TITLE> {S} (<TEL> {T})
@@ -326,6 +350,7 @@ Notre voisin {P} <FVERB>.
 <FTITLE> {S} <FVERB>.
 Demandez à <FTITLE> {S}.
 M. {S} <FVERB>.
+M. {S} habite {A}.
 <FADV> M. {S} et Mme {S} <FVERB>.
 <FTITLE> {S} habite {A}.
 J'habite au {A}.
@@ -367,6 +392,16 @@ If it rains, <TEL> {T}.
 You can reach us at {T}.
 Reach {P} at {T} or {E}.
 The desk answers on {T}.
+Drop a line at {T}, please.
+bring <THING>; {T} if it rains
+<THING> is with {P} ({T})
+<TEL> {T} and say the word.
+If it stops, <TEL> {T} and wait.
+"phone": "{T}", "mail": "{E}"
+{E}\n{T}
+{E}; {T}
+{E} {T}
+{T}; {E}
 <TEL> me on {T} after six.
 {P} {T}
 {P}, {T}
@@ -420,6 +455,12 @@ Bills go to {A}.
 Post it to {A} please.
 Please change my address to {A}.
 The party is at {A} on <DAY>.
+The machine at {A} still runs.
+The house at {A} <STATE>.
+New address {A}, tell the <ROLE>.
+Key under the mat at {A}; {T}
+Zu Händen {P}, {A}
+{A}, zu Händen {P}
 registered at {A} until <DAY>
 lived at {A} until <YEAR>, then moved
 at {A} since <YEAR>
@@ -462,6 +503,8 @@ Mein {I}.
 Sein {I} ist abgelaufen.
 Der <IDCUE> von {P} lautet {N}.
 Für {P} liegt {I} vor.
+Zum Antrag von {P} gehört {I}.
+Der {W} von {P} <DVERB>.
 Mon {I}.
 Son {I} a été copié.
 Le <IDCUE> de {P} est {N}.
@@ -474,6 +517,41 @@ Expediente de {P}, {I}.
 
 # Without personal data. {F} a family name, {G} a town, {K} a key of digits or letters, {D} digits.
 NEGATIVES = r"""
+After {D} <UNIT> <IT> <STATE>.
+After {D}.{D} <UNIT>, {D} <UNIT> were left; {D} <UNIT> remain.
+<IT> <STATE> at {D} <UNIT>, hence <IT> at {D} <UNIT>.
+<IT> took {D} <UNIT> on {D} <UNIT>.
+at {D} K. <CAPN> is next. At {D} C. <IT> <STATE>.
+<IT> is shut at {D}.{D} K. <ADJ> <CAPN> <STATE>
+It lasted {D} <UNIT>. The last one took {D} <UNIT>. Wait {D} <UNIT>.
+<IT> <STATE>, {D} of {D} <UNIT> are done.
+<IT> of <IT> <STATE> by {D}.{D} <UNIT>.
+<IT> <STATE> in {D} percent of the <UNIT>.
+{D} <UNIT> and {D} <UNIT> are not the same.
+<DAY> {D}, {D} <UNIT>, page {D}
+Nach {D} <DUNIT> ist die {W} fertig.
+Die {W} hält {D} <DUNIT>, der {W} nur {D} <DUNIT>.
+In {D} Prozent der {W} fehlt der {W}.
+Die {W} für {D} <DUNIT> brauchte {D} <DUNIT>.
+Die {W} ist da. Der {W} fehlt. Das {W} auch.
+{W} und {W} wurden geprüft, siehe {W} {D}.
+Der {W} wandert um {D}.{D} <DUNIT>.
+Hinweis: Die {W} liegt bei {D} <DUNIT>.
+Stand {D}: Die {W} wiederholt den {W} von {K}.
+Alle {W} kamen in den {W}. Kein {W} ohne {W}.
+Eine {W} mit {W} aus {G} kostet {D} Euro.
+Sein {W} und ihre {W} sind neu; mein {W} ist alt.
+Le {V} tient {D} <FUNIT>, la {V} dure {D} <FUNIT>.
+Après {D} <FUNIT>, la {V} de {D} <FUNIT> reste vide.
+La {V} occupe {D} <FUNIT> dans {D} pour cent des cas.
+Note : À {D} <FUNIT> la {V} devient rare.
+Tras {D} <SUNIT>, la {V} se mueve {D} <SUNIT>.
+El {V} dura {D} <SUNIT> en el {D} por ciento de los casos.
+La {V} de {D} <SUNIT> ocupa {D} <SUNIT>.
+Nota: A {D} <SUNIT> casi no hay {V}.
+<CAPN> <DIR> is open, <CAPN> <DIR> is closed.
+in the folder, tab <CAPN> <DIR>
+Wing <DIR>, Gate <DIR>, <ADJ> <DIR>
 The {F} <NOUN> was used.
 The {F} <NOUN> with a factor of {D} works best.
 the {F} and {F} <NOUN>s
@@ -569,6 +647,8 @@ Students observe that one cluster splits while the others grow.
 What happens if the rate is doubled? (A) it rises (B) it falls (C) nothing (D) all of them
 Help, there is smoke in the kitchen!
 New version: bugs fixed, menu extended. Read the notes.
+FYI <CAPN> <STATE>. NB <IT> <STATE>. PS <CAPN> and <CAPN> differ.
+FYI {W} <STATE>. ETA <DAY>. TBD <CAPN>. FAQ <CAPN>.
 Note: <THING> is gone. Summary: no change. FYI second look. TODO check it.
 [13:{D}] Warning: disk almost full.
 Day {D}: rain. Day {D}: sun.
@@ -592,6 +672,10 @@ The street is wet. The box is full. Rue the day.
 <KEYWORD> {K} and <KEYWORD> {K} were merged.
 The <KEYWORD> {K} belongs to <KEYWORD> {K}; do not mix it with {K}.
 see <KEYWORD> {K}
+about {K} and name CA, near {K} in all
+values {K}, {K} and {K}
+between {K} and {K} for <THING>
+<IT> <STATE> at {K}.
 (<KEYWORD> {K})
 <KEYWORD> number {K}
 <KEYWORD> no. {K} was shipped on <DAY>.
@@ -633,6 +717,11 @@ English, French, German and Spanish are spoken.
 KINDS = {"P": "person", "S": "person", "E": "email", "T": "phone", "A": "address", "N": "id_number"}
 
 
+_W1 = "Abstand Wasser Haus Garten Daten Speicher Zeit Strom Druck Licht Stadt Werk Schul Papier Kraft Flug Wetter Buch Fenster Salz Doppel Kern Rand Netz Start Grund Feld Rechen Mess Fehler Laufzeit Haupt Spiel Wand Tür Dach Berg Tal See Wald".split()
+_W2 = "brücke matrix plan raum karte liste zeit wert kette schicht stelle tasche kurve reihe tafel platte prüfung anlage leitung feder stunde decke grenze maschine gabe struktur energie gruppe frage antwort ordnung schiene werk buch blatt punkt bild sprung absturz kasten".split()
+_V = "maison table voiture nube casa mesa noche lampe porte fenêtre ligne courbe matrice série boîte pompe source route página línea curva matriz caja bomba fuente carta sopa mano piedra puerta ventana énergie énergia tension couche capa puente pont membrane muestra échange espera prueba ligand ligando bicapa".split()
+
+
 def expanded(template: str, r: random.Random) -> str:
     while "<" in template:
         new = re.sub(r"<([A-Z]+)>", lambda m: r.choice(CHOICES[m[1]].split("|")), template)
@@ -652,16 +741,18 @@ def filled(template: str, fill: Fill) -> str:
     if "{I}" in out:
         out = out.replace("{I}", expanded("<IDCUE><LINK>", fill.r).rstrip(" ") + " {N}")
         out = out.replace("= {N}", fill.r.choice(["={N}", "= {N}"]))
-    make = {"P": fill.person, "S": fill.family, "E": fill.email, "T": fill.phone, "A": fill.address, "N": lambda: fill.mix() if fill.r.random() < 0.08 else fill.number()}
+    make = {"W": fill.compound, "P": fill.person, "S": fill.family, "E": fill.email, "T": fill.phone, "A": fill.address, "N": lambda: fill.mix() if fill.r.random() < 0.08 else fill.number()}
     for slot, f in make.items():
         while f"{{{slot}}}" in out:
-            out = out.replace(f"{{{slot}}}", f"\x01{KINDS[slot]}\x02{f()}\x03", 1)
+            out = out.replace(f"{{{slot}}}", f"\x01{KINDS[slot]}\x02{f()}\x03" if slot in KINDS else f(), 1)
     return out
 
 
 def key(fill: Fill) -> str:
     """A run's key: groups of digits, or letters and digits."""
     r = fill.r
+    if r.random() < 0.08:
+        return fill.digits(r.choice(["999-99-9999", "99-9999999", "999999-9999"]))
     if r.random() < 0.7:
         return fill.digits(r.choice("---_/").join("9" * r.randrange(2, 6) for _ in range(r.choice([2, 3, 3, 3, 4]))))
     return r.choice([fill.digits("9" * r.randrange(6, 11)), fill.digits("XX99_R9"), fill.digits("X9_R99"), fill.digits("XXX9_R9"), "%08x" % r.randrange(1 << 32), fill.digits("XX-99999")])
@@ -671,14 +762,14 @@ def negative(template: str, fill: Fill) -> str:
     r = fill.r
     out = _cased(expanded(template, r), r).replace("\\n", "\n")
     town = lambda: fill.town() if r.random() < 0.9 else f"{r.choice(['San', 'Santa', 'Saint', 'New', 'Los', 'Port', 'El', 'Bad', 'North'])} {fill.family()}"
-    make = {"F": fill.family, "M": fill.given, "G": town, "K": lambda: key(fill), "D": lambda: str(r.choice([r.randrange(10), r.randrange(100), r.randrange(1000), r.randrange(100_000)]))}
+    make = {"W": fill.compound, "V": lambda: r.choice(_V), "F": fill.family, "M": fill.given, "G": town, "K": lambda: key(fill), "D": lambda: str(r.choice([r.randrange(10), r.randrange(100), r.randrange(1000), r.randrange(100_000)]))}
     for slot, f in make.items():
         while f"{{{slot}}}" in out:
             out = out.replace(f"{{{slot}}}", f(), 1)
     return out.upper() if r.random() < 0.06 else out
 
 
-def labelled(copies: int = 14, seed: int = 11, templates: list[str] | None = None, negatives: list[str] | None = None, quiet: int = 16) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled(copies: int = 22, seed: int = 11, templates: list[str] | None = None, negatives: list[str] | None = None, quiet: int = 16) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """(text, [(start, end, kind)]): each template ``copies`` times, between sentences without personal data, which also
     stand alone ``quiet`` times each."""
     templates, negatives = templates or TEMPLATES, negatives or NEGATIVES

@@ -174,6 +174,50 @@ Hablé con {p|Manuela Ortega} por teléfono.
 Atentamente, {p|Rodrigo Salazar}
 Según {p|Pilar Quintana}, la muestra llegó tarde.
 Responsable: {p|Gonzalo Herrera}; teléfono {t|+34 93 123 45 67}.
+
+I shared a taxi with {p|Bronwyn Pritchard} and {p|Desmond Tutuola}.
+The violin belongs to {p|Leopold Kessler}.
+{p|Vikram Chatterjee} complained about the noise.
+Translated by {p|Ewa Zielińska}, edited by {p|Norman Blake}.
+It is {p|Farid Benali} again.
+Captain of the team: {p|Marcus Oyelaran}
+Happy birthday, {p|Penelope Winters}!
+Even {p|Thaddeus Mulgrew} laughed.
+We lost touch with {p|Anneke Visser} years ago.
+Ms. {p|Okonjo} and Mr. {p|Van Houten} share an office.
+Send my love to {p|Clementine Ashby}.
+{p|Rossi, Paolo} was marked absent.
+Die Blumen sind von {p|Gisela Obermeier}.
+Kennst du {p|Rüdiger Stolz}?
+Herr {p|Wittkowski} kommt am Montag zurück.
+{p|Florian Hauser} backt das Brot selbst.
+Avez-vous vu {p|Solange Mercier} ce matin ?
+Mme {p|Thibault} garde les clés.
+Le violon appartient à {p|Bastien Courtois}.
+¿Conoces a {p|Esperanza Villalobos}?
+La guitarra es de {p|Joaquín Peralta}.
+Ask for my number at the bar: {t|+1 718 555 0122}.
+Bookings: {t|01865 555 210}
+The gate opens if you dial {t|0900 555 777}.
+Notruf der Firma: {t|+49 211 5550-333}
+Rappelle-moi vite au {t|07 55 12 34 56}.
+Línea gratuita {t|800 555 123}
+Write {e|tom.b@quietmail.org} if the bell is broken.
+Neue Adresse für Post: {e|post@garten-verein.de}
+Mon adresse, c'est {e|lea@petitpois.fr}
+{e|q7@zeta.io} or {t|+44 131 496 0000}, whichever is quicker.
+The van is parked at {a|16 Harbour Road, Whitby YO21 3PU}.
+Wir treffen uns {a|Lange Gasse 20, 86152 Augsburg}.
+On se retrouve {a|21 rue du Faubourg, 31000 Toulouse} à midi.
+Nos vemos en {a|Calle Larios 8, 29005 Málaga}.
+He bought {a|90 Sycamore Court, Dayton, OH 45402} in spring.
+Keep the social security number {i|536-22-8726} off the form.
+Under tax ID {i|44-1234567} nothing was found.
+Her identity card {i|AX4471902} is blue.
+Sein Führerschein {i|B072RRE2I55} wurde eingezogen.
+Le passeport {i|17CV28819} est au coffre.
+El DNI {i|44556677L} no coincide.
+A passport, {i|GB0471193}, was found on the floor.
 """.strip().split("\n\n")
 
 CLEAN = """
@@ -215,6 +259,15 @@ Hidden Markov Model states were merged.
 Table 7 lists Alpha Helix and Beta Sheet content.
 Saint Petersburg has long winters.
 Deep Learning Toolbox is required.
+Mount Everest and the Dead Sea are far apart.
+The Fourier Transform and a Butterworth filter were applied.
+Das Schwarze Brett hängt im Flur.
+Les Hautes Alpes sont belles.
+Los Andes y la Costa Brava quedan lejos.
+Windows Update ran at 03:15 for 220 minutes.
+Cape Town hosted the World Cup.
+Boltzmann weights and Ramachandran plots are standard.
+Sample 0042-7719-3 of batch 88-1204 was thawed.
 """.strip().split("\n")
 
 

@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
+import pii_sentences
 from tessellar.llm import pii, pii_table
 
 
@@ -20,9 +21,8 @@ def found(text, decoder):
     return [(k, text[a:b]) for _, k, a, b in pii.mentions([text], decoder)]
 
 
-def test_held_out_accuracy(decoder):
-    """Other fillings of the table: precision and recall of whole mentions by kind."""
-    rows = pii_table.labelled(3, 4321)
+def scored(rows, decoder):
+    """Recall and precision of whole mentions, by kind and over all."""
     hit, said, true = (dict.fromkeys(pii.KINDS, 0) for _ in range(3))
     got = {}
     for d, k, a, b in pii.mentions([t for t, _ in rows], decoder):
@@ -32,8 +32,43 @@ def test_held_out_accuracy(decoder):
         for k in pii.KINDS:
             a, b = {s for s in mine if s[2] == k}, {s for s in spans if s[2] == k}
             hit[k], said[k], true[k] = hit[k] + len(a & b), said[k] + len(a), true[k] + len(b)
-    for k in pii.KINDS:
-        assert hit[k] >= 0.93 * true[k] and hit[k] >= 0.93 * said[k], (k, hit[k], said[k], true[k])
+    return {k: (hit[k] / true[k], hit[k] / max(said[k], 1)) for k in pii.KINDS} | {"all": (sum(hit.values()) / sum(true.values()), sum(hit.values()) / sum(said.values()))}
+
+
+def test_sentences_written_by_hand(decoder):
+    """Over 200 mentions in wording that no training sentence has."""
+    rows = pii_sentences.marked()
+    assert sum(len(s) for _, s in rows) >= 200
+    by_kind = scored(rows, decoder)
+    assert min(r for r, _ in by_kind.values()) >= 0.9 and by_kind["all"][1] >= 0.9, by_kind
+
+
+def test_templates_held_out_whole():
+    """Trained without every fifth template and sentence, measured on those alone."""
+    fit, held = ([t for k, t in enumerate(pii_table.TEMPLATES) if bool(k % 5) is keep] for keep in (True, False))
+    quiet, held_quiet = ([t for k, t in enumerate(pii_table.NEGATIVES) if bool(k % 5) is keep] for keep in (True, False))
+    model = pii.train(pii_table.labelled(22, 11, fit, quiet))
+    by_kind = scored(pii_table.labelled(10, 77, held, held_quiet, 10), pii.Decoder(model))
+    print(by_kind)
+    assert by_kind["all"][0] >= 0.9, by_kind
+
+
+def test_cues_reach_over_words_but_not_over_texts():
+    cues, breaks = np.array([0, 1, 0, 0, 0, 0, 2, 0, 0, 0, 0]), np.array([False] * 8 + [True] + [False] * 2)
+    assert pii.announced(cues, breaks).tolist() == [0, 0, 4, 4, 4, 8, 8, 9, 0, 0, 0]
+
+
+def test_without_vocabularies():
+    words = pii.lexicon(["/nowhere"])
+    assert words.proper == frozenset() and "the" in words.ordinary
+
+
+def test_the_model_is_kept(spark, monkeypatch):
+    first = pii.stored_model(spark)
+    monkeypatch.setattr(pii, "_KEPT", {})
+    monkeypatch.setattr(pii, "default_model", lambda: pytest.fail("trained again"))
+    again = pii.stored_model(spark)
+    assert again is not first and (again.weights == first.weights).all()
 
 
 SENTENCES = [
