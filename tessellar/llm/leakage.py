@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SHARD_SYMBOLS = 400_000
-SEED_WORDS = 5
+SEED_WORDS = 4
 MIN_WORDS = 15
-WORDS_AN_EDIT = 7
-MAX_BROADCAST_MB = 64
+WORDS_AN_EDIT = 6
+BLOCK_MB = 32
+KNOWN_WORDS = 500_000
 _WORD = re.compile(r"[^\W_]+")
+# Scripts that put no blanks between words: each of their characters counts as a word.
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+_HAS_DENSE = re.compile(f"[{_DENSE}]")
+_DENSE_WORD = re.compile(f"[{_DENSE}]|(?:(?![{_DENSE}])[^\\W_])+")
 # Invisible characters and soft breaks that may stand inside a word.
 _INVISIBLE = dict.fromkeys([0xAD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF, *range(0xFE00, 0xFE10)])
 END, SEPARATOR, OTHER, FIRST = 0, 1, 2, 3
@@ -26,6 +35,8 @@ def words(text: str) -> list[str]:
     """The words without regard to case, punctuation, spacing, layout marks, compatibility forms and invisible characters."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text.translate(_INVISIBLE))
+        if _HAS_DENSE.search(text):
+            return _DENSE_WORD.findall(text.lower())
     return _WORD.findall(text.lower())
 
 
@@ -38,7 +49,9 @@ def word_places(text: str) -> list[tuple[int, int]]:
         for x in unicodedata.normalize("NFKC", c).lower():
             chars.append(x)
             at.append(i)
-    return [(at[m.start()], at[m.end() - 1] + 1) for m in _WORD.finditer("".join(chars))]
+    whole = "".join(chars)
+    pattern = _DENSE_WORD if _HAS_DENSE.search(whole) else _WORD
+    return [(at[m.start()], at[m.end() - 1] + 1) for m in pattern.finditer(whole)]
 
 
 def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
@@ -131,21 +144,74 @@ class FMIndex:
         return result
 
 
+def word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+class Vocabulary:
+    """Ids of the words that any item holds, by a sorted array of 64-bit hashes: eight bytes a distinct word."""
+
+    def __init__(self, texts: Iterable[str]):
+        found: set[str] = set()
+        for t in texts:
+            found.update(words(t))
+        self.hashes = np.unique(np.fromiter((word_hash(w) for w in found), np.uint64, len(found)))
+        self.sigma = len(self.hashes) + FIRST
+
+    def finder(self) -> Callable[[list[str]], np.ndarray]:
+        """Words to ids, OTHER for those no item has; the words met last are kept."""
+        known: dict[str, int] = {}
+
+        def ids(found: list[str]) -> np.ndarray:
+            out = list(map(known.get, found))
+            if None in out:
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                fresh = list({w for w in found if w not in known})
+                h = np.fromiter((word_hash(w) for w in fresh), np.uint64, len(fresh))
+                at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+                hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
+                known.update(zip(fresh, np.where(hit, at + FIRST, OTHER).tolist(), strict=True))
+                out = list(map(known.__getitem__, found))
+            return np.array(out, np.int32)
+
+        return ids
+
+
 class Items:
-    """The test items as symbols, and their distinct seed phrases."""
-
-    def __init__(self, items: list[tuple[int, str]], seed: int):
-        self.ids = [i for i, _ in items]
-        vocabulary: dict[str, int] = {}
-        self.text = [np.array([vocabulary.setdefault(w, len(vocabulary) + FIRST) for w in words(t)], np.int64) for _, t in items]
-        self.vocabulary, self.sigma = vocabulary, len(vocabulary) + FIRST
-        held: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
-        for k, t in enumerate(self.text):
-            row = t.tolist()
-            for p in range(len(row) - seed + 1):
-                held[tuple(row[p : p + seed])].append((k, p))
-        self.phrases = np.array(list(held), np.int64).reshape(len(held), seed)
-        self.places = list(held.values())
+    """A block of test items in arrays: their words' ids one after another, the distinct phrases of ``seed`` words with
+    their places, and the items too short for a phrase of that length."""
+
+    def __init__(self, items: list[tuple[int, str]], vocabulary: Vocabulary, seed: int = SEED_WORDS):
+        find, rows = vocabulary.finder(), []
+        for _, t in items:
+            rows.append(find(words(t)))
+        self.ids = np.array([i for i, _ in items], np.int64)
+        lengths = np.array([len(r) for r in rows], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(lengths)])
+        self.text = np.concatenate([*rows, np.empty(0, np.int32)])
+        self.seed = seed
+        self.phrases: dict[int, np.ndarray] = {}  # by length
+        self.first: dict[int, np.ndarray] = {}  # of each phrase, where its places begin
+        self.places: dict[int, np.ndarray] = {}  # places in text, phrase after phrase
+        for n in range(1, seed + 1):
+            which = np.flatnonzero(lengths >= seed if n == seed else lengths == n)
+            at = np.concatenate([np.arange(self.starts[k], self.starts[k + 1] - n + 1) for k in which]) if len(which) else np.empty(0, np.int64)
+            if len(at):
+                rank = np.zeros(len(at), np.int64)  # the same number for the same phrase, word by word
+                for i in range(n):
+                    rank = np.unique(rank * (vocabulary.sigma + 1) + self.text[at + i], return_inverse=True)[1]
+                order = np.argsort(rank, kind="stable")
+                first = np.flatnonzero(np.diff(rank[order], prepend=-1))
+                self.first[n] = np.append(first, len(at))
+                self.places[n] = at[order].astype(np.int32 if len(self.text) < 1 << 31 else np.int64)
+                self.phrases[n] = np.stack([self.text[at[order[first]] + i] for i in range(n)], axis=1).astype(np.int32)
+
+    def words_of(self, k: int) -> list[int]:
+        return self.text[self.starts[k] : self.starts[k + 1]].tolist()
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.ids, self.starts, self.text, *self.phrases.values(), *self.first.values(), *self.places.values()))
 
 
 def _runs(hits: list[tuple[int, int]], seed: int) -> list[list[int]]:
@@ -166,53 +232,82 @@ def _runs(hits: list[tuple[int, int]], seed: int) -> list[list[int]]:
     return sorted(runs)
 
 
-def _stretch(doc: np.ndarray, item: np.ndarray, w: int, p: int, step: int) -> tuple[int, int, int]:
-    """How far a match goes on from word w and item place p: (w, p) behind it and the words altered, missing or added.
+def _reach(doc: list[int], item: list[int], w: int, p: int, step: int, most: int) -> list[tuple[int, int]]:
+    """How far a match goes on from word w and item place p: for 0, 1, .. ``most`` words altered, missing or added, the item's
+    and the document's words that can be passed at best (furthest-reaching points of each diagonal).
 
-    After such a word at least two must match.
+    What is reached by an alteration ends in at least two matching words. Stops when two more alterations match nothing.
     """
+    room_w, room_p = (len(doc) - w, len(item) - p) if step > 0 else (w + 1, p + 1)
 
-    def run(w: int, p: int) -> tuple[int, int, int]:
+    def slide(dp: int, dw: int) -> int:
         n = 0
-        while 0 <= w < len(doc) and 0 <= p < len(item) and doc[w] == item[p]:
-            w, p, n = w + step, p + step, n + 1
-        return n, w, p
-
-    _, w, p = run(w, p)
-    edits = 0
-    while True:
-        n, w2, p2 = max((run(w + dw * step, p + dp * step) for dw, dp in ((1, 1), (0, 1), (1, 0))), key=lambda t: t[0])
-        if n < 2:
-            return w, p, edits
-        w, p, edits = w2, p2, edits + 1
+        while dp + n < room_p and dw + n < room_w and doc[w + (dw + n) * step] == item[p + (dp + n) * step]:
+            n += 1
+        return n
+
+    far = slide(0, 0)
+    reached, at, idle = [(far, far)], {0: far}, 0
+    for e in range(1, most + 1):
+        best, after, top = reached[-1], {}, max(at.values())
+        for k in range(-e, e + 1):  # k words more of the document than of the item
+            dp = max(at.get(k, -2) + 1, at.get(k + 1, -2) + 1, at.get(k - 1, -2))
+            if dp < 0 or dp > room_p or not 0 <= dp + k <= room_w:
+                continue
+            n = slide(dp, dp + k)
+            after[k] = dp + n
+            if n >= 2 and dp + n > best[0]:
+                best = (dp + n, dp + n + k)
+        if not after:
+            break
+        reached.append(best)
+        idle = idle + 1 if max(after.values()) <= top + 1 else 0
+        if idle == 2:
+            break
+        at = after
+    return reached
+
+
+def edits_allowed(span: int) -> int:
+    """Words that may be altered, missing or added in a passage of so many words.
+
+    One in WORDS_AN_EDIT; fewer in short items, so that whatever is allowed leaves SEED_WORDS words in a row untouched:
+    with e alterations the longest untouched run has at least (span - e) / (e + 1) words, rounded up.
+    """
+    return 0 if span < 8 else 1 if span < 12 else (span + 2) // WORDS_AN_EDIT
 
 
-def passages(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]], seed: int, least: int) -> list[tuple[int, int]]:
+def passages(doc: list[int], item: list[int], hits: list[tuple[int, int]], seed: int, least: int) -> list[tuple[int, int]]:
     """Word ranges of the document that hold a passage of at least ``least`` of the item's words (or all it has).
 
-    The exact check of the index's finds: runs are stretched both ways over single altered, missing or added words, of
-    which there may be one in ``WORDS_AN_EDIT``; sentences built alike have more.
+    The exact check of the index's finds: runs are stretched both ways over altered, missing or added words, as many as
+    ``edits_allowed`` for the span; of all ways the longest span is taken. Sentences built alike have more alterations.
     """
     least = min(least, len(item))
+    most = edits_allowed(len(item))
     found: list[tuple[int, int]] = []
     reached = -1
     for start, end, shift in _runs(hits, seed):
         if end <= reached:
             continue
-        w2, p2, later = _stretch(doc, item, end, end + shift, 1)
-        w1, p1, earlier = _stretch(doc, item, start - 1, start + shift - 1, -1)
-        span = p2 - p1 - 1
-        if span >= least and (later + earlier) * WORDS_AN_EDIT <= span + 2:
-            found.append((w1 + 1, w2))
-            reached = w2
+        n = end - start
+        later = _reach(doc, item, end, end + shift, 1, most)
+        earlier = _reach(doc, item, start - 1, start + shift - 1, -1, most)
+        if n + later[-1][0] + earlier[-1][0] < least:
+            continue
+        best = max(((n + a[0] + b[0], -x - y, a[1], b[1]) for x, a in enumerate(earlier) for y, b in enumerate(later) if x + y <= edits_allowed(n + a[0] + b[0])), default=(0,))
+        if best[0] >= least:
+            found.append((start - best[2], end + best[3]))
+            reached = end + best[3]
     return found
 
 
 class Shard:
-    """Documents gathered until they are large enough for an index."""
+    """Documents gathered until they are large enough for an index, which every block of items is searched in."""
 
-    def __init__(self, items: Items, seed: int, least: int):
-        self.items, self.seed, self.least = items, seed, least
+    def __init__(self, vocabulary: Vocabulary, least: int = MIN_WORDS):
+        self.vocabulary, self.least = vocabulary, least
+        self.find = vocabulary.finder()
         self.clear()
 
     def clear(self) -> None:
@@ -222,46 +317,60 @@ class Shard:
         self.size = 0
 
     def add(self, doc_id: int, text: str) -> None:
-        get = self.items.vocabulary.get
-        ids = np.array([get(w, OTHER) for w in words(text)], np.int32)
+        ids = self.find(words(text))
         if not len(ids):
             return
         # a stretch of words that no item has is one symbol; the words' own places are kept beside
         keep = np.flatnonzero((ids != OTHER) | np.concatenate([[True], ids[:-1] != OTHER]))
         self.symbols += [ids[keep], np.full(1, SEPARATOR, np.int32)]
-        self.words += [keep, np.array([-1])]
+        self.words += [keep.astype(np.int32), np.array([-1], np.int32)]
         self.docs.append((doc_id, text, self.size))
         self.size += len(keep) + 1
 
-    def search(self) -> Iterator[tuple[int, int, list[tuple[int, int]], str]]:
-        """(document, item, word ranges, text) of each leak."""
-        if not self.docs or not len(self.items.phrases):
+    def search(self, blocks: Iterable[Items]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """(place among the documents, item, word ranges) of each leak."""
+        if not self.docs:
             return
         text = np.concatenate(self.symbols)
-        index = FMIndex(text, self.items.sigma)
-        lo, hi = index.search(self.items.phrases)
-        held = np.flatnonzero(hi > lo)
-        counts = (hi - lo)[held]
-        phrase = np.repeat(held, counts)
-        rows = np.repeat(lo[held], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        position = index.locate(rows)
         places = np.concatenate(self.words)
         starts = np.array([d[2] for d in self.docs], np.int64)
-        doc = np.searchsorted(starts, position, "right") - 1
-        hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for d, w, f in zip(doc.tolist(), places[position].tolist(), phrase.tolist(), strict=True):
-            for item, p in self.items.places[f]:
-                hits[d, item].append((w, p))
         ends = [*starts[1:].tolist(), self.size]
-        whole: dict[int, np.ndarray] = {}
-        for (d, item), found in hits.items():
-            if d not in whole:
-                a, b = int(starts[d]), ends[d] - 1
-                whole[d] = np.full(int(places[b - 1]) + 2, OTHER, np.int64)
-                whole[d][places[a:b]] = text[a:b]
-            ranges = passages(whole[d], self.items.text[item], found, self.seed, self.least)
-            if ranges:
-                yield self.docs[d][0], self.items.ids[item], ranges, self.docs[d][1]
+        index = FMIndex(text, self.vocabulary.sigma)
+
+        @lru_cache(maxsize=64)
+        def whole(d: int) -> list[int]:
+            a, b = int(starts[d]), ends[d] - 1
+            out = np.full(int(places[b - 1]) + 2, OTHER, np.int64)
+            out[places[a:b]] = text[a:b]
+            return out.tolist()
+
+        for items in blocks:
+            for n, phrases in items.phrases.items():
+                lo, hi = index.search(phrases)
+                held = np.flatnonzero(hi > lo)
+                if not len(held):
+                    continue
+                counts = (hi - lo)[held]
+                phrase = np.repeat(held, counts)
+                rows = np.repeat(lo[held], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                position = index.locate(rows)
+                doc = np.searchsorted(starts, position, "right") - 1
+                of = items.first[n][phrase + 1] - items.first[n][phrase]  # places of the phrase in the items
+                found = items.places[n][np.repeat(items.first[n][phrase], of) + np.arange(of.sum()) - np.repeat(np.cumsum(of) - of, of)]
+                item = np.searchsorted(items.starts, found, "right") - 1
+                doc, word = np.repeat(doc, of), np.repeat(places[position], of)
+                place = found - items.starts[item]
+                order = np.lexsort((word, item, doc))
+                doc, item, word, place = doc[order], item[order], word[order], place[order]
+                cuts = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(item, prepend=-1))
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)], strict=True):
+                    d, k = int(doc[a]), int(item[a])
+                    if n < items.seed:  # an item shorter than a seed, held whole
+                        ranges = [(w, w + n) for w in word[a:b].tolist()]
+                    else:
+                        ranges = passages(whole(d), items.words_of(k), list(zip(word[a:b].tolist(), place[a:b].tolist(), strict=True)), n, self.least)
+                    if ranges:
+                        yield d, int(items.ids[k]), ranges
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -274,47 +383,69 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = MIN_WORDS, seed: int = SEED_WORDS, shard: int = SHARD_SYMBOLS) -> DataFrame:
-    """doc_id, item_id, start_pos, end_pos: every passage of at least ``least`` of an item's words in a document.
-
-    Each task indexes its own documents, shard after shard (an FM-index of about ``shard`` words; a longer document is a
-    shard by itself), and searches all phrases of ``seed`` words of all items in it at once; the finds are checked word
-    by word and merged into removal spans. One narrow pass: no shuffle, and memory is bounded by the shard. Letter case,
-    punctuation, spacing, layout marks and invisible characters don't matter; single words may be altered, missing or
-    added. An item of under ``least`` words must be held whole; items of under ``seed`` words are searched only as far
-    as they reach ``seed``. Null texts hold nothing. Equal documents under other ids each give their rows. The items are
-    broadcast in blocks of at most 64 MB, each block one pass.
-    """
-    texts: dict[int, str] = {}
-    size, plans = 0, []
-    for r in items.where(f"{item_text} is not null").select(item_id, item_text).toLocalIterator():
-        texts[r[0]] = r[1]
+def _blocks(items: DataFrame, item_id: str, item_text: str, block_mb: float) -> Iterator[list[tuple[int, str]]]:
+    texts, size = [], 0
+    for r in items.where(F.col(item_text).isNotNull()).select(item_id, item_text).toLocalIterator():
+        texts.append((r[0], r[1]))
         size += len(r[1])
-        if size > MAX_BROADCAST_MB << 20:
-            plans.append(_pass(documents, texts, id_col, text_col, least, seed, shard))
-            texts, size = {}, 0
-    if texts or not plans:
-        plans.append(_pass(documents, texts, id_col, text_col, least, seed, shard))
-    result = plans[0]
-    for p in plans[1:]:
-        result = result.unionByName(p)
-    return result
+        if size > block_mb * (1 << 20):
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
 
+def leaks(
+    documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = MIN_WORDS, shard: int = SHARD_SYMBOLS, block_mb: float = BLOCK_MB, by_item: bool = True
+) -> DataFrame:
+    """doc_id, item_id, start_pos, end_pos: every passage of at least ``least`` of an item's words in a document; without
+    ``by_item`` the removal spans: doc_id, start_pos, end_pos, merged over all items of a document.
 
-def _pass(documents: DataFrame, texts: dict[int, str], id_col: str, text_col: str, least: int, seed: int, shard: int) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(sorted(texts.items()))
+    Each task indexes its own documents, shard after shard (an FM-index of about ``shard`` words; a longer document is a
+    shard by itself), and searches all phrases of SEED_WORDS words of all items in it at once; the finds are checked word
+    by word and merged into removal spans. One narrow pass: no shuffle, and memory is bounded by the shard and a block of
+    items. Letter case, punctuation, spacing, layout marks and invisible characters don't matter; words may be altered,
+    missing or added as ``edits_allowed`` says, and every passage within that holds a phrase, so none is missed. In
+    scripts without blanks each character is a word. An item of under ``least`` words must be held whole; an item shorter
+    than a phrase is searched for as it is. Items without words, and null texts, match nothing. Equal documents under
+    other ids each give their rows; items of equal text too. Words are compared by 64-bit hashes.
+
+    The items are broadcast as arrays, about seven times the text, in blocks of ``block_mb`` of text, which bounds what a task
+    loads at a time; every block is searched in the one index of a shard.
+    """
+    context = documents.sparkSession.sparkContext
+    vocabulary = Vocabulary(t for block in _blocks(items, item_id, item_text, block_mb) for _, t in block)
+    shared = [context.broadcast(Items(block, vocabulary)) for block in _blocks(items, item_id, item_text, block_mb)]
+    words_of_items = context.broadcast(vocabulary)
+    schema = "doc_id long, item_id long, start_pos int, end_pos int" if by_item else "doc_id long, start_pos int, end_pos int"
+    types = [pa.int64(), *([pa.int64()] if by_item else []), pa.int32(), pa.int32()]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def load(block: Broadcast) -> Items:
+        """A lone block stays in the worker; of several only the one in use is held."""
+        if len(shared) == 1:
+            return block.value
+        value = block.value
+        block.__dict__.pop("_value", None)
+        return value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current = Shard(Items(shared.value, seed), seed, least)
+        current = Shard(words_of_items.value, least)
 
         def flush() -> pa.RecordBatch:
-            rows, places = [], {}
-            for doc_id, item, ranges, text in current.search():
-                at = places.setdefault(doc_id, None) or places.__setitem__(doc_id, word_places(text)) or places[doc_id]
-                rows += [(doc_id, item, at[a][0], at[b - 1][1]) for a, b in merged(ranges)]
+            spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+            for d, item, ranges in current.search(map(load, shared)):
+                spans[d, item if by_item else 0] += ranges
+            at: dict[int, list[tuple[int, int]]] = {}
+            rows = []
+            for (d, item), ranges in sorted(spans.items()):
+                doc_id, text, _ = current.docs[d]
+                if d not in at:
+                    at = {d: word_places(text)}
+                rows += [(doc_id, *([item] if by_item else []), at[d][a][0], at[d][b - 1][1]) for a, b in merged(ranges)]
             current.clear()
-            columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "start_pos", "end_pos"])
+            columns = zip(*rows, strict=True) if rows else [[] for _ in types]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -325,4 +456,4 @@ def _pass(documents: DataFrame, texts: dict[int, str], id_col: str, text_col: st
         if current.docs:
             yield flush()
 
-    return documents.select(id_col, text_col).mapInArrow(run, "doc_id long, item_id long, start_pos int, end_pos int")
+    return documents.select(id_col, text_col).mapInArrow(run, schema)

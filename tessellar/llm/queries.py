@@ -64,6 +64,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p7_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to cut out of each document, merged over all items."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), by_item=False)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_spans": p7_spans,
+    "p7_removals": p7_removals,
     "p8_found": p8_found,
     "p8_redacted": p8_redacted,
 }

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessellar.llm.leakage import FMIndex, WaveletMatrix, leaks, suffix_array, word_places, words
+from tessellar.llm.leakage import FMIndex, Items, Vocabulary, WaveletMatrix, edits_allowed, leaks, suffix_array, word_places, words
 
 symbols = st.lists(st.integers(0, 6), min_size=1, max_size=120)
 
@@ -95,3 +95,80 @@ def test_random_texts_equal_brute_force(spark):
     want = {(d, i) for d, t in docs.items() for i, w in items.items() if any(t[x : x + 15] == w[y : y + 15] for x in range(len(t) - 14) for y in range(26))}
     out = leaks(spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string"))
     assert {(x["doc_id"], x["item_id"]) for x in out.collect()} == want
+
+
+def frames(spark, docs, items):
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+
+@pytest.mark.parametrize("block_mb", [32, 1e-6])
+def test_items_of_any_length_are_found_whole(spark, block_mb):
+    """Of 1, 2, 4, 5 and 14 words, in one block of items and in a block for each."""
+    held = {n: " ".join(f"k{n}x{i}" for i in range(n)) for n in (1, 2, 3, 4, 5, 8, 14)}
+    docs = [(n, f"before it {t.upper()}, and after") for n, t in held.items()] + [(100 + n, "before " + " ".join(t.split()[:-1]) + " and after") for n, t in held.items()]
+    out = leaks(*frames(spark, docs, [(n, t) for n, t in held.items()] + [(99, "capital city of france")]), block_mb=block_mb).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == {(n, n) for n in held}
+    texts = dict(docs)
+    assert {texts[r["doc_id"]][r["start_pos"] : r["end_pos"]].lower() for r in out} == set(held.values())
+
+
+def altered(r, passage, edits):
+    """That many words replaced, left out or added, none at either end."""
+    out = [[w] for w in passage]
+    for i in r.sample(range(1, len(passage) - 1), edits):
+        out[i] = r.choice([[f"z{r.randrange(999)}"], [], [passage[i], f"z{r.randrange(999)}"]])
+    return [w for part in out for w in part]
+
+
+def test_recall_of_altered_passages(spark):
+    """Two or three words in 15 to 25 altered, left out or added at random places."""
+    r = random.Random(8)
+    docs, want = [], set()
+    for d in range(300):
+        i, n = r.randrange(8), r.randrange(15, 26)
+        edits = r.choice([2, 3]) if n > 15 else 2
+        a = r.randrange(0, 60 - n)
+        body = altered(r, ITEMS[i][a : a + n], edits)
+        docs.append((d, " ".join([f"o{r.randrange(99)}" for _ in range(20)] + body + [f"o{r.randrange(99)}" for _ in range(20)])))
+        want.add((d, i))
+    out = leaks(*frames(spark, docs, [(i, " ".join(w)) for i, w in ITEMS.items()])).collect()
+    got = {(x["doc_id"], x["item_id"]) for x in out}
+    assert got <= want and len(got) >= 0.92 * len(want), len(got)  # an altered last word but one shortens the passage
+
+
+def test_three_altered_words_in_nineteen(spark):
+    words_ = list(ITEMS[3][10:29])
+    for i in (4, 9, 14):
+        words_[i] = "changed"
+    assert leaks(*frames(spark, [(1, "so " + " ".join(words_) + " on")], [(3, " ".join(ITEMS[3]))])).count() == 1
+
+
+def test_seeds_are_guaranteed():
+    """However few alterations a passage may have, an untouched run of a seed's length is left."""
+    for span in range(1, 400):
+        e = edits_allowed(span)
+        assert e == 0 or -(-(span - e) // (e + 1)) >= 4
+        assert edits_allowed(span + 1) >= e
+
+
+def test_scripts_without_blanks(spark):
+    item = "一二三四五六七八九十百千万億兆京東西南北"
+    out = leaks(*frames(spark, [(1, f"前文。{item[2:18]}、後文"), (2, f"前文。{item[2:12]}、後文")], [(1, item)])).collect()
+    assert [(r["doc_id"], r["start_pos"], r["end_pos"]) for r in out] == [(1, 3, 19)]
+
+
+def test_removals_are_merged_over_items(spark):
+    shared = " ".join(ITEMS[0][:30])
+    docs, items = frames(spark, [(1, f"a {shared} b {' '.join(ITEMS[1][:20])} c"), (2, "none")], [(0, shared), (1, " ".join(ITEMS[1])), (2, shared + " and more"), (3, shared.upper())])
+    assert {r["item_id"] for r in leaks(docs, items).collect()} == {0, 1, 2, 3}
+    out = sorted((r["doc_id"], r["start_pos"], r["end_pos"]) for r in leaks(docs, items, by_item=False).collect())
+    text = docs.first()["text"]
+    assert [text[a:b] for _, a, b in out] == [shared, " ".join(ITEMS[1][:20])]
+
+
+def test_arrays_of_the_items_are_bounded():
+    r = random.Random(2)
+    texts = [" ".join(f"w{r.randrange(30_000)}" for _ in range(200)) for _ in range(500)]
+    vocabulary = Vocabulary(texts)
+    size = Items(list(enumerate(texts)), vocabulary).nbytes() + vocabulary.hashes.nbytes
+    assert size < 8 * sum(map(len, texts))
