@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -99,19 +101,62 @@ def as_int(text: Column) -> Column:
     return F.when(F.trim(text).rlike(r"^[+-]?[0-9]+(\.0+)?$"), F.trim(text).try_cast("double").try_cast("long").try_cast("int"))
 
 
-def numbered_children(nodes: DataFrame, parent_field: str, child: str, fields: list[str]) -> DataFrame:
-    """Children under ``child`` (an array or a lone object) joined to the parent objects that have ``parent_field``.
+def flat_table(records: DataFrame, id_col: str, json_col: str, pattern: str, fields: Sequence[str], parent_fields: Sequence[str] = (), having: Sequence[str] = ()) -> DataFrame:
+    """One schema table straight from the records, with fields of each node's parent beside its own, in one pass.
 
-    Result: record_id, parent_dewey, the parent's field, position (0 for a lone object), fields. The link is a join on
-    the record and the truncated label: the keys are as many as there are parents, so no key is large.
+    The nodes whose schema path matches ``pattern`` (and that have one of ``having``, if any are named): record_id, dewey,
+    parent_dewey, position, schema_path, the fields and ``parent_<field>`` as strings, null where there is none. The parent
+    is the object that the node's label leads to by truncation: one level for a lone object, two for an element of an
+    array; position is the element's place, 0 for a lone object. The nodes of a record come from one row, so the link is
+    looked up by the truncated label among that record's own nodes, and nothing is shuffled. Records as in ``shred``.
     """
-    alone = F.col("schema_path").endswith(f".{child}")
-    kids = schema_table(nodes, rf"\.{child}(\[\])?$", fields).select(
-        "record_id",
-        parent(F.col("dewey"), F.when(alone, 1).otherwise(2)).alias("parent_dewey"),
-        F.when(alone, 0).otherwise(F.try_element_at("dewey", F.lit(-1))).alias("position"),
-        *fields,
+    fields, parent_fields, wanted = list(fields), list(parent_fields), re.compile(pattern)
+    names = [*fields, *(f"parent_{f}" for f in parent_fields)]
+    schema = pa.schema(
+        [("record_id", pa.int64()), ("dewey", pa.list_(pa.int32())), ("parent_dewey", pa.list_(pa.int32())), ("position", pa.int32()), ("schema_path", pa.string()), *((n, pa.string()) for n in names)]
     )
-    owners = nodes.where((F.col("kind") == "object") & F.map_contains_key("fields", F.lit(parent_field)))
-    owners = owners.select("record_id", F.col("dewey").alias("parent_dewey"), F.col("fields")[parent_field].alias(parent_field))
-    return kids.join(owners, ["record_id", "parent_dewey"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matches = lru_cache(maxsize=100_000)(lambda path: wanted.search(path) is not None)
+        for batch in batches:
+            columns: list[list] = [[] for _ in schema]
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for row in _matching(rid, text, matches, fields, parent_fields, having):
+                    for c, v in zip(columns, row, strict=True):
+                        c.append(v)
+                if len(columns[0]) >= BATCH_NODES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    columns = [[] for _ in schema]
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    types = "record_id long, dewey array<int>, parent_dewey array<int>, position int, schema_path string"
+    return records.select(id_col, json_col).mapInArrow(run, ", ".join([types, *(f"`{n}` string" for n in names)]))
+
+
+def _matching(rid: int, text: str | None, matches: Callable[[str], bool], fields: list[str], parent_fields: list[str], having: Sequence[str]) -> Iterator[tuple]:
+    if text is None:
+        return
+    try:
+        root = json.loads(text, parse_constant=_no_constant)
+    except (ValueError, RecursionError):
+        return
+    objects: dict[tuple[int, ...], dict] = {}  # by label, of the objects that a node could be linked to
+    stack: list[tuple[tuple[int, ...], str, object]] = [((), "$", root)]
+    while stack:
+        dewey, path, value = stack.pop()
+        if isinstance(value, dict):
+            objects[dewey] = value
+            for i, (k, v) in enumerate(value.items()):
+                if isinstance(v, (dict, list)):
+                    stack.append(((*dewey, i), f"{path}.{k}", v))
+            if not matches(path) or (having and not any(h in value and not isinstance(value[h], (dict, list)) for h in having)):
+                continue
+            own = [None if isinstance(x := value.get(f), (dict, list)) else _scalar(x) for f in fields]
+            element = path.endswith("[]")
+            above = dewey[: -2 if element else -1]
+            parent = objects.get(above, {}) if dewey else {}
+            carried = [None if isinstance(x := parent.get(f), (dict, list)) else _scalar(x) for f in parent_fields]
+            yield rid, dewey, above, dewey[-1] if element else 0, path, *own, *carried
+        elif isinstance(value, list):
+            stack += [((*dewey, i), f"{path}[]", v) for i, v in enumerate(value) if isinstance(v, (dict, list))]

@@ -72,23 +72,20 @@ def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return badrows.sound_rows(_loaded(spark, sf_dir))
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.shred(table(spark, sf_dir, "naming_cache"), "record_id", "payload")
-
-
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kids = nested.numbered_children(_nodes(spark, sf_dir), "sequence_number", "alternative_generic_numbers", ["scheme", "label"])
+    kids = nested.flat_table(table(spark, sf_dir, "naming_cache"), "record_id", "payload", r"\.alternative_generic_numbers(\[\])?$", ["scheme", "label"], ["sequence_number"])
     return (
-        kids.select("record_id", nested.as_int(F.col("sequence_number")).alias("sequence_number"), F.col("position").alias("alt_pos"), "scheme", "label")
-        .where("sequence_number is not null and scheme != '' and label != ''")
+        kids.where("scheme != '' and label != ''")
+        .select("record_id", nested.as_int(F.col("parent_sequence_number")).alias("sequence_number"), F.col("position").alias("alt_pos"), "scheme", "label")
+        .where("sequence_number is not null")
         .distinct()
     )
 
 
 def p5_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per residue with its Dewey label, the label of the object that holds it, and its own fields."""
-    nodes = _nodes(spark, sf_dir).where(F.map_contains_key("fields", F.lit("sequence_number")) | F.map_contains_key("fields", F.lit("amino_acid")))
-    rows = nested.schema_table(nodes, ".", ["sequence_number", "amino_acid"])
+    own = ["sequence_number", "amino_acid"]
+    rows = nested.flat_table(table(spark, sf_dir, "naming_cache"), "record_id", "payload", ".", own, having=own)
     return rows.select(
         "record_id",
         nested.as_int(F.col("sequence_number")).alias("sequence_number"),

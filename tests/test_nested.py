@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessellar.operators.nested import as_int, dewey_text, label_nodes, numbered_children, parent, schema_table, shred
+from tessellar.operators.nested import as_int, dewey_text, flat_table, label_nodes, parent, schema_table, shred
 
 ALT = "alternative_generic_numbers"
 
@@ -14,8 +14,15 @@ def test_labels_and_links(spark):
     rows = [(1, json.dumps(doc), "e"), (2, json.dumps(doc)[:-3], "e"), (3, None, "e"), (4, "", "e"), (5, "[]", "e"), (6, "3", "e"), (7, '{"a": NaN}', "e"), (1, json.dumps(doc), "e")]
     df = spark.createDataFrame(rows, "record_id long, payload string, dewey string")
     nodes = shred(df, "record_id", "payload")
-    out = numbered_children(nodes, "sequence_number", ALT, ["scheme", "label"]).select("record_id", "sequence_number", "position", "scheme", "label").distinct()
-    assert sorted(tuple(r) for r in out.collect()) == [(1, "5", 1, "BW", "1.50"), (1, "6", 0, "S", "x")]
+    kids = flat_table(df, "record_id", "payload", rf"\.{ALT}(\[\])?$", ["scheme", "label"], ["sequence_number"])
+    out = kids.select("record_id", "parent_sequence_number", "position", "scheme", "label").distinct()
+    assert sorted((tuple(r) for r in out.collect()), key=str) == [(1, "5", 1, "BW", "1.50"), (1, "6", 0, "S", "x"), (1, None, 0, "BW", "2.50")]
+    # the same rows by a join of the node table on the truncated label
+    lone = F.col("schema_path").endswith(ALT)
+    own = schema_table(nodes, rf"\.{ALT}(\[\])?$", ["scheme", "label"]).withColumn("up", parent(F.col("dewey"), F.when(lone, 1).otherwise(2)))
+    owners = schema_table(nodes, r"naming\[\]$", ["sequence_number"]).select("record_id", F.col("dewey").alias("up"), "sequence_number")
+    joined = own.join(owners.distinct(), ["record_id", "up"], "left").select("record_id", "dewey", F.col("up").alias("parent_dewey"), "sequence_number", "scheme", "label")
+    assert sorted(map(str, joined.distinct().collect())) == sorted(map(str, kids.select("record_id", "dewey", "parent_dewey", F.col("parent_sequence_number").alias("sequence_number"), "scheme", "label").distinct().collect()))
     assert {r[0] for r in nodes.select("record_id").collect()} == {1, 5, 6} - {5}
     residues = schema_table(nodes.where("record_id = 1"), r"naming\[\]$", ["sequence_number", "missing"]).distinct()
     assert sorted((r["sequence_number"] or "", r["missing"]) for r in residues.collect()) == [("", None), ("5", None), ("6", None)]
