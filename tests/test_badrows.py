@@ -1,3 +1,4 @@
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -64,3 +65,12 @@ def test_blocks_agree_with_lines(lines):
     ids, text, known = pa.array(range(len(lines)), pa.int64()), pa.array(lines, pa.string()), pa.array(sorted(KNOWN))
     got = [tuple(r.values()) for b in badrows.parse_block(ids, text, KNOWN, known, 2) for r in b.to_pylist()]
     assert sorted(got) == [(i, *diagnose(line, KNOWN)) for i, line in enumerate(lines)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.booleans(), max_size=80), st.integers(1, 5))
+def test_isolation_keeps_every_doubtful_record(doubt, leaf):
+    mask = badrows.isolated(np.array(doubt, bool), leaf)
+    assert all(mask[i] for i, d in enumerate(doubt) if d)
+    assert leaf > 1 or mask.tolist() == doubt
+    assert mask.sum() <= leaf * sum(doubt)
