@@ -27,15 +27,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_ranked(spark, sf_dir).select("system", "contact", "pos")
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    atom = [F.upper(trimmed(F.col(c))).alias(c) for c in ("atom1", "atom2")]
-    return table(spark, sf_dir, "a3_contacts").select("frame", F.lower(trimmed(F.col("interaction_type"))).alias("interaction_type"), *atom)
-
-
 def p4_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _log(spark, sf_dir)
-    frames = log.where("frame is not null").select(F.countDistinct("frame")).first()[0]
-    return terms.marked(terms.term_frequencies(log, ["interaction_type", "atom1", "atom2"], "frame"), frames)
+    fields = {"interaction_type": F.lower(trimmed(F.col("interaction_type"))), "atom1": F.upper(trimmed(F.col("atom1"))), "atom2": F.upper(trimmed(F.col("atom2")))}
+    return terms.marked(*terms.term_frequencies(table(spark, sf_dir, "a3_contacts"), fields, "frame"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

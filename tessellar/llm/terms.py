@@ -7,31 +7,34 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellar.session import materialise
+
 SHARE = 1 / 512
 SAMPLE = 0.02
 BLOCK = 32_768  # bits of one bitmap, as the built-in bitmap aggregates have them
-_COUNTS = "field_name string, term string, n_rows long, block long, seen binary"
-_ARROW = pa.schema([("field_name", pa.string()), ("term", pa.string()), ("n_rows", pa.int64()), ("block", pa.int64()), ("seen", pa.binary())])
+HELD = 2_000_000
+_COUNTS = "field_name string, term string, unit int, n_rows long, block long, seen binary"
+_ARROW = pa.schema([("field_name", pa.string()), ("term", pa.string()), ("unit", pa.int32()), ("n_rows", pa.int64()), ("block", pa.int64()), ("seen", pa.binary())])
 
 
-def heavy_terms(rows: DataFrame, fields: Sequence[str], share: float = SHARE, fraction: float = SAMPLE, seed: int = 7) -> dict[str, list[str]]:
+def heavy_terms(rows: DataFrame, fields: dict[str, Column], share: float = SHARE, fraction: float = SAMPLE, seed: int = 7) -> dict[str, list[str]]:
     """Terms that a sample shows in at least ``share`` of the rows: at most 1/share a field, which bounds the broadcast.
 
     The sample only decides which way a term is counted; either way counts all rows, so a miss costs time, not truth.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("term")) for f in fields])).alias("p")
-    sample = rows.sample(fraction, seed)
-    counted = sample.select(pairs).where("p.term is not null").groupBy("p.field_name", "p.term").count()
-    total = sample.count()
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), c.alias("term")) for f, c in fields.items()])).alias("p")
+    sample = rows.sample(fraction, seed).select(pairs)
+    total = F.sum(F.when(F.col("p.field_name") == next(iter(fields)), F.col("count"))).over(Window.partitionBy())  # over at most the sample's terms
+    counted = sample.groupBy("p").count().select("p", "count", total.alias("total"))
     limit = int(1 / share)
     found: dict[str, list[str]] = {f: [] for f in fields}
-    best = counted.where(F.col("count") >= max(2.0, share * total)).orderBy(F.desc("count"), "field_name", "term").limit(limit * len(fields))
+    best = counted.where("p.term is not null").where(F.col("count") >= F.greatest(F.lit(2.0), share * F.col("total"))).orderBy(F.desc("count"), "p").limit(limit * len(fields))
     for r in best.collect():
-        if len(found[r["field_name"]]) < limit:
-            found[r["field_name"]].append(r["term"])
+        if len(found[r["p"]["field_name"]]) < limit:
+            found[r["p"]["field_name"]].append(r["p"]["term"])
     return found
 
 
@@ -42,7 +45,7 @@ class _Counters:
         self.terms, self.index = terms, pa.array(terms, pa.string())
         self.rows = np.zeros(len(terms), np.int64)
         self.keys: list[np.ndarray] = []
-        self.held = 0
+        self.held, self.limit = 0, HELD
 
     def add(self, values: pa.Array, units: np.ndarray) -> np.ndarray:
         """Count the heavy ones; returns the mask of the rest."""
@@ -51,9 +54,10 @@ class _Counters:
         self.rows += np.bincount(at[hit], minlength=len(self.terms))
         self.keys.append(np.unique((at[hit] << 40) | (units[hit] - np.iinfo(np.int32).min)))
         self.held += len(self.keys[-1])
-        if self.held > 2_000_000:
+        if self.held > self.limit:  # the limit doubles with what is left, so each key is sorted a few times at most
             self.keys = [np.unique(np.concatenate(self.keys))]
             self.held = len(self.keys[0])
+            self.limit = max(HELD, 2 * self.held)
         return ~hit
 
     def blocks(self) -> Iterator[tuple[int, int, bytes]]:
@@ -71,59 +75,69 @@ class _Counters:
             yield h // ((1 << 40) // BLOCK), h % ((1 << 40) // BLOCK), np.packbits(bits).tobytes()
 
 
-def term_frequencies(rows: DataFrame, fields: Sequence[str], unit: str, share: float = SHARE, fraction: float = SAMPLE) -> DataFrame:
-    """Of every distinct term of every field: the rows and the distinct units (an int column) that hold it.
+def term_frequencies(rows: DataFrame, fields: dict[str, Column] | Sequence[str], unit: str, share: float = SHARE, fraction: float = SAMPLE) -> tuple[DataFrame, DataFrame]:
+    """Of every distinct term of every field: the rows and the distinct units (an int column) that hold it; and the number of
+    distinct units of the whole table, as a row n_units.
 
-    Heavy terms are broadcast (at most 1/share a field) and counted in exact arrays inside each task: one counter a term
-    and one bitmap for each 32,768 units in which the task meets it; those partial counts are all that is shuffled for
-    them. The remaining terms go through an ordinary two-stage aggregation by (term, unit), of which no key is hot. The
-    tables are then united. Null terms, empty terms and rows without a unit are left out. Nothing is sampled but the
-    choice of the way. Result: field_name, term, n_rows, n_units.
+    ``fields`` are columns, or names with the expressions to count. One pass over the rows does both: heavy terms (broadcast,
+    at most 1/share a field) are counted in exact arrays inside each task, one counter a term and one bitmap for each 32,768
+    units in which the task meets it, and the remaining terms are handed on as they are. Both are written once to the
+    shared folder, a fraction of the input. Of the heavy terms only those partial counts are shuffled; the others go
+    through an ordinary two-stage aggregation by (term, unit), of which no key is hot. The tables are then united. Null
+    terms, empty terms and rows without a unit are left out. Nothing is sampled but the choice of the way.
+    Result: field_name, term, n_rows, n_units.
     """
-    fields = list(fields)
-    given = rows.where(F.col(unit).isNotNull()).select(F.col(unit).cast("int").alias("u"), *[F.nullif(F.col(f), F.lit("")).alias(f) for f in fields])
-    heavy = heavy_terms(given, fields, share, fraction)
-    shared = rows.sparkSession.sparkContext.broadcast(heavy)
+    given_fields = fields if isinstance(fields, dict) else {f: F.col(f) for f in fields}
+    columns = {f: F.nullif(c, F.lit("")) for f, c in given_fields.items()}
+    present = rows.where(F.col(unit).isNotNull())
+    shared = rows.sparkSession.sparkContext.broadcast(heavy_terms(present, columns, share, fraction))
+    given = present.select(F.col(unit).cast("int").alias("_unit"), *[c.alias(f"_{k}") for k, c in enumerate(columns.values())])
+    names = list(columns)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = {f: _Counters(shared.value[f]) for f in fields}
+        counters = {f: _Counters(shared.value[f]) for f in names}
+        every = _Counters([""])
         for batch in batches:
             units = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for k, f in enumerate(fields):
-                counters[f].add(batch.column(k + 1).cast(pa.string()), units)
+            every.add(pa.array(np.full(len(units), "")), units)
+            for k, f in enumerate(names):
+                values = batch.column(k + 1).cast(pa.string())
+                rest = pa.array(counters[f].add(values, units) & ~values.is_null().to_numpy(zero_copy_only=False))
+                light = values.filter(rest)
+                if n := len(light):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f]).take(pa.array(np.zeros(n, np.int32))), light, batch.column(0).filter(rest), pa.array(np.ones(n, np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_ARROW
+                    )
         out: list[tuple] = []
-        for f, c in counters.items():
-            out += [(f, t, int(n), None, None) for t, n in zip(c.terms, c.rows, strict=True) if n]
+        for f, c in [*counters.items(), (None, every)]:
+            out += [(f, t, None, int(n), None, None) for t, n in zip(c.terms, c.rows, strict=True) if n]
             for t, block, bits in c.blocks():
-                out.append((f, c.terms[t], 0, block, bits))
+                out.append((f, c.terms[t], None, 0, block, bits))
                 if len(out) >= 20_000:
                     yield _as_batch(out)
                     out = []
         if out:
             yield _as_batch(out)
 
-    partial = given.mapInArrow(count, _COUNTS)
-    by_block = partial.groupBy("field_name", "term", "block").agg(F.sum("n_rows").alias("n_rows"), F.expr("bitmap_or_agg(seen)").alias("b"))
+    partial = materialise(given.mapInArrow(count, _COUNTS), "terms")
+    by_block = partial.where("unit is null").groupBy("field_name", "term", "block").agg(F.sum("n_rows").alias("n_rows"), F.expr("bitmap_or_agg(seen)").alias("b"))
     counted = by_block.select("field_name", "term", "n_rows", F.coalesce(F.expr("bitmap_count(b)"), F.lit(0)).alias("n"))
-    heavy_side = counted.groupBy("field_name", "term").agg(F.sum("n_rows").alias("n_rows"), F.sum("n").alias("n_units"))
-    light = None
-    for f in fields:
-        rest = given.where(F.col(f).isNotNull())
-        rest = rest.where(~F.col(f).isin(heavy[f])) if heavy[f] else rest
-        one = rest.groupBy(F.col(f).alias("term"), "u").agg(F.count("*").alias("c")).groupBy("term").agg(F.sum("c").alias("n_rows"), F.count("*").alias("n_units"))
-        one = one.select(F.lit(f).alias("field_name"), "term", "n_rows", "n_units")
-        light = one if light is None else light.unionByName(one)
-    return heavy_side.unionByName(light)
+    heavy = counted.groupBy("field_name", "term").agg(F.sum("n_rows").alias("n_rows"), F.sum("n").alias("n_units"))
+    pairs = partial.where("unit is not null").groupBy("field_name", "term", "unit").agg(F.sum("n_rows").alias("c"))
+    light = pairs.groupBy("field_name", "term").agg(F.sum("c").alias("n_rows"), F.count("*").alias("n_units"))
+    total = counted.where("field_name is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_units"))
+    return heavy.where("field_name is not null").unionByName(light), total
 
 
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-def marked(frequencies: DataFrame, n_units: int, rare: int = 1, common: int = 95) -> DataFrame:
-    """Adds mark: ``rare`` under max(1, ceil(rare % of n_units)) units, ``common`` over floor(common % of n_units), else null.
+def marked(frequencies: DataFrame, total: DataFrame, rare: int = 1, common: int = 95) -> DataFrame:
+    """Adds mark: ``rare`` under max(1, ceil(rare % of all units)) units, ``common`` over floor(common % of all units), else null.
 
-    The shares are whole percents, so the limits are computed in integers.
+    total: one row, n_units. The shares are whole percents, so the limits are computed in integers.
     """
-    low, high = max(1, -(-rare * n_units // 100)), common * n_units // 100
-    return frequencies.withColumn("mark", F.when(F.col("n_units") < low, "rare").when(F.col("n_units") > high, "common"))
+    limits = total.select(F.expr(f"greatest(1, (n_units * {rare} + 99) div 100)").alias("_low"), F.expr(f"n_units * {common} div 100").alias("_high"))
+    mark = F.when(F.col("n_units") < F.col("_low"), "rare").when(F.col("n_units") > F.col("_high"), "common")
+    return frequencies.crossJoin(F.broadcast(limits)).withColumn("mark", mark).drop("_low", "_high")
