@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ COULOMB = 332.06
 LETTERS = {"ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V"}
 ALIASES = {"HID": "HIS", "HIE": "HIS", "HIP": "HIS", "HSD": "HIS", "HSE": "HIS", "HSP": "HIS", "CYX": "CYS", "CYM": "CYS", "ASH": "ASP", "GLH": "GLU", "LYN": "LYS", "MSE": "MET"}
 
+# Caps, water and ions, which belong to no protein.
+NON_PROTEIN = ("ACE", "NME", "NH2", "NHE", "CBT", "FOR", "WAT", "HOH", "TIP", "SOL", "NA", "CL", "MG", "ZN")
+
 
 def _map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
@@ -24,6 +28,10 @@ def residue_name(name: Column) -> Column:
     return F.coalesce(F.try_element_at(_map(ALIASES), n), n)
 
 
+def is_protein_name(name: Column) -> Column:
+    return ~F.upper(F.trim(name)).isin(*NON_PROTEIN)
+
+
 def one_letter(name: Column) -> Column:
     return F.coalesce(F.try_element_at(_map(LETTERS), residue_name(name)), F.lit("X"))
 
@@ -39,8 +47,8 @@ def periodic_difference(a: Column, b: Column, period: Column) -> Column:
 
 
 def nearest_image(x: Column, length: Column) -> Column:
-    """A displacement moved by whole cells to its nearest image."""
-    return x - length * F.round(x / length)
+    """A displacement moved by whole cells to its nearest image; half a cell, where two are equally near, becomes -length / 2."""
+    return x - length * F.floor(x / length + 0.5)
 
 
 def log10_with_error(value: Column, error: Column) -> tuple[Column, Column]:
@@ -82,6 +90,23 @@ def heaviside(x: Column) -> Column:
     return F.when(x < 0, 0.0).when(x == 0, 0.5).when(x > 0, 1.0)
 
 
+def natural_spline(x: Column, knots: Sequence[float], values: Sequence[float]) -> Column:
+    """The natural cubic spline through the given points (three or more, ascending); null outside of them."""
+    n = len(knots)
+    h = [b - a for a, b in zip(knots, knots[1:], strict=False)]
+    system, right = np.eye(n), np.zeros(n)  # second derivatives; 0 at both ends
+    for i in range(1, n - 1):
+        system[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        right[i] = 6 * ((values[i + 1] - values[i]) / h[i] - (values[i] - values[i - 1]) / h[i - 1])
+    m = np.linalg.solve(system, right).tolist()
+    out = F.when(x < knots[0], F.lit(None).cast("double"))
+    for i in range(n - 1):
+        a, b = knots[i + 1] - x, x - knots[i]
+        piece = (m[i] * a * a * a + m[i + 1] * b * b * b) / (6 * h[i]) + (values[i] / h[i] - m[i] * h[i] / 6) * a + (values[i + 1] / h[i] - m[i + 1] * h[i] / 6) * b
+        out = out.when(x <= knots[i + 1], piece)
+    return out
+
+
 def sigmoid_blend(x: Column, centre: float, width: float, inner: float, outer: float) -> Column:
     return inner + (outer - inner) / (1 + F.exp(-(x - centre) / width))
 

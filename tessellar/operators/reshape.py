@@ -19,7 +19,7 @@ def global_frames(frames: DataFrame, order: Sequence[str], bucket: str) -> DataF
     """Adds ``frame``, the row's place from 0 over the whole order, without sorting everything into one task.
 
     ``bucket`` is the leading column of the order; rows are numbered inside each bucket and offset by the counts before
-    it, which are one row per bucket.
+    it, which are one row per bucket: only for few buckets, none of which fills the data (else ``range_index``).
     """
     inside = F.row_number().over(Window.partitionBy(bucket).orderBy(*order))
     sizes = frames.groupBy(bucket).agg(F.count("*").alias("_n"))
@@ -27,11 +27,13 @@ def global_frames(frames: DataFrame, order: Sequence[str], bucket: str) -> DataF
     return frames.withColumn("_i", inside).join(before, bucket).withColumn("frame", F.col("_before") + F.col("_i") - 1).drop("_i", "_before")
 
 
-def range_index(rows: DataFrame, order: Sequence[str], name: str = "frame", parts: int = 64) -> DataFrame:
-    """As global_frames, where no column is a natural bucket: the rows are split into ranges of the order, written once to
-    the shared folder with their range's number, numbered inside each range and offset by the counts before it. The order
-    must be unique. A key that fills the table is no matter, as ranges are cut by the whole order.
+def range_index(rows: DataFrame, order: Sequence[str], name: str = "frame", parts: int | None = None) -> DataFrame:
+    """As global_frames, where no column is a natural bucket: the rows are split into ranges of the order (as many as the
+    session has shuffle partitions), written once to the shared folder with their range's number, numbered inside each
+    range and offset by the counts before it, which are one row a range. The order must be unique. A key that fills the
+    table is no matter, as ranges are cut by the whole order.
     """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = materialise(rows.repartitionByRange(parts, *order).withColumn("_k", F.spark_partition_id()), "ranges")
     return global_frames(placed, order, "_k").withColumnRenamed("frame", name).drop("_k")
 

@@ -251,11 +251,12 @@ def sel16(spark: S, d: str) -> DataFrame:
 @query("sel18_excess_trim", """WITH c AS (SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1), m AS (SELECT min(n) AS m FROM c)
 SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events WHERE event_type IN ('purchase', 'signup')), m WHERE r <= m""")
 def sel18(spark: S, d: str) -> DataFrame:
+    """The first min(n) of either kind: numbered over ranges of (kind, id), then offset by the kind's first number."""
     e = table(spark, d, "events").where(F.col("event_type").isin("purchase", "signup")).select("event_id", "event_type")
-    least = e.groupBy("event_type").agg(F.count("*").alias("n")).agg(F.min("n").alias("m"))
-    parts = rs.global_frames(e.withColumn("_b", F.concat_ws("|", "event_type", F.lpad(F.floor(F.col("event_id") / 1000).cast("string"), 12, "0"))), ["event_id"], "_b")
-    first = parts.groupBy("event_type").agg(F.min("frame").alias("_f"))
-    return parts.join(F.broadcast(first), "event_type").crossJoin(F.broadcast(least)).where("frame - _f < m").select("event_id", "event_type")
+    numbered = rs.range_index(e, ["event_type", "event_id"])
+    ends = numbered.groupBy("event_type").agg(F.min("frame").alias("_f"), F.count("*").alias("n"))
+    least = F.broadcast(ends.agg(F.min("n").alias("m")))
+    return numbered.join(F.broadcast(ends), "event_type").crossJoin(least).where("frame - _f < m").select("event_id", "event_type")
 
 
 @query("sel20_any_and_all_in_set", f"WITH {LOG} SELECT ((split_part(r1, ':', 1) = 'A') OR (split_part(r2, ':', 1) = 'A')) AS any_in, ((split_part(r1, ':', 1) = 'A') AND (split_part(r2, ':', 1) = 'A')) AS all_in, count(*) AS n FROM res GROUP BY ALL")
@@ -299,10 +300,11 @@ def join01(spark: S, d: str) -> DataFrame:
     return rs.by_state(u, states)
 
 
-@query("join02_late_payload", f"WITH {BIND}, k AS (SELECT system, repeat, frame FROM bind WHERE frame % 10 = 3) SELECT k.system, k.repeat, k.frame, i.component, i.e FROM k JOIN ie i USING (system, repeat, frame)")
+@query("join02_late_payload", f"WITH {BIND}, k AS (SELECT system, repeat, frame FROM bind QUALIFY row_number() OVER (PARTITION BY system, repeat ORDER BY ie, frame) <= 5) SELECT k.system, k.repeat, k.frame, i.component, i.e FROM k JOIN ie i USING (system, repeat, frame)")
 def join02(spark: S, d: str) -> DataFrame:
-    keys = binding(spark, d).where("frame % 10 = 3").select("system", "repeat", "frame")
-    return energies(spark, d).join(keys, ["system", "repeat", "frame"]).select("system", "repeat", "frame", "component", "e")
+    """The payload of chosen frames only: of each run the five of lowest energy."""
+    chosen = rel.first_per_group(binding(spark, d), ["system", "repeat"], [F.asc("ie"), F.asc("frame")], 5)
+    return energies(spark, d).join(chosen.select("system", "repeat", "frame"), ["system", "repeat", "frame"]).select("system", "repeat", "frame", "component", "e")
 
 
 @query("join03_index_remap", f"""WITH {LOG}, m AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS id FROM (SELECT r1 AS label FROM res UNION SELECT r2 FROM res) WHERE label LIKE 'A:%')
@@ -317,7 +319,7 @@ def join03(spark: S, d: str) -> DataFrame:
 @query("join04_label_index", "SELECT e.event_id, n.id FROM events e JOIN (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS id FROM (SELECT DISTINCT event_type FROM events WHERE event_type <> 'error')) n USING (event_type)")
 def join04(spark: S, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "event_type")
-    return e.join(F.broadcast(ct.dictionary(e.where("event_type != 'error'"), "event_type")), "event_type").select("event_id", "id")
+    return e.join(ct.dictionary(e.where("event_type != 'error'"), "event_type"), "event_type").select("event_id", "id")
 
 
 @query("join09_missing_reasons", """SELECT s.pdb_code, CASE WHEN n.pdb_code IS NULL THEN 'no record' WHEN n.n_ok = 0 THEN 'no readable record' END AS reason FROM structures s
@@ -351,11 +353,14 @@ def join13(spark: S, d: str) -> DataFrame:
     return binding(spark, d).withColumn("ie", F.round("ie", 6))
 
 
-LADDER = """ladder AS (SELECT year(o_orderdate)::INT AS sim_no, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY t) - 1 AS state, t AS temperature FROM (SELECT DISTINCT o_orderdate, round(300 + o_custkey % 40 * 1.5, 2)::DOUBLE AS t FROM orders WHERE o_orderkey % 7 = 0) GROUP BY year(o_orderdate), t)"""
+LADDER = """ladder AS (SELECT sim_no, row_number() OVER (PARTITION BY sim_no ORDER BY t) - 1 AS state, t AS temperature FROM
+ (SELECT DISTINCT year(o_orderdate)::INT AS sim_no, round(300 + o_custkey % (34 + year(o_orderdate) % 7) * 1.5, 2)::DOUBLE AS t FROM orders))"""
 
 
 def ladders(spark: S, d: str) -> DataFrame:
-    t = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.year("o_orderdate").alias("sim_no"), F.round(300 + F.col("o_custkey") % 40 * 1.5, 2).alias("temperature")).distinct()
+    """A ladder a year, of at most 40 rungs; how many a year has follows from its number, so some lack the upper ones."""
+    year = F.year("o_orderdate")
+    t = table(spark, d, "orders").select(year.alias("sim_no"), F.round(300 + F.col("o_custkey") % (34 + year % 7) * 1.5, 2).alias("temperature")).distinct()
     return t.withColumn("state", (F.row_number().over(Window.partitionBy("sim_no").orderBy("temperature")) - 1).cast("bigint"))
 
 
@@ -381,7 +386,7 @@ def join15(spark: S, d: str) -> DataFrame:
 @query("join20_frame_map", f"WITH {PERM}, f AS (SELECT *, dense_rank() OVER (ORDER BY sim_no, sim_iter) - 1 AS frame FROM perm) SELECT frame, state, sim_no, sim_iter, replica FROM f")
 def join20(spark: S, d: str) -> DataFrame:
     _, states = permutations(spark, d)
-    frames = rs.global_frames(states.select("sim_no", "sim_iter").distinct(), ["sim_iter"], "sim_no")
+    frames = rs.range_index(states.select("sim_no", "sim_iter").distinct(), ["sim_no", "sim_iter"])
     return states.join(frames, ["sim_no", "sim_iter"]).select("frame", "state", "sim_no", "sim_iter", "replica")
 
 
@@ -422,41 +427,6 @@ def agg06(spark: S, d: str) -> DataFrame:
     return out.orderBy(*rel.natural_key(F.col("label"))).select("label", F.round("frequency", 9).alias("ratio"))
 
 
-_SYSTEMS = ["XN5_R8", "BH1_R1", "ZD23_R8", "TN13_R4"]
-_PIVOT_SQL = ", ".join("round({f}(CASE WHEN system = '%s' THEN frequency END), 6) AS \"%s\"" % (s, s) for s in _SYSTEMS)
-_TOP_CONTACTS = f"SELECT contact FROM cells WHERE system IN {tuple(_SYSTEMS)} GROUP BY 1 HAVING count(*) >= 2"
-
-
-def pivot_source(spark: S, d: str) -> DataFrame:
-    rows = cells(spark, d).where(F.col("system").isin(*_SYSTEMS))
-    return rows.withColumn("_n", F.count("*").over(Window.partitionBy("contact"))).where("_n >= 2").drop("_n")
-
-
-@query("agg07_pivot_sum", f"WITH {CONTACT_CELLS} SELECT contact, {_PIVOT_SQL.format(f='sum')} FROM cells WHERE system IN {tuple(_SYSTEMS)} AND contact IN ({_TOP_CONTACTS}) GROUP BY 1")
-def agg07(spark: S, d: str) -> DataFrame:
-    out = rel.wide_pivot(pivot_source(spark, d), "contact", "system", "frequency", _SYSTEMS)
-    return out.select("contact", *[F.round(c, 6).alias(c) for c in _SYSTEMS])
-
-
-_PIVOT_FILL = ", ".join("coalesce(round(avg(CASE WHEN system = '%s' THEN frequency END), 6), 0) AS \"%s\"" % (s, s) for s in _SYSTEMS)
-
-
-@query("agg08_pivot_mean_filled", f"WITH {CONTACT_CELLS} SELECT contact, {_PIVOT_FILL} FROM cells WHERE system IN {tuple(_SYSTEMS)} AND contact IN ({_TOP_CONTACTS}) GROUP BY 1")
-def agg08(spark: S, d: str) -> DataFrame:
-    out = rel.wide_pivot(pivot_source(spark, d), "contact", "system", "frequency", _SYSTEMS, "avg", 0.0)
-    return out.select("contact", *[F.round(c, 6).alias(c) for c in _SYSTEMS])
-
-
-@query("agg09_row_mean_top", f"WITH {CONTACT_CELLS} SELECT contact, round(sum(frequency) / 4, 6) AS mean FROM cells WHERE system IN {tuple(_SYSTEMS)} AND contact IN ({_TOP_CONTACTS}) GROUP BY 1 ORDER BY mean DESC, contact LIMIT 40")
-def agg09(spark: S, d: str) -> DataFrame:
-    out = rel.wide_pivot(pivot_source(spark, d), "contact", "system", "frequency", _SYSTEMS, "avg", 0.0)
-    mean = sum((F.col(c) for c in _SYSTEMS[1:]), F.col(_SYSTEMS[0])) / len(_SYSTEMS)
-    return rel.top_k(out.select("contact", F.round(mean, 6).alias("mean")), [F.desc("mean"), F.asc("contact")], 40)
-
-
-# The three pivots above keep the four systems and the contacts of their SQL; those below take every system and contact.
-
-
 def pivot_all(spark: S, d: str, fill: float | None = None) -> DataFrame:
     """One row per contact of any system: a column for each panel system, and the systems outside the panel, whose number
     grows with the data, as two arrays in system order. Where no row supplies a panel cell it is ``fill``."""
@@ -474,19 +444,19 @@ _OTHERS = ", ".join(f"coalesce(list({x} ORDER BY system) FILTER (system NOT IN {
 _ALL_SQL = ", ".join("{l}max(CASE WHEN system = '%s' THEN round(frequency, 6) END){r} AS \"%s\"" % (s, s) for s in _PANEL)
 
 
-@query("agg07_pivot_sum_all", f"WITH {CONTACT_CELLS} SELECT contact, {_ALL_SQL.format(l='', r='')}, {_OTHERS} FROM cells GROUP BY 1")
-def agg07_all(spark: S, d: str) -> DataFrame:
+@query("agg07_pivot_sum", f"WITH {CONTACT_CELLS} SELECT contact, {_ALL_SQL.format(l='', r='')}, {_OTHERS} FROM cells GROUP BY 1")
+def agg07(spark: S, d: str) -> DataFrame:
     return pivot_all(spark, d)
 
 
-@query("agg08_pivot_mean_filled_all", f"WITH {CONTACT_CELLS} SELECT contact, {_ALL_SQL.format(l='coalesce(', r=', 0)')}, {_OTHERS} FROM cells GROUP BY 1")
-def agg08_all(spark: S, d: str) -> DataFrame:
+@query("agg08_pivot_mean_filled", f"WITH {CONTACT_CELLS} SELECT contact, {_ALL_SQL.format(l='coalesce(', r=', 0)')}, {_OTHERS} FROM cells GROUP BY 1")
+def agg08(spark: S, d: str) -> DataFrame:
     """A system outside the panel that isn't listed has 0 as well."""
     return pivot_all(spark, d, 0.0)
 
 
-@query("agg09_row_mean_top_all", f"WITH {CONTACT_CELLS} SELECT contact, round(sum(frequency) / (SELECT count(DISTINCT system) FROM cells), 12) AS mean FROM cells GROUP BY 1 ORDER BY mean DESC, contact LIMIT 40")
-def agg09_all(spark: S, d: str) -> DataFrame:
+@query("agg09_row_mean_top", f"WITH {CONTACT_CELLS} SELECT contact, round(sum(frequency) / (SELECT count(DISTINCT system) FROM cells), 12) AS mean FROM cells GROUP BY 1 ORDER BY mean DESC, contact LIMIT 40")
+def agg09(spark: S, d: str) -> DataFrame:
     """Mean over all systems, missing cells as 0: the sum over their number, so no column is needed."""
     n = cells(spark, d).agg(F.countDistinct("system").alias("n"))
     sums = cells(spark, d).groupBy("contact").agg(F.sum("frequency").alias("s")).crossJoin(F.broadcast(n))
@@ -627,7 +597,7 @@ def ord03(spark: S, d: str) -> DataFrame:
 def ord04(spark: S, d: str) -> DataFrame:
     a, b = rel.natural_key(F.col("label"))
     keyed = generic_numbers(spark, d).select("label").distinct().select("label", a.alias("a"), b.alias("b"))
-    placed = rs.global_frames(keyed, ["b", "label"], "a")
+    placed = rs.range_index(keyed, ["a", "b", "label"])
     return placed.select("label", (F.col("frame") + 1).alias("place"))
 
 
@@ -700,6 +670,16 @@ def fn04(spark: S, d: str) -> DataFrame:
     return ct.endpoints(log(spark, d)).select(F.col("ends")[0].alias("label")).distinct().select("label", sc.one_letter(lb.part(F.col("label"), 2)).alias("letter"))
 
 
+@query("fn04_aliases_and_skips", f"""WITH {LOG}, a AS (SELECT DISTINCT r1 AS label, split_part(r1, ':', 2) AS name FROM res UNION SELECT 'X:' || x || ':1', x FROM (SELECT unnest(['HIE', 'HSD', 'CYX', 'GLH', 'MSE', 'ACE', 'NH2', 'TIP', 'ZN', 'XYZ']) AS x))
+ SELECT label, CASE name WHEN 'HIE' THEN 'HIS' WHEN 'HSD' THEN 'HIS' WHEN 'CYX' THEN 'CYS' WHEN 'GLH' THEN 'GLU' WHEN 'MSE' THEN 'MET' ELSE name END AS name FROM a WHERE name NOT IN ('ACE', 'NME', 'NH2', 'NHE', 'CBT', 'FOR', 'WAT', 'HOH', 'TIP', 'SOL', 'NA', 'CL', 'MG', 'ZN')""")
+def fn04b(spark: S, d: str) -> DataFrame:
+    """Names in one spelling, without what belongs to no protein; with names of each kind added to those of the log."""
+    extra = spark.createDataFrame([(f"X:{x}:1",) for x in ("HIE", "HSD", "CYX", "GLH", "MSE", "ACE", "NH2", "TIP", "ZN", "XYZ")], "label string")
+    labels = ct.endpoints(log(spark, d)).select(F.col("ends")[0].alias("label")).unionByName(extra).distinct()
+    name = lb.part(F.col("label"), 2)
+    return labels.where(sc.is_protein_name(name)).select("label", sc.residue_name(name).alias("name"))
+
+
 @query("fn05_thermal_energy", f"WITH {LADDER} SELECT sim_no, state, round(temperature * 0.0083144626, 9) AS kt FROM ladder")
 def fn05(spark: S, d: str) -> DataFrame:
     return ladders(spark, d).select("sim_no", "state", F.round(sc.thermal_energy(F.col("temperature")), 9).alias("kt"))
@@ -717,11 +697,12 @@ def fn07(spark: S, d: str) -> DataFrame:
     return e.select("event_id", F.round(sc.periodic_difference(F.col("value") % 360, (F.col("event_id") * 37 % 360).cast("double"), F.lit(360.0)), 6).alias("d"))
 
 
-@query("fn09_nearest_image", "SELECT event_id, round(x - 100 * round(x / 100.0), 6) AS d FROM (SELECT event_id, value - 250 AS x FROM events WHERE abs(((value - 250) / 100.0) - floor((value - 250) / 100.0) - 0.5) > 0.001)")
+@query("fn09_nearest_image", "SELECT event_id, round(x - 100 * floor(x / 100.0::DOUBLE + 0.5), 6) AS d FROM (SELECT event_id, value - 250 AS x FROM events UNION ALL SELECT -1 - (k + 3), k * 50.0::DOUBLE FROM range(-3, 4) r(k))")
 def fn09(spark: S, d: str) -> DataFrame:
-    x = F.col("value") - 250
-    e = table(spark, d, "events").where(F.abs(x / 100 - F.floor(x / 100) - 0.5) > 0.001)
-    return e.select("event_id", F.round(sc.nearest_image(x, F.lit(100.0)), 6).alias("d"))
+    """With the seven displacements of whole and half cells, at which two images are equally near."""
+    e = table(spark, d, "events").select("event_id", (F.col("value") - 250).alias("x"))
+    ties = spark.range(-3, 4).select((-1 - (F.col("id") + 3)).alias("event_id"), (F.col("id") * F.lit(50.0)).alias("x"))
+    return e.unionByName(ties).select("event_id", F.round(sc.nearest_image(F.col("x"), F.lit(100.0)), 6).alias("d"))
 
 
 @query("fn10_log_error", f"WITH {BIND}, s AS (SELECT system, abs(avg(ie)) AS m, stddev_pop(ie) / sqrt(count(*)) AS e FROM bind GROUP BY 1) SELECT system, round(log10(m), 6) AS value, round(0.434 * e / m, 6) AS error FROM s WHERE m > 0")
@@ -755,6 +736,22 @@ def fn14(spark: S, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(sc.layered(z, [(10.0, 2.0, 2.0), (20.0, 2.0, 7.0), (25.0, 7.0, 80.0)], 80.0), 6).alias("eps"))
 
 
+@query("fn14_blend_and_harmonic", "SELECT p_partkey, round(2.0 + 78.0 / (1 + exp(-(p_size - 25) / 4.0::DOUBLE)), 6) AS blend, round(2.0::DOUBLE * p_size * p_retailprice / (p_size + p_retailprice), 6) AS mean FROM part")
+def fn14b(spark: S, d: str) -> DataFrame:
+    size, price = F.col("p_size").cast("double"), F.col("p_retailprice")
+    return table(spark, d, "part").select("p_partkey", F.round(sc.sigmoid_blend(size, 25.0, 4.0, 2.0, 80.0), 6).alias("blend"), F.round(sc.harmonic_mean(size, price), 6).alias("mean"))
+
+
+# The second derivatives of the natural spline through (0, 0), (1, 1), (2, 0), (3, 1) are 0, a, b, 0 with 4 a + b = -12 and
+# a + 4 b = 12, so a = -4 and b = 4.
+@query("fn15_natural_spline", """SELECT event_id, round(m0 * power(k + 1 - x, 3) / 6 + m1 * power(x - k, 3) / 6 + (y0 - m0 / 6) * (k + 1 - x) + (y1 - m1 / 6) * (x - k), 6) AS y FROM
+ (SELECT event_id, x, k, CASE k WHEN 1 THEN -4.0::DOUBLE WHEN 2 THEN 4.0::DOUBLE ELSE 0 END AS m0, CASE k WHEN 0 THEN -4.0::DOUBLE WHEN 1 THEN 4.0::DOUBLE ELSE 0 END AS m1, k % 2 AS y0, (k + 1) % 2 AS y1
+  FROM (SELECT event_id, x, least(floor(x), 2)::INT AS k FROM (SELECT event_id, value % 3 AS x FROM events)))""")
+def fn15s(spark: S, d: str) -> DataFrame:
+    y = sc.natural_spline(F.col("value") % 3, [0.0, 1.0, 2.0, 3.0], [0.0, 1.0, 0.0, 1.0])
+    return table(spark, d, "events").select("event_id", F.round(y, 6).alias("y"))
+
+
 @query("fn15_step_profile", "SELECT event_id, CASE WHEN value < 100 THEN 0.0 WHEN value = 100 THEN 0.5 ELSE 1.0 END::DOUBLE AS h FROM events")
 def fn15(spark: S, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", sc.heaviside(F.col("value") - 100).alias("h"))

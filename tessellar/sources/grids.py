@@ -32,11 +32,9 @@ def parse_dx(spark: SparkSession, lines: DataFrame) -> DataFrame:
     v = F.col("value")
     counts = [int(x) for x in lines.where(v.contains("gridpositions")).first()["value"].split()[-3:]]
     body = lines.where(~v.rlike(r"^\s*(object|origin|delta|attribute|component|#|$)")).select("line_no", F.split(F.trim(v), r"\s+").alias("x"))
-    from tessellar.operators.reshape import global_frames
+    from tessellar.operators.reshape import range_index
 
-    block = body.withColumn("b", F.floor(F.col("line_no") / 10_000))
-    items = block.select("b", "line_no", F.posexplode("x").alias("p", "val"))
-    placed = global_frames(items, ["line_no", "p"], "b")
+    placed = range_index(body.select("line_no", F.posexplode("x").alias("p", "val")), ["line_no", "p"])
     j, k = counts[1], counts[2]
     f = F.col("frame")
     return placed.select(F.floor(f / (j * k)).alias("i"), (F.floor(f / k) % j).alias("j"), (f % k).alias("k"), F.col("val").cast("double").alias("val"))
