@@ -18,11 +18,15 @@ class Components:
     vectors: np.ndarray  # one row a component
     ratios: np.ndarray
 
+    def first(self, n: int) -> Components:
+        return Components(self.mean, self.vectors[:n], self.ratios[:n])
+
 
 def fit(rows: DataFrame, vector: str, threshold: float | None = None, compat: bool = False) -> Components:
     """Components by explained variance; signs fixed so that each one's largest loading is positive.
 
-    Every task sums its vectors and their products; the driver gets one features x features matrix, whose size is checked.
+    Every task sums its vectors and their products; the rows of these sums are added as arrays, so d + 2 rows of d values
+    cross the network for each task, and as many reach the driver, whose size is checked.
     With a threshold the components are kept up to the first that reaches it; ``compat`` drops that one, as older
     results do.
     """
@@ -42,8 +46,11 @@ def fit(rows: DataFrame, vector: str, threshold: float | None = None, compat: bo
                 n, s, p = n + len(x), s + x.sum(0), p + x.T @ x
         yield pd.DataFrame({"row": range(d + 2), "x": [*p, s, np.full(d, float(n))]})
 
-    partial = data.mapInPandas(sums, "row int, x array<double>").select("row", F.posexplode("x").alias("c", "x")).groupBy("row", "c").agg(F.sum("x").alias("x"))
-    out = partial.toPandas().pivot(index="row", columns="c", values="x").to_numpy()
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"row": f.row[:1], "x": [np.stack(f.x.to_numpy()).sum(0)]})
+
+    total = data.mapInPandas(sums, "row int, x array<double>").groupBy("row").applyInPandas(add, "row int, x array<double>").toPandas()
+    out = np.stack(total.sort_values("row").x.to_numpy())
     n, mean = out[d + 1, 0], out[d] / out[d + 1, 0]
     values, vectors = np.linalg.eigh((out[:d] - n * np.outer(mean, mean)) / max(n - 1, 1))
     order = np.argsort(values)[::-1]

@@ -22,7 +22,8 @@ def state_weights(samples: DataFrame, id_col: str, energies: str, counts: Sequen
 
     samples hold the reduced energies of each sample in all K states. The self-consistent equations are iterated over
     partial log-sums: a pass is one narrow job, and only K numbers a task reach the driver. Energies are written once to
-    the shared folder, so no pass recomputes what led to them.
+    the shared folder, so no pass recomputes what led to them. Raises if ``most`` passes don't bring the change of every
+    free energy under the tolerance.
     """
     kept = materialise(samples.select(F.col(id_col), F.col(energies).cast("array<double>").alias("u")), "energies")
     n_k = np.array(counts, float)
@@ -48,6 +49,8 @@ def state_weights(samples: DataFrame, id_col: str, energies: str, counts: Sequen
         gap, f = np.abs(new - f).max(), new
         if gap < tolerance:
             break
+    else:
+        raise RuntimeError(f"free energies still change by {gap:.3g} after {most} passes")
 
     def weigh(batches):
         for b in batches:
@@ -59,39 +62,44 @@ def state_weights(samples: DataFrame, id_col: str, energies: str, counts: Sequen
     return f, kept.mapInPandas(weigh, f"{id_col} {kind}, weights array<double>")
 
 
-def systematic_resample(rows: DataFrame, bucket: str, order: str, weight: str, size: int, offset: float = 0.5) -> DataFrame:
+def systematic_resample(rows: DataFrame, order: Sequence[str], weight: str, size: int, offset: float = 0.5) -> DataFrame:
     """Adds copies: how often a row is drawn when the cumulative weight is met at ``size`` even steps.
 
-    Every row's share of the draws is right to within one. Cumulative weights are local to a bucket and offset by the
-    buckets before it, so nothing is sorted as a whole. Weights must not be negative; null weights count as 0.
+    Every row's share of the draws is right to within one. The rows are cut into ranges of the whole order, so a value
+    that fills the table is no matter; cumulative weights are local to a range and offset by the ranges before it, one
+    row each. The order must be unique. Weights must not be negative; null weights count as 0.
     """
     w = F.coalesce(F.col(weight), F.lit(0.0))
-    local = F.sum(w).over(Window.partitionBy(bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    totals = rows.groupBy(bucket).agg(F.sum(w).alias("_t"))
-    before = totals.select(bucket, (F.sum("_t").over(Window.orderBy(bucket)) - F.col("_t")).alias("_before"), F.sum("_t").over(Window.partitionBy()).alias("_all"))
-    c = rows.withColumn("_c", local).join(before, bucket)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialise(rows.repartitionByRange(parts, *order).withColumn("_k", F.spark_partition_id()), "ranges")
+    local = F.sum(w).over(Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    totals = placed.groupBy("_k").agg(F.sum(w).alias("_t"))
+    before = totals.select("_k", (F.sum("_t").over(Window.orderBy("_k")) - F.col("_t")).alias("_before"), F.sum("_t").over(Window.partitionBy()).alias("_all"))
+    c = placed.withColumn("_c", local).join(F.broadcast(before), "_k")
     high, low = (F.col("_before") + F.col("_c")) / F.col("_all") * size, (F.col("_before") + F.col("_c") - w) / F.col("_all") * size
 
     def crossed(x: Column) -> Column:
         return F.floor(F.round(x, 6) - offset)
 
-    return c.withColumn("copies", crossed(high) - crossed(low)).drop("_c", "_before", "_all")
+    return c.withColumn("copies", crossed(high) - crossed(low)).drop("_c", "_before", "_all", "_k")
 
 
 def draw_without_replacement(rows: DataFrame, id_col: str, weight: str, size: int, seed: int = 1) -> DataFrame:
-    """``size`` rows, chances by weight, by the smallest -ln(u) / w; u from a seeded hash of the id."""
-    u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 40)) + 0.5) / (1 << 40)
+    """``size`` rows, chances by weight, by the smallest -ln(u) / w; u from forty bits of a seeded digest of the id."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), 1, 10), 16, 10).cast("bigint")
+    u = (bits + 0.5) / (1 << 40)
     return rows.where(F.col(weight) > 0).withColumn("_k", -F.log(u) / F.col(weight)).orderBy("_k", id_col).limit(size).drop("_k")
 
 
 def backfill(frames: DataFrame, missing: DataFrame, per_state: int, seed: int = 1) -> DataFrame:
-    """Frames of other simulations for each missing (sim_no, state): ``per_state`` each, drawn evenly by a seeded hash.
+    """Frames of other simulations for each missing (sim_no, state): ``per_state`` each, drawn evenly by a seeded digest.
 
     frames: sim_no, state, frame. Result: sim_no (that lacks them), state, donor, frame.
     """
     donors = frames.select(F.col("sim_no").alias("donor"), "state", "frame")
     chosen = missing.select("sim_no", "state").join(donors, "state").where(F.col("donor") != F.col("sim_no"))
-    w = Window.partitionBy("sim_no", "state").orderBy(F.xxhash64("sim_no", "state", "donor", "frame", F.lit(seed)), "donor", "frame")
+    drawn = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in ("sim_no", "state", "donor", "frame")], F.lit(str(seed))))
+    w = Window.partitionBy("sim_no", "state").orderBy(drawn, "donor", "frame")
     return chosen.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_state).drop("_r")
 
 

@@ -15,7 +15,7 @@ from tessellar.operators import relational as rel
 from tessellar.operators import reshape as rs
 from tessellar.plans.catalog import query
 from tessellar.plans.queries_tables import BIND, ENERGY, LADDER, LOG, MONTHS, binding, checkpoints, energies, ladders, log, tokens
-from tessellar.session import table
+from tessellar.session import materialise, table
 from tessellar.sources import text
 
 S = SparkSession
@@ -57,136 +57,143 @@ def mat07(spark: S, d: str) -> DataFrame:
     return _ij(vectors.blocked_distances(a, queried(a), "vec_id", "a", vectors.periodic_rms(360.0)), 5)
 
 
-_PAIR_LIST = "[[a, b] FOR a IN range(0, 8) FOR b IN range(0, 8) IF b > a]"
-_FEATURES = """f AS (SELECT vec_id, label, list_transform(p.p, lambda ab: sqrt(power(e[3 * ab[1] + 1] - e[3 * ab[2] + 1], 2) + power(e[3 * ab[1] + 2] - e[3 * ab[2] + 2], 2) + power(e[3 * ab[1] + 3] - e[3 * ab[2] + 3], 2))) AS f
- FROM v, (SELECT list([a, b] ORDER BY a, b) AS p FROM range(8) x(a), range(8) y(b) WHERE b > a) p)"""
+ATOMS = 21  # the last of the 64 components belongs to no atom
+_DISTANCE = "sqrt(power(e[3 * ab[1] + 1] - e[3 * ab[2] + 1], 2) + power(e[3 * ab[1] + 2] - e[3 * ab[2] + 2], 2) + power(e[3 * ab[1] + 3] - e[3 * ab[2] + 3], 2))"
+_PAIRS = "ab AS (SELECT [a, b] AS ab FROM range(21) x(a), range(21) y(b) WHERE b > a)"
+_FEATURES = f"""{_PAIRS}, f AS (SELECT vec_id, label, list_transform(p.p, lambda ab: {_DISTANCE}) AS f FROM v, (SELECT list(ab ORDER BY ab) AS p FROM ab) p)"""
+_NEAR = f"""near AS (SELECT list(ab ORDER BY ab) AS p FROM ab, (SELECT e FROM v ORDER BY vec_id LIMIT 1) WHERE {_DISTANCE} <= 0.25),
+ h AS (SELECT vec_id, list_transform(near.p, lambda ab: {_DISTANCE}) AS f FROM v, near)"""
+
+
+def _rms_sql(table: str, col: str) -> str:
+    square = f"list_sum(list_transform(list_zip(a.{col}, b.{col}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"SELECT a.vec_id AS i, b.vec_id AS j, sqrt({square} / len(a.{col})) AS d FROM {table} a, {table} b WHERE a.vec_id % 100 = 0"
+
+
+_TURNS = "SELECT q.vec_id AS i, v.vec_id AS j, sqrt(list_sum(list_transform(list_zip(q.e, v.e), lambda z: power(least(abs(z[1] - z[2]) * 360 % 360, 360 - abs(z[1] - z[2]) * 360 % 360), 2))) / 64) AS d FROM q, v"
+
+
+def atom_pairs(e: DataFrame) -> DataFrame:
+    return vectors.pair_features(e, "vec_id", "embedding", ATOMS)
+
+
+def near_pairs(e: DataFrame) -> DataFrame:
+    """Pairs that are close in the first frame, as in the reference."""
+    first = e.orderBy("vec_id").select("embedding").first()[0][: 3 * ATOMS]
+    return vectors.pair_features(e, "vec_id", "embedding", ATOMS, vectors.close_pairs(first, 0.25))
 
 
-@query("mat08_pair_distance_features", f"WITH {VEC}, {_FEATURES} SELECT a.vec_id AS i, b.vec_id AS j, round(sqrt(list_sum(list_transform(list_zip(a.f, b.f), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 28), 6) AS d FROM f a, f b WHERE a.vec_id % 100 = 0")
+@query("mat08_pair_distance_features", f"WITH {VEC}, {_FEATURES} SELECT i, j, round(d, 6) AS d FROM ({_rms_sql('f', 'f')})")
 def mat08(spark: S, d: str) -> DataFrame:
-    f = vectors.pair_features(embeddings(spark, d), "vec_id", "embedding", 8)
+    f = atom_pairs(embeddings(spark, d))
     return _ij(vectors.blocked_distances(f, queried(f), "vec_id", "features"))
 
 
-@query("mat09_hamming", f"""WITH {LOG}, s AS (SELECT frame, count(*) AS n FROM tok GROUP BY 1), x AS (SELECT a.frame AS a, b.frame AS b, count(*) AS k FROM tok a JOIN tok b USING (token) WHERE a.frame % 100 = 0 GROUP BY ALL)
-SELECT x.a, x.b, k AS n_shared, round((sa.n + sb.n - 2 * k) / 1000.0::DOUBLE, 9) AS hamming FROM x JOIN s sa ON sa.frame = x.a JOIN s sb ON sb.frame = x.b""")
-def mat09(spark: S, d: str) -> DataFrame:
-    t = tokens(spark, d)
-    q = t.where("frame % 100 = 0").select("frame").distinct()
-    return ct.set_distances(t, q, "frame", "token", 1000).select("a", "b", "n_shared", F.round("hamming", 9).alias("hamming"))
+@query("mat11_close_pair_features", f"WITH {VEC}, {_PAIRS}, {_NEAR} SELECT i, j, round(d, 6) AS d FROM ({_rms_sql('h', 'f')})")
+def mat11(spark: S, d: str) -> DataFrame:
+    f = near_pairs(embeddings(spark, d))
+    return _ij(vectors.blocked_distances(f, queried(f), "vec_id", "features"))
 
 
-@query("mat10_jaccard", f"""WITH {LOG}, s AS (SELECT frame, count(*) AS n FROM tok GROUP BY 1), x AS (SELECT a.frame AS a, b.frame AS b, count(*) AS k FROM tok a JOIN tok b USING (token) WHERE a.frame % 100 = 0 GROUP BY ALL)
-SELECT x.a, x.b, round(1 - k / (sa.n + sb.n - k), 9) AS jaccard FROM x JOIN s sa ON sa.frame = x.a JOIN s sb ON sb.frame = x.b""")
-def mat10(spark: S, d: str) -> DataFrame:
-    t = tokens(spark, d)
-    q = t.where("frame % 100 = 0").select("frame").distinct()
-    return ct.set_distances(t, q, "frame", "token").select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+@query("mat12_weighted_sum", f"WITH {VEC}, {_FEATURES}, {_NEAR}, t AS ({_TURNS}), a AS ({_rms_sql('f', 'f')}), c AS ({_rms_sql('h', 'f')}) SELECT i, j, round(0.333 * t.d + 0.333 * a.d + 0.333 * c.d, 4) AS d FROM t JOIN a USING (i, j) JOIN c USING (i, j)")
+def mat12(spark: S, d: str) -> DataFrame:
+    """Torsions, all pairs and close pairs, a third each."""
+    e, a = embeddings(spark, d), angles(spark, d)
+    parts = [(a, "a", vectors.periodic_rms(360.0)), (atom_pairs(e), "features", vectors.rms), (near_pairs(e), "features", vectors.rms)]
+    return _ij(vectors.weighted_sum([(vectors.blocked_distances(f, queried(f), "vec_id", c, metric), 0.333) for f, c, metric in parts]), 4)
 
 
-_GRID = """s AS (SELECT fr.frame, count(token) AS n FROM (SELECT unnest(range((SELECT max(frame) + 1 FROM tok)))::INT AS frame) fr LEFT JOIN tok USING (frame) GROUP BY 1),
+@query("mat30_matrix_bundle", f"""WITH {VEC}, {_FEATURES}, w AS (SELECT vec_id, e FROM v) SELECT 'torsion' AS matrix, i, j, round(d, 5) AS d FROM ({_TURNS})
+ UNION ALL SELECT 'pairs', i, j, round(d, 6) FROM ({_rms_sql('f', 'f')}) UNION ALL SELECT 'vectors', i, j, round(d, 6) FROM ({_rms_sql('w', 'e')})""")
+def mat30(spark: S, d: str) -> DataFrame:
+    parts = {"torsion": mat07(spark, d), "pairs": mat08(spark, d), "vectors": mat05(spark, d)}
+    tagged = [df.select(F.lit(name).alias("matrix"), "i", "j", "d") for name, df in parts.items()]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+
+
+_PAIRS_OF_FRAMES = """s AS (SELECT fr.frame, count(token) AS n FROM (SELECT unnest(range((SELECT max(frame) + 1 FROM tok)))::INT AS frame) fr LEFT JOIN tok USING (frame) GROUP BY 1),
  x AS (SELECT a.frame AS a, b.frame AS b, count(*) AS k FROM tok a JOIN tok b USING (token) WHERE a.frame % 100 = 0 GROUP BY ALL),
  g AS (SELECT p.frame AS a, q.frame AS b, coalesce(x.k, 0) AS k, p.n + q.n AS n FROM s p CROSS JOIN s q LEFT JOIN x ON x.a = p.frame AND x.b = q.frame WHERE p.frame % 100 = 0)"""
 
 
 def frame_distances(spark: S, d: str) -> DataFrame:
     """Every hundredth frame against all from 0 to the last, with or without tokens."""
-    t = tokens(spark, d)
+    t = materialise(tokens(spark, d), "tokens")
     units = spark.range(t.agg(F.max("frame")).first()[0] + 1).select(F.col("id").cast("int").alias("frame"))
     return ct.all_set_distances(t, units.where("frame % 100 = 0"), units, "frame", "token")
 
 
-@query("mat09_hamming_all", f"WITH {LOG}, {_GRID} SELECT a, b, k AS n_shared, round((n - 2 * k) / (SELECT count(DISTINCT token) FROM tok), 9) AS hamming FROM g")
-def mat09_all(spark: S, d: str) -> DataFrame:
-    """mat09_hamming has the pairs that share a token, over a fixed 1,000 features, as its SQL."""
+@query("mat09_hamming", f"WITH {LOG}, {_PAIRS_OF_FRAMES} SELECT a, b, k AS n_shared, round((n - 2 * k) / (SELECT count(DISTINCT token) FROM tok), 9) AS hamming FROM g")
+def mat09(spark: S, d: str) -> DataFrame:
+    """Share of all tokens, counted, in which two frames differ."""
     return frame_distances(spark, d).select("a", "b", "n_shared", F.round("hamming", 9).alias("hamming"))
 
 
-@query("mat10_jaccard_all", f"WITH {LOG}, {_GRID}, j AS (SELECT a, b, CASE WHEN n > k THEN 1 - k / (n - k) ELSE 0 END AS j FROM g) SELECT a, b, round(coalesce(j / nullif(max(j) OVER (), 0), 0), 9) AS jaccard FROM j")
-def mat10_all(spark: S, d: str) -> DataFrame:
+@query("mat10_jaccard", f"WITH {LOG}, {_PAIRS_OF_FRAMES}, j AS (SELECT a, b, CASE WHEN n > k THEN 1 - k / (n - k) ELSE 0 END AS j FROM g) SELECT a, b, round(coalesce(j / nullif(max(j) OVER (), 0), 0), 9) AS jaccard FROM j")
+def mat10(spark: S, d: str) -> DataFrame:
     """Divided by the maximum of these pairs; all zeros if that is 0."""
     pairs = frame_distances(spark, d)
     top = F.broadcast(pairs.agg(F.max("jaccard").alias("_m")))
     return pairs.crossJoin(top).select("a", "b", F.round(F.coalesce(F.try_divide("jaccard", "_m"), F.lit(0.0)), 9).alias("jaccard"))
 
 
-# mat08, mat12 and mat06 keep the atoms and quartets of their SQL; with _all every atom of the vector counts.
-ATOMS = 21  # the last of the 64 components belongs to no atom
-
-
-def atom_pairs(e: DataFrame) -> DataFrame:
-    return vectors.pair_features(e, "vec_id", "embedding", ATOMS)
-
-
-def near_pairs(e: DataFrame) -> DataFrame:
-    """Pairs that are close in the first frame, as in the reference."""
-    first = e.orderBy("vec_id").select("embedding").first()[0][: 3 * ATOMS]
-    return vectors.pair_features(e, "vec_id", "embedding", ATOMS, vectors.close_pairs(first, 0.25))
-
-
-@query("mat08_pair_distance_features_all", f"WITH {VEC}, {_FEATURES} SELECT a.vec_id AS i, b.vec_id AS j, round(sqrt(list_sum(list_transform(list_zip(a.f, b.f), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 210), 6) AS d FROM f a, f b WHERE a.vec_id % 100 = 0".replace("range(8)", "range(21)"))
-def mat08_all(spark: S, d: str) -> DataFrame:
-    f = atom_pairs(embeddings(spark, d))
-    return _ij(vectors.blocked_distances(f, queried(f), "vec_id", "features"))
+# The k-th principal component and its variance: the covariance matrix squared until one component is left of it, that one
+# measured, taken out, and so on.
+_EIGEN = """x AS (SELECT {e} AS e FROM {rows}), cols AS (SELECT unnest(e) AS x, unnest(range(1, 65)) AS p FROM x),
+ mean AS (SELECT list(m ORDER BY p) AS m FROM (SELECT p, avg(x) AS m FROM cols GROUP BY p)),
+ centred AS (SELECT list_transform(list_zip(e, m), lambda z: z[1] - z[2]) AS c FROM x, mean),
+ cells AS (SELECT p.p, q.q, sum(c[p.p] * c[q.q]) / (count(*) - 1) AS v FROM centred, range(1, 65) p(p), range(1, 65) q(q) GROUP BY ALL),
+ cov AS (SELECT list(r ORDER BY p) AS c FROM (SELECT p, list(v ORDER BY q) AS r FROM cells GROUP BY p)),
+ eig AS (WITH RECURSIVE it AS (
+   SELECT 0 AS k, 0 AS s, c, c AS m, 0.0::DOUBLE AS l, c[1] AS w FROM cov
+   UNION ALL
+   SELECT CASE WHEN s = {squarings} THEN k + 1 ELSE k END, CASE WHEN s = {squarings} THEN 0 ELSE s + 1 END, c2, CASE WHEN s = {squarings} THEN c2 ELSE m2 END, l2, w2
+   FROM (SELECT k, s, l2, w2, CASE WHEN s = {squarings} THEN list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: c[i][j] - l2 * w2[i] * w2[j])) ELSE c END AS c2,
+           CASE WHEN s < {squarings} THEN list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b) / t / t)) END AS m2
+     FROM (SELECT *, list_dot_product(w2, list_transform(c, lambda a: list_dot_product(a, w2))) AS l2
+       FROM (SELECT *, list_transform(m[b], lambda y: y / sqrt(list_dot_product(m[b], m[b]))) AS w2
+         FROM (SELECT *, list_sum(list_transform(range(1, 65), lambda i: m[i][i])) AS t, list_position(list_transform(range(1, 65), lambda i: m[i][i]), list_max(list_transform(range(1, 65), lambda i: m[i][i]))) AS b FROM it WHERE k < {n})))))
+  SELECT k, l, list_transform(w, lambda y: y * sign(w[list_position(list_transform(w, lambda z: abs(z)), list_max(list_transform(w, lambda z: abs(z))))])) AS w FROM it WHERE s = 0 AND k > 0)"""
 
 
-@query("mat11_close_pair_features")
-def mat11(spark: S, d: str) -> DataFrame:
-    f = near_pairs(embeddings(spark, d))
-    return _ij(vectors.blocked_distances(f, queried(f), "vec_id", "features"))
-
-
-@query("mat12_weighted_sum_all")
-def mat12_all(spark: S, d: str) -> DataFrame:
-    """Torsions, all pairs and close pairs, a third each."""
-    e, a = embeddings(spark, d), angles(spark, d)
-    parts = [(a, "a", vectors.periodic_rms(360.0)), (atom_pairs(e), "features", vectors.rms), (near_pairs(e), "features", vectors.rms)]
-    return _ij(vectors.weighted_sum([(vectors.blocked_distances(f, queried(f), "vec_id", c, metric), 0.333) for f, c, metric in parts]))
+def eigen_sql(n: int, rows: str = "v", e: str = "e", squarings: int = 14) -> str:
+    return _EIGEN.format(n=n, rows=rows, e=e, squarings=squarings)
 
 
-@query("mat12_weighted_sum", f"""WITH {VEC}, {_FEATURES}, a AS (SELECT q.vec_id AS i, v.vec_id AS j, sqrt(list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 64) AS d FROM q, v),
- b AS (SELECT x.vec_id AS i, y.vec_id AS j, sqrt(list_sum(list_transform(list_zip(x.f, y.f), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 28) AS d FROM f x, f y WHERE x.vec_id % 100 = 0)
- SELECT i, j, round(0.33 * a.d + 0.67 * b.d, 6) AS d FROM a JOIN b USING (i, j)""")
-def mat12(spark: S, d: str) -> DataFrame:
+@query("sel12_outlier_drop", f"WITH {VEC}, {eigen_sql(1)} SELECT vec_id, round(s, 5) AS s FROM (SELECT vec_id, list_dot_product(list_transform(list_zip(v.e, m), lambda z: z[1] - z[2]), w) AS s FROM v, mean, eig) WHERE abs(s) <= 0.3")
+def sel12(spark: S, d: str) -> DataFrame:
+    """Rows whose first principal component is within the cutoff."""
     e = embeddings(spark, d)
-    f = vectors.pair_features(e, "vec_id", "embedding", 8)
-    a = vectors.blocked_distances(e, queried(e), "vec_id", "embedding")
-    b = vectors.blocked_distances(f, queried(f), "vec_id", "features")
-    return _ij(vectors.weighted_sum([(a, 0.33), (b, 0.67)]))
+    model = pca.fit(e, "embedding").first(1)
+    s = pca.transform(e, "vec_id", "embedding", model).select("vec_id", F.col("scores")[0].alias("s"))
+    return s.where(F.abs("s") <= 0.3).select("vec_id", F.round("s", 5).alias("s"))
 
 
-@query("mat30_matrix_bundle")
-def mat30(spark: S, d: str) -> DataFrame:
-    parts = {"torsion": mat07(spark, d), "pairs": mat08_all(spark, d), "vectors": mat05(spark, d)}
-    tagged = [df.select(F.lit(name).alias("matrix"), "i", "j", "d") for name, df in parts.items()]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
-
-
-@query("mat14_pca_variances", "SELECT round(sum(x), 6) AS total FROM (SELECT var_samp(e) AS x FROM (SELECT unnest([x::DOUBLE FOR x IN embedding]) AS e, generate_subscripts(embedding, 1) AS p FROM embeddings) GROUP BY p)")
+@query("mat14_pca_variances", f"WITH {VEC}, {eigen_sql(4)} SELECT (k - 1)::INT AS pc, round(l, 7) AS variance FROM eig UNION ALL SELECT -1, round(sum(v), 7) FROM cells WHERE p = q")
 def mat14(spark: S, d: str) -> DataFrame:
-    """The components' variances add up to the features'."""
+    """Variances of the first four components' scores, and under -1 of all together."""
     e = embeddings(spark, d)
-    model = pca.fit(e, "embedding")
-    scores = pca.transform(e, "vec_id", "embedding", model).select(F.posexplode("scores").alias("p", "x"))
-    return scores.groupBy("p").agg(F.var_samp("x").alias("v")).agg(F.round(F.sum("v"), 6).alias("total"))
+    scores = pca.transform(e, "vec_id", "embedding", pca.fit(e, "embedding")).select(F.posexplode("scores").alias("pc", "x"))
+    each = materialise(scores.groupBy("pc").agg(F.var_samp("x").alias("v")), "variances")
+    total = each.agg(F.lit(-1).alias("pc"), F.sum("v").alias("v"))
+    return each.where("pc < 4").unionByName(total).select("pc", F.round("v", 7).alias("variance"))
 
 
-@query("win02_cumulative_variance")
+@query("win02_cumulative_variance", f"WITH {VEC}, {eigen_sql(64)}, r AS (SELECT k, l / (SELECT sum(v) FROM cells WHERE p = q) AS r FROM eig), c AS (SELECT k, r, sum(r) OVER (ORDER BY k) AS c FROM r) SELECT (k - 1)::INT AS pc, round(r, 6) AS ratio, round(c, 6) AS cumulative FROM c WHERE c - r < 0.9")
 def win02(spark: S, d: str) -> DataFrame:
     model = pca.fit(embeddings(spark, d), "embedding", 0.9)
     total, rows = 0.0, []
     for k, r in enumerate(model.ratios):
         total += float(r)
-        rows.append((k, round(float(r), 9), round(total, 9)))
+        rows.append((k, round(float(r), 6), round(total, 6)))
     return spark.createDataFrame(rows, "pc int, ratio double, cumulative double")
 
 
-@query("mat15_fit_one_project_other")
+@query("mat15_fit_one_project_other", f"WITH {VEC}, low AS (SELECT e FROM v WHERE label < 5), {eigen_sql(2, 'low')}, s AS (SELECT vec_id, k, list_dot_product(list_transform(list_zip(v.e, m), lambda z: z[1] - z[2]), w) AS s FROM v, mean, eig WHERE label >= 5) SELECT vec_id, round(max(s) FILTER (k = 1), 5) AS pc1, round(max(s) FILTER (k = 2), 5) AS pc2 FROM s GROUP BY 1")
 def mat15(spark: S, d: str) -> DataFrame:
     e = embeddings(spark, d)
-    model = pca.fit(e.where("label < 5"), "embedding", 0.5)
-    out = pca.transform(e.where("label >= 5"), "vec_id", "embedding", model)
-    return out.select("vec_id", F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"))
+    out = pca.transform(e.where("label >= 5"), "vec_id", "embedding", pca.fit(e.where("label < 5"), "embedding").first(2))
+    return out.select("vec_id", *[F.round(F.col("scores")[k], 5).alias(f"pc{k + 1}") for k in range(2)])
 
 
 _GAPS = "g AS (SELECT vec_id, [CASE WHEN (p + vec_id) % 17 = 0 THEN NULL ELSE e[p] END FOR p IN range(1, 65)] AS e FROM v), m AS (SELECT p, avg(x) AS mean FROM (SELECT unnest(e) AS x, unnest(range(1, 65)) AS p FROM g) GROUP BY p)"
@@ -202,10 +209,10 @@ def mat16(spark: S, d: str) -> DataFrame:
     return pca.transform(e, "vec_id", "e", model).select("vec_id", F.round(F.col("scores")[0], 6).alias("score"))
 
 
-@query("mat17_loading_share")
+@query("mat17_loading_share", f"WITH {VEC}, {eigen_sql(1)} SELECT ((p - 1) // 4)::INT AS residue, round(sum(x * x) / sum(sum(x * x)) OVER (), 6) AS share FROM (SELECT unnest(w) AS x, unnest(range(1, 65)) AS p FROM eig) GROUP BY 1")
 def mat17(spark: S, d: str) -> DataFrame:
     model = pca.fit(embeddings(spark, d), "embedding")
-    return spark.createDataFrame([(g, round(s, 9)) for g, s in pca.loading_shares(model, 0, 4)], "residue int, share double").orderBy(F.desc("share"), "residue")
+    return spark.createDataFrame([(g, round(s, 6)) for g, s in pca.loading_shares(model, 0, 4)], "residue int, share double").orderBy(F.desc("share"), "residue")
 
 
 def reference_frame(spark: S, d: str) -> list[float]:
@@ -227,9 +234,9 @@ def mat19(spark: S, d: str) -> DataFrame:
 @query("mat21_leaf_order")
 def mat21(spark: S, d: str) -> DataFrame:
     """Order of the at most 40 reported rows over all systems; the driver gets their 40 x 40 products only."""
-    from tessellar.plans.queries_tables import agg09_all, cells
+    from tessellar.plans.queries_tables import agg09, cells
 
-    top = cells(spark, d).join(F.broadcast(agg09_all(spark, d).select("contact")), "contact", "left_semi")
+    top = cells(spark, d).join(F.broadcast(agg09(spark, d).select("contact")), "contact", "left_semi")
     a = top.select("system", F.col("contact").alias("a"), F.col("frequency").alias("x"))
     b = top.select("system", F.col("contact").alias("b"), F.col("frequency").alias("y"))
     rows = a.join(b, "system").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("p")).collect()
@@ -242,20 +249,26 @@ def mat21(spark: S, d: str) -> DataFrame:
     return spark.createDataFrame([(p, names[i]) for p, i in enumerate(order)], "place int, contact string")
 
 
-@query("mat22_kernel_density")
+_SCOTT = """pts AS (SELECT o_totalprice AS x, dayofyear(o_orderdate)::DOUBLE AS y FROM orders), m AS (SELECT count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1,
+ var_samp(x) * power(count(*), -1 / 3.0::DOUBLE) AS a, covar_samp(x, y) * power(count(*), -1 / 3.0::DOUBLE) AS b, var_samp(y) * power(count(*), -1 / 3.0::DOUBLE) AS c FROM pts),
+ g AS (SELECT i, j, x0 + (x1 - x0) * i / 99 AS gx, y0 + (y1 - y0) * j / 99 AS gy FROM m, range(100) r(i), range(100) t(j))"""
+
+
+@query("mat22_kernel_density", f"WITH {_SCOTT} SELECT i::INT AS i, j::INT AS j, round(sum(exp(-(c * power(gx - x, 2) - 2 * b * (gx - x) * (gy - y) + a * power(gy - y, 2)) / (a * c - b * b) / 2)) / any_value(n * 2 * pi() * sqrt(a * c - b * b)) * 1e9, 5) AS density FROM g, pts, m GROUP BY g.i, g.j")
 def mat22(spark: S, d: str) -> DataFrame:
+    """In billionths."""
     p = table(spark, d, "orders").select("o_totalprice", F.dayofyear("o_orderdate").cast("double").alias("day"))
-    return stats.kernel_density(p, "o_totalprice", "day")
+    return stats.kernel_density(p, "o_totalprice", "day").select("i", "j", F.round(F.col("density") * 1e9, 5).alias("density"))
 
 
 REFERENCE = "MPTRSAGWQVLNDKFEHICYMPRSTAGW"
 
 
-@query("mat23_sliding_alignment", f"""WITH p AS (SELECT p_partkey, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g'))[1:12] AS s, '{REFERENCE}' AS r FROM part),
- o AS (SELECT p_partkey, s, i AS start, list_sum([(s[k + 1] = r[i + k + 1] AND i + k < 28 AND k < length(s))::INT FOR k IN range(12)])::BIGINT AS m FROM p, range(28) x(i))
+@query("mat23_sliding_alignment", f"""WITH p AS (SELECT p_partkey, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS s, '{REFERENCE}' AS r FROM part),
+ o AS (SELECT p_partkey, s, i AS start, coalesce(list_sum(list_transform(range(length(s)), lambda k: (s[k + 1] = r[i + k + 1] AND i + k < length(r))::INT)), 0)::BIGINT AS m FROM p, range(28) x(i))
  SELECT p_partkey, max(m) AS matches, arg_min(start, (-m, start)) AS start FROM o GROUP BY 1""")
 def mat23(spark: S, d: str) -> DataFrame:
-    s = F.substring(F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")), 1, 12)
+    s = F.upper(F.regexp_replace("p_name", "[^A-Za-z]", ""))
     p = table(spark, d, "part").select("p_partkey", sequence.best_offset(s, F.lit(REFERENCE)).alias("b"))
     return p.select("p_partkey", F.col("b.matches").cast("bigint").alias("matches"), F.col("b.start").cast("bigint").alias("start"))
 
@@ -346,12 +359,15 @@ def agg15(spark: S, d: str) -> DataFrame:
     return stats.jensen_shannon(h.where("o_orderstatus = 'F'"), h.where("o_orderstatus = 'O'"), ["pair"], 50).select("pair", F.round("jsd", 6).alias("jsd"))
 
 
-@query("agg16_frobenius", "WITH a AS (SELECT n_nationkey AS i, s.k AS j, ((n_nationkey * 7 + s.k * 3) % 11) / 11.0::DOUBLE AS a, ((n_nationkey * 5 + s.k) % 13) / 13.0::DOUBLE AS b FROM nation, (SELECT n_nationkey AS k FROM nation) s WHERE n_nationkey < s.k) SELECT round(sqrt(2 * sum(power(a - b, 2))) / 300, 9) AS norm FROM a")
+@query("agg16_frobenius", f"""WITH {VEC}, {_CENTRES}, a AS (SELECT x.g AS i, y.g AS j, list_sum(list_transform(list_zip(x.c[1:32], y.c[1:32]), lambda z: power(z[1] - z[2], 2))) AS a, list_sum(list_transform(list_zip(x.c[33:64], y.c[33:64]), lambda z: power(z[1] - z[2], 2))) AS b
+ FROM c x JOIN c y ON x.g < y.g) SELECT round(sqrt(2 * sum(power(sqrt(a) - sqrt(b), 2))) / (SELECT count(*) * (count(*) - 1) / 2 FROM c), 9) AS norm FROM a""")
 def agg16(spark: S, d: str) -> DataFrame:
-    i = F.col("n_nationkey")
-    pairs = table(spark, d, "nation").where(i < 24).select(i.alias("i"), F.explode(F.sequence(i + 1, F.lit(24))).alias("j"))
-    pairs = pairs.select("i", "j", ((F.col("i") * 7 + F.col("j") * 3) % 11 / 11).alias("a"), ((F.col("i") * 5 + F.col("j")) % 13 / 13).alias("b"))
-    return stats.frobenius(pairs, 25).select(F.round("norm", 9).alias("norm"))
+    """Distances of the labels' centroids in the first half of the components against those in the second."""
+    c = materialise(vectors.centroids(embeddings(spark, d), "label", "embedding"), "centroids")
+    x, y = c.select(F.col("label").alias("i"), F.col("centroid").alias("x")), c.select(F.col("label").alias("j"), F.col("centroid").alias("y"))
+    gap = lambda k: sc.rms_distance(F.slice("x", k, 32), F.slice("y", k, 32)) * math.sqrt(32)
+    pairs = x.join(y, F.col("i") < F.col("j")).select("i", "j", gap(1).alias("a"), gap(33).alias("b"))
+    return stats.frobenius(pairs, c.count()).select(F.round("norm", 9).alias("norm"))
 
 
 @query("agg22_spread_charge", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_tax + (round(sum(l_tax) OVER w) - sum(l_tax) OVER w) / count(*) OVER w, 6) AS q FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)")
@@ -394,12 +410,6 @@ def sel02(spark: S, d: str) -> DataFrame:
     return embeddings(spark, d).select("vec_id", F.transform(xyz, lambda x: F.round(x, 6)).alias("xyz"))
 
 
-@query("sel12_outlier_drop", f"WITH {VEC} SELECT vec_id, round(s, 6) AS s FROM (SELECT vec_id, list_sum(e[1:16]) AS s FROM v) WHERE abs(s) <= 0.3")
-def sel12(spark: S, d: str) -> DataFrame:
-    s = F.aggregate(F.slice("embedding", 1, 16), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return embeddings(spark, d).select("vec_id", s.alias("s")).where(F.abs("s") <= 0.3).select("vec_id", F.round("s", 6).alias("s"))
-
-
 @query("sel17_outside_box", f"WITH {VEC}, {_POINTS}, b AS (SELECT min(x) - 0.02 AS x0, max(x) + 0.02 AS x1, min(y) - 0.02 AS y0, max(y) + 0.02 AS y1, min(z) - 0.02 AS z0, max(z) + 0.02 AS z1 FROM p WHERE vec_id % 50 = 7) SELECT DISTINCT vec_id FROM p, b WHERE x < x0 OR x > x1 OR y < y0 OR y > y1 OR z < z0 OR z > z1")
 def sel17(spark: S, d: str) -> DataFrame:
     return topology.outside_box(points(spark, d), F.col("vec_id") % 50 == 7, 0.02, ["vec_id"])
@@ -441,21 +451,12 @@ def fn22(spark: S, d: str) -> DataFrame:
     return embeddings(spark, d).select("vec_id", F.round(vectors.dihedral(p), 5).alias("angle"))
 
 
-@query("mat06_torsions", f"WITH {VEC}, b AS ({_X}), n AS (SELECT *, {_N} FROM b) SELECT vec_id, 'phi' AS torsion, round(degrees(atan2(((n01 * n12 - n02 * n11) * b10 + (n02 * n10 - n00 * n12) * b11 + (n00 * n11 - n01 * n10) * b12) / sqrt(b10 * b10 + b11 * b11 + b12 * b12), n00 * n10 + n01 * n11 + n02 * n12)), 5) AS angle FROM n")
-def mat06(spark: S, d: str) -> DataFrame:
-    """Angles of named atom quartets from a flat coordinate array."""
-    quartets = {"phi": [0, 1, 2, 3]}
-    e = embeddings(spark, d).withColumn("v", F.col("embedding").cast("array<double>"))
-    out = [F.struct(F.lit(n).alias("torsion"), F.round(vectors.dihedral([F.col("v")[3 * a + k] for a in q for k in range(3)]), 5).alias("angle")) for n, q in quartets.items()]
-    return e.select("vec_id", F.explode(F.array(*out)).alias("t")).select("vec_id", "t.torsion", "t.angle")
-
-
 _QUARTETS = {f"{('phi', 'psi', 'chi1', 'chi2')[a % 4]}_{a}": a for a in range(ATOMS - 3)}
 _TORSION = "CASE q % 4 WHEN 0 THEN 'phi_' WHEN 1 THEN 'psi_' WHEN 2 THEN 'chi1_' ELSE 'chi2_' END || q AS torsion"
 
 
-@query("mat06_torsions_all", f"WITH {VEC}, w AS (SELECT vec_id, {_TORSION}, e[3 * q + 1:3 * q + 12] AS e FROM v, range(18) r(q)), b AS ({_X.replace('vec_id', 'vec_id, torsion').replace('FROM v', 'FROM w')}), n AS (SELECT *, {_N} FROM b) SELECT vec_id, torsion, round(degrees(atan2(((n01 * n12 - n02 * n11) * b10 + (n02 * n10 - n00 * n12) * b11 + (n00 * n11 - n01 * n10) * b12) / sqrt(b10 * b10 + b11 * b11 + b12 * b12), n00 * n10 + n01 * n11 + n02 * n12)), 5) AS angle FROM n")
-def mat06_all(spark: S, d: str) -> DataFrame:
+@query("mat06_torsions", f"WITH {VEC}, w AS (SELECT vec_id, {_TORSION}, e[3 * q + 1:3 * q + 12] AS e FROM v, range(18) r(q)), b AS ({_X.replace('vec_id', 'vec_id, torsion').replace('FROM v', 'FROM w')}), n AS (SELECT *, {_N} FROM b) SELECT vec_id, torsion, round(degrees(atan2(((n01 * n12 - n02 * n11) * b10 + (n02 * n10 - n00 * n12) * b11 + (n00 * n11 - n01 * n10) * b12) / sqrt(b10 * b10 + b11 * b11 + b12 * b12), n00 * n10 + n01 * n11 + n02 * n12)), 5) AS angle FROM n")
+def mat06(spark: S, d: str) -> DataFrame:
     """Every four successive atoms of the vector, named in turn phi, psi, chi1, chi2 and by their first atom."""
     e = embeddings(spark, d).withColumn("v", F.col("embedding").cast("array<double>"))
     out = [F.struct(F.lit(n).alias("torsion"), F.round(vectors.dihedral([F.col("v")[3 * a + k] for k in range(12)]), 5).alias("angle")) for n, a in _QUARTETS.items()]
@@ -469,28 +470,22 @@ def mat27(spark: S, d: str) -> DataFrame:
     return e.crossJoin(F.broadcast(ref)).select("pose", F.round(sc.rms_distance(F.col("e"), F.col("f")) * math.sqrt(3), 6).alias("rmsd"))
 
 
-_COLS = "(SELECT token FROM tok GROUP BY 1 ORDER BY count(*) DESC, token LIMIT 12)"
+_BAND = "band AS (SELECT token FROM tok GROUP BY 1 HAVING count(*) >= greatest(1, (n.n + 99) // 100) AND count(*) <= 95 * n.n // 100)".replace("n.n", "(SELECT count(DISTINCT frame) FROM tok)")
 
 
-@query("mat29_multi_hot", f"WITH {LOG}, c AS (SELECT list(token ORDER BY token) AS c FROM {_COLS}), f AS (SELECT unnest(range((SELECT max(frame) + 1 FROM tok))) AS frame), s AS (SELECT frame, list(token) AS t FROM tok GROUP BY 1) SELECT f.frame::INT AS frame, [coalesce(list_contains(t, x), false)::INT FOR x IN c.c] AS bits FROM f CROSS JOIN c LEFT JOIN s USING (frame)")
+@query("mat29_multi_hot", f"WITH {LOG}, {_BAND}, f AS (SELECT unnest(range((SELECT max(frame) + 1 FROM tok))) AS frame), g AS (SELECT f.frame, b.token FROM f CROSS JOIN band b) SELECT g.frame::INT AS frame, list((t.token IS NOT NULL)::INT ORDER BY g.token) AS bits FROM g LEFT JOIN tok t ON t.frame = g.frame AND t.token = g.token GROUP BY 1")
 def mat29(spark: S, d: str) -> DataFrame:
-    t = tokens(spark, d)
-    top = rel.top_k(rel.value_counts(t, ["token"]), [F.desc("n"), F.asc("token")], 12)
-    columns = sorted(r["token"] for r in top.collect())
-    last = t.agg(F.max("frame")).first()[0]
-    return ct.multi_hot(t, last, columns)
-
-
-_BAND = "band AS (SELECT token FROM tok GROUP BY 1 HAVING count(*) >= greatest(1, (n.n + 99) // 100) AND count(*) <= 95 * n.n // 100)".replace("n.n", "(SELECT count(DISTINCT frame) FROM tok)")
+    """Every token of the 1-95 % band is a column."""
+    return ct.multi_hot_band(tokens(spark, d), 1, 95)
 
 
-@query("mat29_multi_hot_all", f"WITH {LOG}, {_BAND}, f AS (SELECT unnest(range((SELECT max(frame) + 1 FROM tok))) AS frame), g AS (SELECT f.frame, b.token FROM f CROSS JOIN band b) SELECT g.frame::INT AS frame, list((t.token IS NOT NULL)::INT ORDER BY g.token) AS bits FROM g LEFT JOIN tok t ON t.frame = g.frame AND t.token = g.token GROUP BY 1")
-def mat29_all(spark: S, d: str) -> DataFrame:
-    """Every token of the 1-95 % band is a column; mat29_multi_hot keeps the 12 columns of its SQL."""
-    return ct.multi_hot_band(tokens(spark, d), 1, 95)
+_STATES = """ev AS (SELECT value AS x FROM events), n AS (SELECT list(greatest(c, 1) ORDER BY t) AS n FROM (SELECT t, (SELECT count(*) FROM events WHERE event_type = t) AS c FROM (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS t))),
+ f AS (WITH RECURSIVE it AS (SELECT 0 AS k, [0.0::DOUBLE, 0, 0, 0, 0] AS f UNION ALL
+   SELECT k + 1, list_transform(g, lambda y: y - g[1]) FROM (SELECT k, list_transform(range(1, 6), lambda j: -ln(list_sum(list_transform(d, lambda z: exp(-0.002 * j * z[1]) / z[2])))) AS g
+    FROM (SELECT k, list([x, n[1] * exp(f[1] - 0.002 * x) + n[2] * exp(f[2] - 0.004 * x) + n[3] * exp(f[3] - 0.006 * x) + n[4] * exp(f[4] - 0.008 * x) + n[5] * exp(f[5] - 0.010 * x)]) AS d FROM it, ev, n WHERE k < 60 GROUP BY k))) SELECT f FROM it WHERE k = 60)"""
 
 
-@query("mat01_state_weights")
+@query("mat01_state_weights", f"WITH {_STATES} SELECT (unnest(range(5)))::INT AS state, round(unnest(f), 5) AS f, 1.0::DOUBLE AS weight FROM f")
 def mat01(spark: S, d: str) -> DataFrame:
     """Five states of different inverse temperature over all events."""
     beta = [0.002, 0.004, 0.006, 0.008, 0.010]
@@ -498,26 +493,29 @@ def mat01(spark: S, d: str) -> DataFrame:
     e = table(spark, d, "events")
     n = {r["event_type"]: r["count"] for r in e.groupBy("event_type").count().collect()}
     samples = e.select("event_id", F.array(*[F.col("value") * b for b in beta]).alias("u"))
-    f, weights = reweight.state_weights(samples, "event_id", "u", [max(n.get(k, 0), 1) for k in kinds], 1e-7, 60)
+    f, weights = reweight.state_weights(samples, "event_id", "u", [max(n.get(k, 0), 1) for k in kinds], 1e-8)
     sums = weights.agg(*[F.round(F.sum(F.col("weights")[k]), 4).alias(f"s{k}") for k in range(5)])
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("state"), F.lit(round(float(f[k]), 6)).alias("f"), F.col(f"s{k}").alias("weight")) for k in range(5)])).alias("x")).select("x.*")
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("state"), F.lit(round(float(f[k]), 5)).alias("f"), F.col(f"s{k}").alias("weight")) for k in range(5)])).alias("x")).select("x.*")
 
 
 @query("mat02_resample", """WITH c AS (SELECT o_orderkey, o_totalprice AS w, sum(o_totalprice) OVER (ORDER BY year(o_orderdate), o_orderkey ROWS UNBOUNDED PRECEDING) AS c, sum(o_totalprice) OVER () AS t FROM orders)
  SELECT o_orderkey, (floor(round(c / t * 1000, 6) - 0.5) - floor(round((c - w) / t * 1000, 6) - 0.5))::BIGINT AS copies FROM c""")
 def mat02(spark: S, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.year("o_orderdate").alias("y"), "o_orderkey", "o_totalprice")
-    return reweight.systematic_resample(o, "y", "o_orderkey", "o_totalprice", 1000).select("o_orderkey", "copies")
+    return reweight.systematic_resample(o, ["y", "o_orderkey"], "o_totalprice", 1000).select("o_orderkey", "copies")
 
 
-@query("mat02_without_replacement")
+@query("mat02_without_replacement", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 0 ORDER BY -ln((('0x' || md5(o_orderkey || ':1')[1:10])::BIGINT + 0.5::DOUBLE) / 1099511627776) / o_totalprice, o_orderkey LIMIT 500")
 def mat02b(spark: S, d: str) -> DataFrame:
     return reweight.draw_without_replacement(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice", 500)
 
 
-@query("mat03_backfill")
+_BACKFILL = """frames AS (SELECT sim_no, round((temperature - 300) / 1.5)::BIGINT AS state, state AS frame FROM ladder), miss AS (SELECT s.sim_no, i AS state FROM (SELECT DISTINCT sim_no FROM ladder) s, range(40) r(i) WHERE (s.sim_no, i) NOT IN (SELECT (sim_no, state) FROM frames))"""
+
+
+@query("mat03_backfill", f"WITH {LADDER}, {_BACKFILL} SELECT m.sim_no, m.state, f.sim_no AS donor, f.frame FROM miss m JOIN frames f ON f.state = m.state AND f.sim_no <> m.sim_no QUALIFY row_number() OVER (PARTITION BY m.sim_no, m.state ORDER BY md5(concat_ws(':', m.sim_no, m.state, f.sim_no, f.frame, 1)), f.sim_no, f.frame) <= 2")
 def mat03(spark: S, d: str) -> DataFrame:
-    ladder = ladders(spark, d).where("(sim_no + state) % 9 != 0")
+    ladder = ladders(spark, d)
     final = spark.range(40).select(F.col("id").alias("state"), F.round(300 + F.col("id") * 1.5, 2).alias("temperature"))
     state = rs.cents(F.col("temperature"))
     frames = ladder.select("sim_no", ((state - 30000) / 150).cast("bigint").alias("state"), F.col("state").alias("frame"))
@@ -531,7 +529,16 @@ def mat04(spark: S, d: str) -> DataFrame:
     return rs.scatter(domain, ladder.select("sim_no", "state", F.col("temperature").alias("w")), ["sim_no", "state"], "w")
 
 
-@query("mat05_equilibration")
+_SETTLE = f"""{BIND}, s AS (SELECT system, repeat, list(ie ORDER BY frame) AS x FROM bind GROUP BY ALL),
+ t AS (SELECT system, repeat, t0, x[t0 + 1:] AS x FROM s, range(10000) r(t0) WHERE t0 < greatest(len(x) - 1, 1)),
+ c AS (SELECT *, len(x) AS n, list_transform(x, lambda y: y - list_avg(x)) AS d FROM t), w AS (SELECT *, list_dot_product(d, d) / n AS v FROM c),
+ lag AS (SELECT system, repeat, t0, l, n, list_dot_product(d[1:n - l], d[l + 1:n]) / ((n - l) * v) AS c FROM w, range(1, 10000) r(l) WHERE l < n - 1 AND v > 1e-300),
+ stop AS (SELECT system, repeat, t0, min(l) AS l FROM lag WHERE c <= 0 AND l > 3 GROUP BY ALL),
+ g AS (SELECT w.system, w.repeat, w.t0, w.n, greatest(1 + 2 * coalesce(sum(lag.c * (1 - lag.l / lag.n)), 0), 1) AS g FROM w LEFT JOIN stop USING (system, repeat, t0)
+   LEFT JOIN lag ON lag.system = w.system AND lag.repeat = w.repeat AND lag.t0 = w.t0 AND lag.l < coalesce(stop.l, 1000000) GROUP BY ALL)"""
+
+
+@query("mat05_equilibration", f"WITH {_SETTLE} SELECT system, repeat, t0::INT AS t0, round(g, 6) AS g, round((n + 1) / g, 6) AS n_independent FROM g QUALIFY row_number() OVER (PARTITION BY system, repeat ORDER BY round((n + 1) / g, 9) DESC, t0) = 1")
 def mat05e(spark: S, d: str) -> DataFrame:
     out = reweight.equilibration(binding(spark, d), ["system", "repeat"], "frame", "ie")
     return out.select("system", "repeat", "t0", F.round("g", 6).alias("g"), F.round("n_independent", 6).alias("n_independent"))
@@ -648,7 +655,7 @@ def src21(spark: S, d: str) -> DataFrame:
     return back.groupBy(F.col("_name").alias("name")).agg(F.count("*").alias("n"))
 
 
-@query("src03_array_files")
+@query("src03_array_files", f"WITH {BIND} SELECT system, repeat::INT AS repeat, frame::INT AS frame, round(ie, 6) AS ie FROM bind")
 def src03(spark: S, d: str) -> DataFrame:
     """Arrays written as .npy files, one a system, and read back as rows."""
     from tessellar.sources import arrays
@@ -656,8 +663,9 @@ def src03(spark: S, d: str) -> DataFrame:
     return arrays.round_trip(binding(spark, d), "system", ["repeat", "frame"], "ie")
 
 
-@query("src20_model_store", None)
+@query("src20_model_store", f"WITH {VEC}, {eigen_sql(1)} SELECT vec_id, round(list_dot_product(list_transform(list_zip(v.e, m), lambda z: z[1] - z[2]), w), 5) AS pc1, true AS same FROM v, mean, eig")
 def src20(spark: S, d: str) -> DataFrame:
+    """Scores by a model that was stored and read again, and whether they equal those of the model itself."""
     import os
     import uuid
 
@@ -665,8 +673,11 @@ def src20(spark: S, d: str) -> DataFrame:
 
     path = os.path.join(shared_dir(spark), f"model-{uuid.uuid4().hex}")
     e = embeddings(spark, d)
-    pca.save(spark, pca.fit(e, "embedding", 0.5), path)
-    return pca.transform(e, "vec_id", "embedding", pca.load(spark, path)).select("vec_id", F.size("scores").alias("n"))
+    model = pca.fit(e, "embedding", 0.5)
+    pca.save(spark, model, path)
+    own = pca.transform(e, "vec_id", "embedding", model).select("vec_id", F.col("scores").alias("own"))
+    back = pca.transform(e, "vec_id", "embedding", pca.load(spark, path))
+    return back.join(own, "vec_id").select("vec_id", F.round(F.col("scores")[0], 5).alias("pc1"), (F.col("scores") == F.col("own")).alias("same"))
 
 
 @query("src18_saved_by_mode", "SELECT 'cache' AS mode, count(*) AS n FROM region UNION ALL SELECT 'in place', count(*) FROM region UNION ALL SELECT 'read only', 0")
@@ -738,7 +749,11 @@ def src25(spark: S, d: str) -> DataFrame:
     return energies(spark, d).groupBy("system", "repeat").agg(F.max("frame").alias("last"), F.countDistinct("frame").alias("n")).where("n > 10").drop("n")
 
 
-@query("mat20_density_clusters")
+_CELLS = """pl AS (SELECT vec_id, floor(x / 0.15)::BIGINT AS a, floor(y / 0.15)::BIGINT AS b, floor(z / 0.15)::BIGINT AS c FROM p), dense AS (SELECT a, b, c, a || ',' || b || ',' || c AS k FROM pl GROUP BY ALL HAVING count(*) >= 4),
+ reach AS (WITH RECURSIVE r AS (SELECT k, k AS to_k FROM dense UNION SELECT r.k, y.k FROM r JOIN dense x ON x.k = r.to_k JOIN dense y ON abs(x.a - y.a) <= 1 AND abs(x.b - y.b) <= 1 AND abs(x.c - y.c) <= 1) SELECT k, min(to_k) AS cluster FROM r GROUP BY k)"""
+
+
+@query("mat20_density_clusters", f"WITH {VEC}, {_POINTS}, {_CELLS} SELECT vec_id, cluster FROM pl LEFT JOIN reach ON k = a || ',' || b || ',' || c")
 def mat20(spark: S, d: str) -> DataFrame:
     from tessellar.operators.clusters import density_clusters
 
@@ -802,9 +817,11 @@ def fn16(spark: S, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.round(sc.kcal_to_kj(p), 6).alias("kj"), F.round(sc.angstrom_to_nm(p), 6).alias("nm"))
 
 
-@query("stream03_adaptive_ladder")
+@query("stream03_adaptive_ladder", f"""WITH {LADDER}, k AS (SELECT sim_no, greatest(ceil(log2((max(temperature) - min(temperature)) / (-2 * ln(0.4)))), 0)::INT AS k FROM ladder GROUP BY 1)
+ SELECT sim_no, power(2, k)::BIGINT + 1 AS n, (max(k) OVER ())::INT AS cycles FROM k""")
 def stream03(spark: S, d: str) -> DataFrame:
-    """Rungs are inserted until neighbours are close enough; the exchange rate falls with their gap."""
+    """From the two ends of each ladder, rungs are inserted until neighbours are close enough; the exchange rate falls with
+    their gap."""
     from pyspark.sql import Window
 
     from tessellar.streaming.incremental import adapt_until
@@ -813,8 +830,9 @@ def stream03(spark: S, d: str) -> DataFrame:
         gap = F.col("temperature") - F.lag("temperature").over(Window.partitionBy("sim_no").orderBy("state"))
         return ladder.select("sim_no", "state", F.exp(-gap / 2).alias("rate")).where("rate is not null")
 
-    start = ladders(spark, d).where("state % 3 = 0").groupBy("sim_no", "temperature").agg(F.min("state").alias("state"))
-    final, cycles = adapt_until(start, rates, 0.4, 8)
+    ends = ladders(spark, d).groupBy("sim_no").agg(F.min("temperature").alias("a"), F.max("temperature").alias("b"))
+    start = ends.select("sim_no", F.posexplode(F.array("a", "b")).alias("state", "temperature"))
+    final, cycles = adapt_until(start, rates, 0.4, 12)
     return final.groupBy("sim_no").agg(F.count("*").alias("n")).withColumn("cycles", F.lit(cycles))
 
 
@@ -846,7 +864,7 @@ def sel01_around(spark: S, d: str) -> DataFrame:
     return topology.residues_around(p, F.pmod("vec_id", F.lit(100)) == 0, 0.08, "vec_id", ["residue"])
 
 
-@query("src19_trajectory_files")
+@query("src19_trajectory_files", "SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, round(list_sum(list_transform(embedding[1:63], lambda x: x::FLOAT::DOUBLE)), 4) AS total FROM embeddings")
 def src19(spark: S, d: str) -> DataFrame:
     """Frames written as binary trajectory files, one a label, and read back."""
     import os

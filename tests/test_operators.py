@@ -163,7 +163,7 @@ def test_state_weights(spark):
 def test_systematic_resample(spark):
     w = RNG.uniform(0, 3, size=80)
     df = spark.createDataFrame([(i % 7, i, float(x)) for i, x in enumerate(w)], "b int, i int, w double")
-    out = {r["i"]: r["copies"] for r in reweight.systematic_resample(df, "b", "i", "w", 1000).collect()}
+    out = {r["i"]: r["copies"] for r in reweight.systematic_resample(df, ["b", "i"], "w", 1000).collect()}
     assert sum(out.values()) == 1000 and all(abs(out[i] - 1000 * x / w.sum()) < 1.001 for i, x in enumerate(w))
 
 
