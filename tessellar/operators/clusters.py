@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.session import materialise
+from tessellar.session import discard, materialise
 
 
 def components(edges: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
@@ -18,15 +18,17 @@ def components(edges: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
     with the logarithm of the longest chain. Every round is written to the shared folder: lineage stays short, and
     neither labels nor links reach the driver.
     """
-    labels = materialise(nodes.select("node", F.col("node").alias("component")), "labels")
+    current = materialise(nodes.select("node", F.col("node").alias("component")), "labels")
     for _ in range(most):
+        labels = current.select("node", "component")
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("component").alias("_m"))
         step = labels.join(near, labels.node == near.a, "left").select("node", F.least("component", F.coalesce("_m", "component")).alias("component"), F.col("component").alias("_old"))
         jump = step.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
         new = materialise(step.join(jump, step.component == jump["_n"], "left").select("node", F.least("component", F.coalesce("_c", "component")).alias("component"), "_old"), "labels")
-        labels = new.select("node", "component")
+        discard(current)
+        current = new
         if not new.where("component != _old").limit(1).count():
-            return labels
+            return new.select("node", "component")
     raise RuntimeError(f"components not found in {most} rounds")
 
 

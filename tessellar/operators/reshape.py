@@ -15,8 +15,8 @@ def by_state(energies: DataFrame, states: DataFrame, keys: Sequence[str] = ("sim
     return energies.join(states, list(keys)).drop(keys[-1])
 
 
-def global_frames(frames: DataFrame, order: Sequence[str], bucket: str) -> DataFrame:
-    """Adds ``frame``, the row's place from 0 over the whole order, without sorting everything into one task.
+def global_frames(frames: DataFrame, order: Sequence[str], bucket: str, name: str = "frame") -> DataFrame:
+    """Adds ``name``, the row's place from 0 over the whole order, without sorting everything into one task.
 
     ``bucket`` is the leading column of the order; rows are numbered inside each bucket and offset by the counts before
     it, which are one row per bucket: only for few buckets, none of which fills the data (else ``range_index``).
@@ -24,7 +24,7 @@ def global_frames(frames: DataFrame, order: Sequence[str], bucket: str) -> DataF
     inside = F.row_number().over(Window.partitionBy(bucket).orderBy(*order))
     sizes = frames.groupBy(bucket).agg(F.count("*").alias("_n"))
     before = sizes.select(bucket, (F.coalesce(F.sum("_n").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    return frames.withColumn("_i", inside).join(before, bucket).withColumn("frame", F.col("_before") + F.col("_i") - 1).drop("_i", "_before")
+    return frames.withColumn("_i", inside).join(before, bucket).withColumn("_i", F.col("_before") + F.col("_i") - 1).drop("_before").withColumnRenamed("_i", name)
 
 
 def range_index(rows: DataFrame, order: Sequence[str], name: str = "frame", parts: int | None = None) -> DataFrame:
@@ -35,7 +35,7 @@ def range_index(rows: DataFrame, order: Sequence[str], name: str = "frame", part
     """
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = materialise(rows.repartitionByRange(parts, *order).withColumn("_k", F.spark_partition_id()), "ranges")
-    return global_frames(placed, order, "_k").withColumnRenamed("frame", name).drop("_k")
+    return global_frames(placed, order, "_k", name).drop("_k")
 
 
 def skip_leading(frames: DataFrame, iteration: str, skip: int) -> DataFrame:

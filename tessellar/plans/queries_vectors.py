@@ -836,9 +836,43 @@ def stream03(spark: S, d: str) -> DataFrame:
     return final.groupBy("sim_no").agg(F.count("*").alias("n")).withColumn("cycles", F.lit(cycles))
 
 
+@query("stream06_stop_and_resume", """WITH m AS (SELECT ((day(ts) - 1) // 3)::INT AS part, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1), d AS (SELECT part, n, mean, abs(mean - lag(mean) OVER (ORDER BY part)) AS gap FROM m),
+ s AS (SELECT coalesce(min(part) FILTER (gap < 0.25 AND part > 2), 9) AS last FROM d) SELECT part, n, round(mean, 6) AS mean FROM d, s WHERE part <= last""")
+def stream06(spark: S, d: str) -> DataFrame:
+    """Three days a part, until the mean of the last two agrees; the loop is broken off after two parts, in the middle of the
+    third, and started again."""
+    import os
+    import uuid
+
+    from tessellar.session import shared_dir
+    from tessellar.streaming.incremental import run_loop
+
+    root = os.path.join(shared_dir(spark), f"loop-{uuid.uuid4().hex}")
+    events = table(spark, d, "events")
+
+    def produce(k: int) -> DataFrame:
+        return events.where(F.floor((F.dayofmonth("ts") - 1) / 3) == k).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+
+    def broken(k: int) -> DataFrame:
+        if k == 2:
+            raise InterruptedError("the machine went away")
+        return produce(k)
+
+    def passed(parts: DataFrame) -> bool:
+        rows = parts.orderBy(F.desc("part")).limit(2).collect()
+        return rows[0]["part"] > 2 and abs(rows[0]["mean"] - rows[1]["mean"]) < 0.25
+
+    try:
+        run_loop(spark, root, broken, passed, 10)
+    except InterruptedError:
+        pass
+    run_loop(spark, root, produce, passed, 10)
+    return spark.read.parquet(root).select(F.col("part").cast("int").alias("part"), "n", F.round("mean", 6).alias("mean"))
+
+
 @query("stream07_failure_isolation", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream07(spark: S, d: str) -> DataFrame:
-    """A failing checkpoint is recorded and the others still count."""
+    """A failing checkpoint is recorded, the others still count, and the next call makes up for it."""
     import os
     import uuid
 
@@ -848,12 +882,15 @@ def stream07(spark: S, d: str) -> DataFrame:
     root = os.path.join(shared_dir(spark), f"isolated-{uuid.uuid4().hex}")
 
     def work(df: DataFrame, batch: int) -> None:
-        df.groupBy("event_type").agg(F.count("*").alias("n")).write.parquet(f"{root}/parts/batch={batch}")
-        raise ValueError("after the write")
+        df.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{root}/parts/batch={batch}")
+
+    def failing(df: DataFrame, batch: int) -> None:
+        raise ValueError("before the write")
 
-    errors = process_new_files(spark, d, EVENT_SCHEMA, work, f"{root}/checkpoint", "events.parquet")
-    if not errors:
+    if not process_new_files(spark, d, EVENT_SCHEMA, failing, f"{root}/checkpoint", "events.parquet"):
         raise RuntimeError("the failure wasn't recorded")
+    if process_new_files(spark, d, EVENT_SCHEMA, work, f"{root}/checkpoint", "events.parquet"):
+        raise RuntimeError("the second attempt failed too")
     return spark.read.parquet(f"{root}/parts").groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
@@ -866,15 +903,38 @@ def sel01_around(spark: S, d: str) -> DataFrame:
 
 @query("src19_trajectory_files", "SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, round(list_sum(list_transform(embedding[1:63], lambda x: x::FLOAT::DOUBLE)), 4) AS total FROM embeddings")
 def src19(spark: S, d: str) -> DataFrame:
-    """Frames written as binary trajectory files, one a label, and read back."""
+    """Frames written as binary trajectory files, some a label, and read back."""
     import os
     import uuid
 
     from tessellar.session import shared_dir
     from tessellar.sources import trajectory
+    from tessellar.sources.files import group_of
 
     folder = os.path.join(shared_dir(spark), f"traj-{uuid.uuid4().hex}")
     frames = embeddings(spark, d).select("label", "vec_id", F.slice("embedding", 1, 63).alias("xyz"))
-    trajectory.write_dcd(frames, "label", "vec_id", "xyz", folder).agg(F.sum("n")).collect()
-    back = trajectory.read_dcd(spark, folder)
-    return back.select(F.regexp_extract("path", r"([^/]+)\.dcd$", 1).cast("int").alias("label"), "frame", F.round(F.aggregate("xyz", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    trajectory.write_dcd(frames, "label", "vec_id", "xyz", folder, 200).agg(F.sum("n")).collect()
+    label, part = group_of("path", "dcd")
+    return trajectory.read_dcd(spark, folder).select(label.cast("int").alias("label"), (part * 200 + F.col("frame")).alias("frame"), F.round(F.aggregate("xyz", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("src19_trajectory_text", "SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS model, (unnest(range(21)) + 1)::INT AS atom, unnest([round(embedding[3 * k + 1]::FLOAT::DOUBLE * 100, 3) FOR k IN range(21)]) AS x FROM embeddings")
+def src19_text(spark: S, d: str) -> DataFrame:
+    """Frames written as text with a model each, and read back line by line."""
+    import os
+    import uuid
+
+    from tessellar.session import shared_dir
+    from tessellar.sources import trajectory
+    from tessellar.sources.files import group_of
+
+    folder = os.path.join(shared_dir(spark), f"models-{uuid.uuid4().hex}")
+    frames = embeddings(spark, d).select("label", "vec_id", F.transform(F.slice("embedding", 1, 63), lambda x: x.cast("double") * 100).alias("xyz"))
+    trajectory.write_pdb(frames, "label", "vec_id", "xyz", folder, 150).agg(F.sum("n")).collect()
+    models = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    label, part = group_of("path", "pdb")
+    model = F.explode(F.slice(F.split("value", "MODEL "), 2, 1_000_000)).alias("m")
+    atoms = models.select(label.cast("int").alias("label"), part.alias("part"), model)
+    atoms = atoms.select("label", (F.col("part") * 150 + F.trim(F.substring("m", 1, 9)).substr(1, 4).cast("long")).alias("model"), F.explode(F.split("m", "\n")).alias("value"))
+    atoms = atoms.where("value like 'ATOM%'")
+    return atoms.select("label", "model", F.trim(F.substring("value", 7, 5)).cast("int").alias("atom"), F.trim(F.substring("value", 31, 8)).cast("double").alias("x"))

@@ -59,9 +59,24 @@ def _discard(spark: SparkSession, path: str) -> None:
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends at files that outlive executors."""
+    """Write df once to the shared folder and read it back: lineage ends at files that outlive executors.
+
+    The files go when the session's process ends, or with ``discard`` as soon as nothing reads them any more.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     atexit.register(_discard, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(back)] = (back, path)
+    return back
+
+
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a materialised frame; only when every frame made from it has been written or collected."""
+    found = _WRITTEN.pop(id(df), None)
+    if found:
+        _discard(df.sparkSession, found[1])

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellar.session import shared_dir
+from tessellar.sources.files import group_of, write_parts
 
 
 def read_npy(spark: SparkSession, folder: str, pattern: str = "*.npy") -> DataFrame:
@@ -29,20 +30,16 @@ def read_npy(spark: SparkSession, folder: str, pattern: str = "*.npy") -> DataFr
     return files.select("path", "content").mapInPandas(rows, "path string, row long, values array<double>")
 
 
-def write_npy(df: DataFrame, group: str, columns: Sequence[str], folder: str) -> DataFrame:
-    """Writes one array a group (rows in the order of the columns) and lists path and length. The folder must be shared."""
-    root = folder.removeprefix("file://")
+def write_npy(df: DataFrame, group: str, columns: Sequence[str], folder: str, rows_per_file: int = 1_000_000) -> DataFrame:
+    """Arrays of each group (rows in the order of the columns), cut into files of bounded length; lists path and length."""
+    columns = list(columns)
 
-    def put(f: pd.DataFrame) -> pd.DataFrame:
-        os.makedirs(root, exist_ok=True)
-        path = os.path.join(root, f"{f[group].iloc[0]}.npy")
-        partial = f"{path}.{uuid.uuid4().hex}"
-        with open(partial, "wb") as out:
-            np.save(out, f.sort_values(list(columns))[list(columns)].to_numpy(float))
-        os.replace(partial, path)
-        return pd.DataFrame({"path": [path], "n": [len(f)]})
+    def encode(f: pd.DataFrame) -> bytes:
+        out = io.BytesIO()
+        np.save(out, f[columns].to_numpy(float))
+        return out.getvalue()
 
-    return df.select(group, *columns).groupBy(group).applyInPandas(put, "path string, n long")
+    return write_parts(df, group, columns, columns, folder, "npy", encode, rows_per_file)
 
 
 def round_trip(df: DataFrame, group: str, index: Sequence[str], value: str) -> DataFrame:
@@ -50,5 +47,4 @@ def round_trip(df: DataFrame, group: str, index: Sequence[str], value: str) -> D
     folder = os.path.join(shared_dir(spark), f"npy-{uuid.uuid4().hex}")
     write_npy(df, group, [*index, value], folder).agg(F.sum("n")).collect()
     back = read_npy(spark, folder)
-    name = F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias(group)
-    return back.select(name, *[F.col("values")[k].cast("int").alias(c) for k, c in enumerate(index)], F.round(F.col("values")[len(index)], 6).alias(value))
+    return back.select(group_of("path", "npy")[0].alias(group), *[F.col("values")[k].cast("int").alias(c) for k, c in enumerate(index)], F.round(F.col("values")[len(index)], 6).alias(value))

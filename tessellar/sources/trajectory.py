@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import struct
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from tessellar.sources.files import write_parts
+
 TITLE = b"frames".ljust(80)
 
 
@@ -54,21 +54,33 @@ def decode(data: bytes) -> np.ndarray:
     return np.stack([np.stack(flat[i : i + 3], axis=1) for i in range(0, len(flat), 3)]) if flat else np.zeros((0, atoms, 3), "f4")
 
 
-def write_dcd(df: DataFrame, group: str, order: str, xyz: str, folder: str) -> DataFrame:
-    """One file a group, frames in order; lists path and number of frames. The folder must be shared by all executors."""
-    root = folder.removeprefix("file://")
+def write_dcd(df: DataFrame, group: str, order: str, xyz: str, folder: str, frames_per_file: int = 100_000) -> DataFrame:
+    """Frames of each group in order, cut into files of bounded length; lists path and number of frames."""
+
+    def content(f: pd.DataFrame) -> bytes:
+        return encode(np.stack(f[xyz].to_numpy()).reshape(len(f), -1, 3))
+
+    return write_parts(df.where(df[xyz].isNotNull()), group, [order], [xyz], folder, "dcd", content, frames_per_file)
+
+
+def pdb_models(frames: np.ndarray, first: int = 1) -> str:
+    """Text of the frames as models of carbon atoms, one residue an atom; coordinates must have at most four digits before
+    the point, as the columns are fixed."""
+    out = []
+    for m, f in enumerate(frames, first):
+        out.append(f"MODEL     {m:4d}")
+        out += [f"ATOM  {k % 100_000:5d}  CA  ALA A{k % 10_000:4d}    {x:8.3f}{y:8.3f}{z:8.3f}  1.00  0.00           C" for k, (x, y, z) in enumerate(f, 1)]
+        out.append("ENDMDL")
+    return "\n".join(out) + "\n"
+
+
+def write_pdb(df: DataFrame, group: str, order: str, xyz: str, folder: str, frames_per_file: int = 9_999) -> DataFrame:
+    """As write_dcd, as text with a model a frame."""
 
-    def put(f: pd.DataFrame) -> pd.DataFrame:
-        os.makedirs(root, exist_ok=True)
-        f = f.sort_values(order)
-        path = os.path.join(root, f"{f[group].iloc[0]}.dcd")
-        partial = f"{path}.{uuid.uuid4().hex}"
-        with open(partial, "wb") as out:
-            out.write(encode(np.stack(f[xyz].to_numpy()).reshape(len(f), -1, 3)))
-        os.replace(partial, path)
-        return pd.DataFrame({"path": [path], "n": [len(f)]})
+    def content(f: pd.DataFrame) -> bytes:
+        return pdb_models(np.stack(f[xyz].to_numpy()).reshape(len(f), -1, 3)).encode()
 
-    return df.where(df[xyz].isNotNull()).select(group, order, xyz).groupBy(group).applyInPandas(put, "path string, n long")
+    return write_parts(df.where(df[xyz].isNotNull()), group, [order], [xyz], folder, "pdb", content, frames_per_file)
 
 
 def read_dcd(spark: SparkSession, folder: str) -> DataFrame:
