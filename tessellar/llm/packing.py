@@ -18,17 +18,19 @@ from tessellar.session import materialise
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the vocabulary file.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BUCKETS = 64
+ROWS_A_BUCKET = 500_000
 
 
 def token_counts(documents: DataFrame, id_col: str, text_col: str, vocabulary: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """id and n_tokens of the whole text; a null or empty text has 0 tokens. ``vocabulary`` must be readable by every task."""
+    """id and n_tokens of the whole text; a null or empty text has 0 tokens. ``vocabulary`` is read by the driver and broadcast
+    (about a megabyte)."""
+    with open(vocabulary, "rb") as f:
+        content = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.value.splitlines())}
         encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for batch in batches:
             sizes = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
@@ -135,7 +137,7 @@ def _piece(k: int, top: int) -> Callable[[Column], Column]:
     return lambda p: F.struct(F.lit(k).alias("k"), p.alias("p"), F.least(F.lit(top).cast("long"), F.col("z") - p * top).alias("z"))
 
 
-def pack(sizes: DataFrame, schemes: dict[str, Sequence[int]], id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
+def pack(sizes: DataFrame, schemes: dict[str, Sequence[int]], id_col: str = "doc_id", size_col: str = "n_tokens", rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
     """Every item into a container, once for each scheme (a name and the capacities permitted in it).
 
     Result: scheme, id, piece_no, piece_tokens, container_id, capacity. An item that exceeds the scheme's largest
@@ -143,8 +145,9 @@ def pack(sizes: DataFrame, schemes: dict[str, Sequence[int]], id_col: str = "doc
     null is put into the scheme's container 0 and takes no room. Ids may repeat; null ids are kept as they are.
 
     The plan is made on the histogram of sizes, which has at most one entry for each size up to the largest capacity,
-    however many items there are; the pieces then find their containers by their rank among those of equal size. Ranks
-    are counted in buckets of a hash, so that a size which a third of the items share is still spread.
+    however many items there are; the pieces then find their containers by their rank among those of equal size. Of a size
+    that more than ROWS_A_BUCKET pieces share, ranks are counted in as many buckets of a hash as keep a bucket to that
+    number, so that a size which a third of the items share is still spread.
     """
     columns, number = [], list(schemes)
     for k, name in enumerate(number):
@@ -153,9 +156,14 @@ def pack(sizes: DataFrame, schemes: dict[str, Sequence[int]], id_col: str = "doc
         columns.append(F.transform(F.sequence(F.lit(0), pieces - 1), _piece(k, top)))
     items = sizes.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("long").alias("z"))
     exploded = items.select("id", F.explode(F.concat(*columns)).alias("i")).select("id", F.col("i.k").alias("k"), F.col("i.p").alias("p"), F.col("i.z").alias("z"))
-    pieces = exploded.withColumn("b", F.pmod(F.xxhash64("id", "p"), F.lit(BUCKETS)).cast("int"))
+    counted = exploded.groupBy("k", "z").agg(F.count("*").alias("n")).collect()  # at most one row a scheme and size
+    spread = [(r["k"], r["z"], -(-r["n"] // rows_a_bucket)) for r in counted if r["n"] > rows_a_bucket]
+    if spread:
+        split = F.broadcast(sizes.sparkSession.createDataFrame(spread, "k int, z long, nb int"))
+        pieces = exploded.join(split, ["k", "z"], "left").withColumn("b", F.pmod(F.xxhash64("id", "p"), F.coalesce("nb", F.lit(1))).cast("int")).drop("nb")
+    else:
+        pieces = exploded.withColumn("b", F.lit(0))
     by_bucket = pieces.groupBy("k", "z", "b").agg(F.count("*").alias("n"))
-    counted = by_bucket.groupBy("k", "z").agg(F.sum("n").alias("n")).collect()  # at most one row a scheme and size
     slots: dict[int, dict] = {}
     floors: dict[int, int] = {}  # capacity of container 0
     for k, name in enumerate(number):
@@ -166,12 +174,17 @@ def pack(sizes: DataFrame, schemes: dict[str, Sequence[int]], id_col: str = "doc
     before = F.sum("n").over(Window.partitionBy("k", "z").orderBy("b")) - F.col("n")
     offsets = by_bucket.select("k", "z", "b", before.alias("before"))
     rank = F.row_number().over(Window.partitionBy("k", "z", "b").orderBy("id", "p")) - 1
-    ranked = pieces.withColumn("r", rank).join(offsets, ["k", "z", "b"]).select("k", "id", "p", "z", (F.col("r") + F.col("before")).alias("r"))
+    ranked = pieces.withColumn("r", rank)
+    if spread:
+        ranked = ranked.join(offsets, ["k", "z", "b"]).withColumn("r", F.col("r") + F.col("before"))
+    ranked = ranked.select("k", "id", "p", "z", "r")
+
+    floor_of = np.array([floors[k] for k in range(len(number))], np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k, z, r = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 3, 4))
-            container, capacity = np.zeros(len(k), np.int64), np.array([floors[x] for x in k.tolist()], np.int64)
+            container, capacity = np.zeros(len(k), np.int64), floor_of[k]
             order = np.lexsort((z, k))
             cuts = np.flatnonzero(np.diff(k[order]) | np.diff(z[order])) + 1
             for part in np.split(order, cuts) if len(order) else []:

@@ -12,7 +12,7 @@ from tessellar.functions.labels import trimmed
 from tessellar.operators import wide
 from tessellar.plans.core_problems import contact_values, few
 from tessellar.plans.core_problems_sql import CONTACT_CELLS
-from tessellar.session import table
+from tessellar.session import materialise, table
 
 TOP = 20
 MAX_CONTAINERS = 100
@@ -50,6 +50,20 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.withColumn("fill", F.round(F.col("n_tokens") / (F.col("capacity") * F.col("n_containers")), 6))
 
 
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By scheme: the documents placed, and how often a rule is broken - a container over its capacity or of two
+    capacities, a document in pieces that fits the largest one, pieces that aren't numbered through or not full."""
+    packed = materialise(p6_packed(spark, sf_dir), "packed")
+    top = F.broadcast(packed.groupBy("scheme").agg(F.max("capacity").alias("top")))
+    boxes = packed.groupBy("scheme", "container_id").agg(F.sum("piece_tokens").alias("load"), F.min("capacity").alias("a"), F.max("capacity").alias("b"))
+    over = boxes.groupBy("scheme").agg(F.sum(F.when((F.col("load") > F.col("a")) | (F.col("a") != F.col("b")), 1).otherwise(0)).alias("containers_broken"))
+    docs = packed.join(top, "scheme").groupBy("scheme", "doc_id", "top").agg(
+        F.count("*").alias("n"), F.countDistinct("piece_no").alias("numbers"), F.max("piece_no").alias("last"), F.sum("piece_tokens").alias("tokens"), F.sum(F.when(F.col("piece_tokens") == F.col("top"), 1).otherwise(0)).alias("full")
+    )
+    broken = ((F.col("n") > 1) & (F.col("tokens") <= F.col("top"))) | (F.col("n") != F.col("numbers")) | (F.col("last") != F.col("n") - 1) | (F.col("full") < F.col("n") - 1)
+    return docs.groupBy("scheme").agg(F.count("*").alias("n_documents"), F.sum(F.when(broken, 1).otherwise(0)).alias("documents_broken")).join(over, "scheme")
+
+
 def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -78,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_frequencies": p4_frequencies,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
+    "p6_invariants": p6_invariants,
     "p7_found": p7_found,
     "p7_spans": p7_spans,
     "p7_removals": p7_removals,
@@ -97,6 +112,7 @@ c AS (SELECT field_name, term, count(*) AS n_rows, count(DISTINCT frame) AS n_un
 SELECT field_name, term, n_rows, n_units, CASE WHEN n_units < greatest(1, (n + 99) // 100) THEN 'rare' WHEN n_units > 95 * n // 100 THEN 'common' END AS mark FROM c, n"""
 
 ORACLES: dict[str, str] = {
+    "p6_invariants": "SELECT scheme, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents, 0::BIGINT AS documents_broken, 0::BIGINT AS containers_broken FROM (SELECT container_kind AS scheme FROM containers UNION ALL SELECT 'mixed')",
     "p2_ranked": RANKED,
     "p2_found": f"SELECT system, contact, pos FROM ({RANKED})",
     "p4_frequencies": FREQUENCIES,

@@ -4,6 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import compare
+from tessellar.llm import queries
 from tessellar.llm.packing import best_fit, pack, token_counts
 
 SCHEMES = {"small": [10], "mixed": [10, 40]}
@@ -35,14 +37,15 @@ def test_too_large_an_item():
         best_fit({11: 1}, [10])
 
 
-def rows(spark, sizes):
+def rows(spark, sizes, rows_a_bucket=500_000):
     df = spark.createDataFrame([(i, s, "x") for i, s in enumerate(sizes)], "doc_id long, n_tokens long, scheme string")
-    return pack(df.repartition(3), SCHEMES).collect()
+    return pack(df.repartition(3), SCHEMES, rows_a_bucket=rows_a_bucket).collect()
 
 
-def test_whole_unless_too_large(spark):
+@pytest.mark.parametrize("rows_a_bucket", [500_000, 4])
+def test_whole_unless_too_large(spark, rows_a_bucket):
     sizes = [0, None, 10, 10, 11, 95, 3, 3, 3, 1] + [7] * 50 + [5]
-    out = rows(spark, sizes)
+    out = rows(spark, sizes, rows_a_bucket)
     loads = Counter()
     for name, capacities in SCHEMES.items():
         mine = [r for r in out if r["scheme"] == name]
@@ -67,3 +70,9 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "a" * 100_000), (5, "<|endoftext|>")], "doc_id long, text string")
     n = {r["doc_id"]: r["n_tokens"] for r in token_counts(df, "doc_id", "text").collect()}
     assert n[1] == 2 and n[2] == n[3] == 0 and n[4] > 1000 and n[5] > 1
+
+
+def test_more_containers_than_the_bound_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(queries, "MAX_CONTAINERS", 2)
+    with pytest.raises(ValueError, match="containers"):
+        queries.p6_packed(spark, compare.SF)
