@@ -48,8 +48,7 @@ def canonical_system(system: Column) -> Column:
 
 def residue_of(atom: Column) -> Column:
     """``chain:resname:number`` of an atom label; null with fewer than three parts."""
-    parts = F.split(atom, ":")
-    return F.when(F.size(parts) >= 3, F.array_join(F.slice(parts, 1, 3), ":"))
+    return F.when(F.length(atom) - F.length(F.replace(atom, F.lit(":"), F.lit(""))) >= 2, F.substring_index(atom, ":", 3))
 
 
 def part(label: Column, i: int) -> Column:
@@ -68,5 +67,5 @@ def atom_class(name: Column) -> Column:
 
 def undirected_token(itype: Column, endpoints: Column) -> Column:
     """Interaction type and the sorted distinct endpoints, joined by pipes; null under two distinct endpoints."""
-    ends = F.array_sort(F.array_distinct(endpoints))
+    ends = F.sort_array(F.array_distinct(endpoints))
     return F.when(F.size(ends) >= 2, F.concat_ws("|", itype, F.array_join(ends, "|")))

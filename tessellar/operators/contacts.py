@@ -4,27 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellar.functions.labels import residue_of, trimmed, undirected_token
 from tessellar.operators.relational import band
 from tessellar.operators.reshape import range_index
+from tessellar.operators.vectors import blocked_pairs
+from tessellar.session import materialise
 
 # Residue names of water.
 WATERS = ("HOH", "WAT", "TIP", "TIP3", "SOL", "H2O")
 MAX_FEATURES = 20_000
 
 
+def spelt_log(log: DataFrame) -> DataFrame:
+    """Trimmed fields in one spelling, nulls and repeats as they are."""
+    return log.select("frame", F.lower(trimmed(F.col("interaction_type"))).alias("itype"), F.upper(trimmed(F.col("atom1"))).alias("atom1"), F.upper(trimmed(F.col("atom2"))).alias("atom2"))
+
+
 def clean_log(log: DataFrame) -> DataFrame:
-    """Trimmed fields in one spelling; rows lacking any field are dropped, repeats are one."""
-    out = log.select(
-        "frame",
-        F.lower(trimmed(F.col("interaction_type"))).alias("itype"),
-        F.upper(trimmed(F.col("atom1"))).alias("atom1"),
-        F.upper(trimmed(F.col("atom2"))).alias("atom2"),
-    )
-    return out.na.drop().distinct()
+    """As spelt_log; rows lacking any field are dropped, repeats are one."""
+    return spelt_log(log).na.drop().distinct()
 
 
 def requested_types(log: DataFrame, types: DataFrame, families: Sequence[str], water_bridges: bool = True) -> DataFrame:
@@ -52,8 +55,14 @@ def in_scope(ends: Column, selected: Column, scope: str = "selected_any") -> Col
 
 
 def frame_tokens(log: DataFrame) -> DataFrame:
-    """(frame, token) without repeats; contacts inside one residue have no token."""
-    return endpoints(log).select("frame", undirected_token(F.col("itype"), F.col("ends")).alias("token")).where("token is not null").distinct()
+    """(frame, token) without repeats, of a log that may hold nulls and repeats; contacts inside one residue have no token.
+
+    Null tokens are dropped by the aggregate's result: a filter on the token would be pushed below and work it out twice.
+    """
+    ends = log.select("frame", "itype", residue_of(F.col("atom1")).alias("a"), residue_of(F.col("atom2")).alias("b"))
+    token = F.concat("itype", F.lit("|"), F.least("a", "b"), F.lit("|"), F.greatest("a", "b"))  # null if any part is
+    rows = ends.select("frame", F.when(F.col("frame").isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")), token).alias("token"))
+    return rows.groupBy("frame", "token").agg(F.count("token").alias("_c")).where("_c > 0").drop("_c")
 
 
 def fingerprints(tokens: DataFrame, unit: str = "frame", token: str = "token") -> DataFrame:
@@ -74,7 +83,7 @@ def multi_hot_band(tokens: DataFrame, lo_percent: int, hi_percent: int, unit: st
 
     Tokens become indices into the band's dictionary, whose size is checked. The last frame is the last with any token.
     """
-    ids = dictionary(band(tokens, token, unit, lo_percent, hi_percent), token).cache()
+    ids = materialise(dictionary(band(tokens, token, unit, lo_percent, hi_percent, unique=True), token), "band")
     n = ids.count()
     if n > most:
         raise ValueError(f"{n} tokens in the band; at most {most} become columns")
@@ -104,16 +113,42 @@ def set_distances(tokens: DataFrame, queries: DataFrame, unit: str, token: str,
 def all_set_distances(tokens: DataFrame, queries: DataFrame, units: DataFrame, unit: str, token: str) -> DataFrame:
     """Distances of a stated query set to every unit, also to those that share no token or have none: a, b, n_shared, jaccard, hamming.
 
-    hamming is over the distinct tokens, counted. Two units without tokens have jaccard 0.
+    tokens are distinct (unit, token) rows; hamming is over the distinct tokens, counted. Two units without tokens have
+    jaccard 0. Each unit becomes one row with its tokens' 64-bit hashes, and both sides meet in blocks: a kernel adds up,
+    for each unit, the rows of the queries' token matrix that it holds. A token that every unit has costs no more than
+    any other, as no pair is formed for it.
     """
-    shared = set_distances(tokens, queries, unit, token).select("a", "b", "n_shared")
-    sized = units.select(unit).join(tokens.groupBy(unit).agg(F.count("*").alias("n")), unit, "left").na.fill(0, ["n"])
-    a = sized.join(queries, unit, "left_semi").select(F.col(unit).alias("a"), F.col("n").alias("n_a"))
-    pairs = sized.select(F.col(unit).alias("b"), F.col("n").alias("n_b")).crossJoin(a).join(shared, ["a", "b"], "left").na.fill(0, ["n_shared"])
+    held = tokens.groupBy(unit).agg(F.collect_list(F.xxhash64(token)).alias("t"))
+    sets = units.select(unit).join(held, unit, "left").select(F.col(unit).cast("long").alias("id"), F.coalesce("t", F.array().cast("array<bigint>")).alias("v"))
+    asked = sets.join(queries.select(F.col(unit).cast("long").alias("id")), "id", "left_semi")
+    features = tokens.agg(F.countDistinct(token)).first()[0]
+    out = blocked_pairs(sets, asked, _shared_counts, "a long, b long, n_shared long, n_a int, n_b int", lambda: units.count(), lambda: queries.count())
     union = F.col("n_a") + F.col("n_b") - F.col("n_shared")
     jaccard = F.when(union > 0, 1 - F.col("n_shared") / union).otherwise(0.0)
-    features = F.broadcast(tokens.agg(F.countDistinct(token).alias("_f")))
-    return pairs.crossJoin(features).select("a", "b", "n_shared", jaccard.alias("jaccard"), F.try_divide(union - F.col("n_shared"), F.col("_f")).alias("hamming"))
+    kind = units.schema[unit].dataType
+    return out.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "n_shared", jaccard.alias("jaccard"), F.try_divide(union - F.col("n_shared"), F.lit(features)).alias("hamming"))
+
+
+def _shared_counts(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """Shared tokens of every query in a with every unit in b."""
+    flat = lambda f: np.concatenate([np.asarray(v, np.int64) for v in f.v] + [np.empty(0, np.int64)])
+    size_a, size_b = (np.array([len(v) for v in f.v], np.int64) for f in (a, b))
+    known, column = np.unique(flat(a), return_inverse=True)
+    matrix = np.zeros((len(known) + 1, len(a)), np.int32)  # the last row: a token that no query has
+    matrix[column, np.repeat(np.arange(len(a)), size_a)] = 1
+    tokens = flat(b)
+    at = np.minimum(np.searchsorted(known, tokens), max(len(known) - 1, 0))
+    row = np.where(known[at] == tokens, at, len(known)) if len(known) else np.zeros(len(tokens), np.int64)
+    shared, ends = np.zeros((len(b), len(a)), np.int64), np.cumsum(size_b)
+    step = max(1, 4_000_000 // max(len(a) * max(int(size_b.max(initial=1)), 1), 1))
+    for i in range(0, len(b), step):
+        part = np.arange(i, min(i + step, len(b)))
+        filled = part[size_b[part] > 0]
+        if len(filled):
+            first = ends[filled] - size_b[filled]
+            shared[filled] = np.add.reduceat(matrix[row[first[0] : ends[filled[-1]]]], first - first[0], axis=0)
+    n = len(a)
+    return pd.DataFrame({"a": np.tile(a.id.to_numpy(), len(b)), "b": np.repeat(b.id.to_numpy(), n), "n_shared": shared.ravel(), "n_a": np.tile(size_a, len(b)), "n_b": np.repeat(size_b, n)})
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:

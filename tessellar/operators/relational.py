@@ -31,10 +31,15 @@ def relative_frequency(df: DataFrame, keys: Sequence[str], unit: str, digits: in
     return value_counts(df, keys).crossJoin(F.broadcast(total)).select(*keys, "n", (F.round(f, digits) if digits is not None else f).alias("frequency"))
 
 
-def band(df: DataFrame, token: str, unit: str, lo_percent: int, hi_percent: int) -> DataFrame:
-    """Tokens held by at least max(1, ceil(lo %)) and at most floor(hi %) of the distinct units, with the count."""
+def band(df: DataFrame, token: str, unit: str, lo_percent: int, hi_percent: int, unique: bool = False) -> DataFrame:
+    """Tokens held by at least max(1, ceil(lo %)) and at most floor(hi %) of the distinct units, with the count.
+
+    ``unique`` says that no (token, unit) is null or repeated, so that rows can be counted instead of distinct units, and
+    both the counts and the total read one exchange of the rows.
+    """
     total = df.agg(F.countDistinct(unit).alias("total"))
-    counted = df.where(F.col(token).isNotNull() & F.col(unit).isNotNull()).groupBy(token).agg(F.countDistinct(unit).alias("n"))
+    named = df if unique else df.where(F.col(token).isNotNull() & F.col(unit).isNotNull())
+    counted = named.groupBy(token).agg((F.count("*") if unique else F.countDistinct(unit)).alias("n"))
     low = F.greatest(F.lit(1), F.floor((F.col("total") * lo_percent + 99) / 100))
     return counted.crossJoin(F.broadcast(total)).where((F.col("n") >= low) & (F.col("n") <= F.floor(F.col("total") * hi_percent / 100))).select(token, "n")
 

@@ -32,17 +32,13 @@ def periodic_rms(period: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray
     return f
 
 
-def blocked_distances(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, metric: Callable[[np.ndarray, np.ndarray], np.ndarray] = rms, n_rows: int | None = None, n_queries: int | None = None, nearest: int | None = None) -> DataFrame:
-    """Distances of a stated query set to all rows: i (query), j, d; only the ``nearest`` of each query if given.
+def blocked_pairs(rows: DataFrame, queries: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, n_rows: Callable[[], int], n_queries: Callable[[], int]) -> DataFrame:
+    """The kernel's rows for every block of queries with every block of rows; both frames: id, v.
 
-    Both sides are cut into blocks by a hash of the id, and each pair of blocks is one group: a numpy kernel works on at
-    most about a thousand queries and twenty thousand rows, however large the sides are. Null vectors have no distances.
-    With ``nearest`` each block pair keeps its best and the final choice is made among those.
+    Both sides are cut by a hash of the id, and each pair of blocks is one group, of about QUERY_BLOCK queries and ROW_BLOCK
+    rows, however large the sides are.
     """
-    r = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    nq = max(1, -(-(n_queries if n_queries is not None else q.count()) // QUERY_BLOCK))
-    nr = max(1, -(-(n_rows if n_rows is not None else r.count()) // ROW_BLOCK))
+    nq, nr = max(1, -(-n_queries() // QUERY_BLOCK)), max(1, -(-n_rows() // ROW_BLOCK))
 
     def block(c: str, n: int) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -50,12 +46,27 @@ def blocked_distances(rows: DataFrame, queries: DataFrame, id_col: str, vector:
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = q.select("id", "v", block("id", nq).alias("bq"), every(nr).alias("br"))
-    right = r.select("id", "v", every(nq).alias("bq"), block("id", nr).alias("br"))
+    left = queries.select(F.col("id").alias("id"), F.col("v").alias("v"), block("id", nq).alias("bq"), every(nr).alias("br"))
+    right = rows.select("id", "v", every(nq).alias("bq"), block("id", nr).alias("br"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return kernel(a, b) if len(a) and len(b) else pd.DataFrame({n: np.empty(0) for n in names})
+
+    return left.groupBy("bq", "br").cogroup(right.groupBy("bq", "br")).applyInPandas(meet, schema)
+
+
+def blocked_distances(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, metric: Callable[[np.ndarray, np.ndarray], np.ndarray] = rms, n_rows: int | None = None, n_queries: int | None = None, nearest: int | None = None) -> DataFrame:
+    """Distances of a stated query set to all rows: i (query), j, d; only the ``nearest`` of each query if given.
+
+    Both sides are cut into blocks by a hash of the id, and each pair of blocks is one group: a numpy kernel works on at
+    most about a thousand queries and twenty thousand rows, however large the sides are. Null vectors have no distances.
+    With ``nearest`` each block pair keeps its best and the final choice is made among those.
+    """
+    r = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
     def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"i": [], "j": [], "d": []}).astype({"i": "int64", "j": "int64", "d": "float64"})
         d = metric(np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()))
         i, j = a.id.to_numpy(), b.id.to_numpy()
         if nearest is not None and nearest < len(j):
@@ -63,7 +74,7 @@ def blocked_distances(rows: DataFrame, queries: DataFrame, id_col: str, vector:
             return pd.DataFrame({"i": np.repeat(i, nearest), "j": j[order].ravel(), "d": np.take_along_axis(d, order, 1).ravel()})
         return pd.DataFrame({"i": np.repeat(i, len(j)), "j": np.tile(j, len(i)), "d": d.ravel()})
 
-    out = left.groupBy("bq", "br").cogroup(right.groupBy("bq", "br")).applyInPandas(pairs, "i long, j long, d double")
+    out = blocked_pairs(r, q, pairs, "i long, j long, d double", lambda: n_rows if n_rows is not None else r.count(), lambda: n_queries if n_queries is not None else q.count())
     if nearest is None:
         return out
     from tessellar.operators.relational import first_per_group

@@ -132,7 +132,7 @@ def mat09(spark: S, d: str) -> DataFrame:
 @query("mat10_jaccard", f"WITH {LOG}, {_PAIRS_OF_FRAMES}, j AS (SELECT a, b, CASE WHEN n > k THEN 1 - k / (n - k) ELSE 0 END AS j FROM g) SELECT a, b, round(coalesce(j / nullif(max(j) OVER (), 0), 0), 9) AS jaccard FROM j")
 def mat10(spark: S, d: str) -> DataFrame:
     """Divided by the maximum of these pairs; all zeros if that is 0."""
-    pairs = frame_distances(spark, d)
+    pairs = materialise(frame_distances(spark, d).select("a", "b", "jaccard"), "pairs")
     top = F.broadcast(pairs.agg(F.max("jaccard").alias("_m")))
     return pairs.crossJoin(top).select("a", "b", F.round(F.coalesce(F.try_divide("jaccard", "_m"), F.lit(0.0)), 9).alias("jaccard"))
 
