@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -121,6 +122,23 @@ def rms_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / F.size(a))
 
 
+def placed_at_angle(a: Sequence[Column], b: Sequence[Column], degrees: float, length: float) -> tuple[list[Column], list[Column]]:
+    """Two points at ``length`` from b, at +/- the angle to the direction from b to a, in the plane of that direction and the
+    z axis (the y axis if the direction is that of z). a and b: three coordinates each."""
+
+    def unit(v: list[Column]) -> list[Column]:
+        n = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+        return [x / n for x in v]
+
+    u = unit([x - y for x, y in zip(a, b, strict=True)])
+    upright = (u[0] * u[0] + u[1] * u[1]) < 1e-12
+    # u x z = (u1, -u0, 0); u x y = (-u2, 0, u0)
+    normal = unit([F.when(upright, -u[2]).otherwise(u[1]), F.when(upright, 0.0).otherwise(-u[0]), F.when(upright, u[0]).otherwise(0.0)])
+    across = [normal[1] * u[2] - normal[2] * u[1], normal[2] * u[0] - normal[0] * u[2], normal[0] * u[1] - normal[1] * u[0]]
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    return tuple([o + (c * x + sign * s * y) * length for o, x, y in zip(b, u, across, strict=True)] for sign in (1, -1))
+
+
 def kcal_to_kj(x: Column) -> Column:
     return x * 4.184
 

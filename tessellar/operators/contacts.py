@@ -90,9 +90,16 @@ def multi_hot_band(tokens: DataFrame, lo_percent: int, hi_percent: int, unit: st
     last = tokens.agg(F.max(unit)).first()[0]
     frames = tokens.sparkSession.range(0 if last is None else last + 1).select(F.col("id").cast("int").alias(unit))
     held = tokens.join(F.broadcast(ids), token).groupBy(unit).agg(F.collect_set("id").alias("_ids"))
-    places = F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")
-    bits = F.transform(places, lambda i: F.coalesce(F.array_contains("_ids", i.cast("long")), F.lit(False)).cast("int"))
-    return frames.join(held, unit, "left").select(unit, bits.alias("bits"))
+
+    def spread(batches):
+        for f in batches:
+            bits = np.zeros((len(f), n), np.int32)
+            sizes = [0 if v is None else len(v) for v in f["_ids"]]
+            at = [np.asarray(v, np.int64) for v in f["_ids"] if v is not None]
+            bits[np.repeat(np.arange(len(f)), sizes), np.concatenate([*at, np.empty(0, np.int64)])] = 1
+            yield pd.DataFrame({unit: f[unit], "bits": list(bits)})
+
+    return frames.join(held, unit, "left").select(unit, "_ids").mapInPandas(spread, f"`{unit}` int, bits array<int>")
 
 
 def set_distances(tokens: DataFrame, queries: DataFrame, unit: str, token: str, features: int | None = None) -> DataFrame:

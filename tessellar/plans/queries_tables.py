@@ -100,6 +100,13 @@ def src13(spark: S, d: str) -> DataFrame:
     return latest_records(table(spark, d, "naming_cache"), "pdb_code", "payload", "fetched_at", "record_id").select("pdb_code", "record_id")
 
 
+@query("src13_cache_misses", "SELECT DISTINCT pdb_code FROM structures WHERE pdb_code IS NOT NULL AND pdb_code NOT IN (SELECT pdb_code FROM naming_cache WHERE pdb_code IS NOT NULL AND json_valid(payload))")
+def src13m(spark: S, d: str) -> DataFrame:
+    from tessellar.sources.cache import cache_misses
+
+    return cache_misses(table(spark, d, "structures"), table(spark, d, "naming_cache"), "pdb_code", "payload")
+
+
 @query("src14_structure_list", "SELECT pdb_code, coalesce(nullif(protein, ''), 'Unknown') AS protein, coalesce(nullif(species, ''), 'Unknown') AS species FROM structures")
 def src14(spark: S, d: str) -> DataFrame:
     return table(spark, d, "structures").select("pdb_code", *[rel.nonnull_default(F.col(c), "Unknown").alias(c) for c in ("protein", "species")])

@@ -319,10 +319,13 @@ def mat26(spark: S, d: str) -> DataFrame:
 
 @query("join08_subgrid_match", f"WITH {_GRID} SELECT s.i AS si, s.j AS sj, s.k AS sk, g.i, g.j, g.k FROM g s JOIN g ON g.i = s.i + 2 AND g.j = s.j + 2 AND g.k = s.k + 2")
 def join08(spark: S, d: str) -> DataFrame:
-    f = F.col("id")
-    g = spark.range(729).select(F.floor(f / 81).alias("i"), (F.floor(f / 9) % 9).alias("j"), (f % 9).alias("k"))
-    s = g.select(F.col("i").alias("si"), F.col("j").alias("sj"), F.col("k").alias("sk"))
-    return s.join(g, (g.i == s.si + 2) & (g.j == s.sj + 2) & (g.k == s.sk + 2))
+    """A finer grid's corner, given by coordinates, in the whole grid; the doubles differ in their last digits."""
+    from tessellar.sources import grids
+
+    g = grid_points(spark)
+    corner = g.where("i < 7 and j < 7 and k < 7")
+    part = corner.select(*[F.col(c).alias(f"s{c}") for c in "ijk"], *[(F.col(c) / 10.0 + (0.2 - 0.4)).alias(a) for c, a in zip("ijk", "xyz", strict=True)])
+    return grids.match_subgrid(part, g, [-0.4] * 3, [0.1] * 3).select("si", "sj", "sk", "i", "j", "k")
 
 
 _CENTRES = "c AS (SELECT label AS g, list(m ORDER BY p) AS c FROM (SELECT label, p, avg(x) AS m FROM (SELECT label, unnest(e) AS x, unnest(range(64)) AS p FROM v) GROUP BY ALL) GROUP BY 1)"
@@ -476,7 +479,7 @@ _BAND = "band AS (SELECT token FROM tok GROUP BY 1 HAVING count(*) >= greatest(1
 @query("mat29_multi_hot", f"WITH {LOG}, {_BAND}, f AS (SELECT unnest(range((SELECT max(frame) + 1 FROM tok))) AS frame), g AS (SELECT f.frame, b.token FROM f CROSS JOIN band b) SELECT g.frame::INT AS frame, list((t.token IS NOT NULL)::INT ORDER BY g.token) AS bits FROM g LEFT JOIN tok t ON t.frame = g.frame AND t.token = g.token GROUP BY 1")
 def mat29(spark: S, d: str) -> DataFrame:
     """Every token of the 1-95 % band is a column."""
-    return ct.multi_hot_band(tokens(spark, d), 1, 95)
+    return ct.multi_hot_band(materialise(tokens(spark, d), "tokens"), 1, 95)
 
 
 _STATES = """ev AS (SELECT value AS x FROM events), n AS (SELECT list(greatest(c, 1) ORDER BY t) AS n FROM (SELECT t, (SELECT count(*) FROM events WHERE event_type = t) AS c FROM (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS t))),
@@ -630,29 +633,73 @@ def src16(spark: S, d: str) -> DataFrame:
     return text.docking_scores(lines).groupBy("score").agg(F.count("*").alias("n"))
 
 
-@query("src12_dx_grid", f"WITH {_GRID} SELECT i, j, k, round(i + j / 10.0::DOUBLE + k / 100.0::DOUBLE, 6) AS val FROM g")
+@query("src12_dx_grid", f"WITH {_GRID} SELECT i, j, k, round(1.5 + 0.25 * i, 6) AS x, round(-2.0 + 0.5 * j, 6) AS y, round(0.125 * k, 6) AS z, round(i + j / 10.0::DOUBLE + k / 100.0::DOUBLE, 6) AS val FROM g")
 def src12(spark: S, d: str) -> DataFrame:
+    """Written as a gzipped file, and read back with its coordinates."""
+    import os
+    import uuid
+
+    from tessellar.session import shared_dir
     from tessellar.sources import grids
 
+    path = os.path.join(shared_dir(spark), f"grid-{uuid.uuid4().hex}")
+    g = grid_points(spark).withColumn("val", F.col("i") + F.col("j") / 10.0 + F.col("k") / 100.0)
+    grids.write_dx(g, [1.5, -2.0, 0.0], [0.25, 0.5, 0.125], [9, 9, 9], path, compressed=True)
+    return grids.read_dx(spark, path).select("i", "j", "k", *[F.round(c, 6).alias(c) for c in ("x", "y", "z", "val")])
+
+
+def grid_points(spark: S) -> DataFrame:
     f = F.col("id")
-    g = spark.range(729).select(F.floor(f / 81).alias("i"), (F.floor(f / 9) % 9).alias("j"), (f % 9).alias("k")).withColumn("val", F.col("i") + F.col("j") / 10.0 + F.col("k") / 100.0)
-    lines = grids.dx_lines(g, [0.0] * 3, [0.1] * 3, [9, 9, 9])
-    return grids.parse_dx(spark, lines).select("i", "j", "k", F.round("val", 6).alias("val"))
+    return spark.range(729).select(F.floor(f / 81).alias("i"), (F.floor(f / 9) % 9).alias("j"), (f % 9).alias("k"))
+
 
+_PART = "t AS (SELECT p_partkey AS k, p_brand AS brand, p_size AS size, p_retailprice AS price FROM part), heavy AS (SELECT DISTINCT brand FROM t)"
 
-@query("src21_forcefield_xml", "SELECT DISTINCT p_brand AS name, count(*) AS n FROM part GROUP BY 1")
+
+@query("src21_forcefield_xml", f"""WITH {_PART} SELECT 'Type' AS entry, count(*) AS n, round(sum(price), 2) AS total FROM t UNION ALL SELECT 'Residue', count(*), round(sum(length(brand)), 2) FROM heavy
+ UNION ALL SELECT 'Bond', count(*), round(sum(size * 0.1::DOUBLE), 2) FROM t WHERE size > 10 UNION ALL SELECT 'Angle', count(*), round(sum(size * 2.0::DOUBLE), 2) FROM t WHERE size > 20
+ UNION ALL SELECT 'Proper', count(*), round(sum(size % 4), 2) FROM t WHERE size > 30 UNION ALL SELECT 'Atom', count(*), round(sum(price / 100), 2) FROM t""")
 def src21(spark: S, d: str) -> DataFrame:
-    """Rows written as XML elements and read again."""
+    """Six sections written as one file and read again, each by its element."""
     import os
     import uuid
 
     from tessellar.session import shared_dir
+    from tessellar.sources import forcefield as ff
 
     path = os.path.join(shared_dir(spark), f"xml-{uuid.uuid4().hex}")
-    part = table(spark, d, "part").select(F.col("p_brand").alias("_name"), F.col("p_size").alias("_size"))
-    part.write.format("xml").option("rootTag", "ForceField").option("rowTag", "Type").save(path)
-    back = spark.read.format("xml").option("rowTag", "Type").schema("_name string, _size int").load(path)
-    return back.groupBy(F.col("_name").alias("name")).agg(F.count("*").alias("n"))
+    p = table(spark, d, "part").select(F.concat(F.lit("t"), "p_partkey").alias("name"), F.col("p_brand").alias("class"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    sections = [
+        ff.Section("AtomTypes", "Type", p.select("name", "class", F.col("price").alias("mass")), ["name", "class", "mass"]),
+        ff.Section("Residues", "Residue", p.select(F.col("class").alias("name")).distinct(), ["name"]),
+        ff.Section("HarmonicBondForce", "Bond", p.where("size > 10").select(F.col("name").alias("class1"), (F.col("size") * 0.1).alias("length")), ["class1", "length"]),
+        ff.Section("HarmonicAngleForce", "Angle", p.where("size > 20").select(F.col("name").alias("class1"), (F.col("size") * 2.0).alias("angle")), ["class1", "angle"]),
+        ff.Section("PeriodicTorsionForce", "Proper", p.where("size > 30").select(F.col("name").alias("class1"), (F.col("size") % 4).alias("periodicity1")), ["class1", "periodicity1"]),
+        ff.Section("NonbondedForce", "Atom", p.select(F.col("name").alias("type"), (F.col("price") / 100).alias("sigma")), ["type", "sigma"]),
+    ]
+    ff.write_xml(sections, path)
+    measured = {"Type": "mass", "Bond": "length", "Angle": "angle", "Proper": "periodicity1", "Atom": "sigma"}
+    out = ff.read_entries(spark, path, "Residue", "_name string").agg(F.lit("Residue").alias("entry"), F.count("*").alias("n"), F.sum(F.length("_name")).cast("double").alias("total"))
+    for entry, column in measured.items():
+        out = out.unionByName(ff.read_entries(spark, path, entry, f"_{column} double").agg(F.lit(entry).alias("entry"), F.count("*").alias("n"), F.round(F.sum(f"_{column}"), 2).alias("total")))
+    return out
+
+
+@query("src23_settings", "SELECT * FROM (VALUES ('name', 'é \"x\"'), ('steps', '25'), ('ladder', '[300.0,310.5]')) v(key, value)")
+def src23(spark: S, d: str) -> DataFrame:
+    """Settings written as JSON beside the data and read again: one row a setting."""
+    import json
+    import os
+    import uuid
+
+    from tessellar.session import shared_dir
+    from tessellar.sources import files
+
+    settings = {"name": 'é "x"', "steps": 25, "ladder": [300.0, 310.5]}
+    folder = os.path.join(shared_dir(spark), f"settings-{uuid.uuid4().hex}")
+    path = files.put_bytes(folder, "settings.json", json.dumps(settings, indent=2, ensure_ascii=False).encode())
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+    return text.select(F.explode("m").alias("key", "value"))
 
 
 @query("src03_array_files", f"WITH {BIND} SELECT system, repeat::INT AS repeat, frame::INT AS frame, round(ie, 6) AS ie FROM bind")
@@ -938,3 +985,35 @@ def src19_text(spark: S, d: str) -> DataFrame:
     atoms = atoms.select("label", (F.col("part") * 150 + F.trim(F.substring("m", 1, 9)).substr(1, 4).cast("long")).alias("model"), F.explode(F.split("m", "\n")).alias("value"))
     atoms = atoms.where("value like 'ATOM%'")
     return atoms.select("label", "model", F.trim(F.substring("value", 7, 5)).cast("int").alias("atom"), F.trim(F.substring("value", 31, 8)).cast("double").alias("x"))
+
+
+_PLACED = """u AS (SELECT vec_id, e, sqrt(power(e[1] - e[4], 2) + power(e[2] - e[5], 2) + power(e[3] - e[6], 2)) AS l FROM v), w AS (SELECT vec_id, e, (e[1] - e[4]) / l AS u0, (e[2] - e[5]) / l AS u1, (e[3] - e[6]) / l AS u2 FROM u),
+ n AS (SELECT *, u1 / sqrt(u0 * u0 + u1 * u1) AS n0, -u0 / sqrt(u0 * u0 + u1 * u1) AS n1 FROM w), p AS (SELECT *, n1 * u2 AS p0, -n0 * u2 AS p1, n0 * u1 - n1 * u0 AS p2 FROM n)"""
+
+
+@query("fn22_placed_at_angle", f"WITH {VEC}, {_PLACED} SELECT vec_id, side, round(e[4] + (cos(radians(120)) * u0 + side * sin(radians(120)) * p0) * 1.03, 6) AS x, round(e[5] + (cos(radians(120)) * u1 + side * sin(radians(120)) * p1) * 1.03, 6) AS y, round(e[6] + (cos(radians(120)) * u2 + side * sin(radians(120)) * p2) * 1.03, 6) AS z FROM p, (SELECT unnest([1, -1])::INT AS side)")
+def fn22b(spark: S, d: str) -> DataFrame:
+    e = [F.col("embedding")[i].cast("double") for i in range(6)]
+    both = sc.placed_at_angle(e[:3], e[3:], 120.0, 1.03)
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), *[F.round(c, 6).alias(n) for c, n in zip(p, "xyz", strict=True)]) for side, p in zip((1, -1), both, strict=True)])
+    return embeddings(spark, d).select("vec_id", F.explode(sides).alias("p")).select("vec_id", "p.*")
+
+
+@query("join17_atom_pairs", f"WITH {LOG}, m AS (SELECT DISTINCT atom1, atom2 FROM clean), a AS (SELECT DISTINCT atom1 AS atom, split_part(atom1, ':', 4) AS name FROM clean) SELECT m.atom1 AS atom, m.atom2 AS ref_atom, a.name AS name, b.name AS ref_name FROM m JOIN a ON a.atom = m.atom1 LEFT JOIN a b ON b.atom = m.atom2")
+def join17(spark: S, d: str) -> DataFrame:
+    """Given (atom, ref_atom) pairs, both atoms' names; a reference atom outside the table has none."""
+    from tessellar.functions import labels as lb
+
+    rows = log(spark, d)
+    pairs = rows.select(F.col("atom1").alias("atom"), F.col("atom2").alias("ref_atom")).distinct()
+    names = rows.select(F.col("atom1").alias("atom")).distinct().select("atom", lb.part(F.col("atom"), 4).alias("name"))
+    return pairs.join(names, "atom").join(names.select(F.col("atom").alias("ref_atom"), F.col("name").alias("ref_name")), "ref_atom", "left").select("atom", "ref_atom", "name", "ref_name")
+
+
+@query("mat28_accepted_conformers", f"WITH {VEC}, r AS (SELECT e FROM v ORDER BY vec_id LIMIT 1), x AS (SELECT v.vec_id, v.label, sqrt(list_sum(list_transform(list_zip(v.e[1:63], r.e[1:63]), lambda z: power(z[1] - z[2], 2))) / 21) AS rmsd FROM v, r) SELECT label, vec_id, round(rmsd, 6) AS rmsd FROM x WHERE rmsd <= 0.3 QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5")
+def mat28(spark: S, d: str) -> DataFrame:
+    """Of the candidates in order, the first five of each label that lie within the bound of the reference."""
+    e = embeddings(spark, d).select("label", "vec_id", F.slice("embedding", 1, 63).alias("e"))
+    ref = e.orderBy("vec_id").limit(1).select(F.col("e").alias("f"))
+    near = e.crossJoin(F.broadcast(ref)).select("label", "vec_id", (sc.rms_distance(F.col("e"), F.col("f")) * math.sqrt(3)).alias("rmsd")).where("rmsd <= 0.3")
+    return rel.first_per_group(near, ["label"], [F.asc("vec_id")], 5).select("label", "vec_id", F.round("rmsd", 6).alias("rmsd"))

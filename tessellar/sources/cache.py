@@ -19,3 +19,9 @@ def latest_records(cache: DataFrame, key: str, payload: str, when: str, tiebreak
     good = cache.where(F.col(key).isNotNull() & readable(F.col(payload)))
     best = good.groupBy(key).agg(F.max(F.struct(when, tiebreak))[tiebreak].alias(tiebreak))
     return cache.join(best.select(tiebreak), tiebreak, "left_semi")
+
+
+def cache_misses(wanted: DataFrame, cache: DataFrame, key: str, payload: str) -> DataFrame:
+    """Keys that have no readable record yet, so that they have to be fetched (again); null keys are no keys."""
+    good = cache.where(readable(F.col(payload))).select(key)
+    return wanted.where(F.col(key).isNotNull()).select(key).distinct().join(good, key, "left_anti")
