@@ -219,13 +219,28 @@ def reference_frame(spark: S, d: str) -> list[float]:
     return embeddings(spark, d).orderBy("vec_id").select("embedding").first()[0][:63]
 
 
-@query("mat18_superposition")
+# The least-squares rotation as the quaternion of largest eigenvalue of a 4 x 4 matrix, found by squaring it.
+_ROTATED = """xyz AS (SELECT vec_id, k, e[3 * k + 1] AS x, e[3 * k + 2] AS y, e[3 * k + 3] AS z FROM v, range(21) r(k)),
+ c AS (SELECT vec_id, k, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, z - avg(z) OVER w AS z, avg(x) OVER w AS mx, avg(y) OVER w AS my, avg(z) OVER w AS mz FROM xyz WINDOW w AS (PARTITION BY vec_id)),
+ r AS (SELECT * FROM c WHERE vec_id = (SELECT min(vec_id) FROM v)),
+ s AS (SELECT c.vec_id, sum(c.x * r.x) AS xx, sum(c.x * r.y) AS xy, sum(c.x * r.z) AS xz, sum(c.y * r.x) AS yx, sum(c.y * r.y) AS yy, sum(c.y * r.z) AS yz, sum(c.z * r.x) AS zx, sum(c.z * r.y) AS zy, sum(c.z * r.z) AS zz,
+   sum(c.x * c.x + c.y * c.y + c.z * c.z + r.x * r.x + r.y * r.y + r.z * r.z) AS g FROM c JOIN r USING (k) GROUP BY 1),
+ k4 AS (SELECT vec_id, g, [[xx + yy + zz, yz - zy, zx - xz, xy - yx], [yz - zy, xx - yy - zz, xy + yx, zx + xz], [zx - xz, xy + yx, yy - xx - zz, yz + zy], [xy - yx, zx + xz, yz + zy, zz - xx - yy]] AS k FROM s),
+ sq AS (WITH RECURSIVE it AS (SELECT vec_id, g, k, 0 AS n, list_transform(range(1, 5), lambda i: list_transform(range(1, 5), lambda j: k[i][j] + CASE WHEN i = j THEN g ELSE 0 END)) AS m FROM k4
+   UNION ALL SELECT vec_id, g, k, n + 1, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b) / power(m[1][1] + m[2][2] + m[3][3] + m[4][4], 2))) FROM it WHERE n < 20) SELECT * FROM it WHERE n = 20),
+ quat AS (SELECT vec_id, g, k, list_transform(w, lambda y: y / sqrt(list_dot_product(w, w))) AS q FROM (SELECT *, m[list_position([m[1][1], m[2][2], m[3][3], m[4][4]], greatest(m[1][1], m[2][2], m[3][3], m[4][4]))] AS w FROM sq)),
+ fit AS (SELECT p.vec_id, c.k, p.q[1] AS a, p.q[2] AS b, p.q[3] AS c, p.q[4] AS d, c.x, c.y, c.z, r.mx, r.my, r.mz FROM quat p JOIN c ON c.vec_id = p.vec_id JOIN r ON r.k = c.k),
+ moved AS (SELECT vec_id, k, (a*a + b*b - c*c - d*d) * x + 2 * (b*c - a*d) * y + 2 * (b*d + a*c) * z + mx AS x, 2 * (c*b + a*d) * x + (a*a - b*b + c*c - d*d) * y + 2 * (c*d - a*b) * z + my AS y,
+   2 * (d*b - a*c) * x + 2 * (d*c + a*b) * y + (a*a - b*b - c*c + d*d) * z + mz AS z FROM fit)"""
+
+
+@query("mat18_superposition", f"WITH {VEC}, {_ROTATED} SELECT vec_id, flatten(list([round(x, 5), round(y, 5), round(z, 5)] ORDER BY k)) AS xyz FROM moved GROUP BY 1")
 def mat18(spark: S, d: str) -> DataFrame:
     out = vectors.superpose(embeddings(spark, d), "vec_id", "embedding", reference_frame(spark, d))
-    return out.select("vec_id", F.transform("xyz", lambda x: F.round(x, 6)).alias("xyz"))
+    return out.select("vec_id", F.transform("xyz", lambda x: F.round(x, 5)).alias("xyz"))
 
 
-@query("mat19_rmsd_to_frame")
+@query("mat19_rmsd_to_frame", f"WITH {VEC}, {_ROTATED} SELECT vec_id, round(sqrt(greatest(g - 2 * list_dot_product(q, list_transform(k, lambda a: list_dot_product(a, q))), 0) / 21), 6) AS rmsd FROM quat")
 def mat19(spark: S, d: str) -> DataFrame:
     out = vectors.superpose(embeddings(spark, d), "vec_id", "embedding", reference_frame(spark, d))
     return out.select("vec_id", F.round("rmsd", 6).alias("rmsd"))
