@@ -100,12 +100,18 @@ def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
     return means.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def nearest_centroid(rows: DataFrame, id_col: str, vector: str, centres: DataFrame, group: str, most: int = 100_000) -> DataFrame:
-    """The closest centroid of each row: id, group, d. The centres' number is checked before they are broadcast."""
-    if centres.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} centroids; use blocked_distances")
+def nearest_centroid(rows: DataFrame, id_col: str, vector: str, centres: DataFrame, group: str, most: int = 1_000) -> DataFrame:
+    """The closest centroid of each row, of equally close ones the smallest group: id, group, d.
+
+    Up to ``most`` centroids are broadcast, as one row; more of them meet the rows in blocks instead, which needs groups
+    that are whole numbers.
+    """
     from tessellar.functions.scalars import rms_distance
 
+    if centres.limit(most + 1).count() > most:
+        kind = centres.schema[group].dataType
+        found = blocked_distances(centres.withColumnRenamed(group, "_g"), rows.select(F.col(id_col).alias("_g"), F.col(vector).alias("centroid")), "_g", "centroid", nearest=1)
+        return found.select(F.col("i").alias(id_col), F.col("j").cast(kind).alias(group), "d")
     listed = centres.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), "centroid"))).alias("_c"))
     all_d = F.transform("_c", lambda c: F.struct(F.round(rms_distance(F.col(vector), c["centroid"]), 12).alias("d"), c["g"].alias("g")))
     return rows.where(F.col(vector).isNotNull()).crossJoin(F.broadcast(listed)).select(id_col, F.array_min(all_d).alias("_m")).select(id_col, F.col("_m.g").alias(group), F.col("_m.d").alias("d"))

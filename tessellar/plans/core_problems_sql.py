@@ -42,6 +42,19 @@ res AS (SELECT d.record_id, t.fullkey, t.path, t.value AS o FROM docs d, json_tr
 """
 
 
+# Every node with the ordinals of its members as label; an object's fields are those of its members that are neither.
+P5_TREE = """
+t AS (WITH RECURSIVE r AS (
+   SELECT record_id, '' AS dewey, '' AS parent_dewey, '$' AS schema_path, payload::JSON AS v FROM naming_cache WHERE json_valid(payload)
+   UNION ALL
+   SELECT record_id, CASE WHEN dewey = '' THEN '' ELSE dewey || '.' END || i, dewey, schema_path || CASE WHEN keys IS NULL THEN '[]' ELSE '.' || keys[i + 1] END,
+          CASE WHEN keys IS NULL THEN json_extract(v, '$[' || i || ']') ELSE json_extract(v, '$."' || keys[i + 1] || '"') END
+   FROM (SELECT *, unnest(range(CASE WHEN keys IS NULL THEN json_array_length(v)::BIGINT ELSE len(keys) END)) AS i
+         FROM (SELECT *, CASE WHEN json_type(v) = 'OBJECT' THEN json_keys(v) END AS keys FROM r WHERE json_type(v) IN ('OBJECT', 'ARRAY')))
+ ) SELECT * FROM r WHERE json_type(v) = 'OBJECT')
+"""
+
+
 def _panel() -> list[tuple[int, str]]:
     """The fixed panel, which names the wide table's columns."""
     try:
@@ -67,6 +80,10 @@ ORACLES = {
     "p1_wide": _wide_sql(),
     "p3_found": f"WITH {P3_LINES} SELECT line_id, reason FROM d WHERE reason IS NOT NULL",
     "p3_rows": f"WITH {P3_LINES} SELECT line_id, f1::INT AS frame, f2 AS interaction_type, f3 AS atom1, f4 AS atom2 FROM d WHERE reason IS NULL",
+    "p5_residues": f"""WITH {P5_TREE}, o AS (SELECT *, json_type(v, '$.sequence_number') AS a, json_type(v, '$.amino_acid') AS b, trim(v->>'$.sequence_number') AS n FROM t)
+        SELECT record_id, CASE WHEN a NOT IN ('OBJECT', 'ARRAY') AND regexp_full_match(n, '[+-]?[0-9]+([.]0+)?') THEN try_cast(try_cast(n AS DOUBLE) AS INT) END AS sequence_number,
+               CASE WHEN b NOT IN ('OBJECT', 'ARRAY') THEN nullif(v->>'$.amino_acid', '') END AS amino_acid, dewey, parent_dewey, schema_path
+        FROM o WHERE coalesce(a NOT IN ('OBJECT', 'ARRAY'), false) OR coalesce(b NOT IN ('OBJECT', 'ARRAY'), false)""",
     "p5_found": f"""WITH {P5_NODES},
         seq AS (SELECT record_id, try_cast(o->>'$.sequence_number' AS INT) AS sequence_number, o->'$.alternative_generic_numbers' AS a FROM res),
         alts AS (SELECT record_id, sequence_number, generate_subscripts(a->'$[*]', 1) - 1 AS alt_pos, unnest(a->'$[*]') AS x FROM seq WHERE json_type(a) = 'ARRAY'

@@ -282,3 +282,107 @@ def test_trajectory_and_settings(spark, tmp_path):
         trajectory.decode(data[:-7])
     config.write_json({"a": [1, "é"]}, str(tmp_path / "c.json"))
     assert config.read_json(str(tmp_path / "c.json")) == {"a": [1, "é"]}
+
+
+@pytest.mark.parametrize("most", [1000, 3])
+def test_nearest_centroid_either_way(spark, most):
+    x, c = RNG.normal(size=(60, 6)), RNG.normal(size=(9, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    centres = spark.createDataFrame([(10 + k, v.tolist()) for k, v in enumerate(c)], "g int, centroid array<double>")
+    out = {r["i"]: (r["g"], r["d"]) for r in vectors.nearest_centroid(rows, "i", "v", centres, "g", most).collect()}
+    d = np.sqrt(((x[:, None] - c[None]) ** 2).mean(axis=2))
+    assert {i: g for i, (g, _) in out.items()} == {i: 10 + int(k) for i, k in enumerate(d.argmin(axis=1))}
+    assert np.allclose([out[i][1] for i in range(60)], d.min(axis=1))
+
+
+def test_files_in_parts(spark, tmp_path):
+    """A group's rows go over several files, in order, and a repeated write replaces them."""
+    from tessellar.sources import arrays, files, trajectory
+
+    rows = [(g, i, float(i * k)) for k, g in enumerate("ab", 1) for i in range(10)]
+    df = spark.createDataFrame(rows, "g string, frame int, x double").repartition(3)
+    for folder in (str(tmp_path / "plain"), f"file://{tmp_path}/address"):
+        for _ in range(2):
+            assert sorted(r["n"] for r in arrays.write_npy(df, "g", ["frame", "x"], folder, rows_per_file=4).collect()) == [2, 2, 4, 4, 4, 4]
+        back = arrays.read_npy(spark, folder)
+        g, part = files.group_of("path", "npy")
+        got = sorted((r["g"], r["part"] * 4 + r["row"], *r["values"]) for r in back.select(g.alias("g"), part.alias("part"), "row", "values").collect())
+        assert got == sorted((g, i, float(i), x) for g, i, x in rows)
+    assert "MODEL" in trajectory.pdb_models(np.zeros((1, 2, 3)))
+
+
+def test_failed_batches_are_made_up_for(spark, tmp_path):
+    from tessellar.streaming.incremental import process_new_files
+
+    for k in range(3):
+        spark.createDataFrame([(k,)], "x int").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    done, broken = [], [True]
+
+    def work(df, batch):
+        found = [r["x"] for r in df.collect()]
+        if 1 in found and broken[0]:
+            raise ValueError("not now")
+        done.extend(found)
+
+    run = lambda: process_new_files(spark, f"{tmp_path}/in", "x int", work, f"{tmp_path}/check", files_per_batch=1)
+    assert len(run()) == 1 and sorted(done) == [0, 2]
+    assert len(run()) == 1 and sorted(done) == [0, 2]
+    broken[0] = False
+    assert run() == [] and sorted(done) == [0, 1, 2]
+    assert run() == [] and sorted(done) == [0, 1, 2]
+
+
+def test_loop_goes_on_after_what_is_complete(spark, tmp_path):
+    from tessellar.streaming.incremental import run_loop
+
+    made = []
+
+    def produce(k):
+        made.append(k)
+        return spark.createDataFrame([(k * k,)], "v int")
+
+    root = f"file://{tmp_path}/loop"
+    assert run_loop(spark, root, produce, lambda parts: False, 3) == (3, False)
+    (tmp_path / "loop" / "part=2" / "_SUCCESS").unlink()  # cut off while it was written
+    assert run_loop(spark, root, produce, lambda parts: parts.count() >= 5, 9) == (5, True)
+    assert run_loop(spark, root, produce, lambda parts: parts.count() >= 5, 9) == (5, True)
+    assert made == [0, 1, 2, 2, 3, 4]
+
+
+def test_windows_over_several_batches(spark, tmp_path):
+    from tessellar.streaming.incremental import windowed_counts
+
+    rows = [("2024-01-01 00:10:00", "a"), ("2024-01-01 23:00:00", "a"), ("2024-01-02 01:00:00", "b"), ("2024-01-01 23:30:00", "a")]
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], "ts string, k string").selectExpr("cast(ts as timestamp_ntz) as ts", "k").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    out = windowed_counts(spark, f"{tmp_path}/in", "ts timestamp_ntz, k string", "ts", "k", "1 day", "3 hours", "*.parquet", files_per_batch=1)
+    assert sorted((str(r["start"]), r["k"], r["n"]) for r in out.collect()) == [("2024-01-01 00:00:00", "a", 3), ("2024-01-02 00:00:00", "b", 1)]
+
+
+def test_sub_grid_must_match_once(spark):
+    from tessellar.sources import grids
+
+    g = spark.createDataFrame([(i, 0, 0) for i in range(4)], "i long, j long, k long")
+    part = spark.createDataFrame([(0.1 + 0.2, 0.0, 0.0)], "x double, y double, z double")
+    assert [r["i"] for r in grids.match_subgrid(part, g, [0.0] * 3, [0.1] * 3).collect()] == [3]
+    for bad in (g.where("i < 3"), g.unionByName(g)):
+        with pytest.raises(ValueError):
+            grids.match_subgrid(part, bad, [0.0] * 3, [0.1] * 3)
+
+
+def test_weights_that_do_not_settle_are_an_error(spark):
+    u = spark.createDataFrame([(i, [float(i), 2.0 * i]) for i in range(20)], "i long, u array<double>")
+    with pytest.raises(RuntimeError, match="after 1 passes"):
+        reweight.state_weights(u, "i", "u", [10, 10], 1e-12, 1)
+
+
+def test_files_of_a_stage_go(spark):
+    import os
+
+    from tessellar import session
+
+    df = session.materialise(spark.range(3))
+    folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    session.discard(df)
+    assert not os.path.isdir(folder)
