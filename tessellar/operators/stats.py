@@ -58,8 +58,10 @@ def frobenius(pairs: DataFrame, n: int, a: str = "a", b: str = "b", i: str = "i"
 def kernel_density(points: DataFrame, x: str, y: str, steps: int = 100) -> DataFrame:
     """Gaussian density of points on a steps x steps grid, Scott's bandwidth, full covariance.
 
-    The grid is the small side (steps squared rows, a parameter) and is broadcast as partial sums: each task adds its
-    points to the whole grid in numpy, and only the grids are shuffled.
+    The grid is the small side (steps squared rows, a parameter): each task adds its points to the whole grid in numpy, and
+    only the grids are shuffled. Points are taken by cells about a bandwidth wide: relative to a cell's centre the
+    exponent is a part of the grid alone, and a product of a part of x and a part of y for each point, so a cell is one
+    matrix product; the points' offsets are small, so nothing overflows.
     """
     import numpy as np
     import pandas as pd
@@ -72,14 +74,31 @@ def kernel_density(points: DataFrame, x: str, y: str, steps: int = 100) -> DataF
     inverse, scale = np.linalg.inv(cov), 1 / (m["n"] * 2 * np.pi * np.sqrt(np.linalg.det(cov)))
     gx, gy = np.linspace(m["x0"], m["x1"], steps), np.linspace(m["y0"], m["y1"], steps)
 
+    a, b, c = inverse[0, 0], inverse[0, 1], inverse[1, 1]
+    wide_x, wide_y = np.sqrt(cov[0, 0]), np.sqrt(cov[1, 1])
+
+    def onto(total: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        kx, ky = np.floor((x - m["x0"]) / wide_x).astype(np.int64), np.floor((y - m["y0"]) / wide_y).astype(np.int64)
+        order = np.lexsort((ky, kx))
+        x, y, kx, ky = x[order], y[order], kx[order], ky[order]
+        cuts = np.flatnonzero(np.diff(kx, prepend=-1) | np.diff(ky, prepend=-1))
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(x)], strict=True):
+            cx, cy = m["x0"] + (kx[i] + 0.5) * wide_x, m["y0"] + (ky[i] + 0.5) * wide_y
+            px, py, ux, uy = x[i:j] - cx, y[i:j] - cy, gx - cx, gy - cy
+            own = np.exp(-(a * px * px + 2 * b * px * py + c * py * py) / 2)
+            there = np.exp(-(a * ux[:, None] ** 2 + 2 * b * ux[:, None] * uy[None] + c * uy[None] ** 2) / 2)
+            total += there * ((np.exp(np.outer(ux, a * px + b * py)) * own) @ np.exp(np.outer(b * px + c * py, uy)))
+
     def add(batches):
-        total = np.zeros((steps, steps))
-        for b in batches:
-            for k in range(0, len(b), 256):
-                px, py = b.x.to_numpy()[k : k + 256], b.y.to_numpy()[k : k + 256]
-                dx, dy = gx[:, None] - px[None], gy[:, None] - py[None]
-                q = inverse[0, 0] * dx[:, None] ** 2 + 2 * inverse[0, 1] * dx[:, None] * dy[None] + inverse[1, 1] * dy[None] ** 2
-                total += np.exp(-q / 2).sum(axis=2)
+        total, held, size = np.zeros((steps, steps)), [], 0
+        for f in batches:
+            held.append(f)
+            size += len(f)
+            if size > 1_000_000:
+                onto(total, np.concatenate([h.x for h in held]), np.concatenate([h.y for h in held]))
+                held, size = [], 0
+        if size:
+            onto(total, np.concatenate([h.x for h in held]), np.concatenate([h.y for h in held]))
         i, j = np.indices(total.shape)
         yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
 
