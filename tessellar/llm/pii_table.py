@@ -36,20 +36,20 @@ STREET_AFTER = "lane road rd row street st drive dr blvd boulevard avenue ave wa
 STREET_BEFORE = "rue chemin place impasse quai allée route calle avda avenida plaza paseo camino ronda travesía via viale c carrer cours".split()
 STREET_ENDINGS = ("straße", "str", "strasse", "weg", "gasse", "allee", "platz", "ufer", "ring", "graben", "hof", "damm", "steig", "markt", "park")
 
-_ONSETS = "Bran Corv Drav Elm Fenn Gorm Hask Imb Kest Ludm Malv Nuss Ottr Pell Quell Rav Sorr Tarv Ulv Vill Wick Ysel Zand Thorn Marr Ol Brook Hart Lind Cast Mont Ash Wex Sten Aldr Tess Grün Løv Müll Niev Adey Okon Naka Kowal Petr Szab Jov Kra Ster Bel Gal Dom Fri Lar Sal Per Roz Tod Vas Wal Zim".split()
-_ENDINGS = "acre umbury quistel mondt sholm wather rigg stoke ovicci arelli enkova eauxin iguezo ikawari ström berg field ton ley mann hagen ez son ini oux ard et quarry mede brandt fontana specht insola shiro ski ov ová ic escu idis oglu sen a enko uk well worth by ford man er in ier eau".split()
-_TOWNS = "Pellham Norvale Ashwick Dunmere Kettlebridge Marrowfield Ebersdorf Kaltenau Neu-Dornach Brévigny Saint-Orlin Valmont Aldeanueva Villarroya Montesoto Brackenford Lowestone Harrowby Teignford".split()
-_TOWNS2 = ["Dunwick Hills", "Lower Sallow", "Bad Kerlach", "Brévigny-le-Bas", "Montesol del Rey", "Aldea Nueva", "Upper Marlow", "Saint-Odran", "Port Ellery", "Santa Olara", "East Norham"]
+_ONSETS = "Ab Ald Bar Bel Ben Bor Bry Cal Car Cor Dal Dar Del Dor Dun Ed Eg Fal Far Fen Gar Gil Gor Had Hal Har Hel Hol Ing Jar Jor Kal Kar Kel Kor Lam Lan Lar Lew Lor Mal Mar Mel Mor Nar Nor Old Or Pal Par Pel Pol Ram Red Ros Sal Sam Sel Sor Tal Tar Tor Ul Val Var Ver Wal War Wel Wil Yar Zal Zor Grün Løv Müll Şah Čer Ngu Oyel Adeb Tak Naka Mura Kow Petr Szab Jov".split()
+_ENDINGS = "son sen ton ham ley man mann berg stein feld haus er in ov ova ev eva ski ska ić ez es os as ini etti ano ari ard eau ier ot et oux and holm ström dal vik ic escu idis akis opoulos yan dze shvili wala oglu sen moto mura saki awa chuk enko uk well worth by ford ness low wick shaw croft ridge gate ster der mer".split()
+_TOWNS = "Abbeydale Birchwood Carrick Dalebury Eastmoor Fairhaven Greenock Hollins Kingsmere Langdon Millport Northam Oakridge Riverton Sandwell Thornhill Westbrook Altdorf Neukirch Steinbach Rosenau Beaulieu Clairmont Montrouge Villefort Fuentes Miraflores Torrenueva Valverde".split()
+_TOWNS2 = ["Cedar Falls", "Lower Heath", "Bad Steinau", "Saint-Marc-le-Vieux", "Torre del Mar", "Villa Real", "Upper Norton", "Saint-Paul", "Port Harriet", "Santa Elvira", "East Linton", "Los Olivos", "Pont-de-Bois", "Neu-Altdorf"]
 # Known towns, as they stand in addresses and in other text.
 CITIES = (
     "London Paris Berlin Madrid Vienna Wien Munich München Hamburg Köln Lyon Marseille Bordeaux Sevilla Valencia Barcelona Boston Chicago Denver Austin Seattle Dublin Leeds Bristol Oxford York Geneva Basel Zürich Bern Graz Oslo "
     "Stockholm Rome Milan Turin Lisbon Porto Prague Warsaw Budapest Athens Tokyo Kyoto Delhi Mumbai Sydney Perth Toronto Montreal Dallas Houston Phoenix Miami Atlanta Leipzig Dresden Bonn Mainz Toulouse Nantes Lille Zaragoza Bilbao Granada"
 ).split()
 _CITIES2 = ["New York", "Los Angeles", "San Diego", "San Jose", "Santa Fe", "Saint Louis", "New Delhi", "Cape Town", "Hong Kong", "Las Vegas", "Salt Lake City", "El Paso", "Buenos Aires", "Le Havre", "La Rochelle", "Bad Homburg", "Palma de Mallorca", "Santiago de Compostela", "Mexico City"]
-_STREETS = "Foxglove Larkspur Chandler Harrow Copperfield Saltmarsh Brickyard Millrace Quill Station Weir Juniper Cedar Orchard Sparrow Lantern Oak Maple Church High Park Victoria Queen Mill Bridge School Spring Lake Washington Garden Meadow Fourth Second".split()
-_DE_STREETS = "Eschgraben Hauptstr. Mühlstr. Steinhof Tannenstraße Kupfergasse Lindenallee Seidelweg Birkenweg Mühlenstraße Marktplatz Rosengasse Wiesenufer Seilerallee Kuhweg Schulstraße Gartenweg Kirchplatz Ringstr. Schillerstraße Waldweg Neumarkt Stadtpark Bergstraße Dorfstr.".split()
-_FR_STREETS = ["rue des Ormes", "avenue du Vieux Moulin", "chemin de la Source", "place des Tisserands", "boulevard Saint-Michel", "rue des Lilas-Blancs", "quai du Port Neuf", "impasse des Roses", "rue Pasteur", "avenue Jean Moulin", "rue de l'Église", "cours Gambetta", "allée des Tilleuls", "route de Genas"]
-_ES_STREETS = ["Calle de la Encina", "Avda. del Puente", "Plaza del Romero", "Paseo de los Olmos", "Calle Mayor", "C/ Tejedores", "C/ del Olmo", "C. Robledal", "Avenida del Mar", "Camino Viejo del Pinar", "Plaza de la Higuera Alta", "Avenida América", "Calle Goya", "Carrer del Pi", "Ronda Norte", "Paseo de Gracia"]
+_STREETS = "Acorn Ash Bishop Canal Chapel Cherry Cliff Crown Dover Elm Ferry Forge Grange Hazel Ivy Kings Linden Manor Market North Oak Maple Church High Park Victoria Queen Mill Bridge School Spring Lake Washington Garden Meadow Fourth Second River Sunset Pine Walnut".split()
+_DE_STREETS = "Hauptstr. Mühlstr. Tannenstraße Lindenallee Birkenweg Mühlenstraße Marktplatz Rosengasse Schulstraße Gartenweg Kirchplatz Ringstr. Schillerstraße Waldweg Neumarkt Stadtpark Bergstraße Dorfstr. Bahnhofstraße Kirchgasse Seeufer Wiesenring Burggraben Eichenhof".split()
+_FR_STREETS = ["rue du Marché", "avenue de la Gare", "chemin des Vignes", "place du Théâtre", "boulevard Saint-Michel", "quai de la Loire", "impasse du Moulin", "rue Pasteur", "avenue Jean Moulin", "rue de l'Église", "cours Gambetta", "allée des Tilleuls", "route de Genas", "rue du Vieux Pont"]
+_ES_STREETS = ["Calle del Sol", "Avda. de la Paz", "Plaza de España", "Paseo del Prado", "Calle Mayor", "C/ Nueva", "C/ de la Fuente", "C. Real", "Avenida del Mar", "Camino de la Ermita", "Plaza Mayor", "Avenida América", "Calle Goya", "Carrer del Pi", "Ronda Norte", "Paseo de Gracia"]
 _TLD = "example test invalid com org net edu io de fr es co.uk ac.uk eu info ch at it".split()
 
 
@@ -100,7 +100,7 @@ class Fill:
         return name.upper() if self.r.random() < 0.1 else name
 
     def host(self) -> str:
-        parts = [self.r.choice(_ONSETS + _TOWNS + ["Mail", "Uni", "Labs", "Post", "Bio", "Net", "Home", "Chem", "Sub", "Work", "Simhouse", "Rotor-labs", "Inst", "Grid"]).lower().replace("ü", "u").replace("ø", "o").replace("é", "e") for _ in range(self.r.choice([1, 1, 1, 2, 3]))]
+        parts = [self.r.choice(_ONSETS + _TOWNS + ["Mail", "Uni", "Labs", "Post", "Bio", "Net", "Home", "Chem", "Sub", "Work", "Web", "Open-lab", "Inst", "Cloud"]).lower().replace("ü", "u").replace("ø", "o").replace("é", "e") for _ in range(self.r.choice([1, 1, 1, 2, 3]))]
         return ".".join([*parts, self.r.choice(_TLD)])
 
     def email(self) -> str:
@@ -431,7 +431,7 @@ mailto:{E}?subject=hello
 ({E})
 Reply-To: <{E}>
 contact="{E}"
-old login {E} is closed, use {E}
+not {E} any more but {E}
 {E} is read on <DAY>.
 via {E} or {T}
 I moved to {A}.
@@ -458,7 +458,7 @@ The party is at {A} on <DAY>.
 The machine at {A} still runs.
 The house at {A} <STATE>.
 New address {A}, tell the <ROLE>.
-Key under the mat at {A}; {T}
+Spare set at {A}; {T}
 Zu Händen {P}, {A}
 {A}, zu Händen {P}
 registered at {A} until <DAY>
@@ -489,7 +489,7 @@ We need the number again; {I}?
 The form asks for it, {I}.
 Please black out the {I} in <THING>.
 Payment to {P}, {I}, on <DAY>.
-The form lists {P}, {A}, {T}, {I}.
+On the card: {P}, {A}, {T}, {I}.
 The <IDCUE> of {P} is {N}.
 The <IDCUE> for my <ROLE> is {N}.
 <IDCUE> of the <ROLE>: {N}
@@ -550,7 +550,7 @@ El {V} dura {D} <SUNIT> en el {D} por ciento de los casos.
 La {V} de {D} <SUNIT> ocupa {D} <SUNIT>.
 Nota: A {D} <SUNIT> casi no hay {V}.
 <CAPN> <DIR> is open, <CAPN> <DIR> is closed.
-in the folder, tab <CAPN> <DIR>
+see sheet <CAPN> <DIR>
 Wing <DIR>, Gate <DIR>, <ADJ> <DIR>
 The {F} <NOUN> was used.
 The {F} <NOUN> with a factor of {D} works best.
@@ -643,7 +643,7 @@ Energy drops after the restart.
 Memory use peaked at {D} GB in step {D}.
 Nothing was lost, but <THING> has to be copied again.
 How long does it take? Nobody knows.
-Students observe that one cluster splits while the others grow.
+Some say that one half sinks while the others rise.
 What happens if the rate is doubled? (A) it rises (B) it falls (C) nothing (D) all of them
 Help, there is smoke in the kitchen!
 New version: bugs fixed, menu extended. Read the notes.
@@ -672,7 +672,7 @@ The street is wet. The box is full. Rue the day.
 <KEYWORD> {K} and <KEYWORD> {K} were merged.
 The <KEYWORD> {K} belongs to <KEYWORD> {K}; do not mix it with {K}.
 see <KEYWORD> {K}
-about {K} and name CA, near {K} in all
+about {K}, near {K} in all
 values {K}, {K} and {K}
 between {K} and {K} for <THING>
 <IT> <STATE> at {K}.
@@ -685,15 +685,15 @@ Total: {D},{D},{D}.{D} EUR, <KEYWORD> {K}
 Frames {D} to {D} were dropped.
 Frames {D}-{D} and {D}+{D} were dropped.
 frames {D}:{D}, window [{D}, {D}], range {D}/{D}
-window {D}-{D}-{D} and name CA, resid {D} to {D}
+window {D}-{D}-{D}, part {D} to {D}
 window {D} {D}, {D}.{D}
 from step {D} to step {D} in {D} rounds
-rsync u{D}@node{D}:/scratch/out/{D} stalled.
+rsync u{D}@node{D}:/srv/out/{D} stopped.
 scp root@gpu{D}:/home/data done, see admin@login{D} for logs
 copy md{D}@host{D}:/work/run_{D}/x.tsv here
 logged in as user{D} on node{D}
 git@server:team/repo was cloned into /opt/{D}
-Reading /scratch/abc/rep{D}/vars/{D} takes long.
+Opening /srv/abc/run{D}/file{D} takes long.
 Set `n={D}` and rerun; def f(x): return x + {D}
 import os; path = "/data/{D}/out.txt"
 At {D}.{D} K, {D} percent of {D} copies agree, n = {D}.
@@ -702,14 +702,14 @@ On 2021-0{D}-1{D} at 12:{D}:{D} the IP 10.{D}.{D}.{D} was blocked.
 Version {D}.{D}.{D} of 3.{D}.2022 is out.
 Published in <DAY> {D}, pages {D}-{D}.
 doi 10.{D}/abc.{D}.{D} and arXiv 20{D}.{D}
-Ref. 10.{D}/sim.{D}{D} has more (<KEYWORD> {K}).
+Details in 10.{D}/abc.{D} (<KEYWORD> {K}).
 ISBN 978-{D}-{D}-{D}-0
 energy near -{D}.{D} kcal/mol, {D}.{D} angstrom
 A:ALA:{D} touches B:TRP:{D} but not R:VAL:{D}.
 Residue ASP {D}, position {D}.{D}, chain A.
 <CAPN> {D}, <CAPN> {D} and <CAPN> {D}
-The Panel <CAPN> tab and the Monte Carlo run were merged.
-Van der Waals terms, Nosé Hoover chains, Lennard Jones parameters, Markov chains.
+Random <CAPN> and Markov chain runs were merged.
+Van der Waals terms, Nosé Hoover chains, Markov chains.
 Linux, Python, Fortran and Excel are installed; Windows is not.
 English, French, German and Spanish are spoken.
 """.strip().split("\n")
