@@ -772,6 +772,25 @@ def mat13(spark: S, d: str) -> DataFrame:
     return compute_or_load(spark, name, lambda: spark.range(0).select(F.lit("").alias("system"), F.col("id").alias("n")), shared_dir(spark))
 
 
+@query("mat13_cached_in_process", f"WITH {BIND}, m AS (SELECT system, count(*) AS n FROM bind GROUP BY 1) SELECT step, system, n, 1 AS times_made FROM m, (SELECT unnest(['computed', 'from the process', 'from the folder']) AS step)")
+def mat13_cached(spark: S, d: str) -> DataFrame:
+    """The same table three times: computed, from the process, and from the folder as after a restart."""
+    import os
+    import uuid
+
+    from tessellar.session import shared_dir
+    from tessellar.sources.store import Cache
+
+    cache = Cache(spark, os.path.join(shared_dir(spark), f"cache-{uuid.uuid4().hex}"))
+    out = None
+    for step in ("computed", "from the process", "from the folder"):
+        if step == "from the folder":
+            cache.forget()
+        got = cache.get("counts", lambda: binding(spark, d).groupBy("system").agg(F.count("*").alias("n"))).select(F.lit(step).alias("step"), "system", "n")
+        out = got if out is None else out.unionByName(got)
+    return out.withColumn("times_made", F.lit(len(cache.made)))
+
+
 # --- the incremental loop ----------------------------------------------------------------------------------------------
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"

@@ -47,3 +47,29 @@ def compute_or_load(spark: SparkSession, name: str, compute: Callable[[], DataFr
         return found
     made = compute()
     return made if save(made, name, source, cache, read_only) is None else load(spark, name, source, cache)
+
+
+class Cache:
+    """Computed tables by name: in the process first, then in the folder, else computed once and kept in both.
+
+    What is held in the process is a plan that reads the folder's files, so it costs no memory; ``forget`` drops it, as a
+    new process would have none.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self.held: dict[str, DataFrame] = {}
+        self.made: list[str] = []
+
+    def get(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self.held:
+
+            def counted() -> DataFrame:
+                self.made.append(name)
+                return make()
+
+            self.held[name] = compute_or_load(self.spark, name, counted, self.root)
+        return self.held[name]
+
+    def forget(self) -> None:
+        self.held.clear()
