@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellar.session import materialise
@@ -27,8 +27,10 @@ def heavy_terms(rows: DataFrame, fields: dict[str, Column], share: float = SHARE
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), c.alias("term")) for f, c in fields.items()])).alias("p")
     sample = rows.sample(fraction, seed).select(pairs)
-    total = F.sum(F.when(F.col("p.field_name") == next(iter(fields)), F.col("count"))).over(Window.partitionBy())  # over at most the sample's terms
-    counted = sample.groupBy("p").count().select("p", "count", total.alias("total"))
+    by_term = sample.groupBy("p").count()
+    # both sides read one exchange of the sample's counts
+    total = by_term.agg(F.sum(F.when(F.col("p.field_name") == next(iter(fields)), F.col("count"))).alias("total"))
+    counted = by_term.crossJoin(F.broadcast(total))
     limit = int(1 / share)
     found: dict[str, list[str]] = {f: [] for f in fields}
     best = counted.where("p.term is not null").where(F.col("count") >= F.greatest(F.lit(2.0), share * F.col("total"))).orderBy(F.desc("count"), "p").limit(limit * len(fields))
