@@ -28,14 +28,14 @@ def heavy_terms(rows: DataFrame, fields: dict[str, Column], share: float = SHARE
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), c.alias("term")) for f, c in fields.items()])).alias("p")
     sample = rows.sample(fraction, seed).select(pairs)
     by_term = sample.groupBy("p").count()
-    # both sides read one exchange of the sample's counts
+    # both sides read one exchange of the sample's counts; a filter on the term would part them, so nulls go last
     total = by_term.agg(F.sum(F.when(F.col("p.field_name") == next(iter(fields)), F.col("count"))).alias("total"))
     counted = by_term.crossJoin(F.broadcast(total))
     limit = int(1 / share)
     found: dict[str, list[str]] = {f: [] for f in fields}
-    best = counted.where("p.term is not null").where(F.col("count") >= F.greatest(F.lit(2.0), share * F.col("total"))).orderBy(F.desc("count"), "p").limit(limit * len(fields))
+    best = counted.where(F.col("count") >= F.greatest(F.lit(2.0), share * F.col("total"))).orderBy(F.desc("count"), "p").limit((limit + 1) * len(fields))
     for r in best.collect():
-        if len(found[r["p"]["field_name"]]) < limit:
+        if r["p"]["term"] is not None and len(found[r["p"]["field_name"]]) < limit:
             found[r["p"]["field_name"]].append(r["p"]["term"])
     return found
 
