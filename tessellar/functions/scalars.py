@@ -145,3 +145,9 @@ def kcal_to_kj(x: Column) -> Column:
 
 def angstrom_to_nm(x: Column) -> Column:
     return x * 0.1
+
+
+def signed_round(x: Column, digits: int) -> Column:
+    """As round, but a small negative number becomes -0.0, as in SQL engines that round the double itself."""
+    rounded = F.round(x, digits)
+    return F.when((x < 0) & (rounded == 0), F.lit(-0.0)).otherwise(rounded)

@@ -120,6 +120,11 @@ def test_superposition(spark):
     assert out[0]["rmsd"] == pytest.approx(0, abs=1e-6) and np.allclose(out[0]["xyz"], ref.ravel()) and out[1]["rmsd"] > 0.05
 
 
+def test_rounding_keeps_the_sign_of_zero(spark):
+    df = spark.createDataFrame([(k, x) for k, x in enumerate((-1.8e-6, 1.8e-6, -6e-6, 0.0, float("nan"), None))], "k int, x double")
+    assert [str(r[0]) for r in df.orderBy("k").select(sc.signed_round(F.col("x"), 5)).collect()] == ["-0.0", "0.0", "-1e-05", "0.0", "nan", "None"]
+
+
 def test_grid_sum_and_truncation(spark):
     p = spark.createDataFrame([(0.0, 0.0, 0.0, 2.0), (1.0, 0.0, 0.0, 1.0)], "x double, y double, z double, w double")
     g = vectors.grid_sum(p, ["x", "y", "z"], "w", [0, 0, 0], [1, 1, 1], [2, 1, 3])

@@ -25,6 +25,13 @@ def test_runs(spark, name):
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
 
 
+def test_superposition_keeps_the_sign_of_zero(spark, con):
+    """0.0 and -0.0 are equal, so test_equals_sql can't tell them apart."""
+    want = con.execute(ORACLES["mat18_superposition"]).fetchall()
+    got = QUERIES["mat18_superposition"](spark, compare.SF).collect()
+    assert {r["vec_id"]: str(r["xyz"]) for r in got} == {k: str(v) for k, v in want}
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
