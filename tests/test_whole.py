@@ -1,7 +1,11 @@
 """Queries that take all of their input: what a cut would lose is in the result."""
 
+import glob
+
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ import compare
 from tessellar.operators import contacts, reweight, sequence
 from tessellar.plans import core_problems, registry
 from tessellar.plans.core_problems_sql import CONTACT_CELLS
+from tessellar.session import shared_dir
 
 QUERIES = registry.queries()
 
@@ -96,6 +101,40 @@ def test_pairs_without_a_shared_token(spark):
         assert r["jaccard"] == pytest.approx(1 - len(x & y) / len(x | y) if x | y else 0) and r["hamming"] == pytest.approx(len(x ^ y) / 4)
 
 
+def rows_in(folder):
+    return sum(pq.read_metadata(p).num_rows for p in glob.glob(f"{folder.removeprefix('file://')}/*.parquet"))
+
+
+def test_pairs_of_frames_are_not_written(spark):
+    """Their number grows with the square of the log."""
+    known = set(glob.glob(shared_dir(spark).removeprefix("file://") + "/*"))
+    out = QUERIES["mat10_jaccard"](spark, compare.SF)
+    frames = out.select("b").distinct().count()
+    new = set(glob.glob(shared_dir(spark).removeprefix("file://") + "/*")) - known
+    assert out.count() == frames * -(-frames // 100) and 0 < sum(map(rows_in, new)) <= 1.01 * frames + 1
+
+
+@pytest.mark.parametrize("block, cells", [(1_000, 32_000_000), (7, 32_000_000), (1_000, 60), (7, 1)])
+def test_sets_meet_in_blocks_of_any_size(tmp_path, monkeypatch, block, cells):
+    for name, v in (("QUERY_BLOCK", block), ("MATRIX_CELLS", cells), ("OUT_ROWS", 40)):
+        monkeypatch.setattr(contacts, name, v)
+    rng = np.random.default_rng(11)
+    sets = [set(rng.choice(400, int(n), replace=False).tolist()) for n in (*rng.integers(0, 12, 90), 0, 0, 300, 350)]
+    all_, asked = [pa.record_batch({"id": pa.array(ids, pa.int64()), "t": pa.array([sorted(sets[i]) for i in ids], pa.list_(pa.int64()))}) for ids in (range(94), range(3, 94, 5))]
+    for k, part in enumerate((asked.slice(0, 11), asked.slice(11), asked.slice(0, 0))):
+        pq.write_table(pa.Table.from_batches([part]), tmp_path / f"part-{k}.parquet")
+    folder = f"file:{tmp_path}"
+    union = {(a, b): len(sets[a] | sets[b]) for a in range(3, 94, 5) for b in range(94)}
+    shared = {(a, b): len(sets[a] & sets[b]) for a, b in union}
+    far = {p: 1 - shared[p] / n if n else 0.0 for p, n in union.items()}
+    got = [r for b in contacts._distances(folder, "int", ("n_shared", "jaccard", "hamming"), 400, 0.8, 9)([all_.slice(0, 50), all_.slice(50)]) for r in b.to_pylist()]
+    assert len(got) == len(union) and {(r["a"], r["b"]): r["n_shared"] for r in got} == shared
+    assert all(abs(r["jaccard"] - far[r["a"], r["b"]] / 0.8) < 1e-9 and abs(r["hamming"] - (union[r["a"], r["b"]] - shared[r["a"], r["b"]]) / 400) < 1e-9 for r in got)
+    for part in (all_, all_.slice(93)):
+        top = max(far[a, b] for a, b in far if b in part.column("id").to_pylist())
+        assert [b.to_pylist() for b in contacts._largest_jaccard(folder)([part])] == [[{"top": top}]]
+
+
 def test_density_has_the_whole_grid(spark):
     assert QUERIES["mat22_kernel_density"](spark, compare.SF).count() == 100 * 100
 
