@@ -114,6 +114,12 @@ def test_pairs_of_frames_are_not_written(spark):
     assert out.count() == frames * -(-frames // 100) and 0 < sum(map(rows_in, new)) <= 1.01 * frames + 1
 
 
+def test_frames_meet_their_queries_without_a_shuffle(spark):
+    """A shuffle would repeat the whole log for every block of queries."""
+    plan = QUERIES["mat09_hamming"](spark, compare.SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+
+
 @pytest.mark.parametrize("block, cells", [(1_000, 32_000_000), (7, 32_000_000), (1_000, 60), (7, 1)])
 def test_sets_meet_in_blocks_of_any_size(tmp_path, monkeypatch, block, cells):
     for name, v in (("QUERY_BLOCK", block), ("MATRIX_CELLS", cells), ("OUT_ROWS", 40)):
