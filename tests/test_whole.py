@@ -120,6 +120,18 @@ def test_frames_meet_their_queries_without_a_shuffle(spark):
     assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
 
 
+def test_equal_distances_are_neighbours(spark):
+    """Else a file of the pairs has hardly a run of equal values, and takes half as much disk again."""
+    rng = np.random.default_rng(5)
+    often = rng.random((600, 8)) < 0.8
+    sets = [[f"often{t}" for t in np.flatnonzero(often[u])] + [f"rare{t}" for t in rng.choice(4_000, 8, replace=False)] for u in range(600)]
+    tokens = spark.createDataFrame([(u, t) for u, s in enumerate(sets) for t in s], "u int, t string")
+    units = spark.range(600).select(F.col("id").cast("int").alias("u"))
+    out = contacts.all_set_distances(tokens, units.where("u % 3 = 0"), units, "u", "t", ("n_shared", "hamming"), 9).toPandas()
+    runs = [[int((df[c].diff() != 0).sum()) for c in ("n_shared", "hamming")] for df in (out, out.sort_values(["b", "a"]))]
+    assert len(out) == 600 * 200 and all(2 * now < plain for now, plain in zip(*runs))
+
+
 @pytest.mark.parametrize("block, cells", [(1_000, 32_000_000), (7, 32_000_000), (1_000, 60), (7, 1)])
 def test_sets_meet_in_blocks_of_any_size(tmp_path, monkeypatch, block, cells):
     for name, v in (("QUERY_BLOCK", block), ("MATRIX_CELLS", cells), ("OUT_ROWS", 40)):
