@@ -132,6 +132,30 @@ def test_equal_distances_are_neighbours(spark):
     assert len(out) == 600 * 200 and all(2 * now < plain for now, plain in zip(*runs))
 
 
+@pytest.mark.parametrize("digits", [9, None])
+@pytest.mark.parametrize("largest", [12, 300])
+def test_packed_pairs_are_those_of_single_rows(spark, monkeypatch, largest, digits):
+    """A row for each pair from Python costs most of the time; packed ones must give the same, to the last bit."""
+    monkeypatch.setattr(contacts, "PACKED_PAIRS", 70)
+    rng = np.random.default_rng(3)
+    sets = [rng.choice(500, int(n), replace=False).tolist() for n in (*rng.integers(0, 12, 90), 0, 0, largest)]
+    tokens = spark.createDataFrame([(u, f"t{t}") for u, s in enumerate(sets) for t in s], "u int, t string")
+    units = spark.range(len(sets)).select(F.col("id").cast("int").alias("u"))
+    made = []
+    for most in (2**15 - 1, -1):
+        monkeypatch.setattr(contacts, "PACKED_TOKENS", most)
+        for scaled in (False, True):
+            out = contacts.all_set_distances(tokens, units.where("u % 3 = 0"), units, "u", "t", digits=digits, scaled=scaled)
+            packed = "Generate" in out._jdf.queryExecution().executedPlan().toString()
+            assert packed == (most > 0) and (not packed or not any(f.nullable for f in out.schema))
+            made.append(sorted(map(tuple, out.collect())))
+    assert made[0] == made[2] and made[1] == made[3] and len(made[0]) == 31 * 93
+    bare = contacts.all_set_distances(tokens.where("false"), units.where("u = 0"), units, "u", "t")
+    assert bare.count() == 93
+    monkeypatch.setattr(contacts, "PACKED_TOKENS", 2**15 - 1)
+    assert {tuple(r)[2:] for r in contacts.all_set_distances(tokens.where("false"), units.where("u = 0"), units, "u", "t", scaled=True).collect()} == {(0, 0.0, None)}
+
+
 @pytest.mark.parametrize("block, cells", [(1_000, 32_000_000), (7, 32_000_000), (1_000, 60), (7, 1)])
 def test_sets_meet_in_blocks_of_any_size(tmp_path, monkeypatch, block, cells):
     for name, v in (("QUERY_BLOCK", block), ("MATRIX_CELLS", cells), ("OUT_ROWS", 40)):
