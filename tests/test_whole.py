@@ -132,6 +132,14 @@ def test_equal_distances_are_neighbours(spark):
     assert len(out) == 600 * 200 and all(2 * now < plain for now, plain in zip(*runs))
 
 
+def test_last_frame_with_a_token(spark):
+    """Tokens of the whole log aren't worked out to find it, unless its end has none."""
+    log = [(3, "hbsb", "A:ASP:1:O", "A:ARG:2:N"), (7, "vdw", "A:ASP:1:O", "A:ARG:2:N"), (9, "vdw", "A:ASP:1:O", "A:ASP:1:N"), (10, None, "A:ASP:1:O", "A:ARG:2:N"), (None, "vdw", "A:ASP:1:O", "A:ARG:2:N")]
+    for upto, want in ((5, 7), (2, 7), (1, 3), (0, None)):
+        t = contacts.token_rows(contacts.spelt_log(spark.createDataFrame(log[:upto] if upto else log[2:], "frame int, interaction_type string, atom1 string, atom2 string")))
+        assert contacts.last_with_token(t) == want
+
+
 @pytest.mark.parametrize("digits", [9, None])
 @pytest.mark.parametrize("largest", [12, 300])
 def test_packed_pairs_are_those_of_single_rows(spark, monkeypatch, largest, digits):
